@@ -1,5 +1,109 @@
-"""Registered streaming queries (filled in by the streaming package)."""
+"""Registered streaming queries.
+
+Each runs a Structured Streaming job over the data folder to completion
+(``availableNow``) with its checkpoint under the session's shared checkpoint
+folder, then returns the resulting table as a batch DataFrame. Where the
+finished stream must equal a batch query, the batch query's SQL is its oracle.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from perkflow import config
+from perkflow.operators import ledger as ledger_ops
+from perkflow.plans.inputs import Inputs, Params, money_as_double
+from perkflow.plans.oracle import ORACLE_SQL, std, summary_cte, tx_cte, with_, SUMMARY_OUT
+from perkflow.plans.registry import REGISTRY
+from perkflow.session import scratch_path
+from perkflow.sources.fixtures import simulated_requests
+from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
+from perkflow.streaming import changelog
+from perkflow.streaming.ledger_stream import start_redemption_stream
+from perkflow.streaming.summary_stream import (events_transaction_stream, run_to_completion,
+                                               start_summary_changelog, start_summary_on_close,
+                                               summary_stream)
+
+P = Params()
 STREAM_ORACLE: dict[str, str] = {}
+
+
+def _run_dir(spark: SparkSession, name: str) -> str:
+    return scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+def _changelog_run(spark: SparkSession, data_dir: str) -> str:
+    root = _run_dir(spark, "summary")
+    q = start_summary_changelog(summary_stream(events_transaction_stream(spark, data_dir), P.window),
+                                f"{root}/changelog", f"{root}/checkpoint")
+    run_to_completion(q)
+    return f"{root}/changelog"
+
+
+def member_summary_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Update-mode streaming summary; newest version per key equals batch D1."""
+    return money_as_double(changelog.current_summary(spark, _changelog_run(spark, data_dir)))
+
+
+def hotel_offers_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Hotel offers filtered at read time from the change log."""
+    return money_as_double(changelog.current_hotel_offers(spark, _changelog_run(spark, data_dir)))
+
+
+def drink_offers_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Drink offers filtered at read time from the change log."""
+    return money_as_double(changelog.current_drink_offers(spark, _changelog_run(spark, data_dir)))
+
+
+def summary_window_close(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Append mode: windows closed by the final watermark, one row each."""
+    root = _run_dir(spark, "closed")
+    q = start_summary_on_close(summary_stream(events_transaction_stream(spark, data_dir), P.window),
+                               f"{root}/closed", f"{root}/checkpoint")
+    run_to_completion(q)
+    closed = spark.read.option("basePath", f"{root}/closed").parquet(f"{root}/closed")
+    return money_as_double(closed.select(*SUMMARY_COLUMNS))
+
+
+def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Ledger built by the streaming single writer.
+
+    The simulated desk's requests are written as two JSON-lines files: the
+    requests before ``as_of``, then the requests from ``as_of`` on together
+    with a re-sent copy of the whole first file. The stream reads one file per
+    micro-batch; the re-sent copies must add nothing.
+    """
+    root = _run_dir(spark, "redeem")
+    i = Inputs(spark, data_dir, P)
+    s = i.summary()
+    req = simulated_requests(i.hotel(summary=s), i.drink(summary=s))
+    from perkflow.functions.time import ts_lit
+    early = req.where(F.col("requested_at") < ts_lit(P.as_of))
+    late = req.where(F.col("requested_at") >= ts_lit(P.as_of)).unionByName(early)
+    fmt = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
+    early.coalesce(1).write.options(**fmt).json(f"{root}/requests/part-0")
+    late.coalesce(1).write.options(**fmt).json(f"{root}/requests/part-1")
+    stream = (spark.readStream.schema("member_id long, member_name string, offer_type string, "
+                                      "requested_at timestamp_ntz")
+              .options(**fmt).option("maxFilesPerTrigger", "1").json(f"{root}/requests/*"))
+    q = start_redemption_stream(stream, f"{root}/ledger", f"{root}/checkpoint")
+    run_to_completion(q)
+    return ledger_ops.read_ledger(spark, f"{root}/ledger").select(*LEDGER_COLUMNS)
+
+
+REGISTRY["member_summary_stream"] = member_summary_stream
+REGISTRY["hotel_offers_stream"] = hotel_offers_stream
+REGISTRY["drink_offers_stream"] = drink_offers_stream
+REGISTRY["summary_window_close"] = summary_window_close
+REGISTRY["redemption_stream"] = redemption_stream
+
+STREAM_ORACLE["member_summary_stream"] = ORACLE_SQL["member_window_summary"]
+STREAM_ORACLE["hotel_offers_stream"] = ORACLE_SQL["hotel_room_offers"]
+STREAM_ORACLE["drink_offers_stream"] = ORACLE_SQL["drink_offers"]
+STREAM_ORACLE["summary_window_close"] = with_(tx_cte(), summary_cte(P.window)) + f"""
+SELECT {SUMMARY_OUT} FROM summary
+WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""
+STREAM_ORACLE["redemption_stream"] = std() + "SELECT * FROM ledger"
