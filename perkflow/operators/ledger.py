@@ -127,7 +127,7 @@ def pending_offers(hotel: DataFrame, drink: DataFrame, ledger: DataFrame, today)
     """
     lo = latest_offers(hotel, drink)
     done = redeemed_on(ledger, today)
-    return (lo.join(done, ["member_id", "offer_type"], "left_anti")
+    return (lo.join(done, ["member_id", "offer_type"], "left_anti").select(*lo.columns)
             .orderBy(F.col("window_end").desc(), F.col("metric_value").desc(),
                      F.col("member_id"), F.col("offer_type")))
 

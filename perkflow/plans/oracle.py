@@ -396,6 +396,9 @@ firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id, o
 SELECT member_id, member_name, offer_type, redeemed_at, redemption_date FROM firsts f
 WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.member_id = f.member_id AND l.offer_type = f.offer_type
                   AND l.redemption_date = f.redemption_date)""",
+        "sql_over_views": with_(tx_cte(), summary_cte(P.window), offers_ctes()) + """
+SELECT member_id, member_name, COUNT(*) AS offer_windows, CAST(SUM(total_spend) AS DOUBLE) AS offer_spend
+FROM hotel WHERE total_spend >= 7500 GROUP BY member_id, member_name""",
     }
     return q
 

@@ -370,3 +370,23 @@ def q_redeem(i: Inputs) -> DataFrame:
     from perkflow.functions.time import ts_lit
     req = lo.select("member_id", "member_name", "offer_type", ts_lit(i.p.as_of).alias("requested_at"))
     return ledger.new_redemptions(req, i.ledger(summary=s))
+
+
+# --- SQL over views ------------------------------------------------------------
+
+SQL_OVER_VIEWS = """
+SELECT member_id, member_name, COUNT(*) AS offer_windows, SUM(total_spend) AS offer_spend
+FROM hotel_room_offers
+WHERE total_spend >= :min_spend
+GROUP BY member_id, member_name"""
+SQL_OVER_VIEWS_ARGS = {"min_spend": 7500}
+
+
+@query("sql_over_views")
+def q_sql_over_views(i: Inputs) -> DataFrame:
+    """Parameterized SQL text over the registered views."""
+    from perkflow.plans.catalog import register_views, run_sql
+    tx = i.tx()
+    register_views(i.spark, tx, i.summary(tx=tx))
+    out = run_sql(i.spark, SQL_OVER_VIEWS, SQL_OVER_VIEWS_ARGS)
+    return out.withColumn("offer_spend", F.col("offer_spend").cast("double"))
