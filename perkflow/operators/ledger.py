@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from perkflow import config
 from perkflow.functions.text import datetime_text, name_matches, offer_display, offer_type_of_label
 from perkflow.functions.time import date_lit
-from perkflow.operators.offers import latest_offers
+from perkflow.operators.offers import latest_offer_rows, latest_offers
 from perkflow.sources.schemas import LEDGER_COLUMNS, LEDGER_KEY, LEDGER_SCHEMA
 
 
@@ -120,14 +120,25 @@ def offer_redeemed_check(requests: DataFrame, ledger: DataFrame, day) -> DataFra
 
 
 def pending_offers(hotel: DataFrame, drink: DataFrame, ledger: DataFrame, today) -> DataFrame:
-    """Latest offer per member and type that was not redeemed ``today``.
+    """Latest offer per member and type that was not redeemed ``today``."""
+    return pending_from_latest(latest_offers(hotel, drink), ledger, today)
 
-    Written as a left-anti join (Catalyst does not turn LEFT JOIN + IS NULL into
-    one), newest window first, then the larger metric.
+
+def pending_from_rows(rows: DataFrame, ledger: DataFrame, today) -> DataFrame:
+    """F4 from single-pass offer rows (see offers.offer_rows)."""
+    return pending_from_latest(latest_offer_rows(rows), ledger, today)
+
+
+def pending_from_latest(latest: DataFrame, ledger: DataFrame, today) -> DataFrame:
+    """Latest offers minus today's redemptions, newest window first, then the larger metric.
+
+    Written as a left-anti join (Catalyst does not turn LEFT JOIN + IS NULL
+    into one). Today's redemptions are at most one row per member and type;
+    the planner broadcasts them only when their measured size is under the
+    broadcast threshold and sort-merges otherwise.
     """
-    lo = latest_offers(hotel, drink)
     done = redeemed_on(ledger, today)
-    return (lo.join(done, ["member_id", "offer_type"], "left_anti").select(*lo.columns)
+    return (latest.join(done, ["member_id", "offer_type"], "left_anti").select(*latest.columns)
             .orderBy(F.col("window_end").desc(), F.col("metric_value").desc(),
                      F.col("member_id"), F.col("offer_type")))
 

@@ -128,23 +128,60 @@ def latest_per_member(df: DataFrame, metric: str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
-def latest_offers(hotel: DataFrame, drink: DataFrame) -> DataFrame:
-    """Latest hotel and latest drink offer per member in one shape (E1 + E2 + G4)."""
-    h = latest_per_member(hotel, "total_spend").select(
-        "member_id", "member_name",
-        F.lit(config.HOTEL).alias("offer_type"),
-        F.lit(config.HOTEL_LABEL).alias("offer_display"),
-        F.col("total_spend").alias("metric_value"),
-        metric_label(config.SPEND_LABEL_PREFIX, "total_spend").alias("metric_label"),
-        "window_start", "window_end")
-    d = latest_per_member(drink, "loss_amount").select(
-        "member_id", "member_name",
-        F.lit(config.DRINK).alias("offer_type"),
-        F.lit(config.DRINK_LABEL).alias("offer_display"),
-        F.col("loss_amount").alias("metric_value"),
-        metric_label(config.LOSS_LABEL_PREFIX, "loss_amount").alias("metric_label"),
+def offer_rows(summary: DataFrame, hotel_threshold=config.DEFAULT_HOTEL_THRESHOLD,
+               drink_threshold=config.DEFAULT_DRINK_THRESHOLD) -> DataFrame:
+    """Both offer views in one pass: one row per (window, qualifying offer type).
+
+    Columns: member_id, member_name, offer_type, metric_value (spend for hotel,
+    loss for drink), window_start, window_end. Reading hotel and drink offers
+    as two filters of the same summary would make the planner prune each
+    branch differently and aggregate the source twice; a single projection
+    with an explode keeps one aggregate under every consumer.
+    """
+    h, d = hotel_predicate(hotel_threshold), drink_predicate(drink_threshold)
+    hotel_row = F.when(h, F.struct(F.lit(config.HOTEL).alias("offer_type"),
+                                   F.col("total_spend").alias("metric_value")))
+    drink_row = F.when(d, F.struct(F.lit(config.DRINK).alias("offer_type"),
+                                   F.abs(F.col("net_amount")).alias("metric_value")))
+    return (summary.where(h | d)
+            .select("member_id", "member_name", "window_start", "window_end",
+                    F.explode(F.array(hotel_row, drink_row)).alias("o"))
+            .where(F.col("o").isNotNull())
+            .select("member_id", "member_name", "o.offer_type", "o.metric_value",
+                    "window_start", "window_end"))
+
+
+def offer_rows_of(hotel: DataFrame, drink: DataFrame) -> DataFrame:
+    """Offer rows from the two offer views (when they are separate tables)."""
+    cols = ["member_id", "member_name", "offer_type", "metric_value", "window_start", "window_end"]
+    h = hotel.select(F.lit(config.HOTEL).alias("offer_type"), F.col("total_spend").alias("metric_value"), "*")
+    d = drink.select(F.lit(config.DRINK).alias("offer_type"), F.col("loss_amount").alias("metric_value"), "*")
+    return h.select(*cols).unionByName(d.select(*cols))
+
+
+def latest_offer_rows(rows: DataFrame) -> DataFrame:
+    """Latest, then largest, offer per member and offer type, in display shape.
+
+    ``row_number() == 1`` over (member_id, offer_type) runs as a partial
+    WindowGroupLimit before the shuffle and a final one after it, so each map
+    task forwards one row per member and type however many windows qualify.
+    """
+    w = Window.partitionBy("member_id", "offer_type").orderBy(
+        F.col("window_end").desc(), F.col("metric_value").desc(), F.col("member_name").desc())
+    latest = rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    is_hotel = F.col("offer_type") == config.HOTEL
+    return latest.select(
+        "member_id", "member_name", "offer_type",
+        F.when(is_hotel, F.lit(config.HOTEL_LABEL)).otherwise(F.lit(config.DRINK_LABEL)).alias("offer_display"),
+        "metric_value",
+        F.when(is_hotel, metric_label(config.SPEND_LABEL_PREFIX, "metric_value"))
+         .otherwise(metric_label(config.LOSS_LABEL_PREFIX, "metric_value")).alias("metric_label"),
         "window_start", "window_end")
-    return h.unionByName(d)
+
+
+def latest_offers(hotel: DataFrame, drink: DataFrame) -> DataFrame:
+    """Latest hotel and latest drink offer per member in one shape, from the two offer views."""
+    return latest_offer_rows(offer_rows_of(hotel, drink))
 
 
 def interval_qualifier_counts(summary: DataFrame, as_of, interval_seconds: int,

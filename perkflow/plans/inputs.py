@@ -14,10 +14,10 @@ from pyspark.sql import types as T
 
 from perkflow import config
 from perkflow.operators import ledger as ledger_ops
-from perkflow.operators.offers import drink_offers, hotel_room_offers
+from perkflow.operators.offers import drink_offers, hotel_room_offers, offer_rows
 from perkflow.operators.summary import member_window_summary
 from perkflow.sources.events_adapter import transactions_from_events
-from perkflow.sources.fixtures import simulated_requests
+from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.tables import read_table
 
 
@@ -54,10 +54,15 @@ class Inputs:
         s = self.summary(window) if summary is None else summary
         return drink_offers(s, config.DEFAULT_DRINK_THRESHOLD)
 
-    def ledger(self, window: str | None = None, summary: DataFrame | None = None) -> DataFrame:
-        """Ledger built from the simulated redemption desk (first request per key wins)."""
+    def offer_rows(self, window: str | None = None, summary: DataFrame | None = None) -> DataFrame:
         s = self.summary(window) if summary is None else summary
-        return ledger_ops.new_redemptions(simulated_requests(self.hotel(summary=s), self.drink(summary=s)), None)
+        return offer_rows(s, config.DEFAULT_HOTEL_THRESHOLD, config.DEFAULT_DRINK_THRESHOLD)
+
+    def ledger(self, window: str | None = None, summary: DataFrame | None = None,
+               rows: DataFrame | None = None) -> DataFrame:
+        """Ledger built from the simulated redemption desk (first request per key wins)."""
+        r = self.offer_rows(window, summary) if rows is None else rows
+        return ledger_ops.new_redemptions(simulated_requests_from_rows(r), None)
 
 
 MONEY_COLUMNS = ("amount", "total_spend", "total_winnings", "net_amount", "loss_amount",

@@ -19,7 +19,7 @@ from perkflow.operators.summary import (member_window_summary, restrict_before,
                                         restrict_window_end_after, rollup_windows)
 from perkflow.plans.inputs import Inputs, Params, money_as_double
 from perkflow.sources.wire import decode_transactions, encode_transactions, valid_rows
-from perkflow.functions.time import instant_to_ntz, time_filter_lower_bound
+from perkflow.functions.time import instant_to_ntz, time_filter_lower_bound, ts_lit
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -311,21 +311,20 @@ def q_latest_drink(i: Inputs) -> DataFrame:
 @query("latest_offers")
 def q_latest_offers(i: Inputs) -> DataFrame:
     """Latest hotel UNION ALL latest drink offer per member."""
-    s = i.summary()
-    return offers.latest_offers(i.hotel(summary=s), i.drink(summary=s))
+    return offers.latest_offer_rows(i.offer_rows())
 
 
 @query("pending_offers")
 def q_pending(i: Inputs) -> DataFrame:
     """Latest offer per member and type not redeemed today (F4, C2) - flagship."""
-    s = i.summary()
-    return ledger.pending_offers(i.hotel(summary=s), i.drink(summary=s), i.ledger(summary=s), i.p.today)
+    rows = i.offer_rows()
+    return ledger.pending_from_rows(rows, i.ledger(rows=rows), i.p.today)
 
 
 @query("pending_offers_1d")
 def q_pending_1d(i: Inputs) -> DataFrame:
-    s = i.summary("1 day")
-    return ledger.pending_offers(i.hotel(summary=s), i.drink(summary=s), i.ledger(summary=s), i.p.today)
+    rows = i.offer_rows("1 day")
+    return ledger.pending_from_rows(rows, i.ledger(rows=rows), i.p.today)
 
 
 @query("pending_counts")
@@ -354,9 +353,9 @@ def q_fulfilled_report(i: Inputs) -> DataFrame:
 @query("offer_redeemed_check")
 def q_redeemed_check(i: Inputs) -> DataFrame:
     """For every latest offer: has that member redeemed that type today?."""
-    s = i.summary()
-    req = offers.latest_offers(i.hotel(summary=s), i.drink(summary=s)).select("member_id", "offer_type")
-    return ledger.offer_redeemed_check(req, i.ledger(summary=s), i.p.today)
+    rows = i.offer_rows()
+    req = offers.latest_offer_rows(rows).select("member_id", "offer_type")
+    return ledger.offer_redeemed_check(req, i.ledger(rows=rows), i.p.today)
 
 
 @query("redeem_offers")
@@ -365,11 +364,10 @@ def q_redeem(i: Inputs) -> DataFrame:
 
     Requests already in the ledger for that day are removed by the anti-join.
     """
-    s = i.summary()
-    lo = offers.latest_offers(i.hotel(summary=s), i.drink(summary=s))
-    from perkflow.functions.time import ts_lit
-    req = lo.select("member_id", "member_name", "offer_type", ts_lit(i.p.as_of).alias("requested_at"))
-    return ledger.new_redemptions(req, i.ledger(summary=s))
+    rows = i.offer_rows()
+    req = offers.latest_offer_rows(rows).select("member_id", "member_name", "offer_type",
+                                                ts_lit(i.p.as_of).alias("requested_at"))
+    return ledger.new_redemptions(req, i.ledger(rows=rows))
 
 
 # --- SQL over views ------------------------------------------------------------

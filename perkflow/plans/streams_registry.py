@@ -19,7 +19,7 @@ from perkflow.plans.inputs import Inputs, Params, money_as_double
 from perkflow.plans.oracle import ORACLE_SQL, std, summary_cte, tx_cte, with_, SUMMARY_OUT
 from perkflow.plans.registry import REGISTRY
 from perkflow.session import scratch_path
-from perkflow.sources.fixtures import simulated_requests
+from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
 from perkflow.streaming.ledger_stream import start_redemption_stream
@@ -78,8 +78,7 @@ def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """
     root = _run_dir(spark, "redeem")
     i = Inputs(spark, data_dir, P)
-    s = i.summary()
-    req = simulated_requests(i.hotel(summary=s), i.drink(summary=s))
+    req = simulated_requests_from_rows(i.offer_rows())
     from perkflow.functions.time import ts_lit
     early = req.where(F.col("requested_at") < ts_lit(P.as_of))
     late = req.where(F.col("requested_at") >= ts_lit(P.as_of)).unionByName(early)

@@ -34,3 +34,13 @@ def simulated_requests(hotel: DataFrame, drink: DataFrame) -> DataFrame:
         "member_id", "member_name", F.lit(config.DRINK).alias("offer_type"),
         F.col("window_end").alias("requested_at"))
     return h.unionByName(d)
+
+
+def simulated_requests_from_rows(rows: DataFrame) -> DataFrame:
+    """Same rule over single-pass offer rows (offers.offer_rows)."""
+    m = F.col("member_id") % ACCEPT_MODULUS
+    t = F.col("offer_type")
+    accepts = ((t == config.HOTEL) & (m == HOTEL_ACCEPT_REMAINDER)) | \
+              ((t == config.DRINK) & (m == DRINK_ACCEPT_REMAINDER))
+    return rows.where(accepts).select("member_id", "member_name", "offer_type",
+                                      F.col("window_end").alias("requested_at"))
