@@ -32,6 +32,11 @@ def overall_stats(summary: DataFrame, time_predicate: Column | None = None) -> D
     )
 
 
+def overall_stats_display(stats: DataFrame) -> DataFrame:
+    """Empty-table aggregates (NULL) shown as 0, as the dashboard does."""
+    return stats.select(*[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in stats.columns])
+
+
 def reward_eligibility_counts(summary: DataFrame,
                               hotel_threshold=config.DEFAULT_HOTEL_THRESHOLD,
                               drink_threshold=config.DEFAULT_DRINK_THRESHOLD,
@@ -156,6 +161,6 @@ def member_leaderboard(summary: DataFrame, buckets: int | None = None) -> DataFr
 
 
 def approx_member_count(summary: DataFrame, rsd: float = 0.05) -> DataFrame:
-    """Approximate distinct members per window (D13); works on streams as well."""
+    """Approximate distinct members per window (D13) over the summary."""
     return summary.groupBy("window_start", "window_end").agg(
         F.approx_count_distinct("member_id", rsd).alias("approx_members"))

@@ -48,6 +48,20 @@ def summary_stream(tx: DataFrame, window: str = config.DEFAULT_WINDOW,
     return member_window_summary(with_event_time(tx, delay), window)
 
 
+def approx_members_stream(tx: DataFrame, window: str = config.DEFAULT_WINDOW,
+                          delay: str = config.WATERMARK_DELAY, rsd: float = 0.05) -> DataFrame:
+    """Streaming form of the distinct-member count per window.
+
+    Exact COUNT(DISTINCT) is not supported on streams; the HyperLogLog++ sketch
+    keeps a fixed-size state per window instead of every member id.
+    """
+    t = with_event_time(tx, delay)
+    agg = t.groupBy(F.window(TIME_COL, window).alias("w")).agg(
+        F.approx_count_distinct("member_id", rsd).alias("approx_members"))
+    return agg.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
+                      "approx_members")
+
+
 def events_transaction_stream(spark: SparkSession, data_dir: str,
                               max_files_per_trigger: int | None = None) -> DataFrame:
     """The data folder's events table as a stream of transactions."""

@@ -176,3 +176,18 @@ def test_to_wall_time_roundtrip(spark):
     from perkflow.functions.time import ntz_to_instant
     back = to_wall_time(df.withColumn("window_start", ntz_to_instant(F.col("window_start"))))
     assert str(back.collect()[0].window_start) == "2024-01-16 00:00:00"
+
+
+def test_approx_members_stream(spark, tmp_dir):
+    from perkflow.streaming.summary_stream import approx_members_stream
+    tx = _truncated_tx(spark)
+    write_ndjson(tx.coalesce(1), f"{tmp_dir}/in/part-0")
+    stream = approx_members_stream(stream_json_transactions(spark, f"{tmp_dir}/in/*", 1, False))
+    q = (stream.writeStream.outputMode("append").format("memory").queryName("approx_members_t")
+         .option("checkpointLocation", f"{tmp_dir}/ckpt").trigger(availableNow=True).start())
+    run_to_completion(q)
+    got = spark.table("approx_members_t")
+    exact = member_window_summary(tx).groupBy("window_start").agg(F.countDistinct("member_id").alias("n"))
+    assert got.count() == exact.count() - 1   # the last window is still open
+    j = to_wall_time(got).join(exact, "window_start")
+    assert j.where(F.col("approx_members") != F.col("n")).count() <= j.count() * 0.05
