@@ -26,8 +26,11 @@ def redemption_rows(requests: DataFrame) -> DataFrame:
 
     ``redeemed_at`` is truncated to whole seconds and the date derived from it.
     Rows with a NULL in any ledger column are dropped (the ledger is NOT NULL).
+    The truncation stays on the naive wall time (no detour through the session
+    time zone, whose DST gaps could shift it).
     """
-    at = F.date_trunc("second", F.col("requested_at")).cast("timestamp_ntz")
+    r = F.col("requested_at").cast("timestamp_ntz")
+    at = F.make_timestamp_ntz(F.year(r), F.month(r), F.dayofmonth(r), F.hour(r), F.minute(r), F.second(r))
     rows = requests.select(
         F.col("member_id").cast("long").alias("member_id"),
         F.col("member_name").cast("string").alias("member_name"),
