@@ -22,7 +22,7 @@ from perkflow.session import scratch_path
 from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
-from perkflow.streaming.ledger_stream import start_redemption_stream
+from perkflow.streaming.ledger_stream import read_flagged_offers, start_flagged_offers, start_redemption_stream
 from perkflow.streaming.summary_stream import (events_transaction_stream, run_to_completion,
                                                start_summary_changelog, start_summary_on_close,
                                                summary_stream)
@@ -93,11 +93,30 @@ def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     return ledger_ops.read_ledger(spark, f"{root}/ledger").select(*LEDGER_COLUMNS)
 
 
+def hotel_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Hotel windows flagged continuously with today's redemptions.
+
+    The fixture ledger is written first (single writer); the summary stream
+    then re-reads it in every micro-batch.
+    """
+    root = _run_dir(spark, "flagged")
+    i = Inputs(spark, data_dir, P)
+    ledger_ops.append_redemptions(spark, simulated_requests_from_rows(i.offer_rows()), f"{root}/ledger")
+    import datetime as dt
+    today = dt.date.fromisoformat(P.today)
+    q = start_flagged_offers(summary_stream(events_transaction_stream(spark, data_dir), P.window),
+                             f"{root}/ledger", f"{root}/flagged", f"{root}/checkpoint",
+                             kind=config.HOTEL, today=lambda: today)
+    run_to_completion(q)
+    return money_as_double(read_flagged_offers(spark, f"{root}/flagged"))
+
+
 REGISTRY["member_summary_stream"] = member_summary_stream
 REGISTRY["hotel_offers_stream"] = hotel_offers_stream
 REGISTRY["drink_offers_stream"] = drink_offers_stream
 REGISTRY["summary_window_close"] = summary_window_close
 REGISTRY["redemption_stream"] = redemption_stream
+REGISTRY["hotel_flagged_stream"] = hotel_flagged_stream
 
 STREAM_ORACLE["member_summary_stream"] = ORACLE_SQL["member_window_summary"]
 STREAM_ORACLE["hotel_offers_stream"] = ORACLE_SQL["hotel_room_offers"]
@@ -106,3 +125,10 @@ STREAM_ORACLE["summary_window_close"] = with_(tx_cte(), summary_cte(P.window)) +
 SELECT {SUMMARY_OUT} FROM summary
 WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""
 STREAM_ORACLE["redemption_stream"] = std() + "SELECT * FROM ledger"
+STREAM_ORACLE["hotel_flagged_stream"] = std() + f"""
+, today_offers AS (SELECT DISTINCT member_id FROM ledger
+                   WHERE offer_type = 'hotel' AND redemption_date = DATE '{P.today}')
+SELECT {', '.join('s.' + c if ' AS ' not in c else c.replace('CAST(', 'CAST(s.') for c in SUMMARY_OUT.split(', '))},
+       t.member_id IS NOT NULL AS already_redeemed
+FROM summary s LEFT JOIN today_offers t ON s.member_id = t.member_id
+WHERE s.total_spend >= {config.DEFAULT_HOTEL_THRESHOLD}"""

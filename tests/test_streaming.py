@@ -166,7 +166,8 @@ def test_ledger_stream_and_flagged_offers(spark, tmp_dir):
                              f"{tmp_dir}/ledger", f"{tmp_dir}/flagged", f"{tmp_dir}/ckpt2",
                              today=lambda: dt.date(2024, 1, 1))
     run_to_completion(q)
-    flags = {r.member_id: r.already_redeemed for r in spark.read.parquet(f"{tmp_dir}/flagged").collect()}
+    from perkflow.streaming.ledger_stream import read_flagged_offers
+    flags = {r.member_id: r.already_redeemed for r in read_flagged_offers(spark, f"{tmp_dir}/flagged").collect()}
     assert flags == {1: True, 3: False}
 
 
