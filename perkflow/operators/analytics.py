@@ -19,14 +19,15 @@ def overall_stats(summary: DataFrame, time_predicate: Column | None = None) -> D
     """Distinct members, revenue, transactions, average spend, winning/losing rows.
 
     Averages and winning/losing counts are over (member, window) rows, as the
-    dashboard computes them. The average is taken in double.
+    dashboard computes them. The average is the exact decimal sum divided by
+    the count in double, so it does not depend on summation order.
     """
     net = F.col("net_amount")
     return _where(summary, time_predicate).agg(
         F.countDistinct("member_id").alias("total_members"),
         F.sum("total_spend").alias("total_revenue"),
         F.sum("transaction_count").alias("total_transactions"),
-        F.avg(F.col("total_spend").cast("double")).alias("avg_spend_per_member"),
+        (F.sum("total_spend").cast("double") / F.count("total_spend")).alias("avg_spend_per_member"),
         F.sum(F.when(net >= 0, 1).otherwise(0)).cast("long").alias("winning_members"),
         F.sum(F.when(net < 0, 1).otherwise(0)).cast("long").alias("losing_members"),
     )
@@ -80,7 +81,7 @@ def win_loss_distribution(summary: DataFrame, time_predicate: Column | None = No
     names = config.DISTRIBUTION_STATUS_NAMES
 
     def pct(x: Column) -> Column:
-        return F.when(total > 0, x * 100.0 / total)
+        return F.when(total > 0, x.cast("double") * 100.0 / total.cast("double"))
 
     return stats.select(F.inline(F.array(
         F.struct(F.lit(names[0]).alias("status"), w.alias("status_count"), pct(w).alias("percent")),

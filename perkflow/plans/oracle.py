@@ -202,7 +202,7 @@ def _stats(where: str = "TRUE") -> str:
 SELECT COUNT(DISTINCT member_id) AS total_members,
        CAST(SUM(total_spend) AS DOUBLE) AS total_revenue,
        CAST(SUM(transaction_count) AS BIGINT) AS total_transactions,
-       AVG(CAST(total_spend AS DOUBLE)) AS avg_spend_per_member,
+       CAST(SUM(total_spend) AS DOUBLE) / COUNT(total_spend) AS avg_spend_per_member,
        CAST(SUM(CASE WHEN net_amount >= 0 THEN 1 ELSE 0 END) AS BIGINT) AS winning_members,
        CAST(SUM(CASE WHEN net_amount < 0 THEN 1 ELSE 0 END) AS BIGINT) AS losing_members
 FROM summary WHERE {where}"""
@@ -345,9 +345,10 @@ UNION ALL SELECT 'No Reward', COALESCE(total, 0) - COALESCE(hotel_eligible, 0) -
         "win_loss_distribution": with_(tx_cte(), summary_cte(P.window)) + f"""
 , s AS ({_stats()}),
 t AS (SELECT COALESCE(winning_members, 0) AS w, COALESCE(losing_members, 0) AS l FROM s)
-SELECT 'Winners' AS status, w AS status_count, CASE WHEN w + l > 0 THEN w * 100.0 / (w + l) END AS percent FROM t
+SELECT 'Winners' AS status, w AS status_count,
+       CASE WHEN w + l > 0 THEN CAST(w AS DOUBLE) * 100.0 / CAST(w + l AS DOUBLE) END AS percent FROM t
 UNION ALL
-SELECT 'Losers', l, CASE WHEN w + l > 0 THEN l * 100.0 / (w + l) END FROM t""",
+SELECT 'Losers', l, CASE WHEN w + l > 0 THEN CAST(l AS DOUBLE) * 100.0 / CAST(w + l AS DOUBLE) END FROM t""",
         "game_stats": with_(tx_cte()) + GAME_STATS,
         "win_rate": with_(tx_cte()) + _win_rate(False),
         "win_rate_by_game": with_(tx_cte()) + _win_rate(True),
