@@ -26,7 +26,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from perkflow import config
 from perkflow.functions.time import instant_to_ntz, ntz_to_instant
-from perkflow.operators.summary import member_window_summary
+from perkflow.operators.summary import member_window_summary, net_expr, spend_expr, winnings_expr
 from perkflow.sources.events_adapter import transactions_from_events
 from perkflow.sources.files import stream_parquet_table
 
@@ -48,6 +48,34 @@ def summary_stream(tx: DataFrame, window: str = config.DEFAULT_WINDOW,
     return member_window_summary(with_event_time(tx, delay), window)
 
 
+def rollup_stream(tx: DataFrame, fine: str = config.DEFAULT_WINDOW, coarse: str = "1 day",
+                  delay: str = config.WATERMARK_DELAY) -> DataFrame:
+    """Chained time-window aggregation: fine windows rolled into coarse ones.
+
+    Two stateful aggregates in one append-mode query: the fine windows close
+    as the watermark passes them, and their ``window_time`` feeds the coarse
+    windows, so no state holds raw transactions for a whole day.
+    """
+    t = with_event_time(tx, delay)
+    typ, amount = F.col("transaction_type"), F.col("amount")
+    fine_agg = t.groupBy("member_id", "member_name", F.window(TIME_COL, fine).alias("w")).agg(
+        F.sum(spend_expr(typ, amount)).alias("total_spend"),
+        F.sum(winnings_expr(typ, amount)).alias("total_winnings"),
+        F.sum(net_expr(typ, amount)).alias("net_amount"),
+        F.count(F.lit(1)).alias("transaction_count"),
+        F.max(TIME_COL).alias("last_transaction"))
+    coarse_agg = fine_agg.groupBy("member_id", "member_name",
+                                  F.window(F.window_time("w"), coarse).alias("w")).agg(
+        F.sum("total_spend").alias("total_spend"),
+        F.sum("total_winnings").alias("total_winnings"),
+        F.sum("net_amount").alias("net_amount"),
+        F.sum("transaction_count").alias("transaction_count"),
+        F.max("last_transaction").alias("last_transaction"))
+    return coarse_agg.select("member_id", "member_name", F.col("w.start").alias("window_start"),
+                             F.col("w.end").alias("window_end"), "total_spend", "total_winnings",
+                             "net_amount", "transaction_count", "last_transaction")
+
+
 def approx_members_stream(tx: DataFrame, window: str = config.DEFAULT_WINDOW,
                           delay: str = config.WATERMARK_DELAY, rsd: float = 0.05) -> DataFrame:
     """Streaming form of the distinct-member count per window.

@@ -192,3 +192,19 @@ def test_approx_members_stream(spark, tmp_dir):
     assert got.count() == exact.count() - 1   # the last window is still open
     j = to_wall_time(got).join(exact, "window_start")
     assert j.where(F.col("approx_members") != F.col("n")).count() <= j.count() * 0.05
+
+
+def test_chained_rollup_stream_equals_batch_days(spark, tmp_dir):
+    from perkflow.streaming.summary_stream import rollup_stream
+    tx = _truncated_tx(spark)
+    _write_parts(tx, f"{tmp_dir}/in", ["2024-01-10", "2024-01-20"])
+    stream = rollup_stream(stream_json_transactions(spark, f"{tmp_dir}/in/*", 1, False), "5 minutes", "1 day")
+    q = start_summary_on_close(stream, f"{tmp_dir}/days", f"{tmp_dir}/ckpt")
+    run_to_completion(q)
+    got = spark.read.option("basePath", f"{tmp_dir}/days").parquet(f"{tmp_dir}/days")
+    want = member_window_summary(tx, "1 day")
+    max_t = tx.agg(F.max("transaction_time")).collect()[0][0]
+    import datetime as dt
+    closed = want.where(F.col("window_end") <= F.lit(max_t - dt.timedelta(seconds=10)))
+    assert got.count() > 0
+    assert _rows(got) == _rows(closed)
