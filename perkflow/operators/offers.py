@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from perkflow import config
 from perkflow.functions.text import metric_label
+from perkflow.session import materialize
 from perkflow.functions.time import (date_lit, interval_bounds, interval_label, window_before,
                                      window_in_interval)
 
@@ -94,13 +95,17 @@ def offer_history(summary: DataFrame, kind: str, threshold, before,
     return summary.where(cond).select(*_offer_columns(kind)).orderBy(F.col("window_start").desc())
 
 
-def last_windows(history: DataFrame, k: int = 3) -> DataFrame:
+def last_windows(history: DataFrame, k: int = 3, materialize_input: bool = False) -> DataFrame:
     """Rows of the ``k`` most recent distinct windows, with a display label.
 
     The k newest windows come from a top-k over the distinct windows (a small
     partial aggregate and TakeOrderedAndProject); the result has at most k rows,
-    so broadcasting it into the semi-join is size-safe.
+    so broadcasting it into the semi-join is size-safe. ``history`` is read by
+    both sides; when it is computed from raw transactions rather than read
+    from the summary table, ``materialize_input`` computes it once.
     """
+    if materialize_input:
+        history = materialize(history)
     newest = (history.select("window_start", "window_end").distinct()
               .orderBy(F.col("window_start").desc(), F.col("window_end").desc()).limit(k))
     kept = history.join(F.broadcast(newest), ["window_start", "window_end"], "left_semi")
@@ -108,9 +113,9 @@ def last_windows(history: DataFrame, k: int = 3) -> DataFrame:
             .orderBy(F.col("window_start").desc(), F.col("member_id")))
 
 
-def history_window_counts(history: DataFrame, k: int = 3) -> DataFrame:
+def history_window_counts(history: DataFrame, k: int = 3, materialize_input: bool = False) -> DataFrame:
     """Qualifying rows per window for the ``k`` newest windows."""
-    return (last_windows(history, k)
+    return (last_windows(history, k, materialize_input)
             .groupBy("window_start", "window_end", "interval_label")
             .agg(F.count(F.lit(1)).alias("qualifying_members"))
             .orderBy(F.col("window_start").desc()))

@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from perkflow.session import materialize
+
 MAX_BUCKETS = 256
 
 
@@ -65,7 +67,15 @@ def rank_table(df: DataFrame, order_col: str, descending: bool = True,
 
 
 def with_global_rank(df: DataFrame, order_col: str, descending: bool = True,
-                     rank_col: str = "rank", buckets: int | None = None) -> DataFrame:
-    """``df`` plus ``rank_col`` = rank() over the whole frame by ``order_col``."""
+                     rank_col: str = "rank", buckets: int | None = None,
+                     materialize_input: bool = True) -> DataFrame:
+    """``df`` plus ``rank_col`` = rank() over the whole frame by ``order_col``.
+
+    The input feeds the quantile job, the histogram and the final join; with
+    ``materialize_input`` it is computed once and checkpointed instead of
+    being recomputed by each of them.
+    """
+    if materialize_input:
+        df = materialize(df)
     ranks = rank_table(df, order_col, descending, buckets, rank_col).withColumnRenamed(order_col, "_rv")
     return (df.join(ranks, df[order_col].eqNullSafe(ranks["_rv"]), "inner").drop("_rv"))

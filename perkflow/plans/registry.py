@@ -169,23 +169,25 @@ def q_drink_history(i: Inputs) -> DataFrame:
 @query("hotel_last_windows")
 def q_hotel_last_windows(i: Inputs) -> DataFrame:
     """Rows of the 3 newest historical hotel windows."""
-    return offers.last_windows(_history(i, config.HOTEL), i.p.history_windows)
+    return offers.last_windows(_history(i, config.HOTEL), i.p.history_windows, materialize_input=True)
 
 
 @query("drink_last_windows")
 def q_drink_last_windows(i: Inputs) -> DataFrame:
-    return offers.last_windows(_history(i, config.DRINK), i.p.history_windows)
+    return offers.last_windows(_history(i, config.DRINK), i.p.history_windows, materialize_input=True)
 
 
 @query("hotel_history_window_counts")
 def q_hotel_history_counts(i: Inputs) -> DataFrame:
     """Qualifying members per newest historical window."""
-    return offers.history_window_counts(_history(i, config.HOTEL), i.p.history_windows)
+    return offers.history_window_counts(_history(i, config.HOTEL), i.p.history_windows,
+                                         materialize_input=True)
 
 
 @query("drink_history_window_counts")
 def q_drink_history_counts(i: Inputs) -> DataFrame:
-    return offers.history_window_counts(_history(i, config.DRINK), i.p.history_windows)
+    return offers.history_window_counts(_history(i, config.DRINK), i.p.history_windows,
+                                         materialize_input=True)
 
 
 # --- analytics ---------------------------------------------------------------
@@ -317,13 +319,13 @@ def q_latest_offers(i: Inputs) -> DataFrame:
 @query("pending_offers")
 def q_pending(i: Inputs) -> DataFrame:
     """Latest offer per member and type not redeemed today (F4, C2) - flagship."""
-    rows = i.offer_rows()
+    rows = i.offer_rows(shared=True)
     return ledger.pending_from_rows(rows, i.ledger(rows=rows), i.p.today)
 
 
 @query("pending_offers_1d")
 def q_pending_1d(i: Inputs) -> DataFrame:
-    rows = i.offer_rows("1 day")
+    rows = i.offer_rows("1 day", shared=True)
     return ledger.pending_from_rows(rows, i.ledger(rows=rows), i.p.today)
 
 
@@ -353,7 +355,7 @@ def q_fulfilled_report(i: Inputs) -> DataFrame:
 @query("offer_redeemed_check")
 def q_redeemed_check(i: Inputs) -> DataFrame:
     """For every latest offer: has that member redeemed that type today?."""
-    rows = i.offer_rows()
+    rows = i.offer_rows(shared=True)
     req = offers.latest_offer_rows(rows).select("member_id", "offer_type")
     return ledger.offer_redeemed_check(req, i.ledger(rows=rows), i.p.today)
 
@@ -364,7 +366,7 @@ def q_redeem(i: Inputs) -> DataFrame:
 
     Requests already in the ledger for that day are removed by the anti-join.
     """
-    rows = i.offer_rows()
+    rows = i.offer_rows(shared=True)
     req = offers.latest_offer_rows(rows).select("member_id", "member_name", "offer_type",
                                                 ts_lit(i.p.as_of).alias("requested_at"))
     return ledger.new_redemptions(req, i.ledger(rows=rows))

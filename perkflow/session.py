@@ -27,6 +27,8 @@ DEFAULT_CONF = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # checkpoint only the state changes of each batch, not full snapshots
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # delete reliable-checkpoint files once nothing references them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
 }
 
@@ -76,3 +78,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path under the shared checkpoint folder."""
     return os.path.join(checkpoint_root(spark), *parts)
+
+
+def materialize(df):
+    """Write ``df`` once to the shared checkpoint folder and read it back.
+
+    For an intermediate that several branches of one plan consume (Catalyst
+    prunes each branch differently, so they would not share an exchange and
+    would each recompute it from the source). A reliable checkpoint - not a
+    local one - survives the loss of the executors that computed it.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
