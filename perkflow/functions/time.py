@@ -46,7 +46,7 @@ def to_date(value: str | dt.datetime | dt.date) -> dt.date:
         return value.date()
     if isinstance(value, dt.date):
         return value
-    return dt.date.fromisoformat(value)
+    return dt.datetime.fromisoformat(value).date()
 
 
 def ts_lit(value: str | dt.datetime) -> Column:

@@ -6,6 +6,7 @@ so a query plan built from them scans only the columns and rows it uses.
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,8 @@ from pyspark.sql import types as T
 from perkflow import config
 from perkflow.operators import ledger as ledger_ops
 from perkflow.operators.offers import drink_offers, hotel_room_offers, offer_rows
-from perkflow.operators.summary import member_window_summary
+from perkflow.functions.time import date_lit, duration_seconds, to_date, to_datetime
+from perkflow.operators.summary import member_window_summary, restrict_to_interval
 from perkflow.sources.events_adapter import transactions_from_events
 from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.tables import read_table
@@ -74,6 +76,23 @@ class Inputs:
         return ledger_ops.new_redemptions(simulated_requests_from_rows(r), None)
 
 
+    def ledger_on(self, day, window: str | None = None) -> DataFrame:
+        """The ledger's rows for one ``redemption_date``, read from that day's source rows only.
+
+        A stored ledger is partitioned by date and a date predicate prunes it
+        to one partition. The simulated desk requests at ``window_end``, so the
+        rows dated ``day`` come from windows ending on that day, whose
+        transactions all lie in [day - window, day + 1 day): that range is
+        pushed to the source scan instead of aggregating every day.
+        """
+        w = window or self.p.window
+        d0 = to_datetime(to_date(day))
+        tx = restrict_to_interval(self.tx(), d0 - dt.timedelta(seconds=duration_seconds(w)),
+                                  d0 + dt.timedelta(days=1))
+        led = self.ledger(w, summary=self.summary(w, tx=tx))
+        return led.where(F.col("redemption_date") == date_lit(day))
+
+
 MONEY_COLUMNS = ("amount", "total_spend", "total_winnings", "net_amount", "loss_amount",
                  "metric_value", "total_revenue", "total_bet", "total_won")
 

@@ -19,7 +19,7 @@ from perkflow.operators.summary import (member_window_summary, restrict_before,
                                         restrict_window_end_after, rollup_windows)
 from perkflow.plans.inputs import Inputs, Params, money_as_double
 from perkflow.sources.wire import decode_transactions, encode_transactions, valid_rows
-from perkflow.functions.time import instant_to_ntz, time_filter_lower_bound, ts_lit
+from perkflow.functions.time import instant_to_ntz, time_filter_lower_bound, to_date, ts_lit
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, QueryFn] = {}
@@ -114,7 +114,7 @@ def _interval(i: Inputs, kind: str, which: str) -> DataFrame:
     thr = i.p.hotel_threshold if kind == config.HOTEL else i.p.drink_threshold
     # the summary is only needed for windows inside [start, end]
     s = member_window_summary(restrict_to_interval(i.tx(), start, end), i.p.window)
-    return offers.interval_offers(s, i.ledger(), kind, thr, start, end, i.p.today)
+    return offers.interval_offers(s, i.ledger_on(i.p.today), kind, thr, start, end, i.p.today)
 
 
 @query("hotel_current")
@@ -296,7 +296,7 @@ def q_ledger(i: Inputs) -> DataFrame:
 @query("redeemed_today")
 def q_redeemed_today(i: Inputs) -> DataFrame:
     """DISTINCT (member_id, offer_type) redeemed today."""
-    return ledger.redeemed_on(i.ledger(), i.p.today)
+    return ledger.redeemed_on(i.ledger_on(i.p.today), i.p.today)
 
 
 @query("latest_hotel_offer")
@@ -319,14 +319,12 @@ def q_latest_offers(i: Inputs) -> DataFrame:
 @query("pending_offers")
 def q_pending(i: Inputs) -> DataFrame:
     """Latest offer per member and type not redeemed today (F4, C2) - flagship."""
-    rows = i.offer_rows(shared=True)
-    return ledger.pending_from_rows(rows, i.ledger(rows=rows), i.p.today)
+    return ledger.pending_from_rows(i.offer_rows(), i.ledger_on(i.p.today), i.p.today)
 
 
 @query("pending_offers_1d")
 def q_pending_1d(i: Inputs) -> DataFrame:
-    rows = i.offer_rows("1 day", shared=True)
-    return ledger.pending_from_rows(rows, i.ledger(rows=rows), i.p.today)
+    return ledger.pending_from_rows(i.offer_rows("1 day"), i.ledger_on(i.p.today, "1 day"), i.p.today)
 
 
 @query("pending_counts")
@@ -355,9 +353,8 @@ def q_fulfilled_report(i: Inputs) -> DataFrame:
 @query("offer_redeemed_check")
 def q_redeemed_check(i: Inputs) -> DataFrame:
     """For every latest offer: has that member redeemed that type today?."""
-    rows = i.offer_rows(shared=True)
-    req = offers.latest_offer_rows(rows).select("member_id", "offer_type")
-    return ledger.offer_redeemed_check(req, i.ledger(rows=rows), i.p.today)
+    req = offers.latest_offer_rows(i.offer_rows()).select("member_id", "offer_type")
+    return ledger.offer_redeemed_check(req, i.ledger_on(i.p.today), i.p.today)
 
 
 @query("redeem_offers")
@@ -366,10 +363,10 @@ def q_redeem(i: Inputs) -> DataFrame:
 
     Requests already in the ledger for that day are removed by the anti-join.
     """
-    rows = i.offer_rows(shared=True)
-    req = offers.latest_offer_rows(rows).select("member_id", "member_name", "offer_type",
-                                                ts_lit(i.p.as_of).alias("requested_at"))
-    return ledger.new_redemptions(req, i.ledger(rows=rows))
+    req = offers.latest_offer_rows(i.offer_rows()).select("member_id", "member_name", "offer_type",
+                                                          ts_lit(i.p.as_of).alias("requested_at"))
+    # every request is dated as_of, so only that day's ledger rows can collide
+    return ledger.new_redemptions(req, i.ledger_on(to_date(i.p.as_of)))
 
 
 # --- SQL over views ------------------------------------------------------------

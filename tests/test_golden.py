@@ -70,3 +70,13 @@ def test_invariants(spark):
     pend = ledger.pending_offers(i.hotel(), i.drink(), led, "2024-01-16")
     today = ledger.redeemed_on(led, "2024-01-16")
     assert pend.join(today, ["member_id", "offer_type"]).count() == 0
+
+
+@pytest.mark.parametrize("window", ["5 minutes", "1 hour", "1 day"])
+def test_day_restricted_ledger_is_exact(spark, window):
+    i = Inputs(spark, SF_SMALL)
+    full = i.ledger(window)
+    for day in ["2024-01-01", "2024-01-16", "2024-01-30", "2024-01-31"]:
+        want = full.where(F.col("redemption_date") == F.lit(day).cast("date"))
+        got = i.ledger_on(day, window)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
