@@ -23,7 +23,7 @@ from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
 from perkflow.streaming.ledger_stream import read_flagged_offers, start_flagged_offers, start_redemption_stream
-from perkflow.streaming.summary_stream import (events_transaction_stream, run_to_completion,
+from perkflow.streaming.summary_stream import (events_transaction_stream, rollup_stream, run_to_completion,
                                                start_summary_changelog, start_summary_on_close,
                                                summary_stream)
 
@@ -68,6 +68,19 @@ def summary_window_close(spark: SparkSession, data_dir: str) -> DataFrame:
     return money_as_double(closed.select(*SUMMARY_COLUMNS))
 
 
+def daily_rollup_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """5-minute windows rolled into days inside one append-mode stream.
+
+    Days closed by the final watermark come out once each.
+    """
+    root = _run_dir(spark, "rollup")
+    q = start_summary_on_close(rollup_stream(events_transaction_stream(spark, data_dir), P.window, "1 day"),
+                               f"{root}/days", f"{root}/checkpoint")
+    run_to_completion(q)
+    days = spark.read.option("basePath", f"{root}/days").parquet(f"{root}/days")
+    return money_as_double(days.select(*SUMMARY_COLUMNS))
+
+
 def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """Ledger built by the streaming single writer.
 
@@ -117,6 +130,7 @@ REGISTRY["drink_offers_stream"] = drink_offers_stream
 REGISTRY["summary_window_close"] = summary_window_close
 REGISTRY["redemption_stream"] = redemption_stream
 REGISTRY["hotel_flagged_stream"] = hotel_flagged_stream
+REGISTRY["daily_rollup_stream"] = daily_rollup_stream
 
 STREAM_ORACLE["member_summary_stream"] = ORACLE_SQL["member_window_summary"]
 STREAM_ORACLE["hotel_offers_stream"] = ORACLE_SQL["hotel_room_offers"]
@@ -132,3 +146,6 @@ SELECT {', '.join('s.' + c if ' AS ' not in c else c.replace('CAST(', 'CAST(s.')
        t.member_id IS NOT NULL AS already_redeemed
 FROM summary s LEFT JOIN today_offers t ON s.member_id = t.member_id
 WHERE s.total_spend >= {config.DEFAULT_HOTEL_THRESHOLD}"""
+STREAM_ORACLE["daily_rollup_stream"] = with_(tx_cte(), summary_cte("1 day")) + f"""
+SELECT {SUMMARY_OUT} FROM summary
+WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""
