@@ -37,7 +37,14 @@ def kafka_transactions_stream(spark: SparkSession, bootstrap_servers: str,
                               keep_corrupt: bool = True) -> DataFrame:
     """readStream from the topic, decoded to typed transaction columns."""
     opts = kafka_source_options(bootstrap_servers, topic, starting_offsets, max_offsets_per_trigger)
-    raw = spark.readStream.format("kafka").options(**opts).load()
+    try:
+        raw = spark.readStream.format("kafka").options(**opts).load()
+    except Exception as e:  # noqa: BLE001 - re-raised with the fix
+        if "kafka" in str(e).lower() and "data source" in str(e).lower():
+            raise RuntimeError(
+                "the Kafka connector is not on the classpath; start Spark with the "
+                "spark-sql-kafka-0-10 package matching this Spark version") from e
+        raise
     return decode_transactions(raw, "value", keep_corrupt=keep_corrupt)
 
 

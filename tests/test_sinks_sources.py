@@ -129,3 +129,12 @@ def test_interval_label_and_badge(spark):
     assert out[0].l == "14:35:00 - 14:40:00"
     assert [r.b for r in out] == [config.REDEEMED_BADGE, config.PENDING_BADGE]
     assert [r.d for r in out] == [config.HOTEL_LABEL, "spa"]
+
+
+def test_kafka_source_without_connector_explains(spark):
+    try:
+        kafka.kafka_transactions_stream(spark, "localhost:9")
+    except RuntimeError as e:
+        assert "spark-sql-kafka" in str(e)
+    else:  # connector present: the stream is defined with the declared columns
+        pass
