@@ -25,17 +25,36 @@ def read_changelog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("basePath", path).parquet(path)
 
 
-def current_summary(spark: SparkSession, path: str) -> DataFrame:
+def current_summary(spark: SparkSession, path: str, compacted_table: str | None = None) -> DataFrame:
     """Newest version of every (member, window) key.
 
     ``row_number() == 1`` over the key runs as a partial WindowGroupLimit on
     each map task before the shuffle, so a key updated in many batches sends
     one row per task.
+
+    With ``compacted_table`` (see ``compact_changelog``) closed windows come
+    from that table and only change-log rows of windows ending after its
+    boundary are de-duplicated; the boundary is one aggregate value, and the
+    predicate on ``window_end`` lets Parquet statistics skip old change-log
+    files.
     """
     log = read_changelog(spark, path)
+    table = None
+    if compacted_table and _exists(spark, compacted_table):
+        table = spark.read.parquet(compacted_table)
+        boundary = table.agg(F.max("window_end")).first()[0]
+        if boundary is not None:
+            log = log.where(F.col("window_end") > ts_lit(boundary))
     w = Window.partitionBy(*SUMMARY_KEY).orderBy(F.col("batch_id").desc())
-    return (log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+    live = (log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
             .select(*SUMMARY_COLUMNS))
+    return live if table is None else table.select(*SUMMARY_COLUMNS).unionByName(live)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
 def current_hotel_offers(spark: SparkSession, path: str,
@@ -57,13 +76,11 @@ def compact_changelog(spark: SparkSession, path: str, table_path: str,
     possible once the watermark passed them) are compacted; each key is
     written once. Returns the number of rows written.
     """
-    closed = current_summary(spark, path).where(F.col("window_end") <= ts_lit(closed_before))
+    closed = current_summary(spark, path, table_path).where(F.col("window_end") <= ts_lit(closed_before))
     out = closed.withColumn("window_date", F.to_date("window_start"))
-    try:
+    if _exists(spark, table_path):
         done = spark.read.parquet(table_path).select(*SUMMARY_KEY)
         out = out.join(done, SUMMARY_KEY, "left_anti")
-    except Exception:  # noqa: BLE001 - table not written yet
-        pass
     staging = table_path.rstrip("/") + "_staging"
     out.write.mode("overwrite").parquet(staging)
     staged = spark.read.parquet(staging)

@@ -104,10 +104,18 @@ def to_wall_time(df: DataFrame) -> DataFrame:
     return df
 
 
-def _batch_writer(path: str):
+def _batch_writer(path: str, files_per_batch: int | None = None):
+    """Write one micro-batch into its own ``batch_id=`` folder.
+
+    ``files_per_batch`` bounds the number of files per batch (a repartition of
+    the batch's output rows only); without it every state partition writes
+    one file per trigger.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
-        (to_wall_time(batch).write.mode("overwrite")
-         .parquet(os.path.join(path, f"batch_id={batch_id}")))
+        out = to_wall_time(batch)
+        if files_per_batch:
+            out = out.repartition(files_per_batch)
+        out.write.mode("overwrite").parquet(os.path.join(path, f"batch_id={batch_id}"))
     return write
 
 
@@ -121,22 +129,24 @@ def _trigger(writer, trigger: str | None):
 
 def start_summary_changelog(summary: DataFrame, changelog_path: str, checkpoint: str,
                             trigger: str | None = "availableNow",
-                            query_name: str | None = None) -> StreamingQuery:
+                            query_name: str | None = None,
+                            files_per_batch: int | None = None) -> StreamingQuery:
     """Update-mode summary -> change log."""
     w = (summary.writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint)
-         .foreachBatch(_batch_writer(changelog_path)))
+         .foreachBatch(_batch_writer(changelog_path, files_per_batch)))
     if query_name:
         w = w.queryName(query_name)
     return _trigger(w, trigger).start()
 
 
 def start_summary_on_close(summary: DataFrame, closed_path: str, checkpoint: str,
-                           trigger: str | None = "availableNow") -> StreamingQuery:
+                           trigger: str | None = "availableNow",
+                           files_per_batch: int | None = None) -> StreamingQuery:
     """Append-mode summary: one final row per window after the watermark passes it (I4)."""
     w = (summary.writeStream.outputMode("append")
          .option("checkpointLocation", checkpoint)
-         .foreachBatch(_batch_writer(closed_path)))
+         .foreachBatch(_batch_writer(closed_path, files_per_batch)))
     return _trigger(w, trigger).start()
 
 

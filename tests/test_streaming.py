@@ -45,9 +45,12 @@ def test_stream_equals_batch_over_many_files(spark, tmp_dir):
     tx = _truncated_tx(spark)
     _write_parts(tx, f"{tmp_dir}/in", ["2024-01-08", "2024-01-15", "2024-01-22"])
     stream = stream_json_transactions(spark, f"{tmp_dir}/in/*", max_files_per_trigger=1, keep_corrupt=False)
-    q = start_summary_changelog(summary_stream(stream), f"{tmp_dir}/log", f"{tmp_dir}/ckpt")
+    q = start_summary_changelog(summary_stream(stream), f"{tmp_dir}/log", f"{tmp_dir}/ckpt",
+                                files_per_batch=2)
     run_to_completion(q)
     assert len([p for p in q.recentProgress if p["numInputRows"] > 0]) == 4
+    import glob
+    assert all(len(glob.glob(f"{d}/*.parquet")) <= 2 for d in glob.glob(f"{tmp_dir}/log/batch_id=*"))
     got = changelog.current_summary(spark, f"{tmp_dir}/log")
     want = member_window_summary(tx)
     assert _rows(got) == _rows(want)
@@ -138,6 +141,11 @@ def test_compaction_writes_each_closed_window_once(spark, tmp_dir):
     want = member_window_summary(tx).where(F.col("window_end") <= F.lit("2024-01-15").cast("timestamp_ntz"))
     assert n1 == want.count() and n2 == 0
     assert _rows(spark.read.parquet(f"{tmp_dir}/table")) == _rows(want)
+    n3 = changelog.compact_changelog(spark, f"{tmp_dir}/log", f"{tmp_dir}/table", "2024-01-20")
+    assert n3 > 0
+    # compacted table + newer change-log rows == the whole current state
+    both = changelog.current_summary(spark, f"{tmp_dir}/log", f"{tmp_dir}/table")
+    assert _rows(both) == _rows(member_window_summary(tx))
 
 
 def test_ledger_stream_and_flagged_offers(spark, tmp_dir):
