@@ -46,7 +46,7 @@ class _FakeSpark:
 
 
 def test_uses_configured_folder():
-    assert checkpoint_root(_FakeSpark("s3a://bucket/ckpt/", "yarn")) == "s3a://bucket/ckpt"
+    assert checkpoint_root(_FakeSpark("hdfs://namenode/shared/ckpt/", "yarn")) == "hdfs://namenode/shared/ckpt"
 
 
 def test_cluster_without_setting_fails():
