@@ -98,7 +98,17 @@ MONEY_COLUMNS = ("amount", "total_spend", "total_winnings", "net_amount", "loss_
 
 
 def money_as_double(df: DataFrame) -> DataFrame:
-    """Cast decimal money columns to double at the output edge (oracle comparison)."""
-    return df.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name)
-                       if f.name in MONEY_COLUMNS and isinstance(f.dataType, T.DecimalType)
-                       else F.col(f"`{f.name}`") for f in df.schema.fields])
+    """Output edge of the registered queries (oracle comparison).
+
+    Decimal money columns leave as double and DATE columns as ISO
+    'yyyy-MM-dd' text, a representation both engines render the same way.
+    The library itself keeps decimals and dates.
+    """
+    def edge(f):
+        c = F.col(f"`{f.name}`")
+        if f.name in MONEY_COLUMNS and isinstance(f.dataType, T.DecimalType):
+            return c.cast("double").alias(f.name)
+        if isinstance(f.dataType, T.DateType):
+            return F.date_format(c, "yyyy-MM-dd").alias(f.name)
+        return c
+    return df.select(*[edge(f) for f in df.schema.fields])

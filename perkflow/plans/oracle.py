@@ -277,6 +277,10 @@ FULFILLED = f"""
   FROM ledger)"""
 
 
+LEDGER_OUT = """SELECT member_id, member_name, offer_type, redeemed_at,
+       strftime(redemption_date, '%Y-%m-%d') AS redemption_date FROM ledger"""
+
+
 def _decode_sql() -> str:
     return with_(tx_cte()) + """
 SELECT transaction_id, member_id, member_name, transaction_type, CAST(amount AS DOUBLE) AS amount, game_type,
@@ -353,7 +357,7 @@ SELECT 'Losers', l, CASE WHEN w + l > 0 THEN CAST(l AS DOUBLE) * 100.0 / CAST(w
         "win_rate": with_(tx_cte()) + _win_rate(False),
         "win_rate_by_game": with_(tx_cte()) + _win_rate(True),
         "member_leaderboard": with_(tx_cte(), summary_cte(P.window)) + LEADERBOARD,
-        "redeemed_ledger": std() + "SELECT * FROM ledger",
+        "redeemed_ledger": std() + LEDGER_OUT,
         "redeemed_today": std() + f"SELECT DISTINCT member_id, offer_type FROM ledger WHERE redemption_date = DATE '{P.today}'",
         "latest_hotel_offer": std() + f"""
 SELECT {HOTEL_OUT}, reward_type FROM (
@@ -394,7 +398,8 @@ FROM latest l LEFT JOIN counts c ON l.member_id = c.member_id AND l.offer_type =
 firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY member_id, offer_type, redemption_date
                                                       ORDER BY redeemed_at, member_name) AS rn FROM rq) x
            WHERE rn = 1)
-SELECT member_id, member_name, offer_type, redeemed_at, redemption_date FROM firsts f
+SELECT member_id, member_name, offer_type, redeemed_at,
+       strftime(redemption_date, '%Y-%m-%d') AS redemption_date FROM firsts f
 WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.member_id = f.member_id AND l.offer_type = f.offer_type
                   AND l.redemption_date = f.redemption_date)""",
         "sql_over_views": with_(tx_cte(), summary_cte(P.window), offers_ctes()) + """

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from perkflow import config
 from perkflow.operators import ledger as ledger_ops
 from perkflow.plans.inputs import Inputs, Params, money_as_double
-from perkflow.plans.oracle import ORACLE_SQL, std, summary_cte, tx_cte, with_, SUMMARY_OUT
+from perkflow.plans.oracle import LEDGER_OUT, ORACLE_SQL, SUMMARY_OUT, std, summary_cte, tx_cte, with_
 from perkflow.plans.registry import REGISTRY
 from perkflow.functions.time import ts_lit
 from perkflow.session import scratch_path
@@ -104,7 +104,7 @@ def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
               .options(**fmt).option("maxFilesPerTrigger", "1").json(f"{root}/requests/*"))
     q = start_redemption_stream(stream, f"{root}/ledger", f"{root}/checkpoint")
     run_to_completion(q)
-    return ledger_ops.read_ledger(spark, f"{root}/ledger").select(*LEDGER_COLUMNS)
+    return money_as_double(ledger_ops.read_ledger(spark, f"{root}/ledger").select(*LEDGER_COLUMNS))
 
 
 def hotel_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -138,7 +138,7 @@ STREAM_ORACLE["drink_offers_stream"] = ORACLE_SQL["drink_offers"]
 STREAM_ORACLE["summary_window_close"] = with_(tx_cte(), summary_cte(P.window)) + f"""
 SELECT {SUMMARY_OUT} FROM summary
 WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""
-STREAM_ORACLE["redemption_stream"] = std() + "SELECT * FROM ledger"
+STREAM_ORACLE["redemption_stream"] = std() + LEDGER_OUT
 STREAM_ORACLE["hotel_flagged_stream"] = std() + f"""
 , today_offers AS (SELECT DISTINCT member_id FROM ledger
                    WHERE offer_type = 'hotel' AND redemption_date = DATE '{P.today}')
