@@ -33,6 +33,11 @@ P = Params()
 STREAM_ORACLE: dict[str, str] = {}
 
 
+def _state_parts(spark: SparkSession) -> int:
+    """State partitions for the registered runs: one per core of the cluster."""
+    return spark.sparkContext.defaultParallelism
+
+
 def _run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
@@ -40,7 +45,8 @@ def _run_dir(spark: SparkSession, name: str) -> str:
 def _changelog_run(spark: SparkSession, data_dir: str) -> str:
     root = _run_dir(spark, "summary")
     q = start_summary_changelog(summary_stream(events_transaction_stream(spark, data_dir), P.window),
-                                f"{root}/changelog", f"{root}/checkpoint")
+                                f"{root}/changelog", f"{root}/checkpoint",
+                                n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     return f"{root}/changelog"
 
@@ -64,7 +70,8 @@ def summary_window_close(spark: SparkSession, data_dir: str) -> DataFrame:
     """Append mode: windows closed by the final watermark, one row each."""
     root = _run_dir(spark, "closed")
     q = start_summary_on_close(summary_stream(events_transaction_stream(spark, data_dir), P.window),
-                               f"{root}/closed", f"{root}/checkpoint")
+                               f"{root}/closed", f"{root}/checkpoint",
+                               n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     closed = spark.read.option("basePath", f"{root}/closed").parquet(f"{root}/closed")
     return money_as_double(closed.select(*SUMMARY_COLUMNS))
@@ -77,7 +84,8 @@ def daily_rollup_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """
     root = _run_dir(spark, "rollup")
     q = start_summary_on_close(rollup_stream(events_transaction_stream(spark, data_dir), P.window, "1 day"),
-                               f"{root}/days", f"{root}/checkpoint")
+                               f"{root}/days", f"{root}/checkpoint",
+                               n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     days = spark.read.option("basePath", f"{root}/days").parquet(f"{root}/days")
     return money_as_double(days.select(*SUMMARY_COLUMNS))
@@ -119,7 +127,8 @@ def hotel_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     today = dt.date.fromisoformat(P.today)
     q = start_flagged_offers(summary_stream(events_transaction_stream(spark, data_dir), P.window),
                              f"{root}/ledger", f"{root}/flagged", f"{root}/checkpoint",
-                             kind=config.HOTEL, today=lambda: today)
+                             kind=config.HOTEL, today=lambda: today,
+                             n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     return money_as_double(read_flagged_offers(spark, f"{root}/flagged"))
 

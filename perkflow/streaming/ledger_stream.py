@@ -22,7 +22,7 @@ from perkflow import config
 from perkflow.operators.ledger import append_redemptions, read_ledger
 from perkflow.operators.offers import offer_predicate, redeemed_members
 from perkflow.sources.schemas import SUMMARY_COLUMNS, SUMMARY_KEY
-from perkflow.streaming.summary_stream import _trigger, to_wall_time
+from perkflow.streaming.summary_stream import _start, _trigger, to_wall_time
 
 
 def start_redemption_stream(requests: DataFrame, ledger_path: str, checkpoint: str,
@@ -38,7 +38,8 @@ def start_redemption_stream(requests: DataFrame, ledger_path: str, checkpoint: s
 def start_flagged_offers(summary: DataFrame, ledger_path: str, out_path: str, checkpoint: str,
                          kind: str = config.HOTEL, threshold=None,
                          today: Callable[[], dt.date] | None = None,
-                         trigger: str | None = "availableNow") -> StreamingQuery:
+                         trigger: str | None = "availableNow",
+                         n_state_partitions: int | None = None) -> StreamingQuery:
     """Continuously flag windows with today's redemptions.
 
     Each update-mode batch of summary rows is left-joined with the ledger as
@@ -63,7 +64,7 @@ def start_flagged_offers(summary: DataFrame, ledger_path: str, out_path: str, ch
 
     w = (summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
          .foreachBatch(write))
-    return _trigger(w, trigger).start()
+    return _start(_trigger(w, trigger), summary.sparkSession, n_state_partitions)
 
 
 def read_flagged_offers(spark, out_path: str) -> DataFrame:

@@ -18,6 +18,7 @@ stream's progress and aggregation state live under ``checkpointLocation``.
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,6 +120,33 @@ def _batch_writer(path: str, files_per_batch: int | None = None):
     return write
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, n: int | None):
+    """Number of state-store partitions for a stream started inside the block.
+
+    A streaming query fixes its state partitioning at its first start from
+    ``spark.sql.shuffle.partitions`` and keeps it in the checkpoint; ``start()``
+    snapshots the session conf, so the setting is applied only around it and
+    the caller's value is restored afterwards. A restarted query keeps the
+    count stored in its checkpoint.
+    """
+    if not n:
+        yield
+        return
+    key = "spark.sql.shuffle.partitions"
+    old = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def _start(writer, spark: SparkSession, n_state: int | None) -> StreamingQuery:
+    with state_partitions(spark, n_state):
+        return writer.start()
+
+
 def _trigger(writer, trigger: str | None):
     if trigger in (None, "availableNow"):
         return writer.trigger(availableNow=True)
@@ -130,24 +158,26 @@ def _trigger(writer, trigger: str | None):
 def start_summary_changelog(summary: DataFrame, changelog_path: str, checkpoint: str,
                             trigger: str | None = "availableNow",
                             query_name: str | None = None,
-                            files_per_batch: int | None = None) -> StreamingQuery:
+                            files_per_batch: int | None = None,
+                            n_state_partitions: int | None = None) -> StreamingQuery:
     """Update-mode summary -> change log."""
     w = (summary.writeStream.outputMode("update")
          .option("checkpointLocation", checkpoint)
          .foreachBatch(_batch_writer(changelog_path, files_per_batch)))
     if query_name:
         w = w.queryName(query_name)
-    return _trigger(w, trigger).start()
+    return _start(_trigger(w, trigger), summary.sparkSession, n_state_partitions)
 
 
 def start_summary_on_close(summary: DataFrame, closed_path: str, checkpoint: str,
                            trigger: str | None = "availableNow",
-                           files_per_batch: int | None = None) -> StreamingQuery:
+                           files_per_batch: int | None = None,
+                           n_state_partitions: int | None = None) -> StreamingQuery:
     """Append-mode summary: one final row per window after the watermark passes it (I4)."""
     w = (summary.writeStream.outputMode("append")
          .option("checkpointLocation", checkpoint)
          .foreachBatch(_batch_writer(closed_path, files_per_batch)))
-    return _trigger(w, trigger).start()
+    return _start(_trigger(w, trigger), summary.sparkSession, n_state_partitions)
 
 
 def dropped_late_rows(query: StreamingQuery) -> int:

@@ -216,3 +216,17 @@ def test_chained_rollup_stream_equals_batch_days(spark, tmp_dir):
     closed = want.where(F.col("window_end") <= F.lit(max_t - dt.timedelta(seconds=10)))
     assert got.count() > 0
     assert _rows(got) == _rows(closed)
+
+
+def test_state_partitions_only_around_start(spark, tmp_dir):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    tx = _truncated_tx(spark)
+    write_ndjson(tx.coalesce(1), f"{tmp_dir}/in/part-0")
+    q = start_summary_changelog(summary_stream(stream_json_transactions(spark, f"{tmp_dir}/in/*", 1, False)),
+                                f"{tmp_dir}/log", f"{tmp_dir}/ckpt", n_state_partitions=3)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    run_to_completion(q)
+    import os
+    state_parts = os.listdir(f"{tmp_dir}/ckpt/state/0")
+    assert len([p for p in state_parts if p.isdigit()]) == 3
+    assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log")) == _rows(member_window_summary(tx))
