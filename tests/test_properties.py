@@ -53,3 +53,26 @@ def test_summary_matches_brute_force(spark, rows, parts, seed):
     shuffled = df.orderBy((df.transaction_id * (seed + 7)) % 41).repartition(parts)
     got = sorted(tuple(r) for r in member_window_summary(shuffled).collect())
     assert got == brute_force(rows)
+
+
+request = st.tuples(st.integers(1, 3), st.sampled_from(["hotel", "drink"]), st.integers(0, 3 * 86400 - 1))
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(reqs=st.lists(request, min_size=1, max_size=25), chunks=st.integers(1, 3))
+def test_ledger_batches_equal_one_batch(spark, tmp_path_factory, reqs, chunks):
+    from perkflow.operators import ledger
+    path = str(tmp_path_factory.mktemp("ledger") / "l")
+    rows = sorted((m, f"M{m}", t, BASE + dt.timedelta(seconds=s)) for m, t, s in reqs)
+    rows.sort(key=lambda r: r[3])                      # requests arrive in time order
+    schema = "member_id long, member_name string, offer_type string, requested_at timestamp_ntz"
+    size = -(-len(rows) // chunks)
+    for k in range(0, len(rows), size):
+        ledger.append_redemptions(spark, spark.createDataFrame(rows[k:k + size], schema), path)
+    again = ledger.append_redemptions(spark, spark.createDataFrame(rows, schema), path)
+    got = sorted(tuple(r) for r in ledger.read_ledger(spark, path).collect())
+    want = {}
+    for m, n, t, at in rows:                           # first request per (member, type, day) wins
+        want.setdefault((m, t, at.date()), (m, n, t, at, at.date()))
+    assert again == 0
+    assert got == sorted(want.values())
