@@ -88,3 +88,19 @@ def compact_changelog(spark: SparkSession, path: str, table_path: str,
     if n:
         staged.write.mode("append").partitionBy("window_date").parquet(table_path)
     return n
+
+
+def expirable_batches(spark: SparkSession, path: str, compacted_table: str) -> list[int]:
+    """Change-log batches whose every row is already final in the compacted table.
+
+    A batch folder is no longer needed once the newest window it holds ended
+    at or before the compacted table's boundary. The answer is one row per
+    batch (a bounded list), for a retention job to remove those folders.
+    """
+    if not _exists(spark, compacted_table):
+        return []
+    boundary = spark.read.parquet(compacted_table).agg(F.max("window_end")).first()[0]
+    if boundary is None:
+        return []
+    per_batch = read_changelog(spark, path).groupBy("batch_id").agg(F.max("window_end").alias("newest"))
+    return sorted(r.batch_id for r in per_batch.where(F.col("newest") <= ts_lit(boundary)).collect())

@@ -230,3 +230,16 @@ def test_state_partitions_only_around_start(spark, tmp_dir):
     state_parts = os.listdir(f"{tmp_dir}/ckpt/state/0")
     assert len([p for p in state_parts if p.isdigit()]) == 3
     assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log")) == _rows(member_window_summary(tx))
+
+
+def test_expirable_batches_after_compaction(spark, tmp_dir):
+    tx = _truncated_tx(spark)
+    _write_parts(tx, f"{tmp_dir}/in", ["2024-01-08", "2024-01-15"])
+    q = start_summary_changelog(summary_stream(stream_json_transactions(spark, f"{tmp_dir}/in/*", 1, False)),
+                                f"{tmp_dir}/log", f"{tmp_dir}/ckpt")
+    run_to_completion(q)
+    assert changelog.expirable_batches(spark, f"{tmp_dir}/log", f"{tmp_dir}/table") == []
+    changelog.compact_changelog(spark, f"{tmp_dir}/log", f"{tmp_dir}/table", "2024-01-15")
+    # batches 0 and 1 held only windows ending by 2024-01-15 (all compacted now);
+    # batch 2 holds later, still-live windows
+    assert changelog.expirable_batches(spark, f"{tmp_dir}/log", f"{tmp_dir}/table") == [0, 1]
