@@ -24,6 +24,7 @@ from perkflow.session import scratch_path
 from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
+from perkflow.streaming import totals_stream
 from perkflow.streaming.ledger_stream import read_flagged_offers, start_flagged_offers, start_redemption_stream
 from perkflow.streaming.summary_stream import (events_transaction_stream, rollup_stream, run_to_completion,
                                                start_summary_changelog, start_summary_on_close,
@@ -133,6 +134,26 @@ def hotel_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     return money_as_double(read_flagged_offers(spark, f"{root}/flagged"))
 
 
+def game_stats_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Real-time game performance: per-game totals kept by a stream, house edge on read."""
+    root = _run_dir(spark, "games")
+    q = totals_stream.start_totals_changelog(
+        totals_stream.game_totals_stream(events_transaction_stream(spark, data_dir)),
+        f"{root}/changelog", f"{root}/checkpoint", n_state_partitions=_state_parts(spark))
+    run_to_completion(q)
+    return money_as_double(totals_stream.current_game_stats(spark, f"{root}/changelog"))
+
+
+def member_leaderboard_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """All-time member totals kept by a stream, ranked by spend on read."""
+    root = _run_dir(spark, "members")
+    q = totals_stream.start_totals_changelog(
+        totals_stream.member_totals_stream(events_transaction_stream(spark, data_dir)),
+        f"{root}/changelog", f"{root}/checkpoint", n_state_partitions=_state_parts(spark))
+    run_to_completion(q)
+    return money_as_double(totals_stream.current_leaderboard(spark, f"{root}/changelog"))
+
+
 REGISTRY["member_summary_stream"] = member_summary_stream
 REGISTRY["hotel_offers_stream"] = hotel_offers_stream
 REGISTRY["drink_offers_stream"] = drink_offers_stream
@@ -140,6 +161,8 @@ REGISTRY["summary_window_close"] = summary_window_close
 REGISTRY["redemption_stream"] = redemption_stream
 REGISTRY["hotel_flagged_stream"] = hotel_flagged_stream
 REGISTRY["daily_rollup_stream"] = daily_rollup_stream
+REGISTRY["game_stats_stream"] = game_stats_stream
+REGISTRY["member_leaderboard_stream"] = member_leaderboard_stream
 
 STREAM_ORACLE["member_summary_stream"] = ORACLE_SQL["member_window_summary"]
 STREAM_ORACLE["hotel_offers_stream"] = ORACLE_SQL["hotel_room_offers"]
@@ -158,3 +181,17 @@ WHERE s.total_spend >= {config.DEFAULT_HOTEL_THRESHOLD}"""
 STREAM_ORACLE["daily_rollup_stream"] = with_(tx_cte(), summary_cte("1 day")) + f"""
 SELECT {SUMMARY_OUT} FROM summary
 WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""
+STREAM_ORACLE["game_stats_stream"] = ORACLE_SQL["game_stats"]
+STREAM_ORACLE["member_leaderboard_stream"] = with_(tx_cte()) + """
+, totals AS (
+  SELECT member_id, member_name,
+         SUM(CASE WHEN transaction_type = 'bet' THEN amount ELSE 0 END) AS total_spend,
+         SUM(CASE WHEN transaction_type = 'win' THEN amount ELSE 0 END) AS total_winnings,
+         SUM(CASE WHEN transaction_type = 'win' THEN amount
+                  WHEN transaction_type = 'bet' THEN -amount ELSE 0 END) AS net_amount,
+         COUNT(*) AS transaction_count, MAX(transaction_time) AS last_transaction
+  FROM tx GROUP BY member_id, member_name)
+SELECT member_id, member_name, CAST(total_spend AS DOUBLE) AS total_spend,
+       CAST(total_winnings AS DOUBLE) AS total_winnings, CAST(net_amount AS DOUBLE) AS net_amount,
+       transaction_count, last_transaction, rank() OVER (ORDER BY total_spend DESC) AS spend_rank
+FROM totals"""
