@@ -243,3 +243,17 @@ def test_expirable_batches_after_compaction(spark, tmp_dir):
     # batches 0 and 1 held only windows ending by 2024-01-15 (all compacted now);
     # batch 2 holds later, still-live windows
     assert changelog.expirable_batches(spark, f"{tmp_dir}/log", f"{tmp_dir}/table") == [0, 1]
+
+
+def test_processing_time_trigger_keeps_running_until_stopped(spark, tmp_dir):
+    tx = _truncated_tx(spark)
+    write_ndjson(tx.coalesce(1), f"{tmp_dir}/in/part-0")
+    q = start_summary_changelog(summary_stream(stream_json_transactions(spark, f"{tmp_dir}/in/*", 1, False)),
+                                f"{tmp_dir}/log", f"{tmp_dir}/ckpt", trigger="1 second")
+    try:
+        q.processAllAvailable()
+        assert q.isActive                                   # a polling stream does not finish by itself
+        assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log")) == _rows(member_window_summary(tx))
+    finally:
+        q.stop()
+    assert not q.isActive
