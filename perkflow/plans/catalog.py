@@ -24,13 +24,26 @@ VIEW_NAMES = ("gaming_transactions", "member_daily_summary", "hotel_room_offers"
 
 
 def rebuild_summary(spark: SparkSession, tx: DataFrame, table_path: str,
-                    window: str = config.DEFAULT_WINDOW) -> DataFrame:
+                    window: str = config.DEFAULT_WINDOW, buckets: int | None = None,
+                    table_name: str = "member_daily_summary") -> DataFrame:
     """Recompute the summary from the source and overwrite its table.
 
-    Partitioned by ``window_date`` so interval and history predicates on
-    ``window_start`` prune whole days; returns the table as written.
+    Partitioned by ``window_date`` so interval and history predicates prune
+    whole days. With ``buckets`` the table is also bucketed (and sorted) by
+    ``member_id`` and registered as ``table_name`` in the session catalog:
+    per-member work on it (member totals for the leaderboard, latest offer
+    per member, distinct members) then needs no shuffle of the summary. Size
+    ``buckets`` so one bucket of one day is a few hundred MB.
+    Returns the table as written.
     """
     s = member_window_summary(tx, window).withColumn("window_date", F.to_date("window_start"))
+    if buckets:
+        # one task per bucket (bucket ids use the same hash as hash partitioning),
+        # so each (day, bucket) is one file instead of one per task
+        (s.repartition(buckets, "member_id").write.mode("overwrite").partitionBy("window_date")
+         .bucketBy(buckets, "member_id").sortBy("member_id")
+         .option("path", table_path).saveAsTable(table_name))
+        return spark.table(table_name)
     # cluster rows of a day together so each task writes few files
     s.repartition("window_date").write.mode("overwrite").partitionBy("window_date").parquet(table_path)
     return spark.read.parquet(table_path)

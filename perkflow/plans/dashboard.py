@@ -34,13 +34,19 @@ class Dashboard:
     drink_threshold: int = config.DEFAULT_DRINK_THRESHOLD
     interval_seconds: int = config.DEFAULT_INTERVAL_SECONDS
     window: str = config.DEFAULT_WINDOW
+    table_name: str | None = None     # read a bucketed catalog table instead of the path
 
     @classmethod
     def build(cls, spark: SparkSession, tx: DataFrame, summary_path: str, ledger_path: str,
-              window: str = config.DEFAULT_WINDOW, **kw) -> "Dashboard":
-        """Materialize the summary from transactions (A15) and open the dashboard on it."""
-        rebuild_summary(spark, tx, summary_path, window)
-        return cls(spark, summary_path, ledger_path, window=window, **kw)
+              window: str = config.DEFAULT_WINDOW, buckets: int | None = None,
+              table_name: str = "member_daily_summary", **kw) -> "Dashboard":
+        """Materialize the summary from transactions (A15) and open the dashboard on it.
+
+        ``buckets`` writes it bucketed by member_id (see ``catalog.rebuild_summary``).
+        """
+        rebuild_summary(spark, tx, summary_path, window, buckets, table_name)
+        return cls(spark, summary_path, ledger_path, window=window,
+                   table_name=table_name if buckets else None, **kw)
 
     # --- tables -----------------------------------------------------------------
     def summary(self, first_day=None, last_day=None) -> DataFrame:
@@ -50,7 +56,8 @@ class Dashboard:
         ``window_start`` / ``window_end``, so the questions that bound the
         window state the date range explicitly.
         """
-        df = self.spark.read.parquet(self.summary_path)
+        df = (self.spark.table(self.table_name) if self.table_name
+              else self.spark.read.parquet(self.summary_path))
         if first_day is not None:
             df = df.where(F.col("window_date") >= date_lit(first_day))
         if last_day is not None:

@@ -56,3 +56,39 @@ def test_dashboard_reads_prune_dates(spark, dash):
     part = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters")]
     assert any("window_date" in ln for ln in part), "summary must be pruned to the interval's days"
     assert any("redemption_date" in ln for ln in part), "ledger must be pruned to today's partition"
+
+
+@pytest.fixture(scope="module")
+def bucketed(spark):
+    import tempfile
+    root = tempfile.mkdtemp(prefix="perkflow-dash-b-")
+    i = Inputs(spark, SF_SMALL)
+    d = Dashboard.build(spark, i.tx(), f"{root}/summary", f"{root}/ledger", interval_seconds=86400,
+                        buckets=4, table_name="member_daily_summary_bucketed")
+    d.redeem(simulated_requests_from_rows(i.offer_rows()))
+    return d
+
+
+@pytest.mark.parametrize("name,call", [
+    ("pending_offers", lambda d: d.pending(TODAY)),
+    ("member_leaderboard", lambda d: d.leaderboard()),
+    ("overall_stats", lambda d: d.stats()),
+    ("hotel_previous", lambda d: d.interval_offers("hotel", "previous", AS_OF, TODAY)),
+])
+def test_bucketed_dashboard_equals_registered_query(spark, bucketed, name, call):
+    assert _rows(call(bucketed)) == _rows(Q[name](spark, SF_SMALL))
+
+
+def test_bucketing_removes_the_per_member_shuffle(spark, bucketed):
+    from perkflow.operators import analytics, offers
+    for df in (analytics.member_totals(bucketed.summary()),
+               offers.latest_offer_rows(offers.offer_rows(bucketed.summary()))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Bucketed: true" in plan
+
+
+def test_bucketed_table_has_one_file_per_day_and_bucket(bucketed):
+    import glob
+    days = glob.glob(f"{bucketed.summary_path}/window_date=*")
+    files = glob.glob(f"{bucketed.summary_path}/window_date=*/*.parquet")
+    assert days and len(files) <= 4 * len(days)
