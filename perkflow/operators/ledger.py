@@ -9,8 +9,6 @@ stored. Re-running the same batch appends nothing.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -199,7 +197,3 @@ def fulfilled_report(fulfilled: DataFrame, offer_filter: str = "All",
         F.col("offer_display").alias(h[2]),
         datetime_text("redeemed_at").alias(h[3]),
     )
-
-
-def ledger_path(root: str) -> str:
-    return os.path.join(root, "redeemed_offers")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from perkflow import config
-from perkflow.functions.time import duration_seconds, seconds_duration, to_datetime, ts_lit
+from perkflow.functions.time import duration_seconds, to_datetime, ts_lit
 
 
 def spend_expr(typ: Column, amount: Column) -> Column:
@@ -96,7 +96,3 @@ def restrict_window_end_after(tx: DataFrame, lower, window: str,
         return tx
     edge = to_datetime(lower) - dt.timedelta(seconds=duration_seconds(window))
     return tx.where(F.col(time_col) > ts_lit(edge))
-
-
-def window_duration(window: str | int) -> str:
-    return seconds_duration(duration_seconds(window))

@@ -8,14 +8,11 @@ summary. The ledger is never dropped by a rebuild.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perkflow import config
 from perkflow.operators import analytics
-from perkflow.operators.ledger import read_ledger
 from perkflow.operators.offers import drink_offers, hotel_room_offers
 from perkflow.operators.summary import member_window_summary
 
@@ -74,7 +71,3 @@ def register_views(spark: SparkSession, tx: DataFrame, summary: DataFrame,
 def run_sql(spark: SparkSession, text: str, args: dict | None = None) -> DataFrame:
     """Arbitrary SQL over the views with named parameters (``:name``) instead of splicing."""
     return spark.sql(text, args=args or {})
-
-
-def ledger_table(spark: SparkSession, root: str) -> DataFrame:
-    return read_ledger(spark, os.path.join(root, "redeemed_offers"))

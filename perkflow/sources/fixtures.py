@@ -24,18 +24,6 @@ DRINK_ACCEPT_REMAINDER = 1
 # ---------------------------------------------------------------------------
 
 
-def simulated_requests(hotel: DataFrame, drink: DataFrame) -> DataFrame:
-    """Redemption requests (member_id, member_name, offer_type, requested_at)."""
-    m = F.col("member_id") % ACCEPT_MODULUS
-    h = hotel.where(m == HOTEL_ACCEPT_REMAINDER).select(
-        "member_id", "member_name", F.lit(config.HOTEL).alias("offer_type"),
-        F.col("window_end").alias("requested_at"))
-    d = drink.where(m == DRINK_ACCEPT_REMAINDER).select(
-        "member_id", "member_name", F.lit(config.DRINK).alias("offer_type"),
-        F.col("window_end").alias("requested_at"))
-    return h.unionByName(d)
-
-
 def simulated_requests_from_rows(rows: DataFrame) -> DataFrame:
     """Same rule over single-pass offer rows (offers.offer_rows)."""
     m = F.col("member_id") % ACCEPT_MODULUS

@@ -138,3 +138,23 @@ def test_kafka_source_without_connector_explains(spark):
         assert "spark-sql-kafka" in str(e)
     else:  # connector present: the stream is defined with the declared columns
         pass
+
+
+def test_interval_start_column_and_clock_text(spark):
+    from perkflow.functions.text import clock_text
+    df = spark.createDataFrame([("2024-01-16 14:37:12",)], "t string") \
+        .select(F.col("t").cast("timestamp_ntz").alias("t"))
+    row = df.select(T.interval_start_col(F.col("t"), 300).alias("s"), clock_text("t").alias("c")).collect()[0]
+    assert str(row.s) == "2024-01-16 14:35:00"           # same bound as interval_bounds
+    assert row.c == "14:37:12"
+
+
+def test_stats_display_turns_empty_aggregates_into_zero(spark):
+    from perkflow.operators.summary import member_window_summary
+    from tests.helpers import tx_rows
+    empty = member_window_summary(tx_rows(spark, [(1, 1, "A", "bet", 10, "slot", "2024-01-01 10:00:00")])) \
+        .where(F.lit(False))
+    raw = analytics.overall_stats(empty).collect()[0]
+    assert raw.total_revenue is None and raw.total_members == 0
+    shown = analytics.overall_stats_display(analytics.overall_stats(empty)).collect()[0]
+    assert shown.total_revenue == 0 and shown.avg_spend_per_member == 0 and shown.winning_members == 0
