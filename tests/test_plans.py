@@ -73,3 +73,17 @@ def test_leaderboard_has_no_global_sort_window(spark):
     # the only unpartitioned window runs over the per-bucket totals (a bounded table)
     windows = [ln for ln in f.splitlines() if ln.startswith("Arguments") and "rank(" in ln]
     assert not windows
+
+
+def test_flagship_scans_once_in_full_and_once_for_today(spark):
+    f = formatted(spark, "pending_offers")
+    scans = [ln for ln in f.splitlines() if ln.startswith("PushedFilters")]
+    assert len(scans) == 2, scans
+    day = [ln for ln in scans if "GreaterThanOrEqual(ts,2024-01-15T23:55)" in ln and "LessThan(ts,2024-01-17" in ln]
+    assert len(day) == 1, "the redemption branch reads only today's source rows"
+
+
+def test_interval_query_ledger_branch_is_day_scoped(spark):
+    f = formatted(spark, "hotel_previous")
+    scans = [ln for ln in f.splitlines() if ln.startswith("PushedFilters")]
+    assert scans and all("GreaterThanOrEqual(ts" in ln and "LessThan(ts" in ln for ln in scans)
