@@ -18,6 +18,7 @@ def spark():
     ckpt = tempfile.mkdtemp(prefix="perkflow-test-ckpt-")
     s = build_session("local[4]", app_name="perkflow-tests", shuffle_partitions=8,
                       extra={"spark.checkpoint.dir": ckpt,
+                             "spark.sql.warehouse.dir": os.path.join(ckpt, "warehouse"),
                              "spark.sql.streaming.minBatchesToRetain": "5"})
     yield s
     s.stop()
