@@ -40,7 +40,7 @@ def tx_cte() -> str:
          CAST(CAST(value AS DECIMAL(18,2)) * {ea.AMOUNT_FACTOR} AS DECIMAL(18,2)) AS amount,
          CASE {game} ELSE {_q(ea.GAME_REST)} END AS game_type,
          ts AS transaction_time
-  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e)"""
+  FROM (SELECT *, TRY_CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events) e)"""
 
 
 def summary_cte(window: str, name: str = "summary", source: str = "tx", where: str = "TRUE") -> str:

@@ -43,7 +43,8 @@ def game_type_of(k: Column) -> Column:
 
 def transactions_from_events(events: DataFrame) -> DataFrame:
     """Map the events table to the transaction schema (batch, NTZ time)."""
-    k = F.get_json_object(F.col("props"), "$.k").cast("int")
+    # a malformed props value yields NULL (and the last game) instead of failing the job
+    k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
     amount = (F.col("value").cast(MONEY) * F.lit(AMOUNT_FACTOR)).cast(MONEY)
     return events.select(
         F.col("event_id").alias("transaction_id"),

@@ -179,3 +179,15 @@ def test_money_text(spark):
     from perkflow.functions.text import money_text
     df = spark.createDataFrame([(Decimal("1234.5"),), (Decimal("-1234.5"),)], "x decimal(18,2)")
     assert [r[0] for r in df.select(money_text("x")).collect()] == ["$1,234.50", "$-1,234.50"]
+
+
+def test_malformed_props_do_not_fail_the_adapter(spark):
+    from perkflow.sources.events_adapter import GAME_REST, transactions_from_events
+    import datetime as dt
+    ev = spark.createDataFrame(
+        [(1, dt.datetime(2024, 1, 1), 7, "purchase", 1.5, '{"k": "x"}'),
+         (2, dt.datetime(2024, 1, 1), 7, "view", 2.0, "{bad"),
+         (3, dt.datetime(2024, 1, 1), 7, "click", 3.0, '{"k": 10}')],
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    games = [r.game_type for r in transactions_from_events(ev).orderBy("transaction_id").collect()]
+    assert games == [GAME_REST, GAME_REST, "slot"]
