@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from perkflow.llm import chat, repetition, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
+from perkflow.llm.html_text import text_column
 from perkflow.llm.token_counts import TokenCounter, frequent_segments
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +195,9 @@ ruled AS (SELECT rid, arg_max(rule, length(rule)) AS rule, arg_max(rule_verdict,
 SELECT page_id, host, path, rule, coalesce(rule_verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed LEFT JOIN blocked USING (host) LEFT JOIN ruled USING (rid)
 """
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", text_column("html").alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
