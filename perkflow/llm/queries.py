@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkflow.llm import chat, repetition, urls
+from perkflow.llm import chat, quality_model, repetition, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
 from perkflow.llm.html_text import text_column
 from perkflow.llm.token_counts import TokenCounter, frequent_segments
 
+KEPT_SCORE = 0.3
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -23,6 +25,24 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+def held_out(doc_id):
+    """Rows that no label is learnt from: one fifth of the documents, by checksum of their id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def quality_trees(spark: SparkSession, sf_dir: str) -> quality_model.Trees:
+    return quality_model.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"),
+                               ~held_out("doc_id"))
+
+
+@query
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = quality_trees(spark, sf_dir)
+    scored = table(spark, sf_dir, "documents").select(
+        "doc_id", held_out("doc_id").alias("held_out"), quality_model.score_column(model, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= KEPT_SCORE).cast("int"))
+
+
 @query
 def op2_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = repetition.with_verdict(table(spark, sf_dir, "documents").select("doc_id", "text"))
