@@ -12,6 +12,7 @@ from perkflow.llm import chat, quality_model, repetition, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
 from perkflow.llm.html_text import text_column
+from perkflow.llm.packing import pack
 from perkflow.llm.token_counts import TokenCounter, frequent_segments
 
 KEPT_SCORE = 0.3
@@ -221,3 +222,13 @@ FROM parsed LEFT JOIN blocked USING (host) LEFT JOIN ruled USING (rid)
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", text_column("html").alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+@query
+def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
