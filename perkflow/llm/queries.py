@@ -12,6 +12,7 @@ from perkflow.llm import chat, quality_model, repetition, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
 from perkflow.llm.html_text import text_column
+from perkflow.llm.minhash import NearDup, near_duplicates
 from perkflow.llm.packing import pack
 from perkflow.llm.token_counts import TokenCounter, frequent_segments
 
@@ -232,3 +233,10 @@ def op5_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     pieces = pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return pieces.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@query
+def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"), how=NearDup(shingle=4))
+    return found.select("doc_id", "n_shingles", "component_id",
+                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
