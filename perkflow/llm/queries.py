@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkflow.llm import chat, quality_model, repetition, urls
+from perkflow.llm import ann, chat, quality_model, repetition, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
 from perkflow.llm.html_text import text_column
@@ -240,3 +240,9 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), how=NearDup(shingle=4))
     return found.select("doc_id", "n_shingles", "component_id",
                         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op7_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(vectors, F.col("vec_id") % 20 == 0)
