@@ -61,8 +61,8 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER_SCHEMA)
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Ledger table at ``path`` (empty if nothing was written yet).
+def read_ledger(spark: SparkSession, path: str, first_day=None, last_day=None) -> DataFrame:
+    """Ledger table at ``path`` (empty if nothing was written yet), pruned to the days asked for.
 
     Read-side key de-duplication guards against a second writer having
     slipped in; with a single writer it removes nothing.
@@ -70,24 +70,35 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     if not _exists(spark, path):
         return empty_ledger(spark)
     df = spark.read.schema(LEDGER_SCHEMA).parquet(path).select(*LEDGER_COLUMNS)
+    if first_day is not None:
+        df = df.where(F.col("redemption_date") >= date_lit(first_day))
+    if last_day is not None:
+        df = df.where(F.col("redemption_date") <= date_lit(last_day))
     return first_per_key(df)
 
 
 def append_redemptions(spark: SparkSession, requests: DataFrame, path: str) -> int:
     """Single-writer append of a request batch; returns the number of rows added.
 
-    The new rows are written to a staging folder first (cuts the lineage back to
-    the ledger read, so the append never re-reads files it is writing) and then
-    appended by partition.
+    The batch is staged first (cuts the lineage back to its source). Its first
+    and last date, two values, bound what is read of the stored ledger: only
+    those date partitions are de-duplicated and anti-joined. The new rows are
+    staged too, so the append never re-reads files it is writing.
     """
-    ledger = read_ledger(spark, path) if _exists(spark, path) else None
-    fresh = new_redemptions(requests, ledger)
     staging = f"{path.rstrip('/')}_staging"
-    fresh.write.mode("overwrite").parquet(staging)
-    staged = spark.read.parquet(staging).select(*LEDGER_COLUMNS)
-    n = staged.count()
+    first_per_key(redemption_rows(requests)).write.mode("overwrite").parquet(f"{staging}/batch")
+    batch = spark.read.schema(LEDGER_SCHEMA).parquet(f"{staging}/batch")
+    first, last = batch.agg(F.min("redemption_date"), F.max("redemption_date")).first()
+    if first is None:
+        return 0
+    fresh = batch
+    if _exists(spark, path):
+        stored = read_ledger(spark, path, first, last).select(*LEDGER_KEY)
+        batch.join(stored, LEDGER_KEY, "left_anti").write.mode("overwrite").parquet(f"{staging}/fresh")
+        fresh = spark.read.schema(LEDGER_SCHEMA).parquet(f"{staging}/fresh")
+    n = fresh.count()
     if n:
-        staged.write.mode("append").partitionBy("redemption_date").parquet(path)
+        fresh.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("redemption_date").parquet(path)
     return n
 
 

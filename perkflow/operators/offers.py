@@ -59,9 +59,10 @@ def drink_offers(summary: DataFrame, threshold=config.DEFAULT_DRINK_THRESHOLD) -
 
 
 def offers(summary: DataFrame, kind: str, threshold=None) -> DataFrame:
+    """The offers of one type; no threshold means the default one, 0 means 0."""
     if kind == config.HOTEL:
-        return hotel_room_offers(summary, threshold or config.DEFAULT_HOTEL_THRESHOLD)
-    return drink_offers(summary, threshold or config.DEFAULT_DRINK_THRESHOLD)
+        return hotel_room_offers(summary, config.DEFAULT_HOTEL_THRESHOLD if threshold is None else threshold)
+    return drink_offers(summary, config.DEFAULT_DRINK_THRESHOLD if threshold is None else threshold)
 
 
 def redeemed_members(ledger: DataFrame, offer_type: str, day) -> DataFrame:

@@ -8,7 +8,6 @@ finished stream must equal a batch query, the batch query's SQL is its oracle.
 
 from __future__ import annotations
 
-import datetime as dt
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +24,7 @@ from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
 from perkflow.streaming import totals_stream
-from perkflow.streaming.ledger_stream import read_flagged_offers, start_flagged_offers, start_redemption_stream
+from perkflow.streaming.ledger_stream import start_redemption_stream
 from perkflow.streaming.summary_stream import (events_transaction_stream, rollup_stream, run_to_completion,
                                                start_summary_changelog, start_summary_on_close,
                                                summary_stream)
@@ -95,10 +94,10 @@ def daily_rollup_stream(spark: SparkSession, data_dir: str) -> DataFrame:
 def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """Ledger built by the streaming single writer.
 
-    The simulated desk's requests are written as two JSON-lines files: the
+    The simulated desk's requests are written as two folders of JSON lines: the
     requests before ``as_of``, then the requests from ``as_of`` on together
-    with a re-sent copy of the whole first file. The stream reads one file per
-    micro-batch; the re-sent copies must add nothing.
+    with a re-sent copy of the whole first folder. The stream reads a few
+    files per micro-batch, oldest first; the re-sent copies must add nothing.
     """
     root = _run_dir(spark, "redeem")
     i = Inputs(spark, data_dir, P)
@@ -106,32 +105,35 @@ def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     early = req.where(F.col("requested_at") < ts_lit(P.as_of))
     late = req.where(F.col("requested_at") >= ts_lit(P.as_of)).unionByName(early)
     fmt = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
-    early.coalesce(1).write.options(**fmt).json(f"{root}/requests/part-0")
-    late.coalesce(1).write.options(**fmt).json(f"{root}/requests/part-1")
+    early.write.options(**fmt).json(f"{root}/requests/part-0")
+    late.write.options(**fmt).json(f"{root}/requests/part-1")
     stream = (spark.readStream.schema("member_id long, member_name string, offer_type string, "
                                       "requested_at timestamp_ntz")
-              .options(**fmt).option("maxFilesPerTrigger", "1").json(f"{root}/requests/*"))
+              .options(**fmt).option("maxFilesPerTrigger", str(_state_parts(spark))).json(f"{root}/requests/*"))
     q = start_redemption_stream(stream, f"{root}/ledger", f"{root}/checkpoint")
     run_to_completion(q)
     return money_as_double(ledger_ops.read_ledger(spark, f"{root}/ledger").select(*LEDGER_COLUMNS))
 
 
-def hotel_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Hotel windows flagged continuously with today's redemptions.
+def _flagged(spark: SparkSession, data_dir: str, kind: str) -> DataFrame:
+    """Windows that qualify now, flagged with today's redemptions when they are read.
 
-    The fixture ledger is written first (single writer); the summary stream
-    then re-reads it in every micro-batch.
+    The stream is drained first; the desk's redemptions come afterwards and
+    must show although no window changes any more.
     """
-    root = _run_dir(spark, "flagged")
-    i = Inputs(spark, data_dir, P)
-    ledger_ops.append_redemptions(spark, simulated_requests_from_rows(i.offer_rows()), f"{root}/ledger")
-    today = dt.date.fromisoformat(P.today)
-    q = start_flagged_offers(summary_stream(events_transaction_stream(spark, data_dir), P.window),
-                             f"{root}/ledger", f"{root}/flagged", f"{root}/checkpoint",
-                             kind=config.HOTEL, today=lambda: today,
-                             n_state_partitions=_state_parts(spark))
-    run_to_completion(q)
-    return money_as_double(read_flagged_offers(spark, f"{root}/flagged"))
+    log = _changelog_run(spark, data_dir)
+    ledger_path = f"{_run_dir(spark, 'flagged')}/ledger"
+    rows = Inputs(spark, data_dir, P).offer_rows()
+    ledger_ops.append_redemptions(spark, simulated_requests_from_rows(rows), ledger_path)
+    return money_as_double(changelog.flagged_offers(spark, log, ledger_path, kind, P.today))
+
+
+def hotel_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _flagged(spark, data_dir, config.HOTEL)
+
+
+def drink_flagged_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    return _flagged(spark, data_dir, config.DRINK)
 
 
 def game_stats_stream(spark: SparkSession, data_dir: str) -> DataFrame:
@@ -160,6 +162,7 @@ REGISTRY["drink_offers_stream"] = drink_offers_stream
 REGISTRY["summary_window_close"] = summary_window_close
 REGISTRY["redemption_stream"] = redemption_stream
 REGISTRY["hotel_flagged_stream"] = hotel_flagged_stream
+REGISTRY["drink_flagged_stream"] = drink_flagged_stream
 REGISTRY["daily_rollup_stream"] = daily_rollup_stream
 REGISTRY["game_stats_stream"] = game_stats_stream
 REGISTRY["member_leaderboard_stream"] = member_leaderboard_stream
@@ -171,13 +174,12 @@ STREAM_ORACLE["summary_window_close"] = with_(tx_cte(), summary_cte(P.window)) +
 SELECT {SUMMARY_OUT} FROM summary
 WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""
 STREAM_ORACLE["redemption_stream"] = std() + LEDGER_OUT
-STREAM_ORACLE["hotel_flagged_stream"] = std() + f"""
-, today_offers AS (SELECT DISTINCT member_id FROM ledger
-                   WHERE offer_type = 'hotel' AND redemption_date = DATE '{P.today}')
-SELECT {', '.join('s.' + c if ' AS ' not in c else c.replace('CAST(', 'CAST(s.') for c in SUMMARY_OUT.split(', '))},
-       t.member_id IS NOT NULL AS already_redeemed
-FROM summary s LEFT JOIN today_offers t ON s.member_id = t.member_id
-WHERE s.total_spend >= {config.DEFAULT_HOTEL_THRESHOLD}"""
+for _kind, _qualifies in (("hotel", f"total_spend >= {config.DEFAULT_HOTEL_THRESHOLD}"),
+                          ("drink", f"net_amount <= -{config.DEFAULT_DRINK_THRESHOLD} AND net_amount < 0")):
+    STREAM_ORACLE[f"{_kind}_flagged_stream"] = std() + f"""
+SELECT {SUMMARY_OUT}, EXISTS (SELECT 1 FROM ledger l WHERE l.member_id = s.member_id AND l.offer_type = '{_kind}'
+                              AND l.redemption_date = DATE '{P.today}') AS already_redeemed
+FROM summary s WHERE {_qualifies}"""
 STREAM_ORACLE["daily_rollup_stream"] = with_(tx_cte(), summary_cte("1 day")) + f"""
 SELECT {SUMMARY_OUT} FROM summary
 WHERE window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"""

@@ -24,10 +24,17 @@ def stream_json_transactions(spark: SparkSession, path: str,
 
 def stream_parquet_table(spark: SparkSession, folder: str, name: str,
                          max_files_per_trigger: int | None = None) -> DataFrame:
-    """Stream one ``<name>.parquet`` table of a data folder (schema from the file)."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    reader = (spark.readStream.format("parquet").schema(schema)
-              .option("pathGlobFilter", f"{name}.parquet"))
+    """Stream the ``<name>.parquet`` table of a data folder: one file, or a folder of part files.
+
+    The schema comes from the files. A folder is streamed part by part (oldest
+    first), and parts added later are picked up.
+    """
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    reader = spark.readStream.format("parquet").schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(folder)
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.getFileStatus(hpath).isDirectory():
+        return reader.load(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").load(folder)

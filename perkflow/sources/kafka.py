@@ -16,13 +16,15 @@ from perkflow.sources.wire import decode_transactions, encode_value
 def kafka_source_options(bootstrap_servers: str, topic: str = config.TRANSACTIONS_TOPIC,
                          starting_offsets: str = "earliest",
                          max_offsets_per_trigger: int | None = None,
-                         extra: dict[str, str] | None = None) -> dict[str, str]:
+                         extra: dict[str, str] | None = None,
+                         fail_on_data_loss: bool = True) -> dict[str, str]:
+    """Reader options. Offsets that are gone from the broker fail the query unless told otherwise."""
     opts = {
         "kafka.bootstrap.servers": bootstrap_servers,
         "subscribe": topic,
         # only the first start honours this; afterwards the checkpoint wins
         "startingOffsets": starting_offsets,
-        "failOnDataLoss": "false",
+        "failOnDataLoss": str(fail_on_data_loss).lower(),
     }
     if max_offsets_per_trigger:
         opts["maxOffsetsPerTrigger"] = str(max_offsets_per_trigger)
@@ -34,9 +36,10 @@ def kafka_transactions_stream(spark: SparkSession, bootstrap_servers: str,
                               topic: str = config.TRANSACTIONS_TOPIC,
                               starting_offsets: str = "earliest",
                               max_offsets_per_trigger: int | None = None,
-                              keep_corrupt: bool = True) -> DataFrame:
+                              keep_corrupt: bool = True, fail_on_data_loss: bool = True) -> DataFrame:
     """readStream from the topic, decoded to typed transaction columns."""
-    opts = kafka_source_options(bootstrap_servers, topic, starting_offsets, max_offsets_per_trigger)
+    opts = kafka_source_options(bootstrap_servers, topic, starting_offsets, max_offsets_per_trigger,
+                                fail_on_data_loss=fail_on_data_loss)
     try:
         raw = spark.readStream.format("kafka").options(**opts).load()
     except Exception as e:  # noqa: BLE001 - re-raised with the fix

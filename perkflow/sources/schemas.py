@@ -39,6 +39,20 @@ SUMMARY_COLUMNS = SUMMARY_KEY + [
     "last_transaction",
 ]
 
+# The stored summary: money sums carry ten digits more than an amount, windows are naive wall time.
+COMPACTED_SCHEMA = T.StructType([
+    T.StructField("member_id", T.LongType()),
+    T.StructField("member_name", T.StringType()),
+    T.StructField("window_start", T.TimestampNTZType()),
+    T.StructField("window_end", T.TimestampNTZType()),
+    T.StructField("total_spend", T.DecimalType(28, 2)),
+    T.StructField("total_winnings", T.DecimalType(28, 2)),
+    T.StructField("net_amount", T.DecimalType(28, 2)),
+    T.StructField("transaction_count", T.LongType()),
+    T.StructField("last_transaction", T.TimestampNTZType()),
+    T.StructField("window_date", T.DateType()),
+])
+
 # Redemption requests (the write path's input): who asked for which offer when.
 REQUEST_SCHEMA = T.StructType([
     T.StructField("member_id", T.LongType()),

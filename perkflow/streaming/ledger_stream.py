@@ -1,4 +1,4 @@
-"""Streaming redemption writer and ledger-aware offer flags.
+"""Streaming redemption writer (I8); flags against the ledger are computed when offers are read.
 
 One streaming query is the ledger's single writer: each micro-batch of
 redemption requests is de-duplicated on (member_id, offer_type,
@@ -10,19 +10,11 @@ stays unique without ``dropDuplicates`` state that grows forever (and without
 
 from __future__ import annotations
 
-import datetime as dt
-import os
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from perkflow import config
-from perkflow.operators.ledger import append_redemptions, read_ledger
-from perkflow.operators.offers import offer_predicate, redeemed_members
-from perkflow.sources.schemas import SUMMARY_COLUMNS, SUMMARY_KEY
-from perkflow.streaming.summary_stream import _start, _trigger, to_wall_time
+from perkflow.operators.ledger import append_redemptions
+from perkflow.streaming.summary_stream import _trigger
 
 
 def start_redemption_stream(requests: DataFrame, ledger_path: str, checkpoint: str,
@@ -33,43 +25,3 @@ def start_redemption_stream(requests: DataFrame, ledger_path: str, checkpoint: s
 
     w = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return _trigger(w, trigger).start()
-
-
-def start_flagged_offers(summary: DataFrame, ledger_path: str, out_path: str, checkpoint: str,
-                         kind: str = config.HOTEL, threshold=None,
-                         today: Callable[[], dt.date] | None = None,
-                         trigger: str | None = "availableNow",
-                         n_state_partitions: int | None = None) -> StreamingQuery:
-    """Continuously flag windows with today's redemptions.
-
-    Each update-mode batch of summary rows is left-joined with the ledger as
-    it is when the batch runs (re-read every batch, so new redemptions show up
-    without restarting the stream). Rows are written unfiltered with a
-    ``qualifies`` column; ``read_flagged_offers`` applies it after taking the
-    newest version of each window, so a window that stops qualifying (a later
-    win undoing a drink offer) drops out instead of going stale.
-    """
-    thr = threshold or (config.DEFAULT_HOTEL_THRESHOLD if kind == config.HOTEL
-                        else config.DEFAULT_DRINK_THRESHOLD)
-    today_fn = today or (lambda: dt.datetime.now(dt.timezone.utc).date())
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        ledger = read_ledger(spark, ledger_path)
-        flagged = redeemed_members(ledger, kind, today_fn()).withColumn("_r", F.lit(True))
-        out = (to_wall_time(batch).withColumn("qualifies", offer_predicate(kind, thr))
-               .join(flagged, "member_id", "left")
-               .withColumn("already_redeemed", F.coalesce(F.col("_r"), F.lit(False))).drop("_r"))
-        out.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
-
-    w = (summary.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-         .foreachBatch(write))
-    return _start(_trigger(w, trigger), summary.sparkSession, n_state_partitions)
-
-
-def read_flagged_offers(spark, out_path: str) -> DataFrame:
-    """Newest flagged version of every window that currently qualifies."""
-    log = spark.read.option("basePath", out_path).parquet(out_path)
-    w = Window.partitionBy(*SUMMARY_KEY).orderBy(F.col("batch_id").desc())
-    latest = log.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
-    return latest.where(F.col("qualifies")).select(*SUMMARY_COLUMNS, "already_redeemed")

@@ -18,12 +18,13 @@ stream's progress and aggregation state live under ``checkpointLocation``.
 from __future__ import annotations
 
 import os
+import time
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from perkflow import config
 from perkflow.functions.time import instant_to_ntz, ntz_to_instant
@@ -180,20 +181,44 @@ def start_summary_on_close(summary: DataFrame, closed_path: str, checkpoint: str
     return _start(_trigger(w, trigger), summary.sparkSession, n_state_partitions)
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows the stateful aggregate dropped as too late, summed over recent progress."""
-    total = 0
-    for p in query.recentProgress:
-        for op in p.get("stateOperators", []) if isinstance(p, dict) else p.stateOperators:
-            total += (op.get("numRowsDroppedByWatermark", 0) if isinstance(op, dict)
-                      else op.numRowsDroppedByWatermark)
-    return total
+class LateRows(StreamingQueryListener):
+    """Rows that stateful operators dropped as too late, by query id, over the whole run.
+
+    Add it with ``spark.streams.addListener`` before the query starts. The
+    query's own ``recentProgress`` keeps only its latest entries and would
+    undercount a long stream.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        key = str(event.progress.id)
+        late = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        self.dropped[key] = self.dropped.get(key, 0) + late
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.id))
+
+    def total(self, query: StreamingQuery, wait_s: float = 30) -> int:
+        """Total of a query; waits for the events of one that has ended."""
+        until = time.monotonic() + wait_s
+        while not query.isActive and query.id not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return self.dropped.get(query.id, 0)
 
 
-def run_to_completion(query: StreamingQuery, timeout_s: float = 600) -> StreamingQuery:
-    """Wait for an availableNow/once query to finish; surface its failure."""
+def run_to_completion(query: StreamingQuery, timeout_s: float | None = None) -> StreamingQuery:
+    """Wait for an availableNow/once query to finish, however long; surface its failure."""
     finished = query.awaitTermination(timeout_s)
-    if not finished:
+    if timeout_s is not None and not finished:
         query.stop()
         raise TimeoutError(f"stream {query.id} did not finish within {timeout_s}s")
     if query.exception() is not None:
