@@ -11,8 +11,9 @@ two passes, neither of which pairs up a bucket's members:
    similar enough are confirmed on the full sets; confirmed links are
    contracted to components.
 2. *The rest, exactly.* Buckets whose members are still in several components
-   are compared across components, block by block with numpy, and only pairs
-   that the signatures accept leave the block. They are confirmed likewise.
+   are compared across components, block by block with numpy: signatures first,
+   then the full sets of the nodes that still matter. A block hands on only the
+   links that join components.
 
 So every bucket pair is either in one component or has been compared. Two texts
 of similarity 0.8 miss all 32 bands of 5 with probability 3e-6. Components are
@@ -44,13 +45,18 @@ from perkflow.llm.repetition import _mixed
 
 @dataclass(frozen=True)
 class NearDup:
-    """``deviations``: how far below the limit a signature may estimate a pair that is still confirmed."""
+    """``deviations``: how far below the limit a signature may estimate a pair that is still confirmed.
+
+    ``orders``: random orders by which buckets choose their centre. ``block``
+    and ``block_shingles``: nodes, and shingles of their sets, in a block.
+    """
     shingle: int = 5
     percent: int = 80
     bands: int = 32
     rows: int = 5
     orders: int = 4
-    block: int = 256
+    block: int = 512
+    block_shingles: int = 2_000_000
     deviations: float = 5.0
 
     @property
@@ -141,16 +147,24 @@ def sketch_column(text: str | Column, how: NearDup) -> Column:
     return sketch(utf8(text))
 
 
-def set_column(text: str | Column, how: NearDup) -> Column:
-    """Struct of the set's digest and the set itself (little-endian, sorted)."""
-    @F.arrow_udf("struct<node: binary, shingles: binary>")
-    def full_set(texts: pa.Array) -> pa.Array:
-        sets = [shingle_set(t.as_py(), how.shingle).tobytes() for t in texts]
-        return pa.StructArray.from_arrays(
-            [pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())],
-            ["node", "shingles"])
+def full_sets(texts: DataFrame, how: NearDup) -> DataFrame:
+    """(node, shingles) of the rows of (wanted, text) whose set has the digest ``wanted``.
+
+    A map over the joined rows, so that Spark does not evaluate the sets of all
+    texts as a join key beforehand.
+    """
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, sets = [], []
+            for wanted, text in zip(batch.column("wanted"), batch.column("text")):
+                s = shingle_set(text.as_py(), how.shingle).tobytes()
+                if xxhash.xxh3_128_digest(s) == wanted.as_py():
+                    node.append(wanted.as_py())
+                    sets.append(s)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(sets, pa.binary())],
+                                             ["node", "shingles"])
 
-    return full_set(utf8(text))
+    return texts.mapInArrow(of, "node binary, shingles binary")
 
 
 @F.arrow_udf(T.IntegerType())
@@ -166,15 +180,17 @@ def equal_minima(a: pa.Array, b: pa.Array) -> pa.Array:
 @F.arrow_udf(T.LongType())
 def shared_shingles(a: pa.Array, b: pa.Array) -> pa.Array:
     """Size of the intersection of two full sets."""
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-        if len(x) > len(y):
-            x, y = y, x
-        at = np.searchsorted(y, x)
-        at[at == len(y)] = 0
-        out.append(int(np.count_nonzero(y[at] == x)))
-    return pa.array(out, pa.int64())
+    return pa.array([intersection(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"))
+                     for x, y in zip(a, b)], pa.int64())
+
+
+def intersection(x: np.ndarray, y: np.ndarray) -> int:
+    """Of two sorted arrays without repeats."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return int(np.count_nonzero(y[at] == x))
 
 
 # --- candidates and links ---------------------------------------------------------------------
@@ -221,67 +237,127 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
         .where(100 * F.col("shared") >= how.percent * (F.col("n") - F.col("shared"))).select("a", "b")
 
 
-def _across(rows: pa.Table, how: NearDup) -> tuple[list[bytes], list[bytes]]:
-    """Pairs of one cell that lie in different components and that the signatures accept."""
-    node, root = rows["node"].to_pylist(), rows["root"].to_pylist()
-    block = rows["block"].to_numpy()
-    across = rows["row_block"][0].as_py() != rows["column_block"][0].as_py()
-    n = rows["n"].to_numpy()
-    numbers: dict[bytes, int] = {}
-    part = np.array([numbers.setdefault(r, len(numbers)) for r in root])
-    minima = np.frombuffer(b"".join(rows["minima"].to_pylist()), "<u2").reshape(len(node), -1)
-    a, b = [], []
-    for i in range(len(node) - 1):
-        other = (part[i + 1:] != part[i]) & (100 * np.minimum(n[i + 1:], n[i]) >= how.percent * np.maximum(n[i + 1:], n[i]))
-        if across:
-            other &= block[i + 1:] != block[i]
-        j = np.flatnonzero(other) + i + 1
-        if len(j):
-            j = j[(minima[j] == minima[i]).sum(axis=1) >= how.least_equal]
-            for k in j.tolist():
-                x, y = sorted((node[i], node[k]))
-                a.append(x)
-                b.append(y)
-    return a, b
-
-
-def cross_pairs(buckets: DataFrame, reps: DataFrame, how: NearDup) -> DataFrame:
-    """Accepted pairs between components, over all buckets that hold several. ``buckets``: key, node, root."""
-    mixed = buckets.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("size")) \
-        .where(F.col("x") != F.col("y")).select("key", F.ceil(F.col("size") / how.block).cast("int").alias("blocks"))
-    rows = buckets.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = rows.select("key", F.least("block", "other").alias("row_block"),
-                        F.greatest("block", "other").alias("column_block"), "block", "node", "root") \
-        .join(reps.select("node", "n", "minima"), "node")
-    by = ["key", "row_block", "column_block"]
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Cell:
+    """Rows of one cell as arrays: two blocks of a bucket's nodes, or one block against itself."""
+
+    def __init__(self, rows: pa.Table, how: NearDup):
+        self.how, self.rows = how, rows
+        self.n = rows["n"].to_numpy()
+        roots: dict[bytes, int] = {}
+        self.part = np.array([roots.setdefault(r, len(roots)) for r in rows["root"].to_pylist()])
+        self.parts = len(roots)
+        self.minima = np.frombuffer(b"".join(rows["minima"].to_pylist()), "<u2").reshape(len(rows), -1)
+        self.keys = np.array(rows["keys"].combine_chunks().flatten()).reshape(len(rows), -1)
+        self.band = int(np.flatnonzero(self.keys[0] == rows["key"][0].as_py())[0])
+        self.block = rows["block"].to_numpy()
+        self.across = rows["row_block"][0].as_py() != rows["column_block"][0].as_py()
+
+    def accepted(self, i: int) -> np.ndarray:
+        """Later rows that sizes and signatures accept with row i, are of another component, and share no earlier band."""
+        j = slice(i + 1, None)
+        percent = self.how.percent
+        other = (self.part[j] != self.part[i]) \
+            & (100 * np.minimum(self.n[j], self.n[i]) >= percent * np.maximum(self.n[j], self.n[i]))
+        if self.across:
+            other &= self.block[j] != self.block[i]
+        at = np.flatnonzero(other) + i + 1
+        if len(at):
+            at = at[(self.minima[at] == self.minima[i]).sum(axis=1) >= self.how.least_equal]
+        if len(at):
+            at = at[(self.keys[at] == self.keys[i]).argmax(axis=1) == self.band]
+        return at
+
+
+_CELL = ["key", "row_block", "column_block"]
+
+
+def _by_cell(handle):
+    """A function of batches sorted by cell that gives every whole cell of two rows or more to ``handle``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         for batch in batches:
             now = pa.Table.from_batches([batch])
             held = now if held is None else pa.concat_tables([held, now])
             change = np.zeros(max(0, len(held) - 1), bool)
-            for name in by:
+            for name in _CELL:
                 v = held[name].to_numpy()
                 change |= v[1:] != v[:-1]
-            starts = [0, *(np.flatnonzero(change) + 1).tolist()]
-            yield from found(held, starts, starts[1:])
-            held = held.slice(starts[-1])
-        if held is not None:
-            yield from found(held, [0], [len(held)])
-
-    def found(rows: pa.Table, starts: list[int], ends: list[int]) -> Iterator[pa.RecordBatch]:
+            edges = [0, *(np.flatnonzero(change) + 1).tolist()]
+            for start, end in zip(edges, edges[1:]):
+                if end - start > 1:
+                    yield from handle(held.slice(start, end - start))
+            held = held.slice(edges[-1])
+        if held is not None and len(held) > 1:
+            yield from handle(held)
+    return run
+
+
+def cross_links(buckets: DataFrame, reps: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
+    """Confirmed links that join components sharing a bucket. ``buckets``: key, node, n, root.
+
+    A bucket with several components is cut into blocks and every two blocks
+    meet in a cell. First the signatures alone tell which nodes of a cell have
+    a pair to confirm; then these nodes meet in the cell again with their full
+    sets. A pair is looked at in the first band it shares. A cell hands on only
+    links that join components not yet joined in it, at most one fewer than it
+    has components, so no list of pairs is ever made.
+    """
+    mixed = buckets.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"),
+                                       F.count("*").alias("size"), F.sum("n").alias("shingles")) \
+        .where(F.col("x") != F.col("y")).select("key", F.greatest(
+            F.ceil(F.col("size") / how.block), F.ceil(F.col("shingles") / how.block_shingles)).cast("int").alias("blocks"))
+    rows = buckets.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = rows.select("key", F.least("block", "other").alias("row_block"),
+                        F.greatest("block", "other").alias("column_block"), "block", "node", "root", "n") \
+        .join(reps.select("node", "minima", "keys"), "node")
+
+    def to_confirm(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = _Cell(rows, how)
+        wanted = np.zeros(len(rows), bool)
+        if cell.parts > 1:
+            for i in range(len(rows) - 1):
+                at = cell.accepted(i)
+                wanted[at] = True
+                wanted[i] |= len(at) > 0
+        if wanted.any():
+            yield from rows.take(np.flatnonzero(wanted)).combine_chunks().to_batches()
+
+    def confirm(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        cell = _Cell(rows, how)
+        joined = list(range(cell.parts))
+
+        def top(k: int) -> int:
+            while joined[k] != k:
+                joined[k] = k = joined[joined[k]]
+            return k
+
+        shingles = [np.frombuffer(s.as_buffer(), "<u8") for s in rows["shingles"]]
+        node = rows["node"].to_pylist()
         a, b = [], []
-        for s, e in zip(starts, ends):
-            if e - s > 1:
-                x, y = _across(rows.slice(s, e - s), how)
-                a += x
-                b += y
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        for i in range(len(rows) - 1):
+            for j in cell.accepted(i).tolist():
+                x, y = top(cell.part[i]), top(cell.part[j])
+                if x != y and reaches(shingles[i], shingles[j], how.percent):
+                    joined[y] = x
+                    a.append(node[i])
+                    b.append(node[j])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+    def dealt(cells: DataFrame) -> DataFrame:
+        return cells.repartition(*_CELL).sortWithinPartitions(*_CELL)
+
+    cells = dealt(cells)
+    left = save(cells.mapInArrow(_by_cell(to_confirm), cells.schema), "cells")
+    whole = dealt(left.join(sets, "node").select(*left.columns, "shingles"))
+    return whole.mapInArrow(_by_cell(confirm), "a binary, b binary")
+
 
-    grouped = cells.repartition(*by).sortWithinPartitions(*by)
-    return grouped.mapInArrow(compare, "a binary, b binary").distinct()
+def reaches(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two full sets reach the limit."""
+    shared = intersection(x, y)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 # --- components -------------------------------------------------------------------------------
@@ -330,23 +406,21 @@ def _classes(docs: DataFrame, doc_id: str, text: str, how: NearDup) -> tuple[Dat
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima"),
         F.first("keys").alias("keys")), "nodes")
 
-    postings = reps.select("node", F.explode("keys").alias("key"))
+    postings = reps.select("node", "n", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
     buckets = save(postings.join(shared, "key"), "buckets")
     wanted = reps.join(buckets.select("node").distinct(), "node", "left_semi")
-    near = save(wanted.select("node", "doc_id", "n", "minima"), "bucket-nodes")
+    near = save(wanted.select("node", "doc_id", "n", "minima", "keys"), "bucket-nodes")
 
     ids = near.select(F.col("doc_id").alias("id"), F.col("node").alias("wanted"))
-    sets = own.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))) \
-        .select("wanted", set_column("text", how).alias("s")).where(F.col("s.node") == F.col("wanted")) \
-        .groupBy(F.col("wanted").alias("node")).agg(F.first("s.shingles").alias("shingles"))
-    sets = save(sets, "sets")
+    texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("wanted", utf8("text").alias("text"))
+    sets = save(full_sets(texts, how).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     stars = accepted(star_pairs(buckets, how), near, how)
     first = components(confirmed(stars, sets, how))
     rooted = buckets.join(first, "node", "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    cross = confirmed(cross_pairs(rooted, near, how), sets, how)
+        "key", "node", "n", F.coalesce("root", "node").alias("root"))
+    cross = cross_links(rooted, near, sets, how)
     root_of = first.select(F.col("node"), F.col("root"))
     roots = cross
     for side in ("a", "b"):
