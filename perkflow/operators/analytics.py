@@ -152,12 +152,12 @@ def member_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def member_leaderboard(summary: DataFrame, buckets: int | None = None) -> DataFrame:
+def member_leaderboard(summary: DataFrame, partitions: int | None = None) -> DataFrame:
     """All-time member totals ranked by spend, rank() semantics.
 
     The rank is computed without a single-partition window (see ranking.py).
     """
-    ranked = with_global_rank(member_totals(summary), "total_spend", True, "spend_rank", buckets)
+    ranked = with_global_rank(member_totals(summary), "total_spend", True, "spend_rank", partitions)
     return ranked.orderBy(F.col("spend_rank"), F.col("member_id"), F.col("member_name"))
 
 
@@ -165,3 +165,12 @@ def approx_member_count(summary: DataFrame, rsd: float = 0.05) -> DataFrame:
     """Approximate distinct members per window (D13) over the summary."""
     return summary.groupBy("window_start", "window_end").agg(
         F.approx_count_distinct("member_id", rsd).alias("approx_members"))
+
+
+def approximation_check(approx: DataFrame, summary: DataFrame, rsd: float = 0.05) -> DataFrame:
+    """Per window: the exact member count, and whether the approximate one is within 3 deviations (at least 1)."""
+    exact = summary.groupBy("window_start", "window_end").agg(F.count_distinct("member_id").alias("members"))
+    off = F.abs(F.col("approx_members") - F.col("members"))
+    return exact.join(approx, ["window_start", "window_end"], "left").select(
+        "window_start", "window_end", "members",
+        F.coalesce(off <= F.greatest(F.lit(1.0), 3 * rsd * F.col("members")), F.lit(False)).alias("approximation_holds"))

@@ -87,36 +87,48 @@ def interval_offers(summary: DataFrame, ledger: DataFrame, kind: str, threshold,
             .orderBy(F.col("member_id").asc(), F.col("window_start").desc()))
 
 
-def offer_history(summary: DataFrame, kind: str, threshold, before,
-                  time_predicate: Column | None = None) -> DataFrame:
-    """Qualifying windows that ended strictly before ``before``."""
+def qualifying_history(summary: DataFrame, kind: str, threshold, before,
+                       time_predicate: Column | None = None) -> DataFrame:
+    """Qualifying windows that ended strictly before ``before``, in no order."""
     cond = offer_predicate(kind, threshold) & window_before(before)
     if time_predicate is not None:
         cond = cond & time_predicate
-    return summary.where(cond).select(*_offer_columns(kind)).orderBy(F.col("window_start").desc())
+    return summary.where(cond).select(*_offer_columns(kind))
+
+
+def offer_history(summary: DataFrame, kind: str, threshold, before,
+                  time_predicate: Column | None = None) -> DataFrame:
+    """Qualifying windows that ended strictly before ``before``, newest first."""
+    return qualifying_history(summary, kind, threshold, before, time_predicate) \
+        .orderBy(F.col("window_start").desc())
 
 
 def last_windows(history: DataFrame, k: int = 3, materialize_input: bool = False) -> DataFrame:
     """Rows of the ``k`` most recent distinct windows, with a display label.
 
-    The k newest windows come from a top-k over the distinct windows (a small
-    partial aggregate and TakeOrderedAndProject); the result has at most k rows,
-    so broadcasting it into the semi-join is size-safe. ``history`` is read by
-    both sides; when it is computed from raw transactions rather than read
-    from the summary table, ``materialize_input`` computes it once.
+    ``history`` is best given unsorted (``qualifying_history``): only the
+    result's rows are ordered. The k newest windows come from a top-k over the
+    distinct windows (a small partial aggregate and TakeOrderedAndProject); the
+    result has at most k rows, so broadcasting it into the semi-join is
+    size-safe. ``history`` is read by both sides; when it is computed from raw
+    transactions rather than read from the summary table,
+    ``materialize_input`` computes it once.
     """
+    return _newest(history, k, materialize_input).orderBy(F.col("window_start").desc(), F.col("member_id"))
+
+
+def _newest(history: DataFrame, k: int, materialize_input: bool) -> DataFrame:
     if materialize_input:
         history = materialize(history)
     newest = (history.select("window_start", "window_end").distinct()
               .orderBy(F.col("window_start").desc(), F.col("window_end").desc()).limit(k))
     kept = history.join(F.broadcast(newest), ["window_start", "window_end"], "left_semi")
-    return (kept.withColumn("interval_label", interval_label())
-            .orderBy(F.col("window_start").desc(), F.col("member_id")))
+    return kept.withColumn("interval_label", interval_label())
 
 
 def history_window_counts(history: DataFrame, k: int = 3, materialize_input: bool = False) -> DataFrame:
     """Qualifying rows per window for the ``k`` newest windows."""
-    return (last_windows(history, k, materialize_input)
+    return (_newest(history, k, materialize_input)
             .groupBy("window_start", "window_end", "interval_label")
             .agg(F.count(F.lit(1)).alias("qualifying_members"))
             .orderBy(F.col("window_start").desc()))

@@ -5,11 +5,12 @@ rank of a value is 1 + the number of rows ordered strictly before it, built
 from distributed pieces:
 
 1. histogram of distinct values (partial aggregation absorbs hot values);
-2. value-range buckets from approximate quantiles of the distinct values
-   (the driver receives ``buckets - 1`` numbers, a fixed bound);
-3. per-bucket row totals (``buckets`` rows) turned into offsets;
-4. within each bucket a running sum over its distinct values;
-5. an equi-join of the value -> rank table back onto the rows.
+2. the distinct values range-partitioned in rank order, as many partitions as
+   the session shuffles into, written once so that every value keeps its place;
+3. rows per partition, one number each, turned into offsets;
+4. within each partition a running sum over its distinct values;
+5. an equi-join of the value -> rank table back onto the rows (a value that
+   very many rows share is split by adaptive skew handling).
 
 The result equals Spark's ``rank()`` (NULLs last for descending, first for
 ascending order).
@@ -17,65 +18,40 @@ ascending order).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from perkflow.session import materialize
 
-MAX_BUCKETS = 256
-
-
-def _bucket_expr(v: Column, bounds: list[float]) -> Column:
-    """Index of the value range holding ``v`` (monotone in v); NULL -> -1."""
-    d = v.cast("double")
-    expr = F.when(v.isNull(), F.lit(-1))
-    for i, b in enumerate(bounds):
-        expr = expr.when(d < F.lit(b), F.lit(i))
-    return expr.otherwise(F.lit(len(bounds)))
-
 
 def rank_table(df: DataFrame, order_col: str, descending: bool = True,
-               buckets: int | None = None, rank_col: str = "rank") -> DataFrame:
-    """Distinct values of ``order_col`` with their rank."""
-    spark = df.sparkSession
-    if buckets is None:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    buckets = max(1, min(MAX_BUCKETS, buckets))
+               partitions: int | None = None, rank_col: str = "rank") -> DataFrame:
+    """Distinct values of ``order_col`` with their rank. ``partitions``: of the distinct values."""
     v = F.col(order_col)
+    in_order = v.desc_nulls_last() if descending else v.asc_nulls_first()
     hist = df.groupBy(order_col).agg(F.count(F.lit(1)).alias("_n"))
-    bounds: list[float] = []
-    if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        qs = hist.where(v.isNotNull()).select(v.cast("double").alias("_q")) \
-                 .approxQuantile("_q", probs, 1.0 / (4 * buckets))
-        bounds = sorted(set(q for q in qs if q is not None))
-    hist = hist.withColumn("_b", _bucket_expr(v, bounds))
-    # offsets: rows in buckets that come strictly before this one
-    better_first = F.col("_b").desc() if descending else F.col("_b").asc()
-    totals = hist.groupBy("_b").agg(F.sum("_n").alias("_bn"))
-    offsets = totals.withColumn(
-        "_off",
-        F.coalesce(F.sum("_bn").over(Window.orderBy(better_first)
-                                     .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
-    ).select("_b", "_off")
-    within_order = v.desc_nulls_last() if descending else v.asc_nulls_first()
-    within = Window.partitionBy("_b").orderBy(within_order).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (hist.join(offsets, "_b")
-              .withColumn("_pre", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-              .select(v, (F.lit(1) + F.col("_off") + F.col("_pre")).cast("long").alias(rank_col)))
-    return ranked
+    ranged = hist.repartitionByRange(partitions, in_order) if partitions else hist.repartitionByRange(in_order)
+    placed = materialize(ranged.withColumn("_p", F.spark_partition_id()))
+    # one row per partition: a bounded table
+    totals = placed.groupBy("_p").agg(F.sum("_n").alias("_pn"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_p", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_off"))
+    within = Window.partitionBy("_p").orderBy(in_order).rowsBetween(Window.unboundedPreceding, -1)
+    return (placed.withColumn("_pre", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+            .join(F.broadcast(offsets), "_p")
+            .select(v, (F.lit(1) + F.col("_off") + F.col("_pre")).cast("long").alias(rank_col)))
 
 
 def with_global_rank(df: DataFrame, order_col: str, descending: bool = True,
-                     rank_col: str = "rank", buckets: int | None = None,
+                     rank_col: str = "rank", partitions: int | None = None,
                      materialize_input: bool = True) -> DataFrame:
     """``df`` plus ``rank_col`` = rank() over the whole frame by ``order_col``.
 
-    The input feeds the quantile job, the histogram and the final join; with
+    The input feeds the histogram and the final join; with
     ``materialize_input`` it is computed once and checkpointed instead of
-    being recomputed by each of them.
+    being recomputed by both of them.
     """
     if materialize_input:
         df = materialize(df)
-    ranks = rank_table(df, order_col, descending, buckets, rank_col).withColumnRenamed(order_col, "_rv")
-    return (df.join(ranks, df[order_col].eqNullSafe(ranks["_rv"]), "inner").drop("_rv"))
+    ranks = rank_table(df, order_col, descending, partitions, rank_col).withColumnRenamed(order_col, "_rv")
+    return df.join(ranks, df[order_col].eqNullSafe(ranks["_rv"]), "inner").drop("_rv")

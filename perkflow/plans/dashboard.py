@@ -84,17 +84,20 @@ class Dashboard:
         return offers.interval_offers(self.summary(start, end), self.ledger(), kind, self._threshold(kind),
                                       start, end, today or to_date(as_of))
 
-    def history(self, kind: str, as_of, time_window: str = "All Time") -> DataFrame:
+    def _history(self, kind: str, as_of, time_window: str) -> DataFrame:
         _, _, ps, _ = interval_bounds(as_of, self.interval_seconds)
         first = self._window_starting_after(time_filter_lower_bound(time_window, as_of))
-        return offers.offer_history(self.summary(first, ps), kind, self._threshold(kind), ps,
-                                    time_filter(time_window, as_of))
+        return offers.qualifying_history(self.summary(first, ps), kind, self._threshold(kind), ps,
+                                         time_filter(time_window, as_of))
+
+    def history(self, kind: str, as_of, time_window: str = "All Time") -> DataFrame:
+        return self._history(kind, as_of, time_window).orderBy(F.col("window_start").desc())
 
     def last_windows(self, kind: str, as_of, k: int = 3, time_window: str = "All Time") -> DataFrame:
-        return offers.last_windows(self.history(kind, as_of, time_window), k)
+        return offers.last_windows(self._history(kind, as_of, time_window), k)
 
-    def history_window_counts(self, kind: str, as_of, k: int = 3) -> DataFrame:
-        return offers.history_window_counts(self.history(kind, as_of), k)
+    def history_window_counts(self, kind: str, as_of, k: int = 3, time_window: str = "All Time") -> DataFrame:
+        return offers.history_window_counts(self._history(kind, as_of, time_window), k)
 
     def interval_counts(self, as_of) -> DataFrame:
         _, ce, ps, _ = interval_bounds(as_of, self.interval_seconds)
@@ -118,10 +121,10 @@ class Dashboard:
 
     # --- analytics and members tabs (D2-D5, D10-D12, F3, F8) --------------------------
     def _pred(self, time_window: str, as_of):
-        return None if time_window == "All Time" else time_filter(time_window, as_of)
+        return None if time_window == "All Time" else time_filter(time_window, _now(as_of))
 
     def _filtered(self, time_window: str, as_of) -> DataFrame:
-        lower = None if time_window == "All Time" else time_filter_lower_bound(time_window, as_of)
+        lower = None if time_window == "All Time" else time_filter_lower_bound(time_window, _now(as_of))
         return self.summary(self._window_starting_after(lower))
 
     def stats(self, time_window: str = "All Time", as_of=None) -> DataFrame:
@@ -147,3 +150,8 @@ class Dashboard:
 
     def row_count(self) -> DataFrame:
         return self.summary().agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def _now(as_of) -> dt.datetime:
+    """``as_of``, or the wall clock in UTC where none is given."""
+    return dt.datetime.now(dt.timezone.utc).replace(tzinfo=None) if as_of is None else to_datetime(as_of)

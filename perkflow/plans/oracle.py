@@ -3,12 +3,13 @@
 Each string runs on DuckDB with the data folder's tables registered as views
 (events, ...). The common table expressions restate the adapter, the window
 summary, the offers and the fixture ledger in SQL; money leaves as DOUBLE.
+Window, interval and time-filter arithmetic is SQL's own (``time_bucket``,
+``date_trunc``, intervals): nothing here calls the functions under test.
 """
 
 from __future__ import annotations
 
 from perkflow import config
-from perkflow.functions.time import duration_seconds, interval_bounds, time_filter_lower_bound
 from perkflow.plans.inputs import Params
 from perkflow.sources import events_adapter as ea
 from perkflow.sources import fixtures as fx
@@ -44,17 +45,16 @@ def tx_cte() -> str:
 
 
 def summary_cte(window: str, name: str = "summary", source: str = "tx", where: str = "TRUE") -> str:
-    secs = duration_seconds(window)
     return f"""{name} AS (
   SELECT member_id, member_name, window_start,
-         window_start + INTERVAL '{secs} seconds' AS window_end,
+         window_start + INTERVAL '{window}' AS window_end,
          SUM(CASE WHEN transaction_type = 'bet' THEN amount ELSE 0 END) AS total_spend,
          SUM(CASE WHEN transaction_type = 'win' THEN amount ELSE 0 END) AS total_winnings,
          SUM(CASE WHEN transaction_type = 'win' THEN amount
                   WHEN transaction_type = 'bet' THEN -amount ELSE 0 END) AS net_amount,
          COUNT(*) AS transaction_count,
          MAX(transaction_time) AS last_transaction
-  FROM (SELECT *, time_bucket(INTERVAL '{secs} seconds', transaction_time) AS window_start
+  FROM (SELECT *, time_bucket(INTERVAL '{window}', transaction_time) AS window_start
         FROM {source} WHERE transaction_time IS NOT NULL AND ({where})) t
   GROUP BY member_id, member_name, window_start)"""
 
@@ -137,18 +137,32 @@ LATEST_OUT = ("member_id, member_name, offer_type, offer_display, CAST(metric_va
               "metric_label, window_start, window_end")
 
 
-def _interval_sql(kind: str, which: str) -> str:
-    cs, ce, ps, pe = interval_bounds(P.as_of, P.interval_seconds)
-    start, end = (cs, ce) if which == "current" else (ps, pe)
+def _bounds(p: Params) -> tuple[str, str, str]:
+    """SQL of the previous interval's start, the current one's start and its end."""
+    step = f"INTERVAL '{p.interval_seconds} seconds'"
+    start = f"time_bucket({step}, {_ts(p.as_of)}, TIMESTAMP '1970-01-01')"
+    return f"({start} - {step})", start, f"({start} + {step})"
+
+
+def _lower(kind: str, p: Params) -> str | None:
+    """SQL of the bound that a time filter's window ends must exceed."""
+    return {"All Time": None, "Today": f"date_trunc('day', {_ts(p.as_of)})",
+            "Last Hour": f"({_ts(p.as_of)} - INTERVAL '1 hour')",
+            "Last 5 Minutes": f"({_ts(p.as_of)} - INTERVAL '5 minutes')"}[kind]
+
+
+def _interval_sql(kind: str, which: str, p: Params = P) -> str:
+    before, middle, after = _bounds(p)
+    start, end = (middle, after) if which == "current" else (before, middle)
     pred = HOTEL_PRED if kind == config.HOTEL else DRINK_PRED
     loss = "" if kind == config.HOTEL else " CAST(m.loss_amount AS DOUBLE) AS loss_amount,"
     return std() + f"""
 , base AS (
   SELECT {OFFER_COLS if kind == config.HOTEL else DRINK_COLS} FROM summary
-  WHERE {pred} AND window_start >= {_ts(start)} AND window_end <= {_ts(end)}),
+  WHERE {pred} AND window_start >= {start} AND window_end <= {end}),
 today_offers AS (
   SELECT DISTINCT member_id FROM ledger
-  WHERE offer_type = {_q(kind)} AND redemption_date = DATE '{P.today}')
+  WHERE offer_type = {_q(kind)} AND redemption_date = DATE '{p.today}')
 SELECT m.member_id, m.member_name, CAST(m.total_spend AS DOUBLE) AS total_spend, m.transaction_count,
        CAST(m.net_amount AS DOUBLE) AS net_amount,{loss}
        m.last_transaction, m.window_start, m.window_end,
@@ -157,13 +171,15 @@ FROM base m LEFT JOIN today_offers r ON m.member_id = r.member_id
 ORDER BY m.member_id, m.window_start DESC"""
 
 
-def _history_sql(kind: str, last_k: bool = False, counts: bool = False) -> str:
-    _, _, ps, _ = interval_bounds(P.as_of, P.interval_seconds)
+def _history_sql(kind: str, last_k: bool = False, counts: bool = False, p: Params = P,
+                 time_window: str = "All Time") -> str:
+    before, lower = _bounds(p)[0], _lower(time_window, p)
+    recent = "" if lower is None else f" AND window_end > {lower}"
     pred = HOTEL_PRED if kind == config.HOTEL else DRINK_PRED
     cols = HOTEL_OUT if kind == config.HOTEL else DRINK_OUT
     inner = OFFER_COLS if kind == config.HOTEL else DRINK_COLS
     head = with_(tx_cte(), summary_cte(P.window)) + f"""
-, hist AS (SELECT {inner} FROM summary WHERE {pred} AND window_end < {_ts(ps)})"""
+, hist AS (SELECT {inner} FROM summary WHERE {pred} AND window_end < {before}{recent})"""
     if not last_k:
         return head + f"\nSELECT {cols} FROM hist ORDER BY window_start DESC"
     head += f""",
@@ -179,10 +195,10 @@ FROM kept GROUP BY window_start, window_end, interval_label ORDER BY window_star
     return head + f"\nSELECT {cols}, interval_label FROM kept ORDER BY window_start DESC, member_id"
 
 
-def _filtered(kind: str) -> tuple[str, str]:
-    """(summary CTE restricted by the time filter, predicate) for the analytics queries."""
-    lower = time_filter_lower_bound(kind, P.as_of)
-    pred = "TRUE" if lower is None else f"window_end > {_ts(lower)}"
+def _filtered(kind: str, p: Params = P) -> tuple[str, str]:
+    """(summary CTE, predicate of the time filter) for the analytics queries."""
+    lower = _lower(kind, p)
+    pred = "TRUE" if lower is None else f"window_end > {lower}"
     return with_(tx_cte(), summary_cte(P.window)), pred
 
 
@@ -216,12 +232,49 @@ FROM summary WHERE {where}
 ORDER BY summary.total_spend DESC, member_id, window_start LIMIT {P.top_k}"""
 
 
-REWARD_COUNTS = f"""
+def _reward_counts(where: str = "TRUE") -> str:
+    return f"""
 SELECT CAST(SUM(CASE WHEN {HOTEL_PRED} THEN 1 ELSE 0 END) AS BIGINT) AS hotel_eligible,
        CAST(SUM(CASE WHEN {DRINK_PRED} THEN 1 ELSE 0 END) AS BIGINT) AS drink_eligible,
        COUNT(*) AS total
+FROM summary WHERE {where}"""
+
+
+def _reward_distribution(where: str = "TRUE") -> str:
+    return f"""
+, c AS ({_reward_counts(where)})
+SELECT 'Hotel Room' AS reward, COALESCE(hotel_eligible, 0) AS reward_count FROM c
+UNION ALL SELECT 'Free Drink', COALESCE(drink_eligible, 0) FROM c
+UNION ALL SELECT 'No Reward', COALESCE(total, 0) - COALESCE(hotel_eligible, 0) - COALESCE(drink_eligible, 0) FROM c"""
+
+
+def _win_loss(where: str = "TRUE") -> str:
+    return f"""
+, s AS ({_stats(where)}),
+t AS (SELECT COALESCE(winning_members, 0) AS w, COALESCE(losing_members, 0) AS l FROM s)
+SELECT 'Winners' AS status, w AS status_count,
+       CASE WHEN w + l > 0 THEN CAST(w AS DOUBLE) * 100.0 / CAST(w + l AS DOUBLE) END AS percent FROM t
+UNION ALL
+SELECT 'Losers', l, CASE WHEN w + l > 0 THEN CAST(l AS DOUBLE) * 100.0 / CAST(w + l AS DOUBLE) END FROM t"""
+
+
+def _qualifier_counts(p: Params = P) -> str:
+    before, middle, after = _bounds(p)
+    return with_(tx_cte(), summary_cte(p.window)) + f"""
+SELECT COUNT(*) FILTER (WHERE {HOTEL_PRED} AND window_start >= {middle} AND window_end <= {after}) AS hotel_current,
+       COUNT(*) FILTER (WHERE {HOTEL_PRED} AND window_start >= {before} AND window_end <= {middle}) AS hotel_previous,
+       COUNT(*) FILTER (WHERE {DRINK_PRED} AND window_start >= {middle} AND window_end <= {after}) AS drink_current,
+       COUNT(*) FILTER (WHERE {DRINK_PRED} AND window_start >= {before} AND window_end <= {middle}) AS drink_previous
 FROM summary"""
 
+
+def _report(where: str) -> str:
+    h = config.FULFILLMENT_CSV_HEADERS
+    return std() + FULFILLED + f"""
+SELECT member_id AS "{h[0]}", member_name AS "{h[1]}", offer_display AS "{h[2]}",
+       strftime(redeemed_at, '%Y-%m-%d %H:%M:%S') AS "{h[3]}"
+FROM fulfilled WHERE {where} ORDER BY redeemed_at DESC, member_id, offer_type"""
+
 GAME_STATS = """
 SELECT game_type,
        COUNT(*) FILTER (WHERE transaction_type = 'bet') AS bet_count,
@@ -289,10 +342,8 @@ FROM tx"""
 
 
 def build() -> dict[str, str]:
-    h = config.FULFILLMENT_CSV_HEADERS
     today_sql, today_pred = _filtered("Today")
     hour_sql, hour_pred = _filtered("Last Hour")
-    cs, ce, ps, pe = interval_bounds(P.as_of, P.interval_seconds)
     q = {
         "transactions": with_(tx_cte()) + """
 SELECT transaction_id, member_id, member_name, transaction_type, CAST(amount AS DOUBLE) AS amount, game_type,
@@ -315,12 +366,7 @@ SELECT transaction_id, member_id, member_name, transaction_type, CAST(amount AS
         "hotel_previous": _interval_sql(config.HOTEL, "previous"),
         "drink_current": _interval_sql(config.DRINK, "current"),
         "drink_previous": _interval_sql(config.DRINK, "previous"),
-        "interval_qualifier_count": with_(tx_cte(), summary_cte(P.window)) + f"""
-SELECT COUNT(*) FILTER (WHERE {HOTEL_PRED} AND window_start >= {_ts(cs)} AND window_end <= {_ts(ce)}) AS hotel_current,
-       COUNT(*) FILTER (WHERE {HOTEL_PRED} AND window_start >= {_ts(ps)} AND window_end <= {_ts(pe)}) AS hotel_previous,
-       COUNT(*) FILTER (WHERE {DRINK_PRED} AND window_start >= {_ts(cs)} AND window_end <= {_ts(ce)}) AS drink_current,
-       COUNT(*) FILTER (WHERE {DRINK_PRED} AND window_start >= {_ts(ps)} AND window_end <= {_ts(pe)}) AS drink_previous
-FROM summary""",
+        "interval_qualifier_count": _qualifier_counts(),
         "hotel_history": _history_sql(config.HOTEL),
         "drink_history": _history_sql(config.DRINK),
         "hotel_last_windows": _history_sql(config.HOTEL, last_k=True),
@@ -340,19 +386,9 @@ FROM summary""",
         "top_spenders_last_hour": hour_sql + _top(hour_pred),
         "overall_stats": with_(tx_cte(), summary_cte(P.window)) + _stats(),
         "overall_stats_today": today_sql + _stats(today_pred),
-        "reward_eligibility_counts": with_(tx_cte(), summary_cte(P.window)) + REWARD_COUNTS,
-        "reward_eligibility_distribution": with_(tx_cte(), summary_cte(P.window)) + f"""
-, c AS ({REWARD_COUNTS})
-SELECT 'Hotel Room' AS reward, COALESCE(hotel_eligible, 0) AS reward_count FROM c
-UNION ALL SELECT 'Free Drink', COALESCE(drink_eligible, 0) FROM c
-UNION ALL SELECT 'No Reward', COALESCE(total, 0) - COALESCE(hotel_eligible, 0) - COALESCE(drink_eligible, 0) FROM c""",
-        "win_loss_distribution": with_(tx_cte(), summary_cte(P.window)) + f"""
-, s AS ({_stats()}),
-t AS (SELECT COALESCE(winning_members, 0) AS w, COALESCE(losing_members, 0) AS l FROM s)
-SELECT 'Winners' AS status, w AS status_count,
-       CASE WHEN w + l > 0 THEN CAST(w AS DOUBLE) * 100.0 / CAST(w + l AS DOUBLE) END AS percent FROM t
-UNION ALL
-SELECT 'Losers', l, CASE WHEN w + l > 0 THEN CAST(l AS DOUBLE) * 100.0 / CAST(w + l AS DOUBLE) END FROM t""",
+        "reward_eligibility_counts": with_(tx_cte(), summary_cte(P.window)) + _reward_counts(),
+        "reward_eligibility_distribution": with_(tx_cte(), summary_cte(P.window)) + _reward_distribution(),
+        "win_loss_distribution": with_(tx_cte(), summary_cte(P.window)) + _win_loss(),
         "game_stats": with_(tx_cte()) + GAME_STATS,
         "win_rate": with_(tx_cte()) + _win_rate(False),
         "win_rate_by_game": with_(tx_cte()) + _win_rate(True),
@@ -379,12 +415,8 @@ SELECT COUNT(*) AS total_pending, COUNT(*) FILTER (WHERE offer_type = 'hotel') A
 SELECT COUNT(*) AS total_fulfilled, COUNT(*) FILTER (WHERE offer_type = 'hotel') AS fulfilled_hotel,
        COUNT(*) FILTER (WHERE offer_type = 'drink') AS fulfilled_drink,
        COUNT(DISTINCT member_id) AS unique_members FROM fulfilled""",
-        "fulfilled_report": std() + FULFILLED + f"""
-SELECT member_id AS "{h[0]}", member_name AS "{h[1]}", offer_display AS "{h[2]}",
-       strftime(redeemed_at, '%Y-%m-%d %H:%M:%S') AS "{h[3]}"
-FROM fulfilled
-WHERE offer_type = 'drink' AND COALESCE(regexp_matches(member_name, '(?i)member 1'), FALSE)
-ORDER BY redeemed_at DESC, member_id, offer_type""",
+        "fulfilled_report": _report(
+            "offer_type = 'drink' AND COALESCE(regexp_matches(member_name, '(?i)member 1'), FALSE)"),
         "offer_redeemed_check": std() + f", {latest_cte()}" + f"""
 , counts AS (SELECT member_id, offer_type, COUNT(*) AS redeemed_count FROM ledger
              WHERE redemption_date = DATE '{P.today}' GROUP BY member_id, offer_type)
@@ -409,4 +441,63 @@ FROM hotel WHERE total_spend >= 7500 GROUP BY member_id, member_name""",
     return q
 
 
-ORACLE_SQL = build()
+def build_at(p: Params) -> dict[str, str]:
+    """Twins of the entries at the live dashboard's own interval and short time filters."""
+    five, five_pred = _filtered("Last 5 Minutes", p)
+    hour, hour_pred = _filtered("Last Hour", p)
+    day, day_pred = _filtered("Today", p)
+    never, never_pred = _filtered("Last 5 Minutes", EMPTY)
+    q = {f"{kind}_{which}_5m": _interval_sql(kind, which, p)
+         for kind in (config.HOTEL, config.DRINK) for which in ("current", "previous")}
+    q |= {
+        "interval_qualifier_count_5m": _qualifier_counts(p),
+        "hotel_history_today": _history_sql(config.HOTEL, p=p, time_window="Today"),
+        "drink_history_last_hour": _history_sql(config.DRINK, p=p, time_window="Last Hour"),
+        "drink_last_windows_today": _history_sql(config.DRINK, last_k=True, p=p, time_window="Today"),
+        "hotel_history_window_counts_today": _history_sql(config.HOTEL, last_k=True, counts=True, p=p,
+                                                          time_window="Today"),
+        "all_members_last_5_minutes": five + _all_members(five_pred),
+        "overall_stats_last_5_minutes": five + _stats(five_pred),
+        "top_spenders_last_5_minutes": five + _top(five_pred),
+        "reward_eligibility_counts_last_hour": hour + _reward_counts(hour_pred),
+        "reward_eligibility_distribution_today": day + _reward_distribution(day_pred),
+        "win_loss_distribution_last_hour": hour + _win_loss(hour_pred),
+        "overall_stats_empty": never + f"""
+, s AS ({_stats(never_pred)})
+SELECT COALESCE(total_members, 0) AS total_members, COALESCE(total_revenue, 0) AS total_revenue,
+       COALESCE(total_transactions, 0) AS total_transactions,
+       COALESCE(avg_spend_per_member, 0) AS avg_spend_per_member,
+       COALESCE(winning_members, 0) AS winning_members, COALESCE(losing_members, 0) AS losing_members FROM s""",
+        "reward_eligibility_distribution_empty": never + _reward_distribution(never_pred),
+        "win_loss_distribution_empty": never + _win_loss(never_pred),
+        "fulfilled_report_hotel": _report("offer_type = 'hotel'"),
+        "fulfilled_report_all": _report("TRUE"),
+        "fulfilled_report_literal": _report("contains(lower(member_name), lower('MEMBER 1'))"),
+        "sql_over_summary": with_(tx_cte(), summary_cte(P.window)) + """
+SELECT member_id, COUNT(*) AS windows, CAST(SUM(net_amount) AS DOUBLE) AS net FROM summary
+GROUP BY member_id HAVING COUNT(*) >= 3""",
+        "sql_over_game_stats": with_(tx_cte()) + f"""
+, game_stats AS ({GAME_STATS})
+SELECT game_type, house_edge FROM game_stats WHERE bet_count >= 10""",
+        "sql_over_ledger": std() + """
+SELECT offer_type, COUNT(*) AS redemptions, COUNT(DISTINCT member_id) AS members FROM ledger GROUP BY offer_type""",
+        "sql_over_leaderboard": with_(tx_cte(), summary_cte(P.window)) + f"""
+, board AS (SELECT * FROM ({LEADERBOARD.replace(", totals AS", "WITH totals AS", 1)}) x)
+SELECT member_id, total_spend, spend_rank FROM board WHERE spend_rank <= 20""",
+        "summary_typed": with_(tx_cte(), summary_cte(P.window)) + """
+SELECT member_id, window_start, CAST(window_start AS DATE) AS window_date,
+       CAST(total_spend AS DECIMAL(38,2)) AS total_spend, CAST(net_amount AS DECIMAL(38,2)) AS net_amount
+FROM summary""",
+        "approx_member_count": with_(tx_cte(), summary_cte(P.window)) + """
+SELECT window_start, window_end, COUNT(DISTINCT member_id) AS members, TRUE AS approximation_holds
+FROM summary GROUP BY window_start, window_end""",
+    }
+    return q
+
+
+#: A clock after all events, for the queries over an empty time range.
+EMPTY = Params(as_of="2031-01-01 00:00:00", today="2031-01-01")
+#: A clock and interval as on the live dashboard, at which every offer tab has rows.
+LIVE = Params(as_of="2024-01-04 06:17:00", today="2024-01-04", interval_seconds=config.DEFAULT_INTERVAL_SECONDS)
+
+ORACLE_SQL = build() | build_at(LIVE)

@@ -148,22 +148,31 @@ def q_interval_counts(i: Inputs) -> DataFrame:
                                             i.p.hotel_threshold, i.p.drink_threshold)
 
 
-def _history(i: Inputs, kind: str) -> DataFrame:
+def _history(i: Inputs, kind: str, time_window: str = "All Time") -> DataFrame:
+    """Qualifying windows that ended before the previous interval, in no order."""
     _, _, ps, _ = interval_bounds(i.p.as_of, i.p.interval_seconds)
     thr = i.p.hotel_threshold if kind == config.HOTEL else i.p.drink_threshold
-    s = member_window_summary(restrict_before(i.tx(), ps), i.p.window)
-    return offers.offer_history(s, kind, thr, ps)
+    tx = restrict_before(i.tx(), ps)
+    lower = time_filter_lower_bound(time_window, i.p.as_of)
+    if lower is not None:
+        tx = restrict_window_end_after(tx, lower, i.p.window)
+    s = member_window_summary(tx, i.p.window)
+    return offers.qualifying_history(s, kind, thr, ps, None if lower is None else time_filter(time_window, i.p.as_of))
+
+
+def _newest_first(history: DataFrame) -> DataFrame:
+    return history.orderBy(F.col("window_start").desc())
 
 
 @query("hotel_history")
 def q_hotel_history(i: Inputs) -> DataFrame:
     """Hotel-qualifying windows that ended before the previous interval."""
-    return _history(i, config.HOTEL)
+    return _newest_first(_history(i, config.HOTEL))
 
 
 @query("drink_history")
 def q_drink_history(i: Inputs) -> DataFrame:
-    return _history(i, config.DRINK)
+    return _newest_first(_history(i, config.DRINK))
 
 
 @query("hotel_last_windows")
@@ -281,8 +290,9 @@ def q_leaderboard(i: Inputs) -> DataFrame:
 
 @query("approx_member_count")
 def q_approx_members(i: Inputs) -> DataFrame:
-    """Approximate distinct members per window."""
-    return analytics.approx_member_count(i.summary())
+    """Distinct members per window, and whether the approximate count is close to it."""
+    s = i.summary()
+    return analytics.approximation_check(analytics.approx_member_count(s), s)
 
 
 # --- ledger and fulfilment ------------------------------------------------------
@@ -387,3 +397,104 @@ def q_sql_over_views(i: Inputs) -> DataFrame:
     register_views(i.spark, tx, i.summary(tx=tx))
     out = run_sql(i.spark, SQL_OVER_VIEWS, SQL_OVER_VIEWS_ARGS)
     return out.withColumn("offer_spend", F.col("offer_spend").cast("double"))
+
+
+# --- the live dashboard's own interval, short time filters, empty ranges ----------
+
+LIVE = Params(as_of="2024-01-04 06:17:00", today="2024-01-04", interval_seconds=config.DEFAULT_INTERVAL_SECONDS)
+EMPTY = Params(as_of="2031-01-01 00:00:00", today="2031-01-01")
+
+
+def query_at(name: str, params: Params):
+    """Registers a query that runs with other parameters than the fixture's."""
+    def deco(fn):
+        def run(spark: SparkSession, data_dir: str) -> DataFrame:
+            return money_as_double(fn(Inputs(spark, data_dir, params)))
+        run.__name__ = name
+        run.__doc__ = fn.__doc__
+        REGISTRY[name] = run
+        return fn
+    return deco
+
+
+def _register_live() -> None:
+    for kind in (config.HOTEL, config.DRINK):
+        for which in ("current", "previous"):
+            query_at(f"{kind}_{which}_5m", LIVE)(lambda i, k=kind, w=which: _interval(i, k, w))
+    query_at("interval_qualifier_count_5m", LIVE)(q_interval_counts)
+    query_at("hotel_history_today", LIVE)(lambda i: _newest_first(_history(i, config.HOTEL, "Today")))
+    query_at("drink_history_last_hour", LIVE)(lambda i: _newest_first(_history(i, config.DRINK, "Last Hour")))
+    query_at("drink_last_windows_today", LIVE)(
+        lambda i: offers.last_windows(_history(i, config.DRINK, "Today"), i.p.history_windows, True))
+    query_at("hotel_history_window_counts_today", LIVE)(
+        lambda i: offers.history_window_counts(_history(i, config.HOTEL, "Today"), i.p.history_windows, True))
+
+    def members(i):
+        s, pred = _filtered_summary(i, "Last 5 Minutes")
+        return analytics.all_members(s, i.p.hotel_threshold, i.p.drink_threshold, pred)
+
+    def stats(i):
+        return analytics.overall_stats(*_filtered_summary(i, "Last 5 Minutes"))
+
+    def rewards(kind, distribution=True):
+        def of(i):
+            s, pred = _filtered_summary(i, kind)
+            f = analytics.reward_eligibility_distribution if distribution else analytics.reward_eligibility_counts
+            return f(s, i.p.hotel_threshold, i.p.drink_threshold, pred)
+        return of
+
+    query_at("all_members_last_5_minutes", LIVE)(members)
+    query_at("overall_stats_last_5_minutes", LIVE)(stats)
+    query_at("top_spenders_last_5_minutes", LIVE)(
+        lambda i: analytics.top_spenders(*_filtered_summary(i, "Last 5 Minutes"), i.p.top_k))
+    query_at("reward_eligibility_counts_last_hour", LIVE)(rewards("Last Hour", False))
+    query_at("reward_eligibility_distribution_today", LIVE)(rewards("Today"))
+    query_at("win_loss_distribution_last_hour", LIVE)(
+        lambda i: analytics.win_loss_distribution(*_filtered_summary(i, "Last Hour")))
+    # no window ends after this clock: sums over nothing must come out as the dashboard shows them
+    query_at("overall_stats_empty", EMPTY)(lambda i: analytics.overall_stats_display(stats(i)))
+    query_at("reward_eligibility_distribution_empty", EMPTY)(rewards("Last 5 Minutes"))
+    query_at("win_loss_distribution_empty", EMPTY)(
+        lambda i: analytics.win_loss_distribution(*_filtered_summary(i, "Last 5 Minutes")))
+
+    def report(offer_filter, search=None, literal=False):
+        return lambda i: ledger.fulfilled_report(ledger.fulfilled_offers(i.ledger()), offer_filter, search, literal)
+
+    query_at("fulfilled_report_hotel", P)(report(config.HOTEL_LABEL))
+    query_at("fulfilled_report_all", P)(report("All"))
+    query_at("fulfilled_report_literal", P)(report("All", "MEMBER 1", True))
+
+    def over_views(text, **which):
+        def of(i):
+            from perkflow.plans.catalog import register_views, run_sql
+            tx = i.tx()
+            register_views(i.spark, tx, i.summary(tx=tx), i.ledger() if which.get("ledger") else None,
+                           leaderboard=which.get("leaderboard", False))
+            return run_sql(i.spark, text)
+        return of
+
+    query_at("sql_over_summary", P)(over_views(
+        "SELECT member_id, COUNT(*) AS windows, CAST(SUM(net_amount) AS DOUBLE) AS net FROM member_daily_summary "
+        "GROUP BY member_id HAVING COUNT(*) >= 3"))
+    query_at("sql_over_game_stats", P)(over_views(
+        "SELECT game_type, house_edge FROM game_stats WHERE bet_count >= 10"))
+    query_at("sql_over_ledger", P)(over_views(
+        "SELECT offer_type, COUNT(*) AS redemptions, COUNT(DISTINCT member_id) AS members FROM redeemed_offers "
+        "GROUP BY offer_type", ledger=True))
+    query_at("sql_over_leaderboard", P)(over_views(
+        "SELECT member_id, CAST(total_spend AS DOUBLE) AS total_spend, spend_rank FROM member_leaderboard "
+        "WHERE spend_rank <= 20", leaderboard=True))
+
+
+_register_live()
+
+
+def q_summary_typed(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Summary columns with their own types: money as DECIMAL, the window's day as DATE."""
+    return Inputs(spark, data_dir, P).summary().select(
+        "member_id", "window_start", F.to_date("window_start").alias("window_date"),
+        F.col("total_spend").cast("decimal(38,2)").alias("total_spend"),
+        F.col("net_amount").cast("decimal(38,2)").alias("net_amount"))
+
+
+REGISTRY["summary_typed"] = q_summary_typed

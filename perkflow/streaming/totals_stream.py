@@ -66,8 +66,8 @@ def current_game_stats(spark: SparkSession, path: str) -> DataFrame:
         "game_type", "bet_count", "win_count", "total_bet", "total_won", "house_edge")
 
 
-def current_leaderboard(spark: SparkSession, path: str, buckets: int | None = None) -> DataFrame:
+def current_leaderboard(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """Current all-time member totals ranked by spend (distributed global rank, see ranking.py)."""
     totals = latest_by_key(spark, path, ["member_id", "member_name"])
-    ranked = with_global_rank(totals, "total_spend", True, "spend_rank", buckets)
+    ranked = with_global_rank(totals, "total_spend", True, "spend_rank", partitions)
     return ranked.orderBy(F.col("spend_rank"), F.col("member_id"), F.col("member_name"))

@@ -2,10 +2,11 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from perkflow.plans import streams_registry  # noqa: F401  (registers the streaming entries)
+from perkflow.plans.registry import REGISTRY
 from tests.conftest import SF_SMALL
 
-QUERIES = entry.queries()
+QUERIES = REGISTRY
 BATCH = [n for n in QUERIES if not n.endswith("_stream") and n not in (
     "summary_window_close", "redemption_stream")]
 
@@ -33,7 +34,7 @@ def test_flagship_uses_group_limit_and_anti_join(spark):
     assert "WindowGroupLimit" in p
     assert "LeftAnti" in p
     # one aggregation for the offers (hotel and drink in one pass) and one for the simulated ledger
-    assert p.count("Exchange hashpartitioning(member_id#") >= 1
+    assert p.count("partial_sum(") >= 2 and p.count("FileScan parquet") == 2
 
 
 def test_summary_has_partial_aggregation(spark):
@@ -68,11 +69,36 @@ def test_last_windows_broadcast_is_bounded(spark):
     assert "TakeOrderedAndProject" in p and "LeftSemi" in p
 
 
-def test_leaderboard_has_no_global_sort_window(spark):
-    f = formatted(spark, "member_leaderboard")
-    # the only unpartitioned window runs over the per-bucket totals (a bounded table)
-    windows = [ln for ln in f.splitlines() if ln.startswith("Arguments") and "rank(" in ln]
-    assert not windows
+def unpartitioned_windows(f: str) -> list[str]:
+    """Windows without PARTITION BY (an empty list of partition expressions)."""
+    lines = f.splitlines()
+    out = []
+    for i, ln in enumerate(lines):
+        if ln.startswith("(") and " Window" in ln and "GroupLimit" not in ln:
+            arguments = next(x for x in lines[i:i + 5] if x.startswith("Arguments:"))
+            if "], [" not in arguments.replace("Arguments: ", ""):
+                continue
+            parts = arguments.split("], [")
+            if len(parts) < 3:      # window expressions and order only
+                out.append(arguments)
+    return out
+
+
+@pytest.mark.parametrize("name", [n for n in BATCH])
+def test_only_bounded_tables_meet_in_one_window(spark, name):
+    """The only window without PARTITION BY runs over the leaderboard's per-partition totals."""
+    windows = unpartitioned_windows(formatted(spark, name))
+    allowed = 1 if "leaderboard" in name else 0
+    assert len(windows) <= allowed and all("_pn" in w for w in windows), windows
+
+
+def test_newest_windows_sort_only_the_result(spark):
+    from perkflow.operators import offers
+    from perkflow.plans.registry import _history
+    from perkflow.plans.inputs import Inputs
+    history = _history(Inputs(spark, SF_SMALL), "hotel")
+    assert "rangepartitioning" not in history._jdf.queryExecution().executedPlan().toString()
+    assert offers.history_window_counts(history).count() == 3
 
 
 def test_flagship_scans_once_in_full_and_once_for_today(spark):
