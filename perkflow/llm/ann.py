@@ -37,14 +37,14 @@ from perkflow.llm.common import save
 class Ann:
     """``sample_rows`` bounds what the centroids are fitted on, ``max_lists`` what is held in memory."""
     k: int = 20
-    list_rows: int = 256
+    list_rows: int = 512
     max_lists: int = 8192
     sample_rows: int = 65_536
     rounds: int = 3
     degree: int = 16
     replicas: int = 4
     boundary: float = 1.12
-    reach: float = 1.19
+    reach: float = 1.09
     least_lists: int = 8
     walk: int = 24              # steps that a walk on the graph takes at least
     block_rows: int = 2048
@@ -246,15 +246,14 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     def replicate(batches):
         for batch in batches:
             x = lengthened(matrix(batch.column("v")), longest)
-            rows, lists = [], []
-            for i, v in enumerate(x):
+            found = []
+            for v in x:
                 ids, far = shared.value.within(v, how.boundary, 1)
-                own = ids[far <= how.boundary * far[0]][:how.replicas]
-                rows += [i] * len(own)
-                lists += own.tolist()
-            yield _dealt(batch, rows, lists)
+                found.append(ids[far <= how.boundary * far[0]][:how.replicas].tolist())
+            yield _dealt(batch, found)
 
-    postings = save(good.mapInArrow(replicate, f"list int, vec_id {id_type}, v {v_type}"), "postings")
+    columns = f"list int, lists array<int>, vec_id {id_type}, v {v_type}"
+    postings = save(good.mapInArrow(replicate, columns), "postings")
     sizes = np.zeros(len(index.points), np.int64)
     for r in postings.groupBy("list").count().collect():  # one row per list
         sizes[r["list"]] = r["count"]
@@ -263,15 +262,10 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     def probe(batches):
         for batch in batches:
             x = as_query(matrix(batch.column("v")), longest)
-            rows, lists = [], []
-            for i, v in enumerate(x):
-                ids, _ = shared.value.within(v, how.reach, how.least_lists, shared_sizes.value,
-                                             how.replicas * (how.k + 1))
-                rows += [i] * len(ids)
-                lists += ids.tolist()
-            yield _dealt(batch, rows, lists)
-
-    probes = save(good.where(is_query).mapInArrow(probe, f"list int, vec_id {id_type}, v {v_type}"), "probes")
+            yield _dealt(batch, [shared.value.within(v, how.reach, how.least_lists, shared_sizes.value,
+                                                     how.replicas * (how.k + 1))[0].tolist() for v in x])
+
+    probes = save(good.where(is_query).mapInArrow(probe, columns), "probes")
     asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
     plan = [(i, -(-int(sizes[i]) // how.block_rows), -(-n // how.block_queries)) for i, n in asked.items() if sizes[i]]
     blocks = F.broadcast(spark.createDataFrame(plan, "list int, row_blocks int, query_blocks int"))
@@ -279,7 +273,7 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         return side.join(blocks, "list").select(
             "list", F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other), "vec_id", "v")
+            F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other), "lists", "vec_id", "v")
 
     cell = ["list", "row_block", "query_block"]
     left = dealt(postings, "row_block", "query_block", "row_blocks", "query_blocks")
@@ -293,18 +287,31 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
         else:
             q, i, score = best_pairs(queries["vec_id"].to_numpy(), matrix(queries["v"]),
                                      rows["vec_id"].to_numpy(), matrix(rows["v"]), how.k)
+            new = ~found_before(rows["list"][0].as_py(), rows["lists"].to_pylist(), queries["lists"].to_pylist(), q, i)
+            q, i, score = q[new], i[new], score[new]
         return pa.table([queries["vec_id"].take(pa.array(q)), rows["vec_id"].take(pa.array(i)), pa.array(score)], names)
 
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
         compare, f"query_id {id_type}, vec_id {id_type}, score double")
-    # copies of a pair from several lists share a rank
+    # should a pair come from several cells, its copies share a rank
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.dense_rank().over(by)).where(F.col("rank") <= how.k) \
         .dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
 
 
-def _dealt(batch: pa.RecordBatch, rows: list[int], lists: list[int]) -> pa.RecordBatch:
-    at = pa.array(rows, pa.int64())
+def found_before(own: int, lists: list[list[int]], probed: list[list[int]], q: np.ndarray,
+                 i: np.ndarray) -> np.ndarray:
+    """Marks pairs (query row, vector row) that meet in a list numbered below ``own``, too.
+
+    That list names the pair, or knows k better ones, so this one need not.
+    """
+    searched = [set(p) for p in probed]
+    return np.array([any(x < own and x in searched[a] for x in lists[b]) for a, b in zip(q.tolist(), i.tolist())], bool)
+
+
+def _dealt(batch: pa.RecordBatch, found: list[list[int]]) -> pa.RecordBatch:
+    """A row for every list found to a vector."""
+    at = pa.array([i for i, ids in enumerate(found) for _ in ids], pa.int64())
     return pa.RecordBatch.from_arrays(
-        [pa.array(lists, pa.int32()), batch.column("vec_id").take(at), batch.column("v").take(at)],
-        ["list", "vec_id", "v"])
+        [pa.array([x for ids in found for x in ids], pa.int32()), pa.array(found, pa.list_(pa.int32())).take(at),
+         batch.column("vec_id").take(at), batch.column("v").take(at)], ["list", "lists", "vec_id", "v"])
