@@ -8,13 +8,16 @@ summary. The ledger is never dropped by a rebuild.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perkflow import config
+from perkflow.functions.time import duration_seconds, to_date, to_datetime, ts_lit
 from perkflow.operators import analytics
 from perkflow.operators.offers import drink_offers, hotel_room_offers
-from perkflow.operators.summary import member_window_summary
+from perkflow.operators.summary import member_window_summary, restrict_to_interval
 
 VIEW_NAMES = ("gaming_transactions", "member_daily_summary", "hotel_room_offers", "drink_offers",
               "redeemed_offers", "game_stats", "member_leaderboard")
@@ -35,9 +38,9 @@ def rebuild_summary(spark: SparkSession, tx: DataFrame, table_path: str,
     """
     s = member_window_summary(tx, window).withColumn("window_date", F.to_date("window_start"))
     if buckets:
-        # one task per bucket (bucket ids use the same hash as hash partitioning),
-        # so each (day, bucket) is one file instead of one per task
-        (s.repartition(buckets, "member_id").write.mode("overwrite").partitionBy("window_date")
+        # each (day, bucket) in one task and so in one file, but no task holds a bucket's whole history
+        # (bucket ids use the same hash as hash partitioning)
+        (s.repartition("window_date", F.pmod(F.hash("member_id"), F.lit(buckets))).write.mode("overwrite").partitionBy("window_date")
          .bucketBy(buckets, "member_id").sortBy("member_id")
          .option("path", table_path).saveAsTable(table_name))
         return spark.table(table_name)
@@ -46,6 +49,24 @@ def rebuild_summary(spark: SparkSession, tx: DataFrame, table_path: str,
     return spark.read.parquet(table_path)
 
 
+def rebuild_days(spark: SparkSession, tx: DataFrame, table_path: str, first_day, last_day,
+                 window: str = config.DEFAULT_WINDOW) -> DataFrame:
+    """Recompute the windows that start on [first_day, last_day] and overwrite only those days (backfill).
+
+    Reads only the transactions of these days; the other days' files stay as
+    they are. ``window`` must divide a day, so that no window spans two.
+    """
+    if 86_400 % duration_seconds(window):
+        raise ValueError(f"windows of {window} span days")
+    lo, hi = to_datetime(to_date(first_day)), to_datetime(to_date(last_day)) + dt.timedelta(days=1)
+    s = member_window_summary(restrict_to_interval(tx, lo, hi), window) \
+        .where((F.col("window_start") >= ts_lit(lo)) & (F.col("window_start") < ts_lit(hi))) \
+        .withColumn("window_date", F.to_date("window_start"))
+    s.hint("rebalance", "window_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("window_date").parquet(table_path)
+    return spark.read.parquet(table_path)
+
+
 def register_views(spark: SparkSession, tx: DataFrame, summary: DataFrame,
                    ledger: DataFrame | None = None,
                    hotel_threshold=config.DEFAULT_HOTEL_THRESHOLD,

@@ -7,6 +7,10 @@ change log, partitioned by window date) and the redemption ledger
 (partitioned by redemption date). Window predicates on ``window_start`` /
 ``window_end`` prune date partitions of the summary; day predicates prune the
 ledger. Nothing here rescans the raw transactions.
+
+With ``changelog_path`` the dashboard is live: closed windows come from the
+compacted table up to its committed boundary, open ones from the newest
+versions in the change log, so every tab includes windows that still change.
 """
 
 from __future__ import annotations
@@ -19,10 +23,11 @@ from pyspark.sql import functions as F
 
 from perkflow import config
 from perkflow.functions.time import (date_lit, duration_seconds, interval_bounds, time_filter,
-                                     time_filter_lower_bound, to_date, to_datetime)
+                                     time_filter_lower_bound, to_date, to_datetime, ts_lit)
 from perkflow.operators import analytics, ledger, offers
 from perkflow.plans.catalog import rebuild_summary
 from perkflow.sources.schemas import SUMMARY_COLUMNS
+from perkflow.streaming import changelog
 
 
 @dataclass
@@ -35,6 +40,7 @@ class Dashboard:
     interval_seconds: int = config.DEFAULT_INTERVAL_SECONDS
     window: str = config.DEFAULT_WINDOW
     table_name: str | None = None     # read a bucketed catalog table instead of the path
+    changelog_path: str | None = None  # the summary stream's change log; summary_path is its compacted table
 
     @classmethod
     def build(cls, spark: SparkSession, tx: DataFrame, summary_path: str, ledger_path: str,
@@ -56,14 +62,30 @@ class Dashboard:
         ``window_start`` / ``window_end``, so the questions that bound the
         window state the date range explicitly.
         """
-        df = (self.spark.table(self.table_name) if self.table_name
-              else self.spark.read.parquet(self.summary_path))
+        if self.changelog_path:
+            df = self._live_summary()
+        else:
+            df = (self.spark.table(self.table_name) if self.table_name
+                  else self.spark.read.parquet(self.summary_path))
         if first_day is not None:
             df = df.where(F.col("window_date") >= date_lit(first_day))
         if last_day is not None:
             df = df.where(F.col("window_date") <= date_lit(last_day))
         return df.select(*SUMMARY_COLUMNS)
 
+    def _live_summary(self) -> DataFrame:
+        """Compacted windows and the newest versions of the others, with ``window_date``."""
+        log = changelog.read_changelog(self.spark, self.changelog_path)
+        boundary = changelog.committed_boundary(self.spark, self.summary_path)
+        if boundary is not None:
+            log = log.where(F.col("window_end") > ts_lit(boundary))
+        live = changelog.newest_versions(log).withColumn("window_date", F.to_date("window_start"))
+        columns = [*SUMMARY_COLUMNS, "window_date"]
+        if boundary is None:
+            return live.select(*columns)
+        return changelog.compacted_rows(self.spark, self.summary_path, boundary).select(*columns) \
+            .unionByName(live.select(*columns))
+
     def _window_starting_after(self, end_after) -> dt.date | None:
         """First window date that can hold a window ending after ``end_after``."""
         if end_after is None:
@@ -81,8 +103,9 @@ class Dashboard:
         """Qualifying windows of the current or previous interval, with already_redeemed."""
         cs, ce, ps, pe = interval_bounds(as_of, self.interval_seconds)
         start, end = (cs, ce) if which == "current" else (ps, pe)
-        return offers.interval_offers(self.summary(start, end), self.ledger(), kind, self._threshold(kind),
-                                      start, end, today or to_date(as_of))
+        day = today or to_date(as_of)
+        done = ledger.read_ledger(self.spark, self.ledger_path, day, day)
+        return offers.interval_offers(self.summary(start, end), done, kind, self._threshold(kind), start, end, day)
 
     def _history(self, kind: str, as_of, time_window: str) -> DataFrame:
         _, _, ps, _ = interval_bounds(as_of, self.interval_seconds)
@@ -107,11 +130,17 @@ class Dashboard:
     # --- fulfilment tab (F4, F5, F9, D6, D7) ----------------------------------------
     def pending(self, today) -> DataFrame:
         rows = offers.offer_rows(self.summary())   # fixed-threshold offer views
-        return ledger.pending_from_rows(rows, self.ledger(), today)
+        return ledger.pending_from_rows(rows, ledger.read_ledger(self.spark, self.ledger_path, today, today), today)
+
+    def pending_counts(self, today) -> DataFrame:
+        return ledger.pending_counts(self.pending(today))
 
     def fulfilled(self) -> DataFrame:
         return ledger.fulfilled_offers(self.ledger())
 
+    def fulfilled_counts(self) -> DataFrame:
+        return ledger.fulfilled_counts(self.fulfilled())
+
     def fulfilled_report(self, offer_filter: str = "All", member_search: str | None = None) -> DataFrame:
         return ledger.fulfilled_report(self.fulfilled(), offer_filter, member_search)
 

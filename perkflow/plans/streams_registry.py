@@ -25,7 +25,10 @@ from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
 from perkflow.streaming import totals_stream
 from perkflow.streaming.ledger_stream import start_redemption_stream
-from perkflow.streaming.summary_stream import (events_transaction_stream, rollup_stream, run_to_completion,
+from perkflow.sources.wire import encode_value
+from perkflow.operators.analytics import approximation_check
+from perkflow.streaming.ingest import start_ingest
+from perkflow.streaming.summary_stream import (approx_members_stream, events_transaction_stream, rollup_stream, run_to_completion,
                                                start_summary_changelog, start_summary_on_close,
                                                summary_stream)
 
@@ -156,6 +159,48 @@ def member_leaderboard_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     return money_as_double(totals_stream.current_leaderboard(spark, f"{root}/changelog"))
 
 
+def _ingest_run(spark: SparkSession, data_dir: str) -> str:
+    """All transactions as JSON messages, and after every 50th one a cut and one an incomplete message."""
+    root = _run_dir(spark, "ingest")
+    tx = Inputs(spark, data_dir, P).tx()
+    messages = tx.select("transaction_id", encode_value(tx).alias("value"))
+    some = F.col("transaction_id") % 50 == 0
+    cut = messages.where(some).select(F.expr("substring(value, 1, 20)").alias("value"))
+    half = messages.where(some).select(F.regexp_replace("value", '"amount":[^,]*', '"amount":"abc"').alias("value"))
+    messages.select("value").unionByName(cut).unionByName(half).write.text(f"{root}/in")
+    job = start_ingest(spark.readStream.format("text").load(f"{root}/in"), root,
+                       n_state_partitions=_state_parts(spark))
+    for q in job.queries:
+        run_to_completion(q)
+    return root
+
+
+def ingest_summary(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Summary of the valid messages of the whole ingest job."""
+    return money_as_double(changelog.current_summary(spark, f"{_ingest_run(spark, data_dir)}/changelog"))
+
+
+def ingest_rejects(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Messages that the ingest job refused, by reason."""
+    root = _ingest_run(spark, data_dir)
+    rejects = spark.read.option("basePath", f"{root}/rejects").parquet(f"{root}/rejects")
+    return rejects.groupBy("reason").agg(F.count("*").alias("messages"))
+
+
+def approx_member_count_stream(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Distinct members per closed window, and whether the streaming sketch is close to it."""
+    root = _run_dir(spark, "approx")
+    q = start_summary_on_close(approx_members_stream(events_transaction_stream(spark, data_dir), P.window),
+                               f"{root}/counts", f"{root}/checkpoint", n_state_partitions=_state_parts(spark))
+    run_to_completion(q)
+    approx = spark.read.option("basePath", f"{root}/counts").parquet(f"{root}/counts").drop("batch_id")
+    closed = Inputs(spark, data_dir, P).summary().join(approx.select("window_start"), "window_start", "left_semi")
+    return approximation_check(approx, closed)
+
+
+REGISTRY["ingest_summary"] = ingest_summary
+REGISTRY["ingest_rejects"] = ingest_rejects
+REGISTRY["approx_member_count_stream"] = approx_member_count_stream
 REGISTRY["member_summary_stream"] = member_summary_stream
 REGISTRY["hotel_offers_stream"] = hotel_offers_stream
 REGISTRY["drink_offers_stream"] = drink_offers_stream
@@ -167,6 +212,16 @@ REGISTRY["daily_rollup_stream"] = daily_rollup_stream
 REGISTRY["game_stats_stream"] = game_stats_stream
 REGISTRY["member_leaderboard_stream"] = member_leaderboard_stream
 
+_CLOSED = f"window_end <= (SELECT MAX(ts) FROM events) - INTERVAL '{config.WATERMARK_DELAY}'"
+# messages carry whole seconds
+STREAM_ORACLE["ingest_summary"] = with_(tx_cte(), "whole AS (SELECT * REPLACE (date_trunc('second', transaction_time) "
+                                        "AS transaction_time) FROM tx)", summary_cte(P.window, source="whole")) \
+    + f"SELECT {SUMMARY_OUT} FROM summary"
+STREAM_ORACLE["ingest_rejects"] = """
+SELECT 'malformed' AS reason, 2 * COUNT(*) AS messages FROM events WHERE event_id % 50 = 0 HAVING COUNT(*) > 0"""
+STREAM_ORACLE["approx_member_count_stream"] = with_(tx_cte(), summary_cte(P.window)) + f"""
+SELECT window_start, window_end, COUNT(DISTINCT member_id) AS members, TRUE AS approximation_holds
+FROM summary WHERE {_CLOSED} GROUP BY window_start, window_end"""
 STREAM_ORACLE["member_summary_stream"] = ORACLE_SQL["member_window_summary"]
 STREAM_ORACLE["hotel_offers_stream"] = ORACLE_SQL["hotel_room_offers"]
 STREAM_ORACLE["drink_offers_stream"] = ORACLE_SQL["drink_offers"]
