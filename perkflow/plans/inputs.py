@@ -21,7 +21,6 @@ from perkflow.operators.summary import member_window_summary, restrict_to_interv
 from perkflow.sources.events_adapter import transactions_from_events
 from perkflow.sources.fixtures import simulated_requests_from_rows
 from perkflow.sources.tables import read_table
-from perkflow.session import materialize
 
 
 @dataclass(frozen=True)
@@ -57,17 +56,10 @@ class Inputs:
         s = self.summary(window) if summary is None else summary
         return drink_offers(s, config.DEFAULT_DRINK_THRESHOLD)
 
-    def offer_rows(self, window: str | None = None, summary: DataFrame | None = None,
-                   shared: bool = False) -> DataFrame:
-        """Both offer types in one pass; ``shared`` computes them once for several consumers.
-
-        The fulfilment queries read the offers twice (latest offers and the
-        simulated redemption desk); materializing the qualifying windows once
-        keeps the source scan and the member x window aggregation to one pass.
-        """
+    def offer_rows(self, window: str | None = None, summary: DataFrame | None = None) -> DataFrame:
+        """Both offer types in one pass over the summary."""
         s = self.summary(window) if summary is None else summary
-        rows = offer_rows(s, config.DEFAULT_HOTEL_THRESHOLD, config.DEFAULT_DRINK_THRESHOLD)
-        return materialize(rows) if shared else rows
+        return offer_rows(s, config.DEFAULT_HOTEL_THRESHOLD, config.DEFAULT_DRINK_THRESHOLD)
 
     def ledger(self, window: str | None = None, summary: DataFrame | None = None,
                rows: DataFrame | None = None) -> DataFrame:

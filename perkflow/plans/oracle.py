@@ -470,6 +470,13 @@ SELECT COALESCE(total_members, 0) AS total_members, COALESCE(total_revenue, 0) A
        COALESCE(winning_members, 0) AS winning_members, COALESCE(losing_members, 0) AS losing_members FROM s""",
         "reward_eligibility_distribution_empty": never + _reward_distribution(never_pred),
         "win_loss_distribution_empty": never + _win_loss(never_pred),
+        "hotel_previous_badges": with_(f"base AS ({_interval_sql(config.HOTEL, 'previous')})") + f"""
+SELECT member_id, window_start, strftime(window_start, '%H:%M:%S') AS starts_at,
+       CASE WHEN already_redeemed THEN {_q(config.REDEEMED_BADGE)} ELSE {_q(config.PENDING_BADGE)} END AS badge
+FROM base""",
+        "interval_activity": with_(tx_cte()) + f"""
+SELECT time_bucket(INTERVAL '{config.DEFAULT_INTERVAL_SECONDS} seconds', transaction_time) AS interval_start,
+       COUNT(*) AS transactions FROM tx WHERE transaction_time IS NOT NULL GROUP BY 1""",
         "fulfilled_report_hotel": _report("offer_type = 'hotel'"),
         "fulfilled_report_all": _report("TRUE"),
         "fulfilled_report_literal": _report("contains(lower(member_name), lower('MEMBER 1'))"),

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from perkflow import config
-from perkflow.functions.time import interval_bounds, time_filter
+from perkflow.functions.text import clock_text, redeemed_badge
+from perkflow.functions.time import interval_bounds, interval_start_col, time_filter
 from perkflow.operators import analytics, ledger, offers
 from perkflow.operators.summary import (member_window_summary, restrict_before, restrict_to_interval,
                                         restrict_window_end_after, rollup_windows)
@@ -460,6 +461,16 @@ def _register_live() -> None:
     def report(offer_filter, search=None, literal=False):
         return lambda i: ledger.fulfilled_report(ledger.fulfilled_offers(i.ledger()), offer_filter, search, literal)
 
+    def badges(i):
+        rows = _interval(i, config.HOTEL, "previous")
+        return rows.select("member_id", "window_start", clock_text("window_start").alias("starts_at"),
+                           redeemed_badge().alias("badge"))
+
+    query_at("hotel_previous_badges", P)(badges)
+    query_at("interval_activity", P)(
+        lambda i: i.tx().where(F.col("transaction_time").isNotNull())
+        .groupBy(interval_start_col(F.col("transaction_time"), config.DEFAULT_INTERVAL_SECONDS).alias("interval_start"))
+        .agg(F.count("*").alias("transactions")))
     query_at("fulfilled_report_hotel", P)(report(config.HOTEL_LABEL))
     query_at("fulfilled_report_all", P)(report("All"))
     query_at("fulfilled_report_literal", P)(report("All", "MEMBER 1", True))

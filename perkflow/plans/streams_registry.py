@@ -21,7 +21,7 @@ from perkflow.plans.registry import REGISTRY
 from perkflow.functions.time import ts_lit
 from perkflow.session import scratch_path
 from perkflow.sources.fixtures import simulated_requests_from_rows
-from perkflow.sources.schemas import LEDGER_COLUMNS, SUMMARY_COLUMNS
+from perkflow.sources.schemas import LEDGER_COLUMNS, REQUEST_SCHEMA, SUMMARY_COLUMNS
 from perkflow.streaming import changelog
 from perkflow.streaming import totals_stream
 from perkflow.streaming.ledger_stream import start_redemption_stream
@@ -110,8 +110,7 @@ def redemption_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     fmt = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
     early.write.options(**fmt).json(f"{root}/requests/part-0")
     late.write.options(**fmt).json(f"{root}/requests/part-1")
-    stream = (spark.readStream.schema("member_id long, member_name string, offer_type string, "
-                                      "requested_at timestamp_ntz")
+    stream = (spark.readStream.schema(REQUEST_SCHEMA)
               .options(**fmt).option("maxFilesPerTrigger", str(_state_parts(spark))).json(f"{root}/requests/*"))
     q = start_redemption_stream(stream, f"{root}/ledger", f"{root}/checkpoint")
     run_to_completion(q)
