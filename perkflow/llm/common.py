@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,5 +46,34 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+FILTER_BITS = 1 << 25
+
+
+def key_filter(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test that holds for all of ``keys`` and fails for most others, to spare the others a shuffle.
+
+    One bit per hash value: 4 MB to broadcast, however many keys there are. With
+    very many keys it lets everything pass, so an exact join must follow.
+    """
+    def place(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+
+    rows = keys.select(place(F.col(key)).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()  # at most 1024 rows of 4 KB
+    part_bytes = 4096
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows:
+        start = (r["part"] - 1) * part_bytes
+        bits[start:start + part_bytes] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf("boolean")
+    def may_hold(at: pa.Array) -> pa.Array:
+        i = at.to_numpy(zero_copy_only=False) - 1
+        return pa.array((shared.value[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1)
+
+    return lambda c: may_hold(place(c))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

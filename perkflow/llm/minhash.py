@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from perkflow.llm.common import save, utf8
+from perkflow.llm.common import key_filter, save, utf8
 from perkflow.llm.repetition import _mixed
 
 
@@ -413,7 +413,9 @@ def _classes(docs: DataFrame, doc_id: str, text: str, how: NearDup) -> tuple[Dat
     near = save(wanted.select("node", "doc_id", "n", "minima", "keys"), "bucket-nodes")
 
     ids = near.select(F.col("doc_id").alias("id"), F.col("node").alias("wanted"))
-    texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("id"))).select("wanted", utf8("text").alias("text"))
+    wanted_ids = key_filter(ids, "id")
+    texts = own.where(wanted_ids(F.col("doc_id"))).join(ids, F.col("doc_id").eqNullSafe(F.col("id"))) \
+        .select("wanted", utf8("text").alias("text"))
     sets = save(full_sets(texts, how).groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     stars = accepted(star_pairs(buckets, how), near, how)
@@ -464,14 +466,18 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     again = judged.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))) \
         .groupBy(*same).count().where("count > 1").select(*same)
 
+    # only rows that may be among these are dealt out and joined; the others, most of them, stay where they are
+    some = save(gone.select(*same, F.lit(True).alias("gone")).unionByName(again.select(*same, F.lit(False).alias("gone"))),
+                "doubles")
+    may_match = key_filter(some, "doc_id")(F.col(doc_id))
+    untouched = docs.where(~may_match)
+    looked_at = docs.where(may_match)
+    gone, again = some.where("gone"), some.where("NOT gone")
+
     def is_row(of: DataFrame) -> Column:
-        return docs[doc_id].eqNullSafe(of["doc_id"]) & (F.xxhash64(docs[text]) == of["text_hash"])
+        return looked_at[doc_id].eqNullSafe(of["doc_id"]) & (F.xxhash64(looked_at[text]) == of["text_hash"])
 
-    # small tables of ids; Spark broadcasts them only below its size threshold
-    gone, again = save(gone, "dropped"), save(again, "repeated")
-    kept = docs.join(gone, is_row(gone), "left_anti")
-    if not again.head(1):
-        return kept
+    kept = looked_at.join(gone, is_row(gone), "left_anti")
     once = kept.join(again, is_row(again), "left_anti")
     several = kept.join(again, is_row(again), "left_semi")
-    return once.unionByName(several.dropDuplicates([doc_id, text]))
+    return untouched.unionByName(once).unionByName(several.dropDuplicates([doc_id, text]))

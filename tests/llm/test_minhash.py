@@ -141,3 +141,14 @@ def test_edge_rows(spark):
         [(1, ""), (2, ""), (3, " \n"), (4, "one t"), (6, "one t"), (6, "quite"), (8, "v0 v1"), (None, "")], key=str)
     empty = docs.limit(0)
     assert M.near_duplicates(empty).collect() == [] and M.without_near_duplicates(empty).collect() == []
+
+
+def test_key_filter_holds_for_every_key(spark):
+    from perkflow.llm.common import key_filter
+    keys = spark.createDataFrame([(i,) for i in range(0, 5000, 7)] + [(None,)], "k long")
+    test = key_filter(keys, "k")
+    every = spark.range(5000).select("id").union(spark.createDataFrame([(None,)], "id long"))
+    hit = {r["id"] for r in every.where(test(F.col("id"))).collect()}
+    wanted = set(range(0, 5000, 7)) | {None}
+    assert wanted <= hit and len(hit - wanted) < 10
+    assert every.where(key_filter(keys.limit(0), "k")(F.col("id"))).count() == 0
