@@ -28,15 +28,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perkflow.llm import units
 from perkflow.llm.common import save, utf8
-from perkflow.llm.segments import BoundedCache, parts, words
-
-_GROUP_CHARS = 1 << 21
+from perkflow.llm.segments import BoundedCache, parts
 
 
 @dataclass(frozen=True)
@@ -66,41 +66,106 @@ def check_tokenizer(content: str) -> int:
 
 
 class _Words:
-    """A worker's tokenizer with a bounded cache of words."""
+    """A worker's tokenizer with bounded memories of words and of the pieces that words share.
+
+    New pieces are encoded many at a time as one text of words; the tokens that
+    end a word tell them apart again.
+    """
+
+    #: Up to here no letter composes with another one, and lower case is the same in every library.
+    LATIN = "\u024f"
+    CHUNK = 256
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(content)
-        self.kind = id_type(check_tokenizer(content))
-        self.ids = BoundedCache(lambda w: self._encoded([w])[0], limit=600_000)
-
-    def _encoded(self, units: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes()
-                for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out = [b""] * len(texts)
-        held: list[tuple[int, list[str]]] = []
-        size = 0
-        for i, text in enumerate(texts):
-            for part in parts(text):
-                held.append((i, words(part)))
-                size += len(part)
-                if size > _GROUP_CHARS:
-                    self._add(held, out)
-                    held, size = [], 0
-        self._add(held, out)
+        spec = json.loads(content)
+        size = check_tokenizer(content)
+        self.kind = id_type(size)
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.special_lower = [s.lower().encode() for s in self.special]
+        self.special_marks = any(s[-1] in '.,;:!?)"' for s in self.special)
+        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
+        suffix = spec["model"]["end_of_word_suffix"]
+        self.ends_word = np.zeros(size, bool)
+        for token, i in spec["model"]["vocab"].items():
+            self.ends_word[i] = token.endswith(suffix)
+        self.hasher = units.Hasher()
+        self.memory = units.Memory(self._learn, 900_000)
+        self.pieces = BoundedCache(self._whole, limit=800_000)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _plain(self, text: str) -> bool:
+        """Whether words may be cut here, not by the library."""
+        return (text.isascii() or max(text) <= self.LATIN) and not any(s in text for s in self.special)
+
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        """The ids of words, their unknown pieces encoded first."""
+        found: list[bytes] = []
+        for i in range(0, len(new), 4096):
+            some = [w.decode("utf-8", "replace") for w in new[i:i + 4096]]
+            text = "\n".join(some)
+            if not self._plain(text):
+                found += [self._of_plain([w])[0] if self._plain(w) else self._whole(w) for w in some]
+            else:
+                found += self._of_plain(some)
+        return found
+
+    def _of_plain(self, some: list[str]) -> list[bytes]:
+        pieces = self.split.findall("\n".join(some).lower())
+        self._learn_pieces(set(pieces).difference("\n"))
+        look_up, out, ids = self.pieces.__getitem__, [], b""
+        for piece in pieces:
+            if piece == "\n":
+                out.append(ids)
+                ids = b""
+            else:
+                ids += look_up(piece)
+        return [*out, ids]
+
+    def _learn_pieces(self, some: set[str]) -> None:
+        missing = self.pieces.unknown(some)
+        for i in range(0, len(missing), self.CHUNK):
+            chunk = missing[i:i + self.CHUNK]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(chunk):     # a piece that the library cuts further: leave the chunk to single calls
+                continue
+            raw, start = ids.tobytes(), 0
+            for piece, end in zip(chunk, (ends * self.kind.itemsize).tolist()):
+                self.pieces.keep(piece, raw[start:end])
+                start = end
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text. Words are cut at ASCII white space; the library cuts them further where needed."""
+        out: list[bytes] = []
+        for numbers, group in units.grouped(texts):
+            if len(group[0]) < units.GROUP_BYTES:
+                out += self._encode_group(group)
+            else:
+                out.append(b"".join(map(self._encode_part, parts(group[0].decode("utf-8", "replace"), 1 << 18))))
         return out
 
-    def _add(self, held: list[tuple[int, list[str]]], out: list[bytes]) -> None:
-        missing = [w for w in set().union(*(u for _, u in held)).difference(self.ids)
-                   if len(w) <= self.ids.longest] if held else []
-        for word, ids in zip(missing, self._encoded(missing)):
-            self.ids.keep(word, ids)
-        look_up = self.ids.__getitem__
-        for i, units in held:
-            out[i] += b"".join(map(look_up, units))
+    def _encode_part(self, part: str) -> bytes:
+        """A part of a very long text; a run without white space may be as long as the text."""
+        raw = part.encode()
+        return self._encode_group([raw])[0] if len(raw) < units.GROUP_BYTES else self._whole(part)
+
+    def _encode_group(self, texts: list[bytes]) -> list[bytes]:
+        return units.encoded(texts, self._units_at, self.hasher, self.memory, self.kind, self._lowered)
+
+    def _lowered(self, raw: np.ndarray) -> np.ndarray:
+        """Lower case, which the tokenizer makes anyway, unless that would make a special string."""
+        low = units.lowered(raw)
+        data = low.tobytes()
+        return raw if any(s in data for s in self.special_lower) else low
+
+    def _units_at(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = units.words_at(raw)
+        return (starts, ends) if self.special_marks else units.split_marks(raw, starts, ends)
 
 
 def id_type(vocabulary: int) -> np.dtype:
@@ -123,8 +188,8 @@ def ids_column(spark: SparkSession, tokenizer_path: str, end_id: int, text: str
         if key not in _LOADED:
             _LOADED.clear()
             _LOADED[key] = _Words(shared.value)
-        found = _LOADED[key].encode([t.as_py().decode("utf-8", "replace") for t in texts])
-        return pa.array([ids + end for ids in found], pa.large_binary()).cast(pa.binary())
+        found = _LOADED[key].encode(texts.to_pylist())
+        return pa.array([ids + end for ids in found], pa.binary())
 
     return token_ids(utf8(text))
 
@@ -141,8 +206,9 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: np.dtype) -> tuple[np.nda
         held, n, size = np.zeros(vocabulary, np.int64), 0, 0
         for batch in batches:
             for x in batch.column(0):
-                tokens = np.frombuffer(x.as_buffer(), kind)
-                held[distinct(tokens)[0]] += 1
+                tokens = np.sort(np.frombuffer(x.as_buffer(), kind), kind="stable")
+                held[tokens[1:][tokens[1:] != tokens[:-1]]] += 1
+                held[tokens[:1]] += 1
                 n += 1
                 size += len(tokens)
         terms = np.flatnonzero(held)

@@ -18,9 +18,6 @@ WHITE_SPACE = ("\t\n\x0b\x0c\r \x85\xa0 "
                "    　")
 
 _SEGMENT = re.compile(f" ?[^{WHITE_SPACE}]+|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+")
-_WORD = re.compile(f"[^{WHITE_SPACE}]+")
-#: Python's own notion of white space has these, the Unicode property does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
 _SAFE_CUT = re.compile(f"(?<=[^{WHITE_SPACE}]) (?=[^{WHITE_SPACE}])")
 
 PART_CHARS = 1 << 20
@@ -42,31 +39,36 @@ def segments(part: str) -> list[str]:
     return _SEGMENT.findall(part)
 
 
-def words(part: str) -> list[str]:
-    """Runs without white space."""
-    return _WORD.findall(part) if _SEPARATORS.search(part) else part.split()
-
-
 class BoundedCache(dict):
-    """A worker's memory of what was computed for a unit of text.
+    """A worker's memory of what was computed for a unit of text, in two generations.
 
-    Pinned entries stay; when ``limit`` entries are reached the others are
-    dropped at once. Units longer than ``longest`` characters are not kept.
+    When the young generation holds ``limit / 2`` units it becomes the old one,
+    and the old one is forgotten; a unit found in the old generation is young
+    again. So units that keep occurring stay. Pinned units always stay. Units
+    longer than ``longest`` characters are not kept.
     """
 
     def __init__(self, compute, pinned: dict | None = None, limit: int = 200_000, longest: int = 48):
         super().__init__(pinned or {})
-        self.compute, self.pinned = compute, dict(pinned or {})
-        self.limit, self.longest = limit + len(self.pinned), longest
+        self.compute, self.pinned, self.old = compute, dict(pinned or {}), {}
+        self.limit, self.longest = limit // 2 + len(self.pinned), longest
 
     def __missing__(self, unit: str):
-        value = self.compute(unit)
+        value = self.old.get(unit)
+        if value is None:
+            value = self.compute(unit)
         self.keep(unit, value)
         return value
 
     def keep(self, unit: str, value) -> None:
         if len(unit) <= self.longest:
             if len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.pinned)
             self[unit] = value
+
+    def unknown(self, units: set[str]) -> list[str]:
+        """Those of ``units`` that would have to be computed and could be kept."""
+        old, longest = self.old, self.longest
+        return [u for u in units if u not in self and u not in old and len(u) <= longest]

@@ -46,9 +46,11 @@ def test_query_holds_every_id_once(results, library, duck):
 def test_words_equal_the_library(library):
     with open(FILE, encoding="utf-8") as f:
         worker = K._Words(f.read())
-    worker.ids.limit = 10
-    texts = ["", "It's  A<|endoftext|>test\x1cof\x85ÉtÉ é 12 34ab's'S ẞ İ 日本 🙂", "x" * 3_000, "a b " * 50]
-    got = [np.frombuffer(b, "<u2").tolist() for b in worker.encode(texts)]
+    worker.memory.half = worker.pieces.limit = 10
+    texts = ["", "Σας ΣΑΣ ﬁ e\u0301 Å ½² ªº ʼn ŉ ß ẞ straße's ǅ <|endoftext|><|startoftext|>x <|x", "A" * 90 + "é" * 60, "It's  A<|endoftext|>test\x1cof\x85ÉtÉ é 12 34ab's'S ẞ İ 日本 🙂", "x" * 3_000, "a b " * 50]
+    texts += ["Word. word, WORD!? it's it,'s don't. 12. 3), \"Hi\" é. é.) x.y. <|ENDOFTEXT|> <|endoftext|>. \u00bb, ",
+              "a b\tc\nd\u00a0e \u2003 f ", " ", "word " * 300_000, "é" * 700_000 + " x"]
+    got = [np.frombuffer(b, "<u2").tolist() for b in worker.encode([t.encode() for t in texts])]
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
