@@ -26,67 +26,92 @@ from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from perkflow.llm import units
 from perkflow.llm.common import utf8
-from perkflow.llm.segments import BoundedCache, parts, segments
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of one pre-token: the lowest-ranked, then leftmost pair is merged next, again and again."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))         # of the symbol that starts at a position
-    before = list(range(-1, n - 1))     # start of the symbol to the left
-    rank_of = ranks.get
-    pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of the pair starting here
-    pair.append(-1)
-    buckets: dict[int, list[int]] = {}  # rank: heap of positions
-    words: dict[int, int] = {}          # lower level of the bitmap: 256 ranks each
-    summary = 0                         # upper level: which words have a bit set
-
-    queued = enumerate(pair)
-    while True:
-        for i, r in queued:
-            if r >= 0:
-                if r in buckets:
-                    heappush(buckets[r], i)
+from perkflow.llm.segments import BoundedCache, parts
+
+class Merger:
+    """Merges the bytes of pre-tokens by rank.
+
+    The queue outlives a call, because it is empty again after one: a bucket
+    for every rank, holding one position or a heap of them, and a bitmap of the
+    buckets in use in words of 256 ranks.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        n = max(ranks.values()) + 1
+        self.buckets: list[None | int | list[int]] = [None] * n
+        self.words = [0] * (n // 256 + 1)
+        self.bit = [1 << i for i in range(max(256, len(self.words)))]
+
+    def __call__(self, piece: bytes) -> list[int]:
+        """The ids of one pre-token: the lowest-ranked, then leftmost pair is merged next, again and again."""
+        rank_of = self.ranks.get
+        whole = rank_of(piece)
+        if whole is not None:
+            return [whole]
+        buckets, words, bit = self.buckets, self.words, self.bit
+        n = len(piece)
+        end = list(range(1, n + 1))         # of the symbol that starts at a position
+        before = list(range(-1, n - 1))     # start of the symbol to the left
+        pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of the pair starting here
+        pair.append(-1)
+        summary = 0                         # upper level of the bitmap: words with a bit set
+        changed = range(n - 1)
+        while True:
+            for i in changed:
+                rank = pair[i]
+                if rank < 0:
+                    continue
+                bucket = buckets[rank]
+                if bucket is None:
+                    buckets[rank] = i
+                    w = rank >> 8
+                    words[w] |= bit[rank & 255]
+                    summary |= bit[w]
+                elif bucket.__class__ is int:
+                    buckets[rank] = [bucket, i] if bucket < i else [i, bucket]
                 else:
-                    buckets[r] = [i]
-                    w = r >> 8
-                    words[w] = words.get(w, 0) | 1 << (r & 255)
-                    summary |= 1 << w
-        while summary:
-            w = (summary & -summary).bit_length() - 1
-            bits = words[w]
-            rank = w << 8 | (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                words[w] = bits = bits & bits - 1
-                if not bits:
-                    summary &= summary - 1
-            if pair[i] == rank:
-                break                   # else stale: this pair was merged or changed since
-        else:
-            break
-        j = end[i]
-        end[i] = k = end[j]
-        pair[j] = pair[i] = -1
-        h = before[i]
-        queued = []
-        if k < n:
-            before[k] = i
-            pair[i] = r = rank_of(piece[i:end[k]], -1)
-            queued.append((i, r))
-        if h >= 0:
-            pair[h] = r = rank_of(piece[h:k], -1)
-            queued.append((h, r))
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i:end[i]]])
-        i = end[i]
-    return out
+                    heappush(bucket, i)
+            while summary:
+                w = (summary & -summary).bit_length() - 1
+                bits = words[w]
+                rank = (w << 8) + (bits & -bits).bit_length() - 1
+                bucket = buckets[rank]
+                if bucket.__class__ is int:
+                    i = bucket
+                    buckets[rank] = None
+                    words[w] = bits = bits & bits - 1
+                    if not bits:
+                        summary &= summary - 1
+                else:
+                    i = heappop(bucket)
+                    if len(bucket) == 1:
+                        buckets[rank] = bucket[0]
+                if pair[i] == rank:
+                    break                   # else stale: this pair was merged or changed since
+            else:
+                break
+            j = end[i]
+            end[i] = k = end[j]
+            pair[j] = -1
+            if k < n:
+                before[k] = i
+                pair[i] = rank_of(piece[i:end[k]], -1)
+            else:
+                pair[i] = -1
+            h = before[i]
+            if h >= 0:
+                pair[h] = rank_of(piece[h:k], -1)
+                changed = (h, i)
+            else:
+                changed = (i,)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i:end[i]]])
+            i = end[i]
+        return out
 
 
 class Vocabulary:
@@ -95,23 +120,45 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.n_ranks = ranks, max(ranks.values()) + 1
         self.pattern = regex.compile(pattern)
-        self.units = BoundedCache(self._unit, limit=300_000)
-        self.pieces = BoundedCache(self._piece, limit=800_000)
+        self.merged = Merger(ranks)
+        self.hasher = units.Hasher()
+        self.memory = units.Memory(self._learn, 1_000_000)    # segments, most of them one pre-token
+        self.pieces = BoundedCache(self._ids, limit=100_000)  # pre-tokens of the other segments
         self.bytes_of = [b""] * self.n_ranks
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
-    def _unit(self, segment: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(segment)))
-
-    def _piece(self, pre_token: str) -> bytes:
-        ids = merge(pre_token.encode(), self.ranks)
+    def _ids(self, pre_token: str) -> bytes:
+        ids = self.merged(pre_token.encode())
         return pack(f"<{len(ids)}i", *ids)
 
+    def _learn(self, new: list[bytes]) -> list[bytes]:
+        out = []
+        for segment in new:
+            pieces = self.pattern.findall(segment.decode())
+            if len(pieces) == 1:
+                ids = self.merged(segment)
+                out.append(pack(f"<{len(ids)}i", *ids))
+            else:
+                out.append(b"".join(map(self.pieces.__getitem__, pieces)))
+        return out
+
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
-        look_up = self.units.__getitem__
-        return b"".join(b"".join(map(look_up, segments(p))) for p in parts(text))
+        look_up = self.pieces.__getitem__
+        return b"".join(b"".join(map(look_up, self.pattern.findall(p))) for p in parts(text))
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids; the segments of plain texts are looked up many at a time."""
+        out = [b""] * len(texts)
+        plain = [i for i, t in enumerate(texts) if units.is_plain(t)]
+        for i in set(range(len(texts))).difference(plain):
+            out[i] = self.encode(texts[i].decode("utf-8", "replace"))
+        for numbers, group in units.grouped([texts[i] for i in plain]):
+            found = units.encoded(group, units.segments_at, self.hasher, self.memory, np.dtype("<i4"))
+            for i, ids in zip(numbers, found):
+                out[plain[i]] = ids
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.n_ranks):
@@ -160,7 +207,7 @@ class Bpe:
         @F.arrow_udf("array<int>")
         def encode_texts(texts: pa.Array) -> pa.Array:
             v = vocabulary()
-            ids = [v.encode(t.as_py().decode("utf-8", "replace")) for t in texts]
+            ids = v.encode_all(texts.to_pylist())
             ends = np.cumsum([0, *map(len, ids)]) // 4
             if ends[-1] >= 2 ** 31:
                 raise ValueError("a batch holds 2^31 ids; lower spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -6,7 +6,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from perkflow.llm.bpe import Bpe, Vocabulary, merge, parse_ranks
+from perkflow.llm.bpe import Bpe, Merger, Vocabulary, parse_ranks
 from perkflow.llm.segments import parts, segments
 from tests.llm.conftest import SF
 
@@ -25,17 +25,18 @@ def library(ranks):
 def test_equals_library_on_odd_texts(ranks, library):
     v = Vocabulary(ranks, P.PATTERN)
     rng = random.Random(1)
-    letters = "ab cé\n\t \x1c\x85'sS1٣.!<|endoftext|>ünd  aaaaaaa日本🙂"
+    letters = "ab cé\n\t \x1c\x85'sS1٣.!,;)\"<|endoftext|>ünd  aaaaaaa日本🙂"
     for _ in range(400):
         t = "".join(rng.choice(letters) for _ in range(rng.randrange(0, 200)))
         ids = np.frombuffer(v.encode(t), np.int32)
         assert ids.tolist() == library.encode_ordinary(t)
+        assert v.encode_all([t.encode()]) == [ids.tobytes()]
         assert v.decode(ids) == t.encode()
 
 
 def test_long_pre_token(ranks, library):
     t = "abcdefghij" * 20_000 + "aaaa" * 20_000
-    assert [int(i) for i in merge(t.encode(), ranks)] == library.encode_ordinary(t)
+    assert Merger(ranks)(t.encode()) == library.encode_ordinary(t)
 
 
 def test_parts_keep_segments():
@@ -65,3 +66,12 @@ def test_edge_rows(spark):
     assert out.limit(0).collect() == []
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("encode_texts(") == 1, plan
+
+
+def test_small_cache_changes_nothing(ranks, library):
+    v = Vocabulary(ranks, P.PATTERN)
+    v.pieces.limit = v.memory.half = 6
+    t = "one two, three two. one's 4 five! one two\n\n  three " * 20
+    texts = [t, "", " ", t[:77], "\u00a0 x", "a" * (2 << 20)]
+    got = v.encode_all([x.encode() for x in texts])
+    assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode_ordinary(x) for x in texts]
