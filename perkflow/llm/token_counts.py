@@ -20,11 +20,13 @@ import os
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from perkflow.llm import units
 from perkflow.llm.common import utf8
 from perkflow.llm.segments import BoundedCache, parts, segments
 
@@ -53,14 +55,46 @@ def check_tokenizer(content: str) -> list[str]:
 
 def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's most frequent segments with their counts (lossy once TASK_ENTRIES are held)."""
-    seen: Counter[str] = Counter()
+    hasher = units.Hasher()
+    count: dict[int, int] = {}
+    text_of: dict[int, bytes] = {}
+    rest: Counter[str] = Counter()
+
+    def trim(most: int) -> None:
+        keep = sorted(count, key=count.__getitem__, reverse=True)[:most]
+        for old, kept in ((count, {k: count[k] for k in keep}), (text_of, {k: text_of[k] for k in keep})):
+            old.clear()
+            old.update(kept)
+
     for batch in batches:
-        for t in batch.column(0):
-            for part in parts(t.as_py().decode("utf-8", "replace")):
-                seen.update(segments(part))
-                if len(seen) > TASK_ENTRIES:
-                    seen = Counter(dict(seen.most_common(TASK_ENTRIES // 2)))
-    top = [(s, n) for s, n in seen.most_common(TASK_HEAD) if len(s) <= LONGEST and n > 1]
+        texts = batch.column(0).to_pylist()
+        plain = [units.is_plain(t) for t in texts]
+        for t in (t for t, p in zip(texts, plain) if not p):
+            for part in parts(t.decode("utf-8", "replace")):
+                rest.update(segments(part))
+                if len(rest) > TASK_ENTRIES:
+                    rest = Counter(dict(rest.most_common(TASK_ENTRIES // 2)))
+        for _, group in units.grouped([t for t, p in zip(texts, plain) if p]):
+            raw, _ = units.laid_out(group)
+            starts, ends = units.segments_at(raw)
+            if not len(starts):
+                continue
+            keys, one, number = units.distinct(hasher(raw, starts, ends))
+            n = np.bincount(number)
+            often = np.flatnonzero((n > 1) & (ends[one] - starts[one] <= LONGEST))  # once in a megabyte is not frequent
+            data = raw.tobytes()
+            at = one[often]
+            for key, k, s, e in zip(keys[often].tolist(), n[often].tolist(), starts[at].tolist(), ends[at].tolist()):
+                if key in count:
+                    count[key] += k
+                else:
+                    count[key], text_of[key] = k, data[s:e]
+            if len(count) > TASK_ENTRIES:
+                trim(TASK_ENTRIES // 2)
+    trim(TASK_HEAD)
+    for key, n in count.items():
+        rest[text_of[key].decode()] += n
+    top = [(s, n) for s, n in rest.most_common(TASK_HEAD) if len(s) <= LONGEST and n > 1]
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in top], pa.string()),
                                       pa.array([n for _, n in top], pa.int64())], ["segment", "n"])
 
@@ -88,13 +122,40 @@ class _Counter:
         special = check_tokenizer(content)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) \
             if special else None
-        self.lengths = BoundedCache(None, longest=LONGEST, limit=300_000,
+        self.special_bytes = [x.encode() for x in special]
+        self.hasher = units.Hasher()
+        self.memory = units.Memory(lambda new: self.encoded([u.decode() for u in new]), 600_000,
+                                   dict(zip(units.keys_of(self.hasher, head), self.encoded(head))))
+        self.lengths = BoundedCache(lambda u: self.encoded([u])[0], longest=LONGEST, limit=100_000,
                                     pinned=dict(zip(head, self.encoded(head))))
 
     def encoded(self, units: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
-    def counts(self, texts: list[str]) -> list[int]:
+    def counts(self, texts: list[bytes]) -> list[int]:
+        """Token counts, group by group; texts that need the library's own cutting one by one."""
+        out = [0] * len(texts)
+        slow = [i for i, t in enumerate(texts) if not self.plain(t)]
+        for i, n in zip(slow, self._slow([texts[i].decode("utf-8", "replace") for i in slow])):
+            out[i] = n
+        fast = [i for i, t in enumerate(texts) if self.plain(t)]
+        for numbers, group in units.grouped([texts[i] for i in fast]):
+            raw, behind = units.laid_out(group)
+            starts, ends = units.segments_at(raw)
+            if not len(starts):
+                continue
+            keys, one, number = units.distinct(self.hasher(raw, starts, ends))
+            lengths = np.array(self.memory.values(raw, keys, starts[one], ends[one]), np.int64)[number]
+            total = np.bincount(np.searchsorted(behind, starts, "right"), lengths, len(group))
+            for i, n in zip(numbers, total.tolist()):
+                out[fast[i]] = int(n)
+        return out
+
+    def plain(self, text: bytes) -> bool:
+        """Whether the text's segments can be counted each by itself."""
+        return units.is_plain(text) and not any(s in text for s in self.special_bytes)
+
+    def _slow(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
         held: list[tuple[int, list[str]]] = []
         size = 0
@@ -112,15 +173,12 @@ class _Counter:
 
     def _add(self, held: list[tuple[int, list[str]]], out: list[int]) -> None:
         known = self.lengths
-        missing = list(set().union(*(s for _, s in held)).difference(known)) if held else []
-        fresh = dict(zip(missing, self.encoded(missing)))
-        for i, units in held:
-            if fresh:
-                out[i] += sum(known[u] if u in known else fresh[u] for u in units)
-            else:
-                out[i] += sum(map(known.__getitem__, units))
-        for unit, n in fresh.items():
+        missing = known.unknown(set().union(*(s for _, s in held)))
+        for unit, n in zip(missing, self.encoded(missing)):
             known.keep(unit, n)
+        look_up = known.__getitem__
+        for i, own in held:
+            out[i] += sum(map(look_up, own))
 
 
 class TokenCounter:
@@ -144,6 +202,6 @@ class TokenCounter:
             if key not in _LOADED:
                 _LOADED.clear()
                 _LOADED[key] = _Counter(content, head)
-            return pa.array(_LOADED[key].counts([t.as_py().decode("utf-8", "replace") for t in texts]), pa.int64())
+            return pa.array(_LOADED[key].counts(texts.to_pylist()), pa.int64())
 
         return n_tokens(utf8(text))

@@ -24,10 +24,10 @@ def test_query_equals_library(results, library, duck):
 def test_special_strings_and_small_cache(library):
     with open(FILE, encoding="utf-8") as f:
         counter = _Counter(f.read(), ["the", " of"])
-    counter.lengths.limit = 5
+    counter.lengths.limit = counter.memory.half = 5
     texts = ["", "<|endoftext|>", " <|endoftext|> a<|endoftext|><|endoftext|>b", "<|endof text|>",
-             "the of the\n\n  x\x1c\x85 y  ", "é" * 500 + " 日本 🙂"] * 2
-    assert counter.counts(texts) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+             "the of the\n\n  x\x1c\x85 y  ", "é" * 500 + " 日本 🙂", "a\n \u00a0b", "\n", " ", "a \n b\n\n", "\r\n  x \x0b\x0cy", "  end  "] * 2
+    assert counter.counts([t.encode() for t in texts]) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 def test_edge_rows(spark):
@@ -44,3 +44,34 @@ def test_other_tokenizers_are_refused():
     with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
         with pytest.raises(ValueError):
             check_tokenizer(f.read())
+
+
+def cut_marks(segment: str) -> list[str]:
+    """Marks behind an ASCII letter or digit at the end are a unit of their own."""
+    word = segment.rstrip('.,;:!?)"')
+    return [word, segment[len(word):]] if word != segment and word[-1:].isascii() and word[-1:].isalnum() else [segment]
+
+
+def test_segments_found_on_bytes_equal_the_pattern():
+    import random
+
+    from perkflow.llm import units
+    from perkflow.llm.segments import segments
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab é\n\t \x0b\x1c.,'日  ") for _ in range(rng.randrange(0, 30))) for _ in range(400)]
+    raw, behind = units.laid_out([t.encode() for t in texts])
+    starts, ends = units.segments_at(raw)
+    data = raw.tobytes()
+    import numpy as np
+    found = {}
+    for text, s, e in sorted(zip(np.searchsorted(behind, starts, "right").tolist(), starts.tolist(), ends.tolist())):
+        found.setdefault(text, []).append(data[s:e].decode())
+    for i, t in enumerate(texts):
+        assert "".join(found.get(i, [])) == t
+        want = [c for s in segments(t) for c in cut_marks(s)]
+        assert found.get(i, []) == want
+    hashes = units.Hasher()(raw, starts, ends)
+    by_hash = {}
+    for h, s, e in zip(hashes.tolist(), starts.tolist(), ends.tolist()):
+        assert by_hash.setdefault(h, data[s:e]) == data[s:e]
+    assert len(by_hash) == len({data[s:e] for s, e in zip(starts.tolist(), ends.tolist())})
