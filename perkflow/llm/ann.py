@@ -81,11 +81,15 @@ def nearest(x: np.ndarray, centroids: np.ndarray, rows: int = 2048) -> np.ndarra
 
 @dataclass(frozen=True)
 class Centroids:
-    """Centroids, their neighbour lists, and the entries from which a walk may start."""
+    """Centroids, their neighbour lists, and the entries from which a walk may start.
+
+    ``spread``: mean squared distance of a centroid's sample vectors to it.
+    """
     points: np.ndarray
     links: list[np.ndarray]
     entries: np.ndarray
     walk: int
+    spread: np.ndarray
 
     @staticmethod
     def fit(x: np.ndarray, n: int, how: Ann) -> Centroids:
@@ -109,13 +113,19 @@ class Centroids:
                         links[i + j].add(other)
                         links[other].add(i + j)
         entries = np.random.default_rng(how.seed).permutation(m)[:int(m ** 0.5) + 1]
-        return Centroids(points, [np.array(sorted(s), np.int64) for s in links], entries, how.walk)
+        own = nearest(x, points)
+        spread = np.bincount(own, ((x - points[own]) ** 2).sum(axis=1), m) / np.maximum(np.bincount(own, minlength=m), 1)
+        return Centroids(points, [np.array(sorted(s), np.int64) for s in links], entries, how.walk, spread)
 
     def within(self, v: np.ndarray, ratio: float, least: int, sizes: np.ndarray | None = None,
                enough: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Centroids by distance: those at most ``ratio`` times as far as the nearest, and at least ``least``.
 
-        With ``sizes`` of the lists, also as many as hold ``enough`` rows together.
+        With ``sizes`` of the lists, the nearest ones count as one until they
+        hold ``enough`` rows together: a list of a few outliers says nothing
+        about how far the neighbours are. Lists whose members are, by their
+        spread, as near on average as the nearest centroid's are added: a tight
+        group's centroid lies further out than that of a wide one.
         """
         points, links = self.points, self.links
         seen = np.zeros(len(points), bool)
@@ -129,15 +139,16 @@ class Centroids:
                 heappush(heap, (d, i))
 
         look(self.entries)
-        best, done, rows = min(distance.values()), 0, 0
+        base, done, rows = np.inf, 0, 0
         while heap:
             d, i = heappop(heap)
-            best = min(best, d)
-            if d > ratio * best and done >= max(least, self.walk) and rows >= enough:
+            if d > ratio * base and done >= max(least, self.walk):
                 break
             done += 1
             if sizes is not None:
                 rows += int(sizes[i])
+            if rows >= enough:
+                base = min(base, d)
             fresh = links[i][~seen[links[i]]]
             if len(fresh):
                 look(fresh)
@@ -145,10 +156,13 @@ class Centroids:
         far = np.fromiter(distance.values(), np.float64, len(distance))
         order = np.lexsort((ids, far))
         ids, far = ids[order], far[order]
-        n = max(least, int(np.searchsorted(far, ratio * far[0], "right")))
+        first = 0 if sizes is None else min(int(np.searchsorted(np.cumsum(sizes[ids]), enough)), len(ids) - 1)
+        n = max(least, int(np.searchsorted(far, ratio * far[first], "right")))
+        taken = np.arange(len(ids)) < n
         if sizes is not None:
-            n = max(n, int(np.searchsorted(np.cumsum(sizes[ids]), enough)) + 1)
-        return ids[:n], far[:n]
+            members = far ** 2 + self.spread[ids]
+            taken |= members <= members[first]
+        return ids[taken], far[taken]
 
 
 # --- vectors ----------------------------------------------------------------------------------
