@@ -158,7 +158,10 @@ def _statistics_udf():
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, t: Training = Training(),
           doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> Trees:
     """Fits on the labelled documents for which ``may_learn`` (over ``labels``) holds."""
-    chosen = labels.where(may_learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()) \
+    # a share by hash of the id first, so that the ordered limit sees a few times train_rows at most
+    share = min(1.0, 4 * t.train_rows / max(1, labels.count()))
+    at = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30))
+    chosen = labels.where(at < int(share * (1 << 30))).where(may_learn & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()) \
         .groupBy(F.col(doc_id).alias("id")).agg(F.min(label).alias("y")) \
         .orderBy(F.xxhash64("id"), "id").limit(t.train_rows)
     # at most train_rows pairs of id and label: a proven bound for the broadcast
