@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,7 +92,7 @@ class _Words:
         for token, i in spec["model"]["vocab"].items():
             self.ends_word[i] = token.endswith(suffix)
         self.hasher = units.Hasher()
-        self.memory = units.Memory(self._learn, 900_000)
+        self.memory = units.Memory(self._learn, 1_100_000)
         self.pieces = BoundedCache(self._whole, limit=800_000)
 
     def _whole(self, text: str) -> bytes:
@@ -175,23 +175,49 @@ def id_type(vocabulary: int) -> np.dtype:
 _LOADED: dict[int, _Words] = {}
 
 
-def ids_column(spark: SparkSession, tokenizer_path: str, end_id: int, text: str | Column) -> Column:
-    """Binary: the text's ids and the end id, as little-endian integers of ``id_type``."""
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
+    """(key, ids) for every text and, for every task, one row with its token statistics (``terms``, ``n``).
+
+    ``ids``: the text's ids and the end id, as little-endian integers of
+    ``id_type``. ``terms``: tokens, and N_DOCS and N_TOKENS; ``n``: in how many
+    of the task's documents, and these two totals.
+    """
     with open(tokenizer_path, encoding="utf-8") as f:
         content = f.read()
-    kind = id_type(check_tokenizer(content))
-    shared, end = spark.sparkContext.broadcast(content), np.array([end_id], kind).tobytes()
+    vocabulary = check_tokenizer(content)
+    kind = id_type(vocabulary)
+    shared, end = docs.sparkSession.sparkContext.broadcast(content), np.array([end_id], kind).tobytes()
+    names = ["key", "ids", "terms", "n"]
 
-    @F.arrow_udf("binary")
-    def token_ids(texts: pa.Array) -> pa.Array:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(shared.value)
         if key not in _LOADED:
             _LOADED.clear()
             _LOADED[key] = _Words(shared.value)
-        found = _LOADED[key].encode(texts.to_pylist())
-        return pa.array([ids + end for ids in found], pa.binary())
-
-    return token_ids(utf8(text))
+        held, n, size, key_kind = np.zeros(vocabulary, np.int64), 0, 0, None
+        longs = pa.list_(pa.int64())
+        for batch in batches:
+            key_kind = batch.schema.field("key").type
+            found = [ids + end for ids in _LOADED[key].encode(batch.column("text").to_pylist())]
+            for ids in found:
+                tokens = np.sort(np.frombuffer(ids, kind), kind="stable")
+                held[tokens[1:][tokens[1:] != tokens[:-1]]] += 1
+                held[tokens[0]] += 1
+                size += len(tokens)
+            n += len(found)
+            nothing = pa.nulls(len(found), longs)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary()), nothing, nothing], names)
+        if n:
+            terms = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(1, key_kind), pa.nulls(1, pa.binary()),
+                 pa.array([[N_DOCS, N_TOKENS, *terms.tolist()]], longs),
+                 pa.array([[n, size, *held[terms].tolist()]], longs)], names)
+
+    texts = docs.select(F.col(doc_id).alias("key"), utf8(text).alias("text"))
+    schema = T.StructType([T.StructField("key", texts.schema["key"].dataType), T.StructField("ids", T.BinaryType()),
+                           T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("n", T.ArrayType(T.LongType()))])
+    return texts.mapInArrow(of, schema)
 
 
 # --- corpus statistics ----------------------------------------------------------------------
@@ -199,24 +225,11 @@ def ids_column(spark: SparkSession, tokenizer_path: str, end_id: int, text: str
 N_DOCS, N_TOKENS = -1, -2
 
 
-def frequencies(ids: DataFrame, vocabulary: int, kind: np.dtype) -> tuple[np.ndarray, int, int]:
-    """Documents that hold each token, documents, tokens: over all rows of the column ``ids``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, size = np.zeros(vocabulary, np.int64), 0, 0
-        for batch in batches:
-            for x in batch.column(0):
-                tokens = np.sort(np.frombuffer(x.as_buffer(), kind), kind="stable")
-                held[tokens[1:][tokens[1:] != tokens[:-1]]] += 1
-                held[tokens[:1]] += 1
-                n += 1
-                size += len(tokens)
-        terms = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(([N_DOCS, N_TOKENS], terms))),
-                                          pa.array(np.concatenate(([n, size], held[terms])))], ["term", "n"])
-
+def frequencies(table: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, int]:
+    """Documents that hold each token, documents, tokens: over all tasks of ``tokenized``."""
     # at most vocabulary + 2 rows per task, and in all
-    rows = ids.select("ids").mapInArrow(count, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = table.where(F.col("terms").isNotNull()).select(F.explode(F.arrays_zip("terms", "n")).alias("x")) \
+        .groupBy("x.terms").agg(F.sum("x.n").alias("n"))
     total = dict(rows.toArrow().to_pandas().itertuples(index=False))
     out = np.zeros(vocabulary, np.int64)
     for term, n in total.items():
@@ -228,8 +241,10 @@ def frequencies(ids: DataFrame, vocabulary: int, kind: np.dtype) -> tuple[np.nda
 def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct tokens in order, with their counts."""
     ranked = np.sort(tokens, kind="stable")      # radix sort for 16-bit ids
-    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    return ranked[first], np.diff(np.concatenate((first, [len(ranked)])))
+    new = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return ranked[first], np.diff(first, append=len(ranked))
 
 
 # --- packing --------------------------------------------------------------------------------
@@ -368,9 +383,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_i
     with open(tokenizer_path, encoding="utf-8") as f:
         vocabulary = check_tokenizer(f.read())
     kind = id_type(vocabulary)
-    ids = save(docs.select(F.col(doc_id).alias("key"), ids_column(spark, tokenizer_path, end_id, text).alias("ids")),
-               "token-ids")
-    in_docs, n_docs, n_tokens = frequencies(ids, vocabulary, kind)
+    table = save(tokenized(docs, tokenizer_path, end_id, doc_id, text), "token-ids")
+    in_docs, n_docs, n_tokens = frequencies(table, vocabulary)
+    ids = table.where(F.col("ids").isNotNull()).select("key", "ids")
     idf = np.log1p((n_docs - in_docs + 0.5) / (in_docs + 0.5)).astype(np.float32)
     shared = spark.sparkContext.broadcast((idf, n_tokens / max(1, n_docs)))  # one number per vocabulary entry
     key_type = ids.schema["key"].dataType
