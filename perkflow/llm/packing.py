@@ -2,17 +2,24 @@
 
 Every text is tokenized once and its ids are kept in a table of the shared
 checkpoint folder. Document frequencies of all tokens are counted over the
-whole corpus (one number per vocabulary entry). Each task then reads its part
-of the table as a sequence of *shards* of bounded size. A shard has an inverted
-index with BM25 weights; the next unused document is the seed of a window, its
-most telling tokens are the query, and the neighbours that the index returns
-fill the window greedily, best first, until it is full. The document that does
-not fit is cut, and its rest is the next seed. What is left of a shard's last
-window joins the next shard; what is left of a task's last window is cut into
-sequences whose lengths are powers of two, so nothing needs padding.
-
-No row is shuffled, and memory is bounded by a shard and the longest text. A
-lost executor's tasks are run again from the table, with the same result.
+whole corpus (one number per vocabulary entry).
+
+Documents are dealt by content to *shards* of bounded size: a document's BM25
+weights are projected to a few dimensions, and a tree of planes, fitted on a
+bounded sample to halve its tokens again and again, names the shard. Rows are
+shuffled once, by shard. A shard has an inverted index with BM25 weights; the
+next unused document is the seed of a window, its most telling tokens are the
+query, and the neighbours that the index returns fill the window greedily, best
+first, until it is full. When no unused document shares these tokens, the
+seed's next ones are asked, and only when none shares any token is another seed
+taken. The document that does not fit is cut, and its rest is the next seed.
+What is left of a shard's last window joins the task's next shard; what is left
+of a task's last window is cut into sequences whose lengths are powers of two,
+so nothing needs padding.
+
+Neighbours in another shard are out of reach. Memory is bounded by a shard and
+the longest text. A lost executor's tasks are run again from the table, with
+the same result.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are
 documents of their own; special strings in a text become special ids, the
@@ -41,13 +48,22 @@ from perkflow.llm.segments import BoundedCache, parts
 
 @dataclass(frozen=True)
 class Packing:
-    """``query_tokens``: how many of a seed's tokens, by inverse document frequency, are looked up."""
+    """``query_tokens``: how many of a seed's tokens, by inverse document frequency, are looked up at a time.
+
+    ``neighbours``: how many items are ranked at a time. ``sample_rows`` and
+    ``max_leaves`` bound the tree that deals documents to shards, ``dimensions``
+    is the size of the vectors it sees.
+    """
     window: int = 4096
     shard_tokens: int = 2_000_000
     query_tokens: int = 24
     neighbours: int = 32
     k1: float = 1.2
     b: float = 0.75
+    dimensions: int = 64
+    sample_rows: int = 65_536
+    max_leaves: int = 4096
+    seed: int = 7
 
 
 # --- tokenizing -----------------------------------------------------------------------------
@@ -247,6 +263,133 @@ def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[first], np.diff(first, append=len(ranked))
 
 
+# --- shards by content ----------------------------------------------------------------------
+
+class Projection:
+    """Unit vectors of few dimensions whose products follow those of the documents' BM25 weights."""
+
+    def __init__(self, idf: np.ndarray, mean_length: float, how: Packing):
+        self.idf, self.mean, self.how = idf, max(mean_length, 1.0), how
+        self.axes = np.random.default_rng(how.seed).standard_normal((len(idf), how.dimensions), np.float32)
+
+    def __call__(self, docs: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([self._some(docs[i:i + 512]) for i in range(0, len(docs), 512)])
+
+    def _some(self, docs: list[np.ndarray]) -> np.ndarray:
+        how, lengths = self.how, np.array([len(d) for d in docs])
+        size = len(self.idf)
+        pairs, counts = distinct(np.repeat(np.arange(len(docs)) * size, lengths) + np.concatenate(docs))
+        owner, terms = np.divmod(pairs, size)
+        norm = how.k1 * (1 - how.b + how.b * lengths / self.mean)
+        weight = (self.idf[terms] * counts * (how.k1 + 1) / (counts + norm[owner])).astype(np.float32)
+        first = np.searchsorted(owner, np.arange(len(docs)))
+        out = np.empty((len(docs), how.dimensions), np.float32)
+        for i in range(0, len(docs), 64):   # bounds the products in memory
+            a, b = first[i], first[i + 64] if i + 64 < len(docs) else len(owner)
+            out[i:i + 64] = np.add.reduceat(self.axes[terms[a:b]] * weight[a:b, None], first[i:i + 64] - a)
+        return out / np.maximum(np.sqrt((out ** 2).sum(axis=1, keepdims=True)), 1e-9)
+
+
+@dataclass(frozen=True)
+class Planes:
+    """A binary tree: below node i hang ``kids[i]``; a leaf is written as -1 - number."""
+    axes: np.ndarray
+    cuts: np.ndarray
+    kids: np.ndarray
+
+    #: Weight of a row's random number, which parts equal vectors.
+    JITTER = 1e-4
+
+    @staticmethod
+    def fit(x: np.ndarray, salt: np.ndarray, tokens: np.ndarray, leaves: int) -> Planes:
+        """Each plane lies across the widest spread and parts the sample's tokens as its leaves are."""
+        axes, cuts, kids = [], [], []
+        numbers = iter(range(leaves))
+
+        def grow(rows: np.ndarray, n: int) -> int:
+            if n == 1:
+                return -1 - next(numbers)
+            node = len(axes)
+            axis, cut = np.zeros(x.shape[1]), 0.0
+            if len(rows):
+                part = x[rows] - x[rows].mean(axis=0)
+                axis = np.linalg.eigh(part.T.astype(np.float64) @ part)[1][:, -1]
+            at = x[rows] @ axis + Planes.JITTER * salt[rows]
+            order = np.argsort(at, kind="stable")
+            mass = np.cumsum(tokens[rows][order])
+            k = int(np.searchsorted(mass, mass[-1] * (n // 2) / n)) if len(rows) else 0
+            if len(rows):
+                cut = at[order[k]]
+            axes.append(axis)
+            cuts.append(cut)
+            kids.append(None)
+            kids[node] = (grow(rows[order[:k + 1]], n // 2), grow(rows[order[k + 1:]], n - n // 2))
+            return node
+
+        grow(np.arange(len(x)), leaves)
+        return Planes(np.array(axes).reshape(-1, x.shape[1]), np.array(cuts), np.array(kids, np.int64).reshape(-1, 2))
+
+    def leaf(self, x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        at = np.full(len(x), 0 if len(self.axes) else -1)
+        while (inner := np.flatnonzero(at >= 0)).size:
+            node = at[inner]
+            value = (x[inner] * self.axes[node]).sum(axis=1) + self.JITTER * salt[inner]
+            at[inner] = self.kids[node, (value > self.cuts[node]).astype(int)]
+        return -1 - at
+
+
+def _salts(n: int, start: int) -> np.ndarray:
+    """A random number in [0, 1) for each of a task's rows from the ``start``-th on, the same in every run."""
+    x = (np.arange(start, start + n, dtype=np.uint64) + (np.uint64(TaskContext.get().partitionId()) << np.uint64(40)))
+    x = (x + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))) / 2.0 ** 64
+
+
+def dealt(ids: DataFrame, shared, n_docs: int, n_tokens: int, kind: np.dtype, how: Packing) -> DataFrame:
+    """``ids`` (key, ids) plus ``shard`` and ``at``, the row's place in the table; in partitions by shard."""
+    spark = ids.sparkSession
+    shards = max(1, -(-n_tokens // how.shard_tokens))
+    leaves = min(shards, how.max_leaves)
+    per_leaf = -(-shards // leaves)     # of a leaf that is still too large: dealt by chance
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], np.ndarray, np.ndarray, int]]:
+        idf, mean_length = shared.value
+        project, start = Projection(idf, mean_length, how), 0
+        for batch in batches:
+            if batch.num_rows:
+                docs = [np.frombuffer(x.as_py(), kind) for x in batch.column("ids")]
+                yield batch, docs, project(docs), _salts(len(docs), start), start
+                start += len(docs)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, docs, x, salt, _ in vectors(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float32())), pa.array(salt),
+                                              pa.array([len(d) for d in docs], pa.int64())], ["x", "salt", "tokens"])
+
+    x, salt, tokens = np.zeros((0, how.dimensions), np.float32), np.zeros(0), np.zeros(0, np.int64)
+    if leaves > 1:
+        share = min(1.0, how.sample_rows / max(1, n_docs))
+        some = ids.select("ids") if share == 1.0 else ids.select("ids").sample(share, how.seed)
+        found = some.mapInArrow(sampled, "x array<float>, salt double, tokens long").toArrow().combine_chunks()
+        if len(found):
+            x = found["x"].combine_chunks().flatten().to_numpy().reshape(len(found), -1)
+            salt, tokens = found["salt"].to_numpy(), found["tokens"].to_numpy()
+    planes = spark.sparkContext.broadcast(Planes.fit(x, salt, tokens, leaves))
+
+    def with_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 40
+        for batch, docs, x, salt, start in vectors(batches):
+            again = (salt * (1 << 20)).astype(np.int64) % per_leaf
+            shard = planes.value.leaf(x, salt) * per_leaf + again
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), batch.column("ids"), pa.array(shard, pa.int32()),
+                 pa.array(np.arange(len(docs)) + start + part, pa.int64())], ["key", "ids", "shard", "at"])
+
+    schema = T.StructType([*ids.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("at", T.LongType())])
+    return ids.mapInArrow(with_shard, schema).repartition(leaves * per_leaf, "shard").sortWithinPartitions("shard", "at")
+
+
 # --- packing --------------------------------------------------------------------------------
 
 @dataclass
@@ -277,21 +420,39 @@ class ShardIndex:
         self.idf, self.how = idf, how
         self.unused = np.ones(len(items), bool)
 
-    def neighbours(self, seed: int) -> list[int]:
-        """Unused items by falling score, then position; only items that share a query token."""
-        terms = self.terms_of[seed]
-        if len(terms) > self.how.query_tokens:
-            terms = terms[np.argpartition(-self.idf[terms], self.how.query_tokens)[:self.how.query_tokens]]
-        scores = np.zeros(len(self.terms_of), np.float32)
+    def _add(self, scores: np.ndarray, terms: np.ndarray) -> None:
         for t in terms:
             a, b = self.first[t], self.first[t + 1]
             scores[self.owner[a:b]] += self.weight[a:b]
+
+    def _best(self, scores: np.ndarray) -> list[int]:
         scores[~self.unused] = 0
         hits = np.flatnonzero(scores)
         if len(hits) > self.how.neighbours:
             hits = hits[np.argpartition(-scores[hits], self.how.neighbours)[:self.how.neighbours]]
         return hits[np.lexsort((hits, -scores[hits]))].tolist()
 
+    def _terms(self, seed: int) -> np.ndarray:
+        terms = self.terms_of[seed]
+        return terms[np.argsort(-self.idf[terms], kind="stable")]
+
+    def neighbours(self, seed: int) -> list[int]:
+        """The best unused items by falling score, then position; only items that share a query token."""
+        scores = np.zeros(len(self.terms_of), np.float32)
+        self._add(scores, self._terms(seed)[:self.how.query_tokens])
+        return self._best(scores)
+
+    def ranked(self, seed: int) -> Iterator[int]:
+        """All unused items that share a token with the seed, those of its most telling tokens first.
+
+        Whoever takes an item marks it used before asking for the next one.
+        """
+        scores, terms = np.zeros(len(self.terms_of), np.float32), self._terms(seed)
+        for i in range(0, len(terms), self.how.query_tokens):
+            self._add(scores, terms[i:i + self.how.query_tokens])
+            while some := self._best(scores):
+                yield from some
+
 
 class Packer:
     """Packs one task's documents; ``put`` receives (item, length, sequence, offset) for every piece."""
@@ -313,6 +474,11 @@ class Packer:
             if self.held >= self.how.shard_tokens:
                 self._pack()
 
+    def end_shard(self) -> None:
+        """The next document is of another shard."""
+        if self.held >= self.how.window:
+            self._pack()
+
     def _take(self, item: Item, n: int, offset: int) -> None:
         self.put(item, n, self.sequence, offset)
         item.tokens, item.start = item.tokens[n:], item.start + n
@@ -336,9 +502,9 @@ class Packer:
                 if not room:
                     break
                 if i == seed:
-                    ranked = iter(index.neighbours(seed))
+                    ranked = index.ranked(seed)
                 i = next(ranked, None)
-                if i is None:   # no unused neighbour is left: go on with another seed
+                if i is None:   # no unused item shares a token: go on with another seed
                     i = seed = next(j for j in order if index.unused[j])
             if len(items[i].tokens):
                 rest = i
@@ -349,8 +515,7 @@ class Packer:
 
     def close(self) -> None:
         """Packs the rest; the last, partly filled window becomes sequences of powers of two."""
-        if self.held >= self.how.window:
-            self._pack()
+        self.end_shard()
         pool, left = iter(self.pool), self.held
         item = next(pool, None)
         while left:
@@ -377,6 +542,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_i
     ``ids``: the piece's ids as little-endian unsigned 32-bit integers. The
     ids of all texts are written to the shared checkpoint folder when called.
     """
+    if how.query_tokens < 1 or how.neighbours < 1:
+        raise ValueError("query_tokens and neighbours must be positive")
     if how.window < 1 or how.window & (how.window - 1):
         raise ValueError("window must be a power of two")
     spark = docs.sparkSession
@@ -413,10 +580,13 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_i
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], schema.names)
 
         idf, mean_length = shared.value
-        packer = Packer(idf, mean_length, how, put)
+        packer, last = Packer(idf, mean_length, how, put), None
         for batch in batches:
             keys = batch.schema.field("key").type
-            for key, x in zip(batch.column("key"), batch.column("ids")):
+            for key, x, shard in zip(batch.column("key"), batch.column("ids"), batch.column("shard").to_pylist()):
+                if shard != last:
+                    packer.end_shard()
+                    last = shard
                 packer.add(key.as_py(), np.frombuffer(x.as_py(), kind))
                 if len(rows) >= _BATCH_PIECES or waiting[0] >= _BATCH_TOKENS:
                     yield written()
@@ -424,4 +594,4 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str = "doc_i
         if rows:
             yield written()
 
-    return ids.mapInArrow(pack_part, schema)
+    return dealt(ids, shared, n_docs, n_tokens, kind, how).mapInArrow(pack_part, schema)

@@ -101,3 +101,38 @@ def test_tokenizers_that_need_context_are_refused():
     with open(P.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         with pytest.raises(ValueError):
             K.check_tokenizer(f.read())
+
+
+def test_windows_go_on_with_the_seeds_neighbours():
+    """More related documents than are ranked or looked up at a time: the window holds them alone."""
+    out = {}
+    packer = K.Packer(np.ones(1000, np.float32), 8.0, K.Packing(window=512, shard_tokens=8_000, neighbours=4, query_tokens=2),
+                      lambda item, n, seq, off: out.setdefault(seq, set()).add(item.key % 10))
+    for i in range(1000):   # ten kinds; two documents of a kind share few of its 20 tokens
+        packer.add(i, (np.random.default_rng(i).permutation(20)[:8] + 20 * (i % 10)).astype("<u2"))
+    packer.close()
+    assert sum(len(kinds) <= 2 for kinds in out.values()) > 0.8 * len(out)  # the last windows take what is left
+
+
+def test_related_documents_meet_in_a_shard(spark, library):
+    """The rows of a kind are far apart in the table, and two large groups are copies."""
+    words = ["apple pear plum cherry fig", "engine wheel brake clutch gear", "violin cello flute harp drum",
+             "river lake ocean pond creek"]
+    rows = [(i, " ".join(np.random.default_rng(i).choice(words[i % 4].split(), 30))) for i in range(1200)]
+    rows += [(2000 + i, words[i % 2] + " copy") for i in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    how = K.Packing(window=256, shard_tokens=6_000)  # two shards a kind, about
+    ids = K.tokenized(docs, FILE, 2, "doc_id", "text").where("ids IS NOT NULL").select("key", "ids").localCheckpoint()
+    got = [(r["key"], np.frombuffer(r["ids"], "<u2")) for r in ids.collect()]
+    n, held = sum(len(t) for _, t in got), np.bincount(np.concatenate([np.unique(t) for _, t in got]), minlength=49_500)
+    idf = np.log1p((len(got) - held + 0.5) / (held + 0.5)).astype(np.float32)
+    shared = spark.sparkContext.broadcast((idf, n / len(got)))
+    size = {k: len(t) for k, t in got}
+    shard = {r["key"]: r["shard"] for r in K.dealt(ids, shared, len(got), n, np.dtype("<u2"), how).collect()}
+    tokens, kinds = {}, {}
+    for key, s in shard.items():
+        tokens[s] = tokens.get(s, 0) + size[key]
+        kinds.setdefault(s, []).append(key % 4 if key < 2000 else key % 2)
+    assert len(shard) == 2000 and max(tokens.values()) < 1.3 * how.shard_tokens
+    purity = sum(max(k.count(x) for x in range(4)) for k in kinds.values()) / 2000
+    assert purity > 0.8, purity     # dealt by chance: about a third
