@@ -38,6 +38,8 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: Containers whose text is never part of an article.
 SILENT = frozenset("script style noscript template head title svg math iframe object canvas select option textarea "
                    "button datalist nav footer aside form menu dialog noframes audio video".split())
+#: Of these, frames that some pages put around their article; their text is kept with a mark.
+_FRAMES = frozenset("nav footer aside form".split())
 #: Elements that end an open paragraph, list item, cell or heading.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -53,7 +55,9 @@ _SILENT_WORDS = frozenset(
     "notification outbrain overlay pager pagination popup promo promoted promotion recommended related responses "
     "share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola teaser toc toolbar "
     "widget widgets".split())
-#: Of these, words that inside an article name the frame of its title.
+#: Of these, words of frames around readers' comments, which are often articles by tag.
+_COMMENT_WORDS = frozenset("comment comments disqus responses".split())
+#: Words that inside an article name the frame of its title.
 _TITLE_WORDS = frozenset("banner header masthead".split())
 _BEFORE_ARTICLE = ("head", "nav", "header", "menu", "title")
 _WORDS = re.compile(r"[a-z]+")
@@ -67,6 +71,7 @@ class Block:
     tags: int
     link_chars: int
     container: int                 # number of the innermost container, -1: none
+    frame: int = -1                # number of the innermost container around it that looks like boilerplate
 
 
 @dataclass
@@ -74,6 +79,7 @@ class _Open:
     tag: str
     number: int
     silent: bool
+    frame: bool
 
 
 @dataclass(frozen=True)
@@ -94,13 +100,17 @@ class Blocks(HTMLParser):
         self.parents: list[int] = []    # number of the container around it, always smaller
         self.depth_of: Counter[str] = Counter()  # open containers by tag
         self.pieces: list[str] = []
+        self.frame = -1                    # the innermost open container that looks like boilerplate
+        self.frames: dict[int, int] = {}   # all of these, with the one around each
+        self.comments: set[int] = set()    # numbers of frames around readers' comments
+        self.in_article: set[int] = set()  # numbers of frames that lie in an article
         self.tags = self.link_chars = self.links = self.n_silent = 0
 
     def _flush(self) -> None:
         if self.pieces:
             text = _SPACE.sub(" ", "".join(self.pieces)).strip()
             if text:
-                self.blocks.append(Block(text, max(1, self.tags), self.link_chars, self._around()))
+                self.blocks.append(Block(text, max(1, self.tags), self.link_chars, self._around(), self.frame))
             self.pieces = []
         self.tags = self.link_chars = 0
 
@@ -111,6 +121,8 @@ class Blocks(HTMLParser):
         while len(self.open) > depth:
             gone = self.open.pop()
             self.n_silent -= gone.silent
+            if gone.frame:
+                self.frame = self.frames[gone.number]
             self.depth_of[gone.tag] -= 1
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -135,9 +147,18 @@ class Blocks(HTMLParser):
         if tag == "body" and self.depth_of["head"]:
             self._pop_to(next(i for i, o in enumerate(self.open) if o.tag == "head"))
         if tag not in VOID:
-            silent = self._is_silent(tag, attrs)
+            number, looks_silent = len(self.kinds), self._is_silent(tag, attrs)
+            silent = looks_silent and tag in SILENT - _FRAMES
+            frame = looks_silent and not silent
+            if frame:
+                self.frames[number] = self.frame
+                self.frame = number
+                if any(k in ("class", "id") and _words(v) & _COMMENT_WORDS for k, v in attrs):
+                    self.comments.add(number)
+                if self.depth_of["article"] or self.depth_of["main"]:
+                    self.in_article.add(number)
             self.parents.append(self._around())
-            self.open.append(_Open(tag, len(self.kinds), silent))
+            self.open.append(_Open(tag, number, silent, frame))
             self.kinds.append(tag)
             self.depth_of[tag] += 1
             self.n_silent += silent
@@ -198,11 +219,41 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
             / np.convolve(np.ones(len(ratios)), kernel, "full")[reach:reach + len(ratios)])
 
 
+def _heard(parser: Blocks) -> list[Block]:
+    """The blocks that lie in no frame, or only in frames that hold the page's article.
+
+    A frame is pardoned when it holds nearly all text of the page, or an article
+    or main element with more text than those outside it; frames inside an
+    article, and those of readers' comments, only for the former.
+    """
+    blocks, kinds, parents, frames = parser.blocks, parser.kinds, parser.parents, parser.frames
+    if all(b.frame < 0 for b in blocks):
+        return blocks
+    around = [-1] * (len(kinds) + 1)    # outermost article or main around each container; the last one: none
+    for n, parent in enumerate(parents):
+        outer = around[parent] if parent >= 0 else -1
+        around[n] = outer if outer >= 0 else n if kinds[n] in ("article", "main") else -1
+    text: Counter[int] = Counter()      # characters in each frame, at -1 on the page
+    told: Counter[int] = Counter()      # of these, in articles and in no frame within them
+    for b in blocks:
+        text[b.frame] += len(b.text)
+        if b.frame < around[b.container]:
+            told[b.frame] += len(b.text)
+    for f in reversed(frames):          # the frame around another one has a smaller number
+        text[frames[f]] += text[f]
+        told[frames[f]] += told[f]
+    heard, apart = {-1: True}, parser.comments | parser.in_article
+    for f, outer in frames.items():
+        holds = f not in apart and 2 * told[f] > told[-1]
+        heard[f] = heard[outer] and (holds or text[f] >= 0.9 * text[-1])
+    return [b for b in blocks if heard[b.frame]] or blocks
+
+
 def main_text(html: str, how: Smoothing = Smoothing()) -> str:
     parser = Blocks()
     parser.feed(html)
     parser.close()
-    blocks = parser.blocks
+    parser.blocks = blocks = _heard(parser)
     if not blocks:
         return ""
     ratios = np.array([(len(b.text) - min(b.link_chars, len(b.text))) / b.tags for b in blocks])

@@ -43,6 +43,20 @@ def test_pages_without_an_article_element():
     assert main_text("just &lt;text&gt;\n here") == "just <text> here"
 
 
+def test_frames_around_the_article_do_not_silence_it():
+    story = "<p>A first paragraph of the story.</p><p>A second one, which goes on for a while.</p>"
+    want = ["A first paragraph of the story.", "A second one, which goes on for a while."]
+    menu, foot = "<nav><a href=1>Home</a></nav>", "<footer>imprint</footer>"
+    for frame, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div id=page-with-header>", "</div>"),
+                       ("<form>", "</form>"), ("<div role=form><div class=widget>", "</div></div>")):
+        for inner in (f"<article>{story}</article>", f"<main>{story}</main>", f"<div>{story}</div>"):
+            assert main_text(f"<body>{frame}{menu}{inner}{foot}{end}</body>").split("\n") == want, (frame, inner)
+    assert main_text(f"<body><article>{story}</article><div class=sidebar><article>x</article></div>").split("\n") == want
+    talk = "<article><p>A reader says a lot, more than the story itself does, again and again.</p></article>" * 3
+    assert main_text(f"<body><article>{story}<div id=comments>{talk}</div></article></body>").split("\n") == want
+    assert main_text(f"<body><article>{story}</article><div id=comments>{talk}</div></body>").split("\n") == want
+
+
 def test_odd_pages_end():
     deep = "<div>" * 20_000 + "x" + "</span></div>" * 20_000
     assert main_text(deep) == "x"
