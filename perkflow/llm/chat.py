@@ -2,7 +2,8 @@
 
 A *layout* declares which nested field paths hold what: single fields that are
 one turn each (prompt / completion, instruction / input / output, question /
-answer), or an array of messages with a role and a text field. The declared
+answer), an array of messages with a role and a text field, or, in a table with
+one row per turn, the conversation, turn number, role and text. The declared
 paths that a record has are sorted and hashed; this fingerprint selects the
 mapping that turns the record into canonical turns, ``array<struct<role, text>>``.
 For a table whose columns alone settle it, the fingerprint is taken from the
@@ -44,14 +45,18 @@ SPANS = "array<struct<start: int, length: int>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """``fields``: (role, path, whether it must be there); ``messages``: (array, role path, text path)."""
+    """``fields``: (role, path, whether it must be there); ``messages``: (array, role path, text path).
+
+    ``rows``: (conversation, turn, role, text) of a table with one row per turn.
+    """
     name: str
     fields: tuple[tuple[str, str, bool], ...] = ()
     messages: tuple[str, str, str] | None = None
+    rows: tuple[str, str, str, str] | None = None
 
     def needed(self) -> list[str]:
         own = [p for _, p, must in self.fields if must]
-        return own + ([f"{self.messages[0]}[].{x}" for x in self.messages[1:]] if self.messages else [])
+        return own + ([f"{self.messages[0]}[].{x}" for x in self.messages[1:]] if self.messages else []) + [*(self.rows or ())]
 
     def optional(self) -> list[str]:
         return [p for _, p, must in self.fields if not must]
@@ -67,10 +72,13 @@ LAYOUTS = (
                                   ("assistant", "output", True))),
     Layout("question_answer", (_SYSTEM, ("user", "question", True), ("assistant", "answer", True))),
 )
+#: Layouts of whole tables; only a table's schema selects them, when its columns make up no other layout.
+ROW_LAYOUTS = (Layout("turn_rows", rows=("conv_id", "turn", "role", "text")),)
 #: Other names of the canonical roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 KNOWN_PATHS = sorted({p for x in LAYOUTS for p in x.needed() + x.optional()})
+ROW_PATHS = sorted({p for x in ROW_LAYOUTS for p in x.needed()})
 
 
 def fingerprint(paths) -> str:
@@ -80,7 +88,7 @@ def fingerprint(paths) -> str:
 
 def _fingerprints() -> dict[str, Layout]:
     out: dict[str, Layout] = {}
-    for x in LAYOUTS:
+    for x in LAYOUTS + ROW_LAYOUTS:
         some = x.optional()
         for chosen in chain.from_iterable(combinations(some, k) for k in range(len(some) + 1)):
             out[fingerprint([*x.needed(), *chosen])] = x
@@ -140,12 +148,18 @@ def _turns(layout: Layout, present: set[str], field) -> Column:
 def with_turns(records: DataFrame, within: str | None = None) -> DataFrame:
     """``records`` plus ``layout`` and ``turns``; ``within``: a struct column that holds the fields.
 
-    Existing columns of these two names are replaced.
+    Existing columns of these two names are replaced. Of a table with one row
+    per turn: one row per conversation, with its id, ``layout`` and ``turns``.
     """
     kind = records.schema[within].dataType if within else records.schema
     field = (lambda n: F.col(within)[n]) if within else (lambda n: F.col(f"`{n}`"))
-    known = set(KNOWN_PATHS) & set(schema_paths(kind))
+    paths = set(schema_paths(kind))
+    known = set(KNOWN_PATHS) & paths
     whole = FINGERPRINTS.get(fingerprint(known))
+    if within is None and not any(set(x.needed()) <= known for x in LAYOUTS):
+        whole = FINGERPRINTS.get(fingerprint(set(ROW_PATHS) & paths))
+    if whole is not None and whole.rows:
+        return from_turn_rows(records, *whole.rows).withColumn("layout", F.lit(whole.name))
     if whole is not None:
         layout, turns = F.lit(whole.name), _turns(whole, known, field)
     else:

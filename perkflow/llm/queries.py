@@ -121,7 +121,7 @@ def _format_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     injected = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_INJECTED).alias("text"))
-    return chat.with_format(chat.from_turn_rows(rows.unionByName(injected)))
+    return chat.with_format(chat.with_turns(rows.unionByName(injected)))
 
 
 @query

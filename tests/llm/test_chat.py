@@ -73,3 +73,24 @@ def test_edge_rows(spark):
     assert [(t["role"], t["text"]) for t in got[None]["back"]] == [("user", "a")] * 2
     assert [t["role"] for t in got[1]["back"]] == ["", "assistant"] and got[1]["loss"] == "x" * 200_000
     assert round_trip(chat.from_turn_rows(table.limit(0))).collect() == []
+
+
+def test_turn_rows_are_a_layout(spark):
+    """The fingerprint of the schema selects them; columns of another layout come first."""
+    rows = [(1, 1, "assistant", "b", "x", "s"), (1, 0, "user", "a", "y", None), (None, 0, None, None, "z", "t")]
+    table = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, turns string, system string")
+    got = {r["conv_id"]: (r["layout"], [(t["role"], t["text"]) for t in r["turns"]]) for r in chat.with_turns(table).collect()}
+    assert got == {1: ("turn_rows", [("user", "a"), ("assistant", "b")]), None: ("turn_rows", [("", "")])}
+    for missing in ("conv_id", "turn", "role", "text"):
+        other = chat.with_turns(table.drop(missing)).collect()
+        assert len(other) == 3 and all(r["layout"] is None and r["turns"] == [] for r in other)
+    both = table.withColumns({"prompt": F.lit("p"), "completion": F.lit("c")}).drop("system")
+    assert {r["layout"] for r in chat.with_turns(both).collect()} == {"prompt_completion"}
+
+
+def test_query_takes_its_turns_by_fingerprint(spark, monkeypatch):
+    from perkflow.llm import queries
+    seen, real = [], chat.fingerprint
+    monkeypatch.setattr(chat, "fingerprint", lambda paths: seen.append(real(paths)) or real(paths))
+    queries._format_conversations(spark, "/root/testdata/sf0.001")
+    assert any(chat.FINGERPRINTS.get(x) == chat.ROW_LAYOUTS[0] for x in seen)
