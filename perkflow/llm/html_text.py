@@ -5,10 +5,12 @@ stretches of text between block-level tags, each with the path of containers
 it lies in. A block's text-to-tag ratio is its number of characters outside
 links over its number of tags. The ratios are smoothed over neighbouring
 blocks with a Gaussian kernel and clustered by a threshold into content and
-the rest. The content blocks vote, by their smoothed ratios, for the
-containers they lie in; the region that wins is the page's article, and every
-block of it is kept, however short, so that smoothing only selects regions and
-never drops a line inside one. Containers that are menus, headers, footers,
+the rest. The content blocks decide on every page: an article or main element
+that holds most of them, weighted by smoothed ratio and length, is the region;
+without one, it is the smallest sectioning container that holds all of them,
+never a paragraph, list, table part or heading. Every block of the region is
+kept, however short, so that smoothing only selects regions and never drops a
+line inside one. Containers that are menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts or styles, by tag,
 role, or the words of their class or id, never belong to a region.
 
@@ -40,6 +42,8 @@ SILENT = frozenset("script style noscript template head title svg math iframe ob
                    "button datalist nav footer aside form menu dialog noframes audio video".split())
 #: Of these, frames that some pages put around their article; their text is kept with a mark.
 _FRAMES = frozenset("nav footer aside form".split())
+#: Containers that can be a page's region, besides custom elements.
+_SECTIONING = frozenset("html body main article section div center form".split())
 #: Elements that end an open paragraph, list item, cell or heading.
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 "
                     "h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -258,7 +262,8 @@ def main_text(html: str, how: Smoothing = Smoothing()) -> str:
         return ""
     ratios = np.array([(len(b.text) - min(b.link_chars, len(b.text))) / b.tags for b in blocks])
     smooth = smoothed(ratios, how.sigma)
-    content = (smooth >= how.share * smooth.mean()) & (ratios > 0)
+    linked = np.array([2 * b.link_chars >= len(b.text) for b in blocks])    # smoothing makes no content of links
+    content = (smooth >= how.share * smooth.mean()) & (ratios > 0) & ~linked
     if not content.any():
         content[:] = True
     chosen = _region(parser, smooth, content)
@@ -279,14 +284,19 @@ def _region(parser: Blocks, smooth: np.ndarray, content: np.ndarray) -> int | No
     for number in range(len(kinds) - 1, 0, -1):
         if parents[number] >= 0:
             weight[parents[number]] += weight[number]
+    total = sum(s * len(b.text) for b, s, c in zip(parser.blocks, smooth, content) if c)
     for kind in ("article", "main"):
-        own = [n for n in range(len(kinds)) if kinds[n] == kind and weight[n] > 0]
+        own = [n for n in range(len(kinds)) if kinds[n] == kind and 2 * weight[n] > total]
         if own:
             return max(own, key=lambda n: (weight[n], -n))
-    total = sum(s * len(b.text) for b, s, c in zip(parser.blocks, smooth, content) if c)
-    # without such an element: the innermost container with nearly all content
-    most = np.flatnonzero(weight >= 0.9 * total)
-    return int(most[-1]) if len(most) else None
+    # none of these holds most of the content: the smallest sectioning container with all of it
+    held = np.zeros(len(kinds) + 1, np.int64)   # content blocks; the last one: text outside all containers
+    for b, is_content in zip(parser.blocks, content):
+        held[b.container] += is_content
+    for number in range(len(kinds) - 1, 0, -1):
+        held[parents[number]] += held[number]
+    whole = np.flatnonzero(held[:-1] == content.sum())
+    return next((n for n in reversed(whole.tolist()) if kinds[n] in _SECTIONING or "-" in kinds[n]), None)
 
 
 def text_column(html: str | Column, how: Smoothing = Smoothing()) -> Column:

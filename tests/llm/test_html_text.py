@@ -57,6 +57,28 @@ def test_frames_around_the_article_do_not_silence_it():
     assert main_text(f"<body><article>{story}</article><div id=comments>{talk}</div></body>").split("\n") == want
 
 
+def test_long_and_short_paragraphs_without_an_article_element():
+    blocks = ["Title", "x" * 2000, "y" * 80, *("z" * 60 for _ in range(8))]
+    paragraphs = "".join(f"<p>{b}</p>" for b in blocks[1:])
+    page = f"<body><div class=menu><a href=1>one</a></div><div><h1>Title</h1>{paragraphs}</div></body>"
+    assert main_text(page).split("\n") == blocks
+    cells = "".join(f"<tr><td>{b}</td></tr>" for b in blocks[1:])
+    assert main_text(f"<body><div><h1>Title</h1><table>{cells}</table></div></body>").split("\n") == blocks
+    items = "".join(f"<li>{b}" for b in blocks[1:])
+    assert main_text(f"<body><section><h1>Title</h1><ul>{items}</ul></section></body>").split("\n") == blocks
+
+
+def test_an_article_element_must_hold_most_of_the_content():
+    story = [f"Paragraph {i} of the story, which is not in the article element of this page at all." for i in range(6)]
+    told = "".join(f"<p>{t}</p>" for t in story)
+    page = f"<body><div class=story>{told}</div><div class=card><article><p>A teaser.</p></article></div></body>"
+    assert set(story) <= set(main_text(page).split("\n"))
+    listed = [f"Entry {i} of a page of entries, each of them as long as the others are." for i in range(4)]
+    page = "<body><div>" + "".join(f"<article><p>{t}</p></article>" for t in listed) + "</div></body>"
+    assert main_text(page).split("\n") == listed
+    assert main_text(f"<body><article>{told}</article><div><p>Short line.</p></div></body>").split("\n") == story
+
+
 def test_odd_pages_end():
     deep = "<div>" * 20_000 + "x" + "</span></div>" * 20_000
     assert main_text(deep) == "x"
