@@ -44,7 +44,7 @@ class Ann:
     degree: int = 16
     replicas: int = 4
     boundary: float = 1.12
-    reach: float = 1.09
+    reach: float = 1.19         # set by recall, see the README
     least_lists: int = 8
     walk: int = 24              # steps that a walk on the graph takes at least
     block_rows: int = 2048

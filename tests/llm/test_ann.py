@@ -91,3 +91,21 @@ def test_edge_rows(spark):
     got = found(A.search(df, F.col("vec_id") % 20 == 0))
     assert got == {0: [(1, 1.0), (9, 0.0), (20, 0.0)], 20: [(1, 2.0), (0, 0.0), (9, -2.0)]}
     assert A.search(df.limit(0), F.col("vec_id") % 20 == 0).collect() == []
+
+
+def test_default_reach_loses_no_neighbours_of_vectors_without_structure():
+    """All lists that hold one of a query's neighbours are searched, with as many lists as check_l has."""
+    rng, how = np.random.default_rng(6), A.Ann()
+    x = rng.normal(size=(10_000, 64))
+    longest = np.sqrt((x ** 2).sum(axis=1).max())
+    points = A.lengthened(x, longest)
+    index = A.Centroids.fit(points, 100, how)
+    own = A.nearest(points, index.points)
+    sizes = np.bincount(own, minlength=len(index.points)) * 5
+    hits = []
+    for q, v in enumerate(A.as_query(x[:60], longest)):
+        score = x @ x[q]
+        score[q] = -np.inf
+        ids, _ = index.within(v, how.reach, how.least_lists, sizes, how.replicas * (how.k + 1))
+        hits.append(np.isin(own[np.argsort(-score)[:20]], ids).mean())
+    assert np.mean(hits) >= 0.99, np.mean(hits)
