@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkflow.llm import ann, chat, quality_model, repetition, urls
+from perkflow.llm import ann, centroids, chat, merkle, quality_model, repetition, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
 from perkflow.llm.html_text import text_column
@@ -246,3 +246,104 @@ def op8_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_ann_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    shown = F.when(tampered, merkle.leaf(*fields, F.replace("text", F.lit("\n"), F.lit(""))))
+    found = merkle.manifest(docs, F.col("source"), F.col("doc_id"), merkle.leaf(*fields, F.col("text")),
+                            shown.alias("shown"))
+    fold = merkle.folded(F.coalesce(F.col("kept.shown"), F.col("leaf")), F.col("proof"))
+    return found.select(F.col("row_key").alias("doc_id"), "leaf", "subroot", "root",
+                        F.sha2(merkle.siblings(F.col("proof")), 256).alias("proof_sha256"), fold.alias("folded_root")) \
+        .withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _sql_leaf(text: str) -> str:
+    """A leaf in SQL: every field as ``-`` or byte count, colon, value."""
+    parts = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({p}) || ':' || {p}, '-')" for p in parts) + ")"
+
+
+# Levels are lists of nodes, one recursion step a level; crc32 is a reduction over the id's bytes, a bit at a time.
+ORACLE_SQL["op11_merkle_manifest"] = f"""
+WITH RECURSIVE docs AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+         row_number() OVER () AS rid,
+         CASE WHEN (list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+                lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+              lambda c, x: CASE WHEN xor(c, x) % 2 = 1 THEN xor(xor(c, x) >> 1, 3988292384) ELSE xor(c, x) >> 1 END)
+              + 1) % 2 = 0 THEN shown ELSE leaf END AS start
+  FROM (SELECT doc_id, source, {_sql_leaf("text")} AS leaf, {_sql_leaf("replace(text, chr(10), '')")} AS shown
+        FROM documents)),
+lv AS (
+  SELECT source, 0 AS lvl, list(leaf ORDER BY pos) AS ns FROM docs GROUP BY source
+  UNION ALL
+  SELECT source, lvl + 1, list_transform(range(0, (len(ns) + 2) // 3),
+                                         lambda i: sha256(array_to_string(ns[3 * i + 1:3 * i + 3], '')))
+  FROM lv WHERE len(ns) > 1),
+subroots AS MATERIALIZED (
+  SELECT source, ns[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS top_pos
+  FROM lv WHERE len(ns) = 1),
+tp AS (
+  SELECT 0 AS lvl, list(subroot ORDER BY top_pos) AS ns FROM subroots
+  UNION ALL
+  SELECT lvl + 1, list_transform(range(0, (len(ns) + 2) // 3),
+                                 lambda i: sha256(array_to_string(ns[3 * i + 1:3 * i + 3], '')))
+  FROM tp WHERE len(ns) > 1),
+steps AS (
+  SELECT rid, lvl AS step, pos // (3 ** lvl)::BIGINT AS j, ns
+  FROM docs d JOIN lv ON d.source IS NOT DISTINCT FROM lv.source WHERE len(ns) > 1
+  UNION ALL
+  SELECT rid, 1000 + lvl, top_pos // (3 ** lvl)::BIGINT, ns
+  FROM docs d JOIN subroots s ON d.source IS NOT DISTINCT FROM s.source, tp WHERE len(ns) > 1),
+proofs AS (
+  SELECT rid, list([array_to_string(ns[3 * (j // 3) + 1:j], ''), array_to_string(ns[j + 2:3 * (j // 3) + 3], '')]
+                   ORDER BY step) AS proof FROM steps GROUP BY rid),
+folds AS (
+  SELECT d.*, coalesce(proof, []) AS proof,
+         list_reduce(list_prepend([start, ''], coalesce(proof, [])),
+                     lambda a, x: [sha256(x[1] || a[1] || x[2]), ''])[1] AS folded_root
+  FROM docs d LEFT JOIN proofs USING (rid))
+SELECT doc_id, leaf, subroot, (SELECT ns[1] FROM tp WHERE len(ns) = 1) AS root,
+       sha256(array_to_string(flatten(proof), '')) AS proof_sha256, folded_root,
+       folded_root = (SELECT ns[1] FROM tp WHERE len(ns) = 1) AS verified
+FROM folds JOIN subroots s ON folds.source IS NOT DISTINCT FROM s.source
+"""
+
+
+@query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centers = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return centroids.with_totals(found, centers).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia",
+        F.sha2("centroid", 256).alias("centroid_sha256"))
+
+
+_NEAREST = """
+a{i} AS MATERIALIZED (SELECT rid, v, arg_min(c, (far, c)) AS c, min(far) AS far FROM (
+  SELECT rid, v, c, list_sum(list_transform(list_zip(v, cv), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS far
+  FROM kept, c{i}) GROUP BY rid, v)"""
+
+_MOVED = """
+c{j} AS MATERIALIZED (SELECT c, coalesce(m.cv, c{i}.cv) AS cv FROM c{i} LEFT JOIN (
+  SELECT c, list(floor_div ORDER BY d) AS cv FROM (
+    SELECT c, d, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_div
+    FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM a{i}) GROUP BY c, d) GROUP BY c) m USING (c))"""
+
+ORACLE_SQL["op13_centroid_clustering"] = """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(e, lambda x: floor(64 * x)::BIGINT) AS v
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+  WHERE len(e) = 64 AND len(list_filter(e, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v AS cv FROM kept
+  ORDER BY c LIMIT 16),""" + ",".join(
+    _NEAREST.format(i=i) + "," + _MOVED.format(i=i, j=i + 1) for i in range(3)) + "," + _NEAREST.format(i=3) + """
+SELECT vec_id, c::INT AS cluster, far AS distance, (sum(far) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(cv, ',')) AS centroid_sha256
+FROM a3 JOIN kept USING (rid) JOIN c3 USING (c)
+"""
