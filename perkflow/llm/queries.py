@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from perkflow.llm import ann, centroids, chat, merkle, quality_model, repetition, urls
+from perkflow.llm import ann, centroids, chat, merkle, quality_model, repetition, toxicity, urls
 from perkflow.llm.bpe import Bpe
 from perkflow.llm.common import table
 from perkflow.llm.html_text import text_column
@@ -315,6 +315,23 @@ FROM folds JOIN subroots s ON folds.source IS NOT DISTINCT FROM s.source
 """
 
 
+TOXIC_SCORE = 0.7
+
+
+def toxic_held_out(doc_id):
+    """Rows that no toxic label is learnt from: a third of the documents, by checksum of their id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+@query
+def op12_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxic_held_out("doc_id"))
+    scored = docs.select("doc_id", toxic_held_out("doc_id").alias("held_out"),
+                         toxicity.score_column(model, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_SCORE).cast("int"))
+
+
 @query
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, centers = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
