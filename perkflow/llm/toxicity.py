@@ -104,9 +104,14 @@ class Places:
         found = words(text)
         held = [_length(found)]
         for mark, longer, cut, known in self.kinds:
-            for part in known & _parts(found, longer, cut) if known else ():
+            hits = dict.fromkeys(known & _parts(found, longer, cut) if known else (), 0)
+            if hits:
+                for w, n in found.items():
+                    if len(w) > longer and w[cut] in hits:
+                        hits[w[cut]] += n
+            for part, n in hits.items():
                 held.append(mark + part)
-                if sum(n for w, n in found.items() if len(w) > longer and w[cut] == part) > 1:
+                if n > 1:
                     held.append(_TWICE + mark + part)
         return sorted(self.number[h] for h in held if h in self.number)
 
@@ -238,10 +243,11 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, t: Training = T
     telling = (z >= t.least_z) & (p >= t.least_lift * u) & ~np.array([x[:1] == b"#" for x in names], bool)
     order = sorted(np.flatnonzero(telling).tolist(), key=lambda i: (-z[i], names[i]))[:t.features]
     kept = [*(names[i] for i in order), *_LENGTHS]
-    rows = examples.select("toxic", _held(kept)("text").alias("held")).orderBy("toxic", "held").toArrow()
-    toxic, held = rows["toxic"].to_pylist(), rows["held"].to_pylist()
-    weights, bias = fit(Sparse([h for y, h in zip(toxic, held) if y], len(kept)),
-                        Sparse([h for y, h in zip(toxic, held) if not y], len(kept)), prior, t)
+    rows = examples.select("toxic", _held(kept)("text").alias("held")).toArrow()
+    held: dict[bool, list] = {True: [], False: []}
+    for y, h in sorted(zip(rows["toxic"].to_pylist(), rows["held"].to_pylist())):
+        held[y].append(h)
+    weights, bias = fit(Sparse(held[True], len(kept)), Sparse(held[False], len(kept)), prior, t)
     return Model(tuple(kept), weights, bias)
 
 

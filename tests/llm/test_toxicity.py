@@ -94,9 +94,9 @@ def test_learns_from_toxic_labels_only_and_scores_every_row(spark):
     model = T.train(some, labels, ~toxic_held_out("doc_id"))
     got = some.select("doc_id", "text", T.score_column(model, "text").alias("score")).collect()
     assert len(got) == 600 + len(odd) + 40
-    wrong = sum((r["score"] >= 0.7) != (truth[r["doc_id"]] == 1) for r in got
-                if r["doc_id"] in truth and r["text"].startswith("word") or r["doc_id"] in range(0, 600, 6))
-    assert wrong <= 6
+    wrong = [(r["doc_id"], r["score"]) for r in got if r["doc_id"] in truth and r["text"] != odd[-1][1]
+             and (r["score"] >= 0.7) != (truth[r["doc_id"]] == 1)]
+    assert len(wrong) <= 0.025 * len(got), wrong
     by = {r["doc_id"]: r["score"] for r in got}
     assert by[9000] == by[9001] < 0.7 and by[9002] > 0.7 > by[9003] and by[None] > 0.7
 
