@@ -1,7 +1,7 @@
 """Token counts per text by a map-side two-tier lookup of pre-token lengths.
 
 First tier: a compact table of the corpus's most frequent segments and their
-token counts, broadcast. It is found in one pass over all texts, in which each
+token counts, encoded once by a small job and broadcast. It is found in one pass over all texts, in which each
 task counts its own segments in bounded memory and hands on only its most
 frequent ones; pre-tokens themselves are never shuffled. Second tier: segments
 outside the table are encoded by the tokenizer library in batches and
@@ -10,7 +10,9 @@ table decides only how fast a count is found, never the count.
 
 Defined cases: null counts as the empty text (0 bytes, 0 tokens); special
 strings of the tokenizer inside a text count as one token each, the library's
-default; bytes that are not UTF-8 count as U+FFFD; repeated rows count alike.
+default; bytes that are not UTF-8 count as U+FFFD; repeated rows count alike;
+very long texts are counted whole, in bounded parts; an empty table has an empty
+table of segments and no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -56,15 +58,13 @@ def check_tokenizer(content: str) -> list[str]:
 def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's most frequent segments with their counts (lossy once TASK_ENTRIES are held)."""
     hasher = units.Hasher()
-    count: dict[int, int] = {}
-    text_of: dict[int, bytes] = {}
+    count: dict[bytes, int] = {}
     rest: Counter[str] = Counter()
 
     def trim(most: int) -> None:
-        keep = sorted(count, key=count.__getitem__, reverse=True)[:most]
-        for old, kept in ((count, {k: count[k] for k in keep}), (text_of, {k: text_of[k] for k in keep})):
-            old.clear()
-            old.update(kept)
+        kept = {k: count[k] for k in sorted(count, key=count.__getitem__, reverse=True)[:most]}
+        count.clear()
+        count.update(kept)
 
     for batch in batches:
         texts = batch.column(0).to_pylist()
@@ -79,21 +79,19 @@ def head_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts, ends = units.segments_at(raw)
             if not len(starts):
                 continue
-            keys, one, number = units.distinct(hasher(raw, starts, ends))
+            one, number = units.distinct(raw, starts, ends, hasher)
             n = np.bincount(number)
             often = np.flatnonzero((n > 1) & (ends[one] - starts[one] <= LONGEST))  # once in a megabyte is not frequent
             data = raw.tobytes()
             at = one[often]
-            for key, k, s, e in zip(keys[often].tolist(), n[often].tolist(), starts[at].tolist(), ends[at].tolist()):
-                if key in count:
-                    count[key] += k
-                else:
-                    count[key], text_of[key] = k, data[s:e]
+            for k, s, e in zip(n[often].tolist(), starts[at].tolist(), ends[at].tolist()):
+                unit = data[s:e]
+                count[unit] = count.get(unit, 0) + k
             if len(count) > TASK_ENTRIES:
                 trim(TASK_ENTRIES // 2)
     trim(TASK_HEAD)
-    for key, n in count.items():
-        rest[text_of[key].decode()] += n
+    for unit, n in count.items():
+        rest[unit.decode()] += n
     top = [(s, n) for s, n in rest.most_common(TASK_HEAD) if len(s) <= LONGEST and n > 1]
     yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in top], pa.string()),
                                       pa.array([n for _, n in top], pa.int64())], ["segment", "n"])
@@ -113,21 +111,39 @@ def _tokenizer(content: str):
     return Tokenizer.from_str(content)
 
 
-_LOADED: dict[int, tuple] = {}
+def head_lengths(spark: SparkSession, content: str, head: list[str]) -> np.ndarray:
+    """The token counts of the table's segments, each encoded once, in a few tasks."""
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer = _tokenizer(content)
+        for batch in batches:
+            found = tokenizer.encode_batch(batch.column("segment").to_pylist(), add_special_tokens=False)
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([len(e) for e in found], pa.int32())], ["i", "n"])
+
+    rows = spark.createDataFrame(list(enumerate(head)), "i int, segment string") \
+        .mapInArrow(encode, "i int, n int").toArrow()
+    out = np.zeros(len(head), np.int32)
+    out[rows["i"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+_LOADED: dict[int, _Counter] = {}
 
 
 class _Counter:
-    def __init__(self, content: str, head: list[str]):
+    """``lengths``: the token counts of ``head``, where they are known."""
+
+    def __init__(self, content: str, head: list[str], lengths: list[int] | None = None):
         self.tokenizer = _tokenizer(content)
+        lengths = self.encoded(head) if lengths is None else lengths
         special = check_tokenizer(content)
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) \
             if special else None
         self.special_bytes = [x.encode() for x in special]
         self.hasher = units.Hasher()
         self.memory = units.Memory(lambda new: self.encoded([u.decode() for u in new]), 600_000,
-                                   dict(zip(units.keys_of(self.hasher, head), self.encoded(head))))
+                                   dict(zip([s.encode() for s in head], lengths)))
         self.lengths = BoundedCache(lambda u: self.encoded([u])[0], longest=LONGEST, limit=100_000,
-                                    pinned=dict(zip(head, self.encoded(head))))
+                                    pinned=dict(zip(head, lengths)))
 
     def encoded(self, units: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
@@ -144,8 +160,8 @@ class _Counter:
             starts, ends = units.segments_at(raw)
             if not len(starts):
                 continue
-            keys, one, number = units.distinct(self.hasher(raw, starts, ends))
-            lengths = np.array(self.memory.values(raw, keys, starts[one], ends[one]), np.int64)[number]
+            one, number = units.distinct(raw, starts, ends, self.hasher)
+            lengths = np.array(self.memory.values(raw, starts[one], ends[one]), np.int64)[number]
             total = np.bincount(np.searchsorted(behind, starts, "right"), lengths, len(group))
             for i, n in zip(numbers, total.tolist()):
                 out[fast[i]] = int(n)
@@ -190,18 +206,18 @@ class TokenCounter:
         with open(tokenizer_path, encoding="utf-8") as f:
             content = f.read()
         check_tokenizer(content)
-        self.shared = spark.sparkContext.broadcast((content, head))
+        self.shared = spark.sparkContext.broadcast((content, head, head_lengths(spark, content, head)))
 
     def count(self, text: str | Column) -> Column:
         shared = self.shared
 
         @F.arrow_udf("bigint")
         def n_tokens(texts: pa.Array) -> pa.Array:
-            content, head = shared.value
+            content, head, lengths = shared.value
             key = hash((content, len(head), tuple(head[:64])))
             if key not in _LOADED:
                 _LOADED.clear()
-                _LOADED[key] = _Counter(content, head)
+                _LOADED[key] = _Counter(content, head, lengths.tolist())
             return pa.array(_LOADED[key].counts(texts.to_pylist()), pa.int64())
 
         return n_tokens(utf8(text))

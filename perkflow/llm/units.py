@@ -1,10 +1,12 @@
-"""Units of many texts at once: their places and hashes by numpy, and a worker's memory keyed by hash.
+"""Units of many texts at once: their places and hashes by numpy, and a worker's memory of units.
 
 Texts are laid end to end as bytes, with a byte between them that belongs to no
 unit. Prefix sums of a polynomial hash give the hash of every unit by one
 subtraction, so that the units of megabytes of text cost a few passes; Python
-sees each distinct unit of a group once. A unit's key is a 64-bit hash with
-random coefficients; two of a million units agree with probability below 1e-7.
+sees each distinct unit of a group once. The hash only brings equal units
+together: every unit's bytes are compared with those of the unit that stands
+for its hash, and units that differ stand for themselves. What outlives a group
+is kept by the bytes of the unit.
 """
 
 from __future__ import annotations
@@ -117,17 +119,18 @@ def segments_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Memory:
-    """Values by unit hash, in two generations; ``compute`` is given the new units of a group together."""
+    """Values by unit, in two generations; ``compute`` is given the new units of a group together."""
 
-    def __init__(self, compute: Callable[[list[bytes]], list], limit: int, pinned: dict[int, object] | None = None):
+    def __init__(self, compute: Callable[[list[bytes]], list], limit: int, pinned: dict[bytes, object] | None = None):
         self.compute, self.pinned = compute, pinned or {}
         self.half = limit // 2 + len(self.pinned)
-        self.young: dict[int, object] = dict(self.pinned)
-        self.old: dict[int, object] = {}
+        self.young: dict[bytes, object] = dict(self.pinned)
+        self.old: dict[bytes, object] = {}
 
-    def values(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
-        """The value of every (distinct) key, whose unit lies at ``starts`` to ``ends``."""
-        found = keys.tolist()
+    def values(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list:
+        """The value of every unit, all distinct, that lies at ``starts`` to ``ends``."""
+        data = raw.tobytes()
+        found = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
         young, old = self.young, self.old
         out = list(map(young.get, found))
         new = []
@@ -138,9 +141,7 @@ class Memory:
             else:
                 out[i] = young[found[i]] = value
         if new:
-            data = raw.tobytes()
-            at = list(zip(starts[new].tolist(), ends[new].tolist()))
-            for i, value in zip(new, self.compute([data[s:e] for s, e in at])):
+            for i, value in zip(new, self.compute([found[i] for i in new])):
                 out[i] = young[found[i]] = value
         if len(young) > self.half:
             self.young, self.old = dict(self.pinned), young
@@ -160,8 +161,8 @@ def encoded(texts: Sequence[bytes], units_at: Callable, hasher: Hasher, memory:
         return [b""] * len(texts)
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
-    keys, one, number = distinct(hasher(raw, starts, ends))
-    values = memory.values(raw, keys, starts[one], ends[one])
+    one, number = distinct(raw, starts, ends, hasher)
+    values = memory.values(raw, starts[one], ends[one])
     pool = np.frombuffer(b"".join(values), kind)
     size = np.array([len(v) for v in values], np.int64) // kind.itemsize
     first = np.cumsum(size) - size
@@ -191,27 +192,48 @@ def is_plain(text: bytes) -> bool:
     return _WIDE_SPACE.search(text) is None
 
 
-def distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, the place of one unit of each, and every unit's number among them."""
+def distinct(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+             hasher: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one of each of the distinct units, and every unit's number among them."""
+    hashes = hasher(raw, starts, ends)
     order = np.argsort(hashes)
     ranked = hashes[order]
     new = np.ones(len(ranked), bool)
     new[1:] = ranked[1:] != ranked[:-1]
     number = np.empty(len(ranked), np.int64)
     number[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], number
-
-
-def keys_of(hasher: Hasher, names: list[str]) -> list[int]:
-    """Keys of given units."""
-    data = [n.encode() for n in names]
-    ends = np.cumsum([0, *map(len, data)])
-    out: list[int] = []
-    step = 4096
-    for i in range(0, len(data), step):
-        raw = np.frombuffer(b"".join(data[i:i + step]), np.uint8)
-        at = ends[i:i + step + 1] - ends[i]
-        out += hasher(raw, at[:-1], at[1:]).tolist()
+    one = order[new]
+    others = order[~new]
+    first = one[number[others]]
+    odd = others[~same_bytes(raw, starts[others], ends[others], starts[first], ends[first])]
+    if len(odd):
+        apart: dict[bytes, int] = {}
+        for i in odd.tolist():
+            unit = raw[starts[i]:ends[i]].tobytes()
+            if unit not in apart:
+                apart[unit] = len(one)
+                one = np.append(one, i)
+            number[i] = apart[unit]
+    return one, number
+
+
+def same_bytes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, other_starts: np.ndarray,
+               other_ends: np.ndarray) -> np.ndarray:
+    """Whether ranges hold the same bytes as others; eight bytes at a time, what is long as a whole."""
+    size = ends - starts
+    out = size == other_ends - other_starts
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    live, at = np.flatnonzero(out & (size > 0)), 0
+    while len(live) and at < 64:
+        left = size[live] - at
+        differ = eight[starts[live] + at] ^ eight[other_starts[live] + at]
+        short = np.minimum(left, 8).astype(np.uint64)
+        bad = (differ << (np.uint64(64) - np.uint64(8) * short)) != 0
+        out[live[bad]] = False
+        live, at = live[~bad & (left > 8)], at + 8
+    for i in live.tolist():
+        out[i] = np.array_equal(raw[starts[i]:ends[i]], raw[other_starts[i]:other_ends[i]])
     return out
 
 

@@ -75,3 +75,65 @@ def test_segments_found_on_bytes_equal_the_pattern():
     for h, s, e in zip(hashes.tolist(), starts.tolist(), ends.tolist()):
         assert by_hash.setdefault(h, data[s:e]) == data[s:e]
     assert len(by_hash) == len({data[s:e] for s, e in zip(starts.tolist(), ends.tolist())})
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """A word and its complement that a polynomial hash modulo a power of two cannot tell apart."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [128, 256, 1024, 4096])
+def test_units_of_one_hash_are_told_apart(n, library):
+    import numpy as np
+    import tiktoken
+
+    from perkflow.llm import units
+    from perkflow.llm.bpe import Vocabulary, parse_ranks
+    from perkflow.llm.packing import _Words
+    a, b = thue_morse(n)
+    raw, _ = units.laid_out([a.encode(), b.encode()])
+    starts, ends = units.words_at(raw)
+    assert n < 1024 or len(set(units.Hasher()(raw, starts, ends).tolist())) == 1
+    batches = [[f"{a} {b} {a}", b], [a], [f"x {b}", f"{b} {a}"]]
+    with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = parse_ranks(f.read())
+    other = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    words_library = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    with open(FILE, encoding="utf-8") as f:
+        counter = _Counter(f.read(), [])
+    with open(P.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        words = _Words(f.read())
+    vocabulary = Vocabulary(ranks, P.PATTERN)
+    for texts in batches:
+        data = [t.encode() for t in texts]
+        assert counter.counts(data) == [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+        assert [np.frombuffer(x, np.int32).tolist() for x in vocabulary.encode_all(data)] == \
+            [other.encode_ordinary(t) for t in texts]
+        assert [np.frombuffer(x, words.kind).tolist() for x in words.encode(data)] == \
+            [words_library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_hash_that_tells_nothing_changes_nothing():
+    import random
+
+    import numpy as np
+
+    from perkflow.llm import units
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "ab", "x" * 8, "x" * 9, "x" * 8 + "y", "w" * 70, "w" * 69 + "v", "q" * 64])
+                      for _ in range(40)).encode() for _ in range(9)]
+    raw, _ = units.laid_out(texts)
+    starts, ends = units.words_at(raw)
+    one, number = units.distinct(raw, starts, ends, lambda r, s, e: np.zeros(len(s), np.uint64))
+    data = raw.tobytes()
+    all_units = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist())]
+    assert [all_units[one[k]] for k in number.tolist()] == all_units
+    assert len(one) == len(set(all_units))
+
+
+def test_the_table_is_broadcast_with_its_lengths(spark, library):
+    docs = spark.createDataFrame([("the cat the cat the dogs",)] * 3, "text string")
+    counter = TokenCounter(spark, FILE, frequent_segments(docs))
+    _, head, lengths = counter.shared.value
+    assert head and lengths.tolist() == [len(library.encode(s, add_special_tokens=False).ids) for s in head]
