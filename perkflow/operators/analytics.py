@@ -59,7 +59,11 @@ def reward_eligibility_distribution(summary: DataFrame,
     Windows eligible for both are subtracted twice in the remainder, exactly as
     the dashboard's bar chart shows it. Empty aggregates count as 0.
     """
-    counts = reward_eligibility_counts(summary, hotel_threshold, drink_threshold, time_predicate)
+    return eligibility_rows(reward_eligibility_counts(summary, hotel_threshold, drink_threshold, time_predicate))
+
+
+def eligibility_rows(counts: DataFrame) -> DataFrame:
+    """The rows of D4 from the counts of D3."""
     h = F.coalesce(F.col("hotel_eligible"), F.lit(0)).cast("long")
     d = F.coalesce(F.col("drink_eligible"), F.lit(0)).cast("long")
     t = F.coalesce(F.col("total"), F.lit(0)).cast("long")
@@ -74,7 +78,11 @@ def reward_eligibility_distribution(summary: DataFrame,
 
 def win_loss_distribution(summary: DataFrame, time_predicate: Column | None = None) -> DataFrame:
     """(status, status_count, percent) for Winners / Losers."""
-    stats = overall_stats(summary, time_predicate)
+    return win_loss_rows(overall_stats(summary, time_predicate))
+
+
+def win_loss_rows(stats: DataFrame) -> DataFrame:
+    """The rows of D5 from the statistics of D2."""
     w = F.coalesce(F.col("winning_members"), F.lit(0)).cast("long")
     lo = F.coalesce(F.col("losing_members"), F.lit(0)).cast("long")
     total = w + lo

@@ -26,12 +26,20 @@ from perkflow.streaming import changelog
 
 P = Params()
 LIVE_ORACLE: dict[str, str] = {}
-_BUILT: dict[tuple[str, str], Dashboard] = {}
+_BUILT: dict[tuple, Dashboard] = {}
+
+
+def table_state(spark: SparkSession, data_dir: str, name: str = "events") -> tuple:
+    """The application and the paths, sizes and times of a table's files: what was derived from them holds as long."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(f"{data_dir.rstrip('/')}/{name}.parquet")
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(hpath)]
+    return spark.sparkContext.applicationId, tuple(sorted(files))
 
 
 def live_dashboard(spark: SparkSession, data_dir: str) -> Dashboard:
     """Drains the summary stream, compacts up to noon of the fixture's day, fills the stored ledger."""
-    key = (spark.sparkContext.applicationId, data_dir)
+    key = table_state(spark, data_dir)
     if key not in _BUILT:
         log = _changelog_run(spark, data_dir)
         root = _run_dir(spark, "live")
@@ -62,17 +70,12 @@ for _kind in (config.HOTEL, config.DRINK):
     _mv(f"{_kind}_last_windows", lambda d, k=_kind: d.last_windows(k, P.as_of))
     _mv(f"{_kind}_history_window_counts", lambda d, k=_kind: d.history_window_counts(k, P.as_of))
 _mv("interval_qualifier_count", lambda d: d.interval_counts(P.as_of))
-_mv("pending_offers", lambda d: d.pending(P.today))
-_mv("pending_counts", lambda d: d.pending_counts(P.today))
 _mv("fulfilled_offers", lambda d: d.fulfilled())
 _mv("fulfilled_counts", lambda d: d.fulfilled_counts())
 _mv("fulfilled_report", lambda d: d.fulfilled_report(config.DRINK_LABEL, "member 1"))
 _mv("all_members", lambda d: d.all_members())
 _mv("all_members_today", lambda d: d.all_members("Today", P.as_of))
 _mv("top_spenders", lambda d: d.top_spenders())
-_mv("overall_stats", lambda d: d.stats())
-_mv("reward_eligibility_distribution", lambda d: d.reward_distribution())
-_mv("win_loss_distribution", lambda d: d.win_loss())
 _mv("member_leaderboard", lambda d: d.leaderboard())
 _mv("summary_row_count", lambda d: d.row_count())
 

@@ -41,13 +41,21 @@ def _state_parts(spark: SparkSession) -> int:
     return spark.sparkContext.defaultParallelism
 
 
+#: Files that a registered run takes per core in one micro-batch, so that a large table is not one batch.
+FILES_PER_CORE = 4
+
+
+def _events(spark: SparkSession, data_dir: str) -> DataFrame:
+    return events_transaction_stream(spark, data_dir, FILES_PER_CORE * _state_parts(spark))
+
+
 def _run_dir(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
 def _changelog_run(spark: SparkSession, data_dir: str) -> str:
     root = _run_dir(spark, "summary")
-    q = start_summary_changelog(summary_stream(events_transaction_stream(spark, data_dir), P.window),
+    q = start_summary_changelog(summary_stream(_events(spark, data_dir), P.window),
                                 f"{root}/changelog", f"{root}/checkpoint",
                                 n_state_partitions=_state_parts(spark))
     run_to_completion(q)
@@ -72,7 +80,7 @@ def drink_offers_stream(spark: SparkSession, data_dir: str) -> DataFrame:
 def summary_window_close(spark: SparkSession, data_dir: str) -> DataFrame:
     """Append mode: windows closed by the final watermark, one row each."""
     root = _run_dir(spark, "closed")
-    q = start_summary_on_close(summary_stream(events_transaction_stream(spark, data_dir), P.window),
+    q = start_summary_on_close(summary_stream(_events(spark, data_dir), P.window),
                                f"{root}/closed", f"{root}/checkpoint",
                                n_state_partitions=_state_parts(spark))
     run_to_completion(q)
@@ -86,7 +94,7 @@ def daily_rollup_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     Days closed by the final watermark come out once each.
     """
     root = _run_dir(spark, "rollup")
-    q = start_summary_on_close(rollup_stream(events_transaction_stream(spark, data_dir), P.window, "1 day"),
+    q = start_summary_on_close(rollup_stream(_events(spark, data_dir), P.window, "1 day"),
                                f"{root}/days", f"{root}/checkpoint",
                                n_state_partitions=_state_parts(spark))
     run_to_completion(q)
@@ -142,7 +150,7 @@ def game_stats_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """Real-time game performance: per-game totals kept by a stream, house edge on read."""
     root = _run_dir(spark, "games")
     q = totals_stream.start_totals_changelog(
-        totals_stream.game_totals_stream(events_transaction_stream(spark, data_dir)),
+        totals_stream.game_totals_stream(_events(spark, data_dir)),
         f"{root}/changelog", f"{root}/checkpoint", n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     return money_as_double(totals_stream.current_game_stats(spark, f"{root}/changelog"))
@@ -152,7 +160,7 @@ def member_leaderboard_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """All-time member totals kept by a stream, ranked by spend on read."""
     root = _run_dir(spark, "members")
     q = totals_stream.start_totals_changelog(
-        totals_stream.member_totals_stream(events_transaction_stream(spark, data_dir)),
+        totals_stream.member_totals_stream(_events(spark, data_dir)),
         f"{root}/changelog", f"{root}/checkpoint", n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     return money_as_double(totals_stream.current_leaderboard(spark, f"{root}/changelog"))
@@ -167,7 +175,8 @@ def _ingest_run(spark: SparkSession, data_dir: str) -> str:
     cut = messages.where(some).select(F.expr("substring(value, 1, 20)").alias("value"))
     half = messages.where(some).select(F.regexp_replace("value", '"amount":[^,]*', '"amount":"abc"').alias("value"))
     messages.select("value").unionByName(cut).unionByName(half).write.text(f"{root}/in")
-    job = start_ingest(spark.readStream.format("text").load(f"{root}/in"), root,
+    messages = spark.readStream.format("text").option("maxFilesPerTrigger", str(FILES_PER_CORE * _state_parts(spark)))
+    job = start_ingest(messages.load(f"{root}/in"), root,
                        n_state_partitions=_state_parts(spark))
     for q in job.queries:
         run_to_completion(q)
@@ -189,7 +198,7 @@ def ingest_rejects(spark: SparkSession, data_dir: str) -> DataFrame:
 def approx_member_count_stream(spark: SparkSession, data_dir: str) -> DataFrame:
     """Distinct members per closed window, and whether the streaming sketch is close to it."""
     root = _run_dir(spark, "approx")
-    q = start_summary_on_close(approx_members_stream(events_transaction_stream(spark, data_dir), P.window),
+    q = start_summary_on_close(approx_members_stream(_events(spark, data_dir), P.window),
                                f"{root}/counts", f"{root}/checkpoint", n_state_partitions=_state_parts(spark))
     run_to_completion(q)
     approx = spark.read.option("basePath", f"{root}/counts").parquet(f"{root}/counts").drop("batch_id")

@@ -44,13 +44,17 @@ def committed_boundary(spark: SparkSession, table_path: str) -> dt.datetime | No
     """Up to which window end the compacted table is complete.
 
     Each compaction commits by creating one empty file that is named after its
-    boundary, as its last step; the newest one counts. Rows of the table that
-    end later belong to an unfinished compaction and are not read.
+    boundary, as its last step; the newest one counts. Folders of the table
+    under other boundaries belong to unfinished compactions and are not read.
     """
-    marks = [int(n) for n in _names(spark, _boundary_folder(table_path)) if n.isdigit()]
+    marks = _marks(spark, table_path)
     return _EPOCH + dt.timedelta(microseconds=max(marks)) if marks else None
 
 
+def _marks(spark: SparkSession, table_path: str) -> list[int]:
+    return [int(n) for n in _names(spark, _boundary_folder(table_path)) if n.isdigit()]
+
+
 _EPOCH = dt.datetime(1970, 1, 1)
 
 
@@ -95,9 +99,13 @@ def newest_versions(log: DataFrame) -> DataFrame:
 
 def compacted_rows(spark: SparkSession, table_path: str, boundary: dt.datetime) -> DataFrame:
     """The compacted table's committed rows, with ``window_date``; empty where it holds none."""
-    if not _exists(spark, table_path):
+    last = (boundary - _EPOCH) // dt.timedelta(microseconds=1)
+    paths = [f"{table_path.rstrip('/')}/boundary={m}" for m in sorted(_marks(spark, table_path)) if m <= last]
+    paths = [p for p in paths if _exists(spark, p)]         # a compaction that found no window has none
+    if not paths:
         return spark.createDataFrame([], COMPACTED_SCHEMA)
-    return spark.read.schema(COMPACTED_SCHEMA).parquet(table_path).where(F.col("window_end") <= ts_lit(boundary))
+    return spark.read.schema(COMPACTED_SCHEMA).option("basePath", table_path).parquet(*paths) \
+        .select(*COMPACTED_SCHEMA.fieldNames())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -139,11 +147,13 @@ def compact_changelog(spark: SparkSession, path: str, table_path: str, checkpoin
     that its stored watermark closed is compacted, and a later
     ``closed_before`` is refused, because its windows may still change.
 
-    The table is partitioned by the window's date. Only change-log rows between
-    the committed boundary and the new one are read, and only the days they
-    touch are rewritten, each as a whole (its committed rows and the new ones),
-    so a compaction that was interrupted is simply run again. The new boundary
-    is committed last. Returns the number of rows added.
+    The table is partitioned by the boundary of the compaction that wrote a row
+    and by the window's date. Closed windows never change, so a compaction only
+    adds a folder, with the windows between the committed boundary and its own;
+    it replaces nothing that is committed. The new boundary is committed last:
+    an interrupted compaction is simply run again, and overwrites its own
+    folder, or another boundary's run leaves that folder unread. Returns the
+    number of rows added.
     """
     limit = stored_watermark(spark, checkpoint)
     if limit is None:
@@ -158,22 +168,11 @@ def compact_changelog(spark: SparkSession, path: str, table_path: str, checkpoin
     if before is not None:
         log = log.where(F.col("window_end") > ts_lit(before))
     fresh = newest_versions(log).select(*SUMMARY_COLUMNS, F.to_date("window_start").alias("window_date"))
-    staging = table_path.rstrip("/") + "_staging"
-    fresh.write.mode("overwrite").parquet(f"{staging}/fresh")
-    staged = spark.read.schema(COMPACTED_SCHEMA).parquet(f"{staging}/fresh")
-    days = [r["window_date"] for r in staged.select("window_date").distinct().collect()]  # days between two runs
-    if days:
-        whole = staged
-        if before is not None and _exists(spark, table_path):
-            whole = compacted_rows(spark, table_path, before).where(F.col("window_date").isin(days)) \
-                .unionByName(staged)
-            whole.write.mode("overwrite").parquet(f"{staging}/days")
-            whole = spark.read.schema(COMPACTED_SCHEMA).parquet(f"{staging}/days")
-        # a large day is split over several tasks and files, small ones are not scattered
-        whole.hint("rebalance", "window_date").write.mode("overwrite") \
-            .option("partitionOverwriteMode", "dynamic").partitionBy("window_date").parquet(table_path)
+    own = f"{table_path.rstrip('/')}/boundary={(until - _EPOCH) // dt.timedelta(microseconds=1)}"
+    # a large day is split over several tasks and files, small ones are not scattered
+    fresh.hint("rebalance", "window_date").write.mode("overwrite").partitionBy("window_date").parquet(own)
     _commit_boundary(spark, table_path, until)
-    return staged.count()
+    return spark.read.schema(COMPACTED_SCHEMA).parquet(own).count()
 
 
 def _commit_boundary(spark: SparkSession, table_path: str, until: dt.datetime) -> None:

@@ -3,13 +3,13 @@
 import pytest
 
 import __spark_entry__ as entry
-from perkflow.plans import live_registry, oracle, streams_registry
+from perkflow.plans import kept_registry, live_registry, oracle, streams_registry
 from perkflow.plans.registry import REGISTRY
 from tests.conftest import SF_SMALL
 from tests.oracle_check import compare, duck
 
 QUERIES = REGISTRY
-ORACLE = oracle.ORACLE_SQL | streams_registry.STREAM_ORACLE | live_registry.LIVE_ORACLE
+ORACLE = oracle.ORACLE_SQL | streams_registry.STREAM_ORACLE | live_registry.LIVE_ORACLE | kept_registry.KEPT_ORACLE
 
 
 @pytest.fixture(scope="module")

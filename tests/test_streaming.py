@@ -222,6 +222,36 @@ def test_interrupted_compaction_loses_nothing(spark, tmp_dir, monkeypatch):
     assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log", f"{tmp_dir}/table")) == want
 
 
+def test_compaction_replaces_nothing_that_is_committed(spark, tmp_dir, monkeypatch):
+    """A run that stops after its files are there, whatever its boundary, neither loses nor repeats a row."""
+    import glob
+    tx = _truncated_tx(spark)
+    write_ndjson(tx.coalesce(1), f"{tmp_dir}/in/part-0")
+    q = start_summary_changelog(summary_stream(stream_json_transactions(spark, f"{tmp_dir}/in/*", 1, False)),
+                                f"{tmp_dir}/log", f"{tmp_dir}/ckpt")
+    run_to_completion(q)
+    args = (spark, f"{tmp_dir}/log", f"{tmp_dir}/table", f"{tmp_dir}/ckpt")
+    want = _rows(member_window_summary(tx))
+    assert changelog.compact_changelog(*args, "2024-01-10 12:00:00") > 0     # within a day
+    first = {f: os.path.getmtime(f) for f in glob.glob(f"{tmp_dir}/table/**/*.parquet", recursive=True)}
+
+    def broken(*_):
+        raise OSError("lost before the commit")
+    for until in ("2024-01-10 18:00:00", "2024-01-20"):
+        with monkeypatch.context() as m:
+            m.setattr(changelog, "_commit_boundary", broken)
+            try:
+                changelog.compact_changelog(*args, until)
+            except OSError:
+                pass
+        assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log", f"{tmp_dir}/table")) == want
+    assert changelog.compact_changelog(*args, "2024-01-15") > 0
+    assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log", f"{tmp_dir}/table")) == want
+    assert changelog.compact_changelog(*args) > 0
+    assert _rows(changelog.current_summary(spark, f"{tmp_dir}/log", f"{tmp_dir}/table")) == want
+    assert all(os.path.getmtime(f) == t for f, t in first.items())
+
+
 def test_compaction_above_the_watermark_is_refused(spark, tmp_dir):
     import pytest
     tx = _truncated_tx(spark)
