@@ -208,6 +208,18 @@ def _newest_counts(kind: str) -> Callable[[KeptTables], DataFrame]:
     return ask
 
 
+def _last_windows(kind: str) -> Callable[[KeptTables], DataFrame]:
+    def ask(k: KeptTables) -> DataFrame:
+        return k.last_windows(kind, interval_bounds(P.as_of, P.interval_seconds)[2], P.history_windows)
+    return ask
+
+
 for _kind in (config.HOTEL, config.DRINK):
     _entry(f"kept_{_kind}_window_counts", on_time, _newest_counts(_kind), ORACLE_SQL[f"{_kind}_history_window_counts"],
            "D9: the newest windows with an offer, from a few days of kept totals (E3).")
+    _entry(f"kept_{_kind}_last_windows", on_time, _last_windows(_kind), ORACLE_SQL[f"{_kind}_last_windows"],
+           "E3: their offers, from the days of these windows only.")
+
+for _prefix, _job in (("kept", on_time), ("late_corrected", corrected)):
+    _entry(f"{_prefix}_member_leaderboard", _job, KeptTables.leaderboard, ORACLE_SQL["member_leaderboard"],
+           "D12 and E4 from kept totals and a kept histogram of them.")

@@ -12,6 +12,9 @@ version everything else follows without reading the summary again:
   mergeable sketch of the members (D13). A time range is answered from the
   fewest stored rows.
 * ``members``: windows per member, so that a distinct count is a row count.
+* ``totals`` and ``histogram``: all-time totals per member, and how many members
+  have each total spend, in bands of growing width; a rank is the members in the
+  bands above and those above in the own band (D12, E4).
 * ``latest``: per member the open offers and the newest closed one per type (E1,
   E2, F4).
 * ``late``: transactions whose window had closed (I5), by the rule of Spark's
@@ -35,6 +38,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from perkflow import config
 from perkflow.functions.time import date_lit, duration_seconds, instant_to_ntz, ts_lit
+from perkflow.operators import offers
 from perkflow.operators.offers import drink_predicate, hotel_predicate, latest_offer_rows, offer_rows
 from perkflow.operators.summary import member_window_summary
 from perkflow.sources.schemas import COMPACTED_SCHEMA, SUMMARY_COLUMNS, SUMMARY_KEY, TRANSACTIONS_COLUMNS, TRANSACTIONS_SCHEMA
@@ -67,6 +71,15 @@ LATEST_SCHEMA = T.StructType([
     T.StructField("bucket", T.IntegerType())])
 
 
+TOTALS_SCHEMA = T.StructType([
+    T.StructField("member_id", T.LongType()), T.StructField("member_name", T.StringType()),
+    *[T.StructField(c, MONEY) for c in SUMS[:3]], T.StructField("transaction_count", T.LongType()),
+    T.StructField("active_windows", T.LongType()), T.StructField("last_transaction", T.TimestampNTZType()),
+    T.StructField("was", MONEY), T.StructField("state", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+HISTOGRAM_SCHEMA = T.StructType([T.StructField("value", MONEY), T.StructField("n", T.LongType()),
+                                 T.StructField("band", T.IntegerType())])
+
+
 # --- covering a time range by stored windows ----------------------------------------------------
 
 def cover(start: dt.datetime, end: dt.datetime, sizes: tuple[int, ...]) -> list[tuple[int, dt.datetime, dt.datetime]]:
@@ -172,6 +185,45 @@ def remaining_offers(current: DataFrame, log: DataFrame, closed_by: dt.datetime
         .where(~F.col("closed") | (F.col("place") == 1)).select(*OFFER_COLUMNS)
 
 
+KEPT_AS_IT_WAS, CHANGED, NEW = 0, 1, 2
+
+
+def member_totals(held: DataFrame, changes: DataFrame) -> DataFrame:
+    """All-time totals per member after signed changes, with the spend before (``was``) and the member's ``state``."""
+    sign = F.col("sign")
+    added = [c.name for c in TOTALS_SCHEMA.fields[2:7]]
+    more = changes.select(
+        "member_id", "member_name", *[(sign * F.col(c)).alias(c) for c in SUMS],
+        (F.col("inserted") & (sign > 0)).cast("long").alias("active_windows"),
+        F.when(sign > 0, F.col("last_transaction")).alias("last_transaction"), F.lit(True).alias("is_new"))
+    both = held.select("member_id", "member_name", *added, "last_transaction", F.lit(False).alias("is_new")) \
+        .unionByName(more)
+    old = F.max(F.when(~F.col("is_new"), F.struct("total_spend")))
+    state = F.when(~F.max("is_new"), KEPT_AS_IT_WAS).when(old.isNull(), NEW).otherwise(CHANGED)
+    return both.groupBy("member_id", "member_name").agg(
+        *[F.sum(c).cast(TOTALS_SCHEMA[c].dataType).alias(c) for c in added],
+        F.max("last_transaction").alias("last_transaction"), old["total_spend"].cast(MONEY).alias("was"),
+        state.cast("int").alias("state"))
+
+
+NULL_BAND = -(1 << 30)
+
+
+def band(value: Column) -> Column:
+    """Bands of values in order, eight to a doubling; null values come last."""
+    x = value.cast("double")
+    return F.coalesce((F.signum(x) * F.floor(F.log2(F.abs(x) + 1) * 8)).cast("int"), F.lit(NULL_BAND))
+
+
+def histogram_changes(totals: DataFrame) -> DataFrame:
+    """(value, n, band): members that left and reached a total spend."""
+    reached = F.struct(F.col("total_spend").alias("value"), F.lit(1).alias("n"))
+    left = F.struct(F.col("was").alias("value"), F.lit(-1).alias("n"))
+    moves = F.when(F.col("state") == NEW, F.array(reached)).when(F.col("state") == CHANGED, F.array(reached, left))
+    return totals.where(F.col("state") != KEPT_AS_IT_WAS).select(F.inline(moves)) \
+        .groupBy("value").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("band", band(F.col("value")))
+
+
 # --- the job --------------------------------------------------------------------------------------
 
 @dataclass
@@ -239,8 +291,8 @@ class KeptTables:
         was = F.coalesce((F.col("old")["total_spend"] >= self.hotel_threshold)
                          | (F.col("old")["net_amount"] <= -self.drink_threshold), F.lit(False))
         bucket = self._bucket()
-        days, joined, offered = rows.where("changed").agg(
-            F.collect_set("window_date"), F.collect_set(F.when(F.col("old").isNull(), bucket)),
+        days, active, joined, offered = rows.where("changed").agg(
+            F.collect_set("window_date"), F.collect_set(bucket), F.collect_set(F.when(F.col("old").isNull(), bucket)),
             F.collect_set(F.when(F.coalesce(qualifies, F.lit(False)) | was, bucket))).first()  # at most `buckets` and the days of a batch
         changes = signed_changes(rows)
         log_path = self.files.folder("offer_log", version)
@@ -258,6 +310,17 @@ class KeptTables:
             tables["members"] = self.files.write_parts(
                 c, "members", "bucket", held.unionByName(more).groupBy("member_id", "bucket")
                 .agg(F.sum("windows").alias("windows")), joined)
+        if active:
+            held = self.files.read_parts(c, "totals", "bucket", TOTALS_SCHEMA, active)
+            tables["totals"] = self.files.write_parts(
+                c, "totals", "bucket", member_totals(held, changes).withColumn("bucket", bucket), active)
+            totals = self.spark.read.schema(TOTALS_SCHEMA).parquet(self.files.folder("totals", version))
+            moves = histogram_changes(totals)
+            bands = [r["band"] for r in moves.select("band").distinct().collect()]     # a few hundred at most
+            held = self.files.read_parts(c, "histogram", "band", HISTOGRAM_SCHEMA, bands)
+            tables["histogram"] = self.files.write_parts(
+                c, "histogram", "band", held.unionByName(moves.select(*HISTOGRAM_SCHEMA.fieldNames()))
+                .groupBy("value", "band").agg(F.sum("n").alias("n")).where("n > 0"), bands)
         if offered:
             held = self.files.read_parts(c, "latest", "bucket", LATEST_SCHEMA, offered)
             log = self.spark.read.schema(self._log_schema()).parquet(log_path)
@@ -401,6 +464,34 @@ class KeptTables:
             (F.col("total_revenue").cast("double") / F.col("spend_rows")).alias("avg_spend_per_member"),
             F.col("winning").alias("winning_members"), F.col("losing").alias("losing_members"))
 
+    def spend_ranks(self) -> DataFrame:
+        """(value, spend_rank) of every total spend that a member has, highest first, nulls last."""
+        c = self.files.newest()
+        rows = self.files.read_parts(c, "histogram", "band", HISTOGRAM_SCHEMA)
+        before = Window.orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        above = rows.groupBy("band").agg(F.sum("n").alias("own")) \
+            .select("band", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("above"))    # one row per band
+        within = Window.partitionBy("band").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumn("higher", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(above), "band") \
+            .select("value", (F.col("above") + F.col("higher") + 1).cast("long").alias("spend_rank"))
+
+    def leaderboard(self) -> DataFrame:
+        """All-time member totals with rank() by spend, from kept rows; no job runs while it is built."""
+        c = self.files.newest()
+        totals = self.files.read_parts(c, "totals", "bucket", TOTALS_SCHEMA).drop("was", "state", "bucket")
+        ranked = totals.join(self.spend_ranks(), F.col("total_spend").eqNullSafe(F.col("value"))).drop("value")
+        return ranked.orderBy("spend_rank", "member_id", "member_name")
+
+    def last_windows(self, kind: str, before: dt.datetime, k: int = 3) -> DataFrame:
+        """The offers of the k newest windows that have one, read from the days that hold these windows only."""
+        newest = self.newest_qualifying(kind, before, k)
+        spans = newest.select("window_start", "window_end").collect()        # k rows
+        if not spans:
+            return offers.last_windows(self.summary().where(F.lit(False)), k)
+        rows = self.summary(min(s for s, _ in spans), max(s for s, _ in spans))
+        threshold = self.hotel_threshold if kind == config.HOTEL else self.drink_threshold
+        return offers.last_windows(offers.qualifying_history(rows, kind, threshold, before), k)
+
     def range_stats(self, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """D2-D5 of the windows inside [start, end), members estimated from the merged sketches."""
         return self._totals(start, end)

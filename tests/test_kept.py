@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from perkflow.operators import analytics
+from perkflow.operators import offers as offer_ops
 from perkflow.operators.offers import latest_offer_rows, offer_rows
 from perkflow.operators.summary import member_window_summary
 from perkflow.sources.schemas import SUMMARY_COLUMNS
@@ -44,6 +45,8 @@ def check(spark, kept, all_tx):
     added = kept.offer_log().groupBy(*offers.columns).agg(F.sum("sign").alias("n")).where("n <> 0")
     assert rows_of(added.select(*offers.columns)) == rows_of(offers)
     assert added.where("n <> 1").count() == 0
+    board = analytics.member_leaderboard(want)
+    assert rows_of(kept.leaderboard().select(*board.columns)) == rows_of(board)
     lo, hi = dt.datetime(2024, 1, 1, 3, 10), dt.datetime(2024, 1, 2, 9, 20)
     inside = want.where((F.col("window_start") >= F.lit(str(lo)).cast("timestamp_ntz"))
                         & (F.col("window_end") <= F.lit(str(hi)).cast("timestamp_ntz")))
@@ -78,6 +81,13 @@ def test_random_batches_equal_the_batch_summary(spark, tmp_dir):
         per = offer_rows(want).where((F.col("offer_type") == kind) & (F.col("window_end") < "2024-01-02 20:00:00")) \
             .groupBy("window_start", "window_end").count().orderBy(F.desc("window_start")).limit(3)
         assert got == [tuple(r) for r in per.collect()]
+        before = dt.datetime(2024, 1, 2, 20)
+        history = offer_ops.qualifying_history(want, kind, 5000 if kind == "hotel" else 1000, before)
+        last = kept.last_windows(kind, before)
+        assert rows_of(last) == rows_of(offer_ops.last_windows(history))
+        plan = spark._jvm.PythonSQLUtils.explainString(last._jdf.queryExecution(), "formatted")
+        scans = [ln for ln in plan.splitlines() if ln.startswith("PartitionFilters")]
+        assert scans and all("window_date" in x and ">=" in x and "<=" in x for x in scans)
 
 
 def test_late_rows_are_kept_and_corrected(spark, tmp_dir):
@@ -175,7 +185,7 @@ def test_reads(spark, tmp_dir):
     kept = KeptTables(spark, tmp_dir, delay="3 days", buckets=2)
     kept.process(tx_rows(spark, random_tx(300, 4, days=3)), 0)
     for df, tables in ((kept.overall_stats(), {"stats", "members"}), (kept.latest_offers(), {"latest"}),
-                       (kept.eligibility(), {"stats"})):
+                       (kept.eligibility(), {"stats"}), (kept.leaderboard(), {"totals", "histogram"})):
         files = df.inputFiles()
         assert files and {f.split(tmp_dir.strip("/") + "/")[1].split("/")[0] for f in files} <= tables
     lo, hi = dt.datetime(2024, 1, 1, 22, 50), dt.datetime(2024, 1, 3, 1, 10)
@@ -183,3 +193,16 @@ def test_reads(spark, tmp_dir):
     assert n == 2 + 1 + 1 + 1 + 2 and kept.stats_rows(lo, hi).count() <= n
     day = kept.stats_rows(dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3))
     assert [r["size"] for r in day.collect()] == [86400] and len({f.split("day=")[1][:10] for f in day.inputFiles()}) <= 2
+
+
+def test_bands_keep_the_order():
+    from pyspark.sql import SparkSession
+
+    from perkflow.streaming.kept import band
+    spark = SparkSession.getActiveSession()
+    rng = random.Random(8)
+    values = sorted({round(rng.choice([-1, 1]) * rng.random() * 10 ** rng.randrange(0, 12), 2) for _ in range(500)} | {0.0, 0.01})
+    rows = spark.createDataFrame([(str(v),) for v in values] + [(None,)], "v string") \
+        .select(F.col("v").cast("decimal(28,2)").alias("v")).select("v", band(F.col("v")).alias("b")).collect()
+    got = [r["b"] for r in sorted(rows, key=lambda r: (r["v"] is not None, r["v"] or 0))]
+    assert got == sorted(got)
