@@ -141,8 +141,9 @@ class Dashboard:
     def fulfilled_counts(self) -> DataFrame:
         return ledger.fulfilled_counts(self.fulfilled())
 
-    def fulfilled_report(self, offer_filter: str = "All", member_search: str | None = None) -> DataFrame:
-        return ledger.fulfilled_report(self.fulfilled(), offer_filter, member_search)
+    def fulfilled_report(self, offer_filter: str = "All", member_search: str | None = None,
+                         literal: bool = False) -> DataFrame:
+        return ledger.fulfilled_report(self.fulfilled(), offer_filter, member_search, literal)
 
     def redeem(self, requests: DataFrame) -> int:
         """Append a batch of redemption requests (single writer)."""

@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from perkflow import config
+from perkflow.operators import name_index
 from perkflow.plans import catalog
 from perkflow.plans.dashboard import Dashboard
 from perkflow.plans.inputs import Inputs, Params, money_as_double
@@ -73,6 +74,7 @@ _mv("interval_qualifier_count", lambda d: d.interval_counts(P.as_of))
 _mv("fulfilled_offers", lambda d: d.fulfilled())
 _mv("fulfilled_counts", lambda d: d.fulfilled_counts())
 _mv("fulfilled_report", lambda d: d.fulfilled_report(config.DRINK_LABEL, "member 1"))
+_mv("fulfilled_report_literal", lambda d: d.fulfilled_report("All", "MEMBER 1", True))
 _mv("all_members", lambda d: d.all_members())
 _mv("all_members_today", lambda d: d.all_members("Today", P.as_of))
 _mv("top_spenders", lambda d: d.top_spenders())
@@ -88,5 +90,18 @@ def rebuild_summary(spark: SparkSession, data_dir: str) -> DataFrame:
     return money_as_double(catalog.rebuild_days(spark, tx, path, "2024-01-10", P.today).select(*SUMMARY_COLUMNS))
 
 
+def _indexed_report(name: str, offer_filter: str, search: str, literal: bool) -> None:
+    def run(spark: SparkSession, data_dir: str) -> DataFrame:
+        fulfilled = live_dashboard(spark, data_dir).fulfilled()
+        path = f"{_run_dir(spark, 'names')}/index"
+        name_index.add_names(spark, fulfilled, path)
+        return name_index.indexed_report(spark, fulfilled, path, offer_filter, search, literal)
+    run.__name__, run.__doc__ = f"{name}_indexed", "The report with its name search answered from a trigram index (B9, F9)."
+    REGISTRY[run.__name__] = run
+    LIVE_ORACLE[run.__name__] = ORACLE_SQL[name]
+
+
+_indexed_report("fulfilled_report", config.DRINK_LABEL, "member 1", False)
+_indexed_report("fulfilled_report_literal", "All", "MEMBER 1", True)
 REGISTRY["rebuild_summary"] = rebuild_summary
 LIVE_ORACLE["rebuild_summary"] = with_(tx_cte(), summary_cte(P.window)) + f"SELECT {SUMMARY_OUT} FROM summary"
