@@ -22,10 +22,11 @@ point spans of the assistants' texts.
 Defined cases: null texts and roles read as empty; a record of an unknown
 layout has a null ``layout`` and no turns; turns of one number are ordered by
 role, then text; repeated rows are turns of their own; a null conversation id
-is a conversation; other columns are ignored, whatever their names.
+is a conversation; other columns are ignored, whatever their names (``with_format``
+keeps them); an empty table gives no rows; very long texts are taken whole.
 
-A conversation is one output record, so its turns meet in one row; nothing
-else is gathered.
+A conversation is one output record, so its turns meet in one row, which costs
+time in proportion to them; nothing else is gathered.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from perkflow.llm.common import private_name
+
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role: string, text: string>>"
 SPANS = "array<struct<start: int, length: int>>"
@@ -190,7 +193,6 @@ def record_schema() -> T.StructType:
 
 def from_json_records(records: DataFrame, column: str) -> DataFrame:
     """``records`` with one JSON object of any declared layout per row, plus ``layout`` and ``turns``."""
-    from perkflow.llm.common import private_name
     tmp = private_name(records, "_record")
     parsed = records.withColumn(tmp, F.from_json(F.col(column), record_schema()))
     return with_turns(parsed, tmp).drop(tmp)
@@ -228,6 +230,7 @@ def with_format(records: DataFrame, turns: str = "turns") -> DataFrame:
         t["role"].alias("plain"), _escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("text")))
     head = len(START) + 1
     tail = len(END) + 1
+    block = 512
 
     def step(so_far: Column, t: Column) -> Column:
         start = so_far["at"] + F.lit(head) + F.char_length(t["role"])
@@ -237,13 +240,23 @@ def with_format(records: DataFrame, turns: str = "turns") -> DataFrame:
             F.when(t["plain"] == "assistant", F.array_append(so_far["spans"], span))
              .otherwise(so_far["spans"]).cast(SPANS).alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
-    out = records.withColumn("_safe_turns", safe)
+    def step_block(so_far: Column, turns_of_block: Column) -> Column:
+        """A block's spans in an array of their own: appending copies an array, so none may grow with the turns."""
+        begin = F.struct(so_far["at"].alias("at"), F.array().cast(SPANS).alias("spans"))
+        done = F.array(F.aggregate(turns_of_block, begin, step))
+        return F.element_at(F.transform(done, lambda d: F.struct(
+            d["at"].alias("at"), F.array_append(so_far["blocks"], d["spans"]).alias("blocks"))), 1)
+
+    held = private_name(records, "_safe_turns")
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(held), F.lit(1)), F.lit(block)), lambda i: i <= F.size(held))
+    blocks = F.transform(starts, lambda i: F.slice(held, i, F.lit(block)))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("blocks"))
+    out = records.withColumn(held, safe)
     return out.withColumns({
-        "formatted": F.array_join(F.transform("_safe_turns", lambda t: F.concat(
+        "formatted": F.array_join(F.transform(held, lambda t: F.concat(
             F.lit(START), t["role"], F.lit("\n"), t["text"], F.lit(END + "\n"))), ""),
-        "loss_spans": F.aggregate("_safe_turns", begin, step, lambda x: x["spans"]),
-    }).drop("_safe_turns")
+        "loss_spans": F.aggregate(blocks, none, step_block, lambda x: F.flatten(x["blocks"])).cast(SPANS),
+    }).drop(held)
 
 
 def turns_of(formatted: Column) -> Column:
@@ -261,6 +274,19 @@ def turns_of(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:
-    """All text under the loss mask, unescaped, in order."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(
-        formatted.substr(s["start"] + 1, s["length"]))), "")
+    """All text under the loss mask, unescaped, in order.
+
+    Taking a part of a text walks to its start, so the spans are read in blocks,
+    each from the stretch of text that it lies in.
+    """
+    block = 128
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(spans), F.lit(1)), F.lit(block)), lambda i: i <= F.size(spans))
+
+    def read(own: Column) -> Column:
+        first, last = F.element_at(own, 1)["start"], F.element_at(own, -1)
+        stretch = F.array(formatted.substr(first + 1, last["start"] + last["length"] - first))
+        return F.element_at(F.transform(stretch, lambda text: F.array_join(F.transform(own, lambda s: unescaped(
+            text.substr(s["start"] - first + 1, s["length"]))), "")), 1)
+
+    return F.array_join(F.transform(starts, lambda i: F.element_at(F.transform(
+        F.array(F.slice(spans, i, F.lit(block))), read), 1)), "")

@@ -5,18 +5,23 @@ stretches of text between block-level tags, each with the path of containers
 it lies in. A block's text-to-tag ratio is its number of characters outside
 links over its number of tags. The ratios are smoothed over neighbouring
 blocks with a Gaussian kernel and clustered by a threshold into content and
-the rest. The content blocks decide on every page: an article or main element
-that holds most of them, weighted by smoothed ratio and length, is the region;
-without one, it is the smallest sectioning container that holds all of them,
-never a paragraph, list, table part or heading. Every block of the region is
-kept, however short, so that smoothing only selects regions and never drops a
-line inside one. Containers that are menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts or styles, by tag,
-role, or the words of their class or id, never belong to a region.
+the rest. The content blocks decide on every page: the article elements, or else
+main elements, that hold most of them, weighted by smoothed ratio and length, are
+the region, those with little of it left out; without such, it is the smallest
+sectioning container that holds all of them, never a paragraph, list, table part
+or heading. Every block of the region is kept, however short, so that smoothing
+only selects regions and never drops a line inside one. Containers that are
+menus, headers, footers, sidebars, notices, adverts, forms, reader comments,
+scripts or styles, by tag, role, or the words of their class or id, never belong
+to a region; but inside an article, words alone silence a container only if the
+clusters reject its text, too.
 
 Defined cases: null or empty html gives an empty text; unclosed, misnested and
-unknown tags are tolerated; repeated pages give equal texts; nothing is
-truncated, memory follows the longest page. No shuffle.
+unknown tags are tolerated; a tag that the page's end cuts off is dropped with
+what follows in it, as browsers do, so that pages of unclosed tags take linear
+time; very long pages are read whole; a page without blocks gives an empty text;
+repeated pages give equal texts; an empty table gives no rows; extra columns are
+ignored, whatever their names. Memory follows the longest page. No shuffle.
 """
 
 from __future__ import annotations
@@ -88,9 +93,14 @@ class _Open:
 
 @dataclass(frozen=True)
 class Smoothing:
-    """``sigma``: blocks; ``share``: the threshold, as a share of the ratios' mean."""
+    """``sigma``: blocks; ``share``: the threshold, as a share of the ratios' mean.
+
+    ``beside``: an article's weight, as a share of the heaviest one's, from
+    which it belongs to the region with that one.
+    """
     sigma: float = 1.5
     share: float = 0.5
+    beside: float = 0.25
 
 
 class Blocks(HTMLParser):
@@ -108,6 +118,7 @@ class Blocks(HTMLParser):
         self.frames: dict[int, int] = {}   # all of these, with the one around each
         self.comments: set[int] = set()    # numbers of frames around readers' comments
         self.in_article: set[int] = set()  # numbers of frames that lie in an article
+        self.named: set[int] = set()       # of these, those that only the words of their class or id make frames
         self.tags = self.link_chars = self.links = self.n_silent = 0
 
     def _flush(self) -> None:
@@ -151,7 +162,8 @@ class Blocks(HTMLParser):
         if tag == "body" and self.depth_of["head"]:
             self._pop_to(next(i for i, o in enumerate(self.open) if o.tag == "head"))
         if tag not in VOID:
-            number, looks_silent = len(self.kinds), self._is_silent(tag, attrs)
+            number, reason = len(self.kinds), self._is_silent(tag, attrs)
+            looks_silent = bool(reason)
             silent = looks_silent and tag in SILENT - _FRAMES
             frame = looks_silent and not silent
             if frame:
@@ -161,30 +173,34 @@ class Blocks(HTMLParser):
                     self.comments.add(number)
                 if self.depth_of["article"] or self.depth_of["main"]:
                     self.in_article.add(number)
+                    if reason == "words" and number not in self.comments:
+                        self.named.add(number)
             self.parents.append(self._around())
             self.open.append(_Open(tag, number, silent, frame))
             self.kinds.append(tag)
             self.depth_of[tag] += 1
             self.n_silent += silent
 
-    def _is_silent(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _is_silent(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
+        """What makes the container look like boilerplate: its "tag", a "mark" or its "words"; else empty."""
         if tag in SILENT:
-            return True
+            return "tag"
         inside = self.depth_of["article"] or self.depth_of["main"]
         if tag == "header":             # an article's own header holds its title
-            return not inside
+            return "" if inside else "tag"
         if tag in ("html", "body", "main", "article"):
-            return any(k == "class" and "comment" in _words(v) for k, v in attrs)
+            return "mark" if any(k == "class" and "comment" in _words(v) for k, v in attrs) else ""
+        found = ""
         for key, value in attrs:
             if key == "role" and (value or "").strip().lower() in _SILENT_ROLES:
-                return True
+                return "mark"
             if key == "hidden" or key == "aria-hidden" and (value or "").strip().lower() == "true":
-                return True
+                return "mark"
             if key in ("class", "id") and value:
                 named = _words(value) & _SILENT_WORDS
                 if named - _TITLE_WORDS if inside else named:
-                    return True
-        return False
+                    found = "words"
+        return found
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -223,6 +239,45 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
             / np.convolve(np.ones(len(ratios)), kernel, "full")[reach:reach + len(ratios)])
 
 
+_UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
+
+
+def _whole_tags(html: str) -> str:
+    """The page without a tag that its end cuts off."""
+    found = _UNFINISHED.search(html, html.rfind(">") + 1)
+    return html[:found.start()] if found else html
+
+
+def _ratios(blocks: list[Block]) -> np.ndarray:
+    return np.array([(len(b.text) - min(b.link_chars, len(b.text))) / b.tags for b in blocks])
+
+
+def _linked(blocks: list[Block]) -> np.ndarray:
+    """Blocks that are mostly links: smoothing makes no content of them."""
+    return np.array([2 * b.link_chars >= len(b.text) for b in blocks])
+
+
+def _like_the_story(parser: Blocks, how: Smoothing = Smoothing()) -> set[int]:
+    """Frames in an article, by their words alone, most of whose text the clusters count as content.
+
+    A block of such a frame must reach the threshold by its own ratio, as its
+    neighbours' say little about it; what is in no frame sets the threshold.
+    """
+    blocks = parser.blocks
+    ratios, free = _ratios(blocks), np.array([b.frame < 0 for b in blocks])
+    if not free.any():
+        return set()
+    threshold = how.share * smoothed(ratios[free], how.sigma).mean()
+    content = (ratios >= threshold) & ~_linked(blocks)
+    total: Counter[int] = Counter()
+    good: Counter[int] = Counter()
+    for b, c in zip(blocks, content):
+        if b.frame in parser.named:
+            total[b.frame] += len(b.text)
+            good[b.frame] += len(b.text) * bool(c)
+    return {f for f in total if 2 * good[f] > total[f]}
+
+
 def _heard(parser: Blocks) -> list[Block]:
     """The blocks that lie in no frame, or only in frames that hold the page's article.
 
@@ -247,7 +302,11 @@ def _heard(parser: Blocks) -> list[Block]:
         text[frames[f]] += text[f]
         told[frames[f]] += told[f]
     heard, apart = {-1: True}, parser.comments | parser.in_article
+    taken = _like_the_story(parser) if parser.named else set()
     for f, outer in frames.items():
+        if f in taken:
+            heard[f] = heard[outer]
+            continue
         holds = f not in apart and 2 * told[f] > told[-1]
         heard[f] = heard[outer] and (holds or text[f] >= 0.9 * text[-1])
     return [b for b in blocks if heard[b.frame]] or blocks
@@ -255,27 +314,26 @@ def _heard(parser: Blocks) -> list[Block]:
 
 def main_text(html: str, how: Smoothing = Smoothing()) -> str:
     parser = Blocks()
-    parser.feed(html)
+    parser.feed(_whole_tags(html))
     parser.close()
     parser.blocks = blocks = _heard(parser)
     if not blocks:
         return ""
-    ratios = np.array([(len(b.text) - min(b.link_chars, len(b.text))) / b.tags for b in blocks])
+    ratios = _ratios(blocks)
     smooth = smoothed(ratios, how.sigma)
-    linked = np.array([2 * b.link_chars >= len(b.text) for b in blocks])    # smoothing makes no content of links
-    content = (smooth >= how.share * smooth.mean()) & (ratios > 0) & ~linked
+    content = (smooth >= how.share * smooth.mean()) & (ratios > 0) & ~_linked(blocks)
     if not content.any():
         content[:] = True
-    chosen = _region(parser, smooth, content)
+    chosen = _region(parser, smooth, content, how.beside)
     inside = np.zeros(len(parser.kinds) + 1, bool)  # the last one: text outside all containers
-    inside[-1] = chosen is None
+    inside[-1] = not chosen
     for number, parent in enumerate(parser.parents):
-        inside[number] = chosen is None or number == chosen or (parent >= 0 and inside[parent])
+        inside[number] = not chosen or number in chosen or (parent >= 0 and inside[parent])
     return "\n".join(b.text for b in blocks if inside[b.container])
 
 
-def _region(parser: Blocks, smooth: np.ndarray, content: np.ndarray) -> int | None:
-    """The container that holds the article; None: the whole page."""
+def _region(parser: Blocks, smooth: np.ndarray, content: np.ndarray, beside: float) -> set[int]:
+    """The containers that hold the article; none: the whole page."""
     kinds, parents = parser.kinds, parser.parents
     weight = np.zeros(len(kinds))
     for b, s, is_content in zip(parser.blocks, smooth, content):
@@ -286,9 +344,16 @@ def _region(parser: Blocks, smooth: np.ndarray, content: np.ndarray) -> int | No
             weight[parents[number]] += weight[number]
     total = sum(s * len(b.text) for b, s, c in zip(parser.blocks, smooth, content) if c)
     for kind in ("article", "main"):
-        own = [n for n in range(len(kinds)) if kinds[n] == kind and 2 * weight[n] > total]
-        if own:
-            return max(own, key=lambda n: (weight[n], -n))
+        within = np.zeros(len(kinds) + 1, bool)     # in an element of this kind; the last one: no container
+        outer = []
+        for n, parent in enumerate(parents):
+            within[n] = within[parent] or kinds[n] == kind
+            if kinds[n] == kind and not within[parent]:
+                outer.append(n)
+        most = max((weight[n] for n in outer), default=0)
+        own = {n for n in outer if weight[n] >= beside * most}
+        if 2 * sum(weight[n] for n in own) > total:
+            return own
     # none of these holds most of the content: the smallest sectioning container with all of it
     held = np.zeros(len(kinds) + 1, np.int64)   # content blocks; the last one: text outside all containers
     for b, is_content in zip(parser.blocks, content):
@@ -296,7 +361,7 @@ def _region(parser: Blocks, smooth: np.ndarray, content: np.ndarray) -> int | No
     for number in range(len(kinds) - 1, 0, -1):
         held[parents[number]] += held[number]
     whole = np.flatnonzero(held[:-1] == content.sum())
-    return next((n for n in reversed(whole.tolist()) if kinds[n] in _SECTIONING or "-" in kinds[n]), None)
+    return set([n for n in whole.tolist() if kinds[n] in _SECTIONING or "-" in kinds[n]][-1:])
 
 
 def text_column(html: str | Column, how: Smoothing = Smoothing()) -> Column:

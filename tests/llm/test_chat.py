@@ -94,3 +94,19 @@ def test_query_takes_its_turns_by_fingerprint(spark, monkeypatch):
     monkeypatch.setattr(chat, "fingerprint", lambda paths: seen.append(real(paths)) or real(paths))
     queries._format_conversations(spark, "/root/testdata/sf0.001")
     assert any(chat.FINGERPRINTS.get(x) == chat.ROW_LAYOUTS[0] for x in seen)
+
+
+def test_very_many_turns_and_a_clashing_name(spark):
+    import time
+    n = 100_000
+    rows = spark.range(n).select(
+        F.lit(7).alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"),
+        F.concat(F.lit("é<|t"), F.col("id").cast("string")).alias("text"))
+    start = time.monotonic()
+    out = chat.with_format(chat.from_turn_rows(rows).withColumn("_safe_turns", F.lit("mine")))
+    got = out.select("_safe_turns", F.size("loss_spans").alias("n"), F.size(chat.turns_of(F.col("formatted"))).alias("back"),
+                     chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).first()
+    assert time.monotonic() - start < 60
+    assert got["_safe_turns"] == "mine" and got["back"] == n and got["n"] == n - -(-n // 3)
+    assert got["loss"] == "".join(f"é<|t{i}" for i in range(n) if i % 3)

@@ -86,6 +86,34 @@ def test_odd_pages_end():
     assert main_text("<article><p>" + "word " * 200_000) == ("word " * 200_000).strip()
 
 
+def test_class_words_inside_an_article_need_the_clusters():
+    long = "A paragraph of the story that goes on for a while, with all that belongs to it and some more of it. "
+    page = f"""<body><article><h1>Title</h1><p>{long}</p><p class="social-policy">{long}1</p><p>{long}2</p>
+    <div class="share"><a href=1>Share</a> <a href=2>Post</a></div><p class="share-price">{long}3</p>
+    <div class="newsletter"><p>Sign up</p></div><div class="comments"><p>{long}4</p></div>
+    <nav><p>{long}5</p></nav><p hidden>{long}6</p></article></body>"""
+    assert main_text(page).split("\n") == ["Title", long.strip(), long + "1", long + "2", long + "3"]
+
+
+def test_several_articles_that_hold_content_are_kept():
+    def entry(i, n):
+        return f"Entry {i} says something, and says it at length. " * n
+    page = f"<body><div><article><p>{entry(1, 7)}</p></article><p>aside</p><article><p>{entry(2, 7)}</p></article></div>"
+    assert main_text(page).split("\n") == [entry(1, 7).strip(), entry(2, 7).strip()]
+    cards = "".join(f"<article><a href=1>More {i}</a><p>Teaser {i}.</p></article>" for i in range(5))
+    page = f"<body><article><p>{entry(1, 20)}</p><article><p>{entry(2, 9)}</p></article></article><div>{cards}</div></body>"
+    assert main_text(page).split("\n") == [entry(1, 20).strip(), entry(2, 9).strip()]
+
+
+def test_unclosed_tags_take_linear_time():
+    import time
+    start = time.monotonic()
+    for piece in ("<a ", "<a x='", '<a x="', "<a/", "<a b=c ", "<div class='x' ", "</p", "<!--", "<?x "):
+        assert main_text("<p>The text.</p>" + piece * (1_000_000 // len(piece))) == "The text."
+    assert time.monotonic() - start < 20
+    assert main_text("<p>5 < 6, and 7 <8 <a href='x") == "5 < 6, and 7 <8"
+
+
 def test_edge_rows(spark):
     rows = [(1, None, 0), (1, None, 0), (2, "", 0), (3, "<p>é &#x1F642;</p>", 0), (4, "\x00<b>z", 0)]
     pages = spark.createDataFrame(rows, "text long, html string, n_chars int")
