@@ -396,15 +396,15 @@ def components(links: DataFrame) -> DataFrame:
 # --- the operator -----------------------------------------------------------------------------
 
 def _classes(docs: DataFrame, doc_id: str, text: str, how: NearDup) -> tuple[DataFrame, DataFrame]:
-    """(sketches of all rows, (node, component_id) of all nodes)."""
+    """(sketches of all rows, (node, component_id, root, copies) of all nodes)."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     s = sketch_column("text", how)
     sketches = save(own.select("doc_id", F.xxhash64("text").alias("text_hash"), s.alias("s"))
                     .select("doc_id", "text_hash", "s.*"), "sketches")
     # copies meet before the shuffle: one row per task and node
     reps = save(sketches.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("minima").alias("minima"),
-        F.first("keys").alias("keys")), "nodes")
+        F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("n").alias("n"),
+        F.first("minima").alias("minima"), F.first("keys").alias("keys")), "nodes")
 
     postings = reps.select("node", "n", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
@@ -434,22 +434,35 @@ def _classes(docs: DataFrame, doc_id: str, text: str, how: NearDup) -> tuple[Dat
         .join(second.select(F.col("node").alias("middle"), F.col("root").alias("top")), "middle", "left") \
         .select("node", "doc_id", F.coalesce("top", "middle").alias("root"))
     least = final.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = final.join(least, "root").select("node", "component_id")
-    classes = reps.select("node", "doc_id").join(linked, "node", "left") \
-        .select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = final.join(least, "root").select("node", "root", "component_id")
+    classes = reps.select("node", "doc_id", "copies").join(linked, "node", "left").select(
+        "node", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("root", "node").alias("root"), "copies")
     return sketches, classes
 
 
+#: A text that holds more than this share of the rows is looked up by broadcast; there are fewer than 1024 such.
+_HOT_SHARE = 1024
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     how: NearDup = NearDup()) -> DataFrame:
-    """Per row: ``doc_id, n_shingles, component_id`` (and ``text_hash``)."""
+    """Per row: ``doc_id, n_shingles, component_id`` (and ``text_hash``, and ``root``, which names the component)."""
     sketches, classes = _classes(docs, doc_id, text, how)
-    own = ["doc_id", F.col("n").alias("n_shingles"), "text_hash"]
-    with_words = sketches.where(F.col("node").isNotNull()).select(*own, "node").join(classes, "node") \
-        .select("doc_id", "n_shingles", "component_id", "text_hash")
+    classes = save(classes, "classes")
+    total = classes.agg(F.sum("copies")).first()[0] or 0
+    out = ["doc_id", "n_shingles", "component_id", "text_hash", "root"]
+    with_words = sketches.where(F.col("node").isNotNull()) \
+        .select("doc_id", F.col("n").alias("n_shingles"), "text_hash", "node")
+    # the copies of a very common text stay where they are, the other rows meet their text's class in a shuffle
+    hot = F.broadcast(classes.where(F.col("copies") * _HOT_SHARE > total).select("node", "component_id", "root"))
+    common = with_words.join(hot, "node").select(*out)
+    others = with_words.join(hot.select("node"), "node", "left_anti") \
+        .join(classes.select("node", "component_id", "root"), "node").select(*out)
     without = sketches.where(F.col("node").isNull()).select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
-    return with_words.unionByName(without)
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash",
+        F.lit(None).cast(classes.schema["root"].dataType).alias("root"))
+    return common.unionByName(others).unionByName(without)
 
 
 def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -458,11 +471,15 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     A row is found again by its id and a hash of its text, so that other texts
     under a repeated id are not taken for it; rows that agree in both are kept
-    once.
+    once. Of several texts under the smallest id, that of the smallest hash stays.
     """
     judged = save(near_duplicates(docs, doc_id, text, how), "near-duplicates")
     same = ["doc_id", "text_hash"]
-    gone = judged.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*same).distinct()
+    first = judged.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    several_texts = first.groupBy("root").agg(F.min("text_hash").alias("least"), F.max("text_hash").alias("most")) \
+        .where("least < most").select("root", "least")
+    gone = judged.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*same).unionByName(
+        first.join(several_texts, "root").where(F.col("text_hash") > F.col("least")).select(*same)).distinct()
     again = judged.where((F.col("n_shingles") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id"))) \
         .groupBy(*same).count().where("count > 1").select(*same)
 

@@ -152,3 +152,33 @@ def test_key_filter_holds_for_every_key(spark):
     wanted = set(range(0, 5000, 7)) | {None}
     assert wanted <= hit and len(hit - wanted) < 10
     assert every.where(key_filter(keys.limit(0), "k")(F.col("id"))).count() == 0
+
+
+def test_one_text_of_a_component_stays_under_a_repeated_id(spark):
+    base = [f"w{i}" for i in range(200)]
+
+    def copy(k):
+        return " ".join([*base[:150 + k], f"x{k}", *base[151 + k:]])
+
+    other = " ".join(f"o{i}" for i in range(60))
+    rows = [(5, copy(1)), (5, copy(2)), (5, copy(3)), (5, other), (6, copy(4)), (None, copy(5)), (None, "n " + other[:90]),
+            (None, None), (None, ""), (5, copy(1))]
+    nulls = [(None, copy(k).replace("w", "v")) for k in range(3)]
+    docs = spark.createDataFrame(rows + nulls, "doc_id long, text string")
+    kept = [(r["doc_id"], r["text"]) for r in M.without_near_duplicates(docs, how=M.NearDup(shingle=5)).collect()]
+    story = [t for _, t in kept if t and t.startswith("w0 ")]
+    assert len(story) == 1 and (5, story[0]) in kept and story[0] in {copy(1), copy(2), copy(3)}
+    assert len([t for _, t in kept if t and t.startswith("v0 ")]) == 1
+    assert (5, other) in kept and (None, None) in kept and (None, "") in kept
+
+
+def test_a_very_common_text_is_looked_up_by_broadcast(spark):
+    common = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, common) for i in range(10, 900)] + [(i, f"t{i} is a text of its own, number {i}") for i in range(900, 1000)] \
+        + [(3, common + " and"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = M.near_duplicates(docs, how=M.NearDup(shingle=4))
+    got = {r["doc_id"]: r["component_id"] for r in found.collect()}
+    assert got == brute(dict(rows), 4) and len(got) == len(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and plan.count("BroadcastHashJoin") >= 2
