@@ -9,13 +9,16 @@ skipped when they surface (stale). n bytes cost O(n log n), however long the
 pre-token.
 
 Defined cases: a null or empty text encodes to an empty list; bytes that are
-not UTF-8 count as U+FFFD; decoding ids outside the vocabulary raises. Texts
-are handled in bounded parts, so memory follows the longest text. No shuffle.
+not UTF-8 count as U+FFFD; decoding ids outside the vocabulary raises; repeated
+rows are encoded alike; an empty table gives no rows; extra columns are ignored,
+whatever their names. Very long texts are handled in bounded parts, so memory
+follows the longest text. No shuffle.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from heapq import heappop, heappush
 from struct import pack
 
@@ -42,6 +45,10 @@ class Merger:
         self.ranks = ranks
         n = max(ranks.values()) + 1
         self.buckets: list[None | int | list[int]] = [None] * n
+        self.first_pairs = [-1] * 65_536    # rank of two bytes, by their values
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first_pairs[token[0] << 8 | token[1]] = rank
         self.words = [0] * (n // 256 + 1)
         self.bit = [1 << i for i in range(max(256, len(self.words)))]
 
@@ -55,7 +62,8 @@ class Merger:
         n = len(piece)
         end = list(range(1, n + 1))         # of the symbol that starts at a position
         before = list(range(-1, n - 1))     # start of the symbol to the left
-        pair = [rank_of(piece[i:i + 2], -1) for i in range(n - 1)]  # rank of the pair starting here
+        table = self.first_pairs
+        pair = [table[a << 8 | b] for a, b in zip(piece, piece[1:])]    # rank of the pair starting here
         pair.append(-1)
         summary = 0                         # upper level of the bitmap: words with a bit set
         changed = range(n - 1)
@@ -124,6 +132,7 @@ class Vocabulary:
         self.hasher = units.Hasher()
         self.memory = units.Memory(self._learn, 1_000_000)    # segments, most of them one pre-token
         self.pieces = BoundedCache(self._ids, limit=100_000)  # pre-tokens of the other segments
+        self.decimal = list(map(str, range(self.n_ranks)))
         self.bytes_of = [b""] * self.n_ranks
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
@@ -160,6 +169,16 @@ class Vocabulary:
                 out[plain[i]] = ids
         return out
 
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """Hex sha256 of the ids as decimals joined by a space, and of the bytes they decode to."""
+        as_text, as_bytes = hashlib.sha256(), hashlib.sha256()
+        step = 1 << 18
+        for i in range(0, len(ids), step):
+            some = ids[i:i + step]
+            as_text.update(((" " if i else "") + " ".join(map(self.decimal.__getitem__, some.tolist()))).encode())
+            as_bytes.update(self.decode(some))
+        return as_text.hexdigest(), as_bytes.hexdigest()
+
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.n_ranks):
             raise ValueError("an id is not in the vocabulary")
@@ -216,6 +235,30 @@ class Bpe:
 
         return encode_texts(utf8(text))
 
+    def round_trip(self, text: str | Column) -> Column:
+        """``struct<n_tokens, ids_sha256, decoded_sha256>`` of a text that is encoded and decoded in one place.
+
+        For checking a corpus: the ids, larger than the texts, stay in the worker.
+        """
+        vocabulary = self._loader()
+
+        @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
+        def encode_and_decode(texts: pa.Array) -> pa.Array:
+            v = vocabulary()
+            n, of_ids, of_bytes = [], [], []
+            for start in range(0, len(texts), 256):
+                for found in v.encode_all(texts.slice(start, 256).to_pylist()):
+                    ids = np.frombuffer(found, "<i4")
+                    a, b = v.digests(ids)
+                    n.append(len(ids))
+                    of_ids.append(a)
+                    of_bytes.append(b)
+            return pa.StructArray.from_arrays(
+                [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())],
+                ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+        return encode_and_decode(utf8(text))
+
     def decode(self, ids: str | Column) -> Column:
         """``binary`` of the ids' bytes; null ids give no bytes.
 

@@ -96,12 +96,8 @@ SELECT * EXCLUDE (bad), NOT (base_failed OR bad) AS kept FROM judged
 @query
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = Bpe(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.encode("text").alias("ids"))
-    return docs.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2(bpe.decode("ids"), 256).alias("decoded_sha256"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", bpe.round_trip("text").alias("done"))
+    return docs.select("doc_id", "done.*")
 
 
 @query

@@ -75,3 +75,17 @@ def test_small_cache_changes_nothing(ranks, library):
     texts = [t, "", " ", t[:77], "\u00a0 x", "a" * (2 << 20)]
     got = v.encode_all([x.encode() for x in texts])
     assert [np.frombuffer(g, np.int32).tolist() for g in got] == [library.encode_ordinary(x) for x in texts]
+
+
+def test_digests_in_one_place_equal_those_of_encode_and_decode(spark):
+    from pyspark.sql import functions as F
+    bpe = Bpe(spark, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rows = [(1, None), (2, ""), (3, "one two one"), (3, "one two one"), (4, "x" * 40_000 + " y" * 300_000), (5, "日本 é\n")]
+    docs = spark.createDataFrame(rows, "done long, text string")
+    plain = docs.select("done", bpe.encode("text").alias("n")).select(
+        "done", F.size("n").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("n").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode("n"), 256).alias("decoded_sha256"))
+    at_once = docs.select("done", bpe.round_trip("text").alias("r")).select("done", "r.*")
+    assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, plain.collect()))
+    assert docs.limit(0).select(bpe.round_trip("text")).collect() == []
