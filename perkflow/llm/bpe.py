@@ -49,6 +49,7 @@ class Merger:
         for token, rank in ranks.items():
             if len(token) == 2:
                 self.first_pairs[token[0] << 8 | token[1]] = rank
+        self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.words = [0] * (n // 256 + 1)
         self.bit = [1 << i for i in range(max(256, len(self.words)))]
 
@@ -65,6 +66,7 @@ class Merger:
         table = self.first_pairs
         pair = [table[a << 8 | b] for a, b in zip(piece, piece[1:])]    # rank of the pair starting here
         pair.append(-1)
+        symbol = [self.single[b] for b in piece]    # id of the symbol that starts here
         summary = 0                         # upper level of the bitmap: words with a bit set
         changed = range(n - 1)
         while True:
@@ -103,6 +105,7 @@ class Merger:
                 break
             j = end[i]
             end[i] = k = end[j]
+            symbol[i] = rank
             pair[j] = -1
             if k < n:
                 before[k] = i
@@ -117,7 +120,7 @@ class Merger:
                 changed = (i,)
         out, i = [], 0
         while i < n:
-            out.append(self.ranks[piece[i:end[i]]])
+            out.append(symbol[i])
             i = end[i]
         return out
 
@@ -130,7 +133,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         self.merged = Merger(ranks)
         self.hasher = units.Hasher()
-        self.memory = units.Memory(self._learn, 1_000_000)    # segments, most of them one pre-token
+        self.memory = units.Memory(self._learn, 2_000_000)    # segments, most of them one pre-token
         self.pieces = BoundedCache(self._ids, limit=100_000)  # pre-tokens of the other segments
         self.decimal = list(map(str, range(self.n_ranks)))
         self.bytes_of = [b""] * self.n_ranks
