@@ -108,8 +108,8 @@ class _Words:
         for token, i in spec["model"]["vocab"].items():
             self.ends_word[i] = token.endswith(suffix)
         self.hasher = units.Hasher()
-        self.memory = units.Memory(self._learn, 900_000)
-        self.pieces = BoundedCache(self._whole, limit=800_000)
+        self.memory = units.Memory(self._learn, 600_000)
+        self.pieces = BoundedCache(self._whole, limit=550_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
