@@ -9,10 +9,13 @@ at most ``boundary`` times as far, up to ``replicas``. A query walks the graph
 best-first and searches all lists whose centroids are at most ``reach`` times as
 far as the nearest one, and at least so many that there are enough candidates.
 
-Lists are dealt in blocks of bounded size against blocks of the queries that
-search them, so neither a popular list nor a popular query meets in one task.
-Each block finds its best pairs by a matrix product and scores them again in
-double precision, component after component; the blocks' best are merged.
+A query's lists are searched in rounds, nearest first: after a round, the k-th
+best found so far bounds what the further lists need to hand on, so that these
+hand on little, however many they are. Lists are dealt in blocks of bounded size
+against blocks of the queries that search them, so neither a popular list nor a
+popular query meets in one task. Each block finds its best pairs by a matrix
+product and scores them again in double precision, component after component;
+the blocks' best are merged.
 
 Defined cases: vectors that are null, empty, zero, hold a null or a non-finite
 component, or differ from the table's most common length take no part, as do
@@ -47,8 +50,10 @@ class Ann:
     reach: float = 1.19         # set by recall, see the README
     least_lists: int = 8
     walk: int = 24              # steps that a walk on the graph takes at least
+    first_lists: int = 8        # searched in the first round
+    widen: int = 16             # a round reaches so many times as many lists as the one before
     block_rows: int = 2048
-    block_queries: int = 1024
+    block_queries: int = 4096
     seed: int = 7
 
 
@@ -118,9 +123,12 @@ class Centroids:
         return Centroids(points, [np.array(sorted(s), np.int64) for s in links], entries, how.walk, spread)
 
     def within(self, v: np.ndarray, ratio: float, least: int, sizes: np.ndarray | None = None,
-               enough: int = 0) -> tuple[np.ndarray, np.ndarray]:
+               enough: int = 0, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Centroids by distance: those at most ``ratio`` times as far as the nearest, and at least ``least``.
 
+        Who needs no more than the ``most`` nearest ones says so, which ends
+        the walk earlier.
+
         With ``sizes`` of the lists, the nearest ones count as one until they
         hold ``enough`` rows together: a list of a few outliers says nothing
         about how far the neighbours are. Lists whose members are, by their
@@ -142,7 +150,7 @@ class Centroids:
         base, done, rows = np.inf, 0, 0
         while heap:
             d, i = heappop(heap)
-            if d > ratio * base and done >= max(least, self.walk):
+            if done >= max(least, self.walk) and (d > ratio * base or most is not None and done >= most):
                 break
             done += 1
             if sizes is not None:
@@ -207,26 +215,50 @@ def inner_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def best_pairs(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray,
-               k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each query's k best of these vectors, its own id excepted: (query row, vector row, score)."""
-    rough = q @ v.T
-    rough[query_ids[:, None] == vec_ids[None, :]] = -np.inf
-    if rough.shape[1] > k:
-        kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
-        # far above the rounding of a sum of len products, so that no true neighbour is missed
-        slack = 1e-12 * q.shape[1] * np.sqrt((q ** 2).sum(axis=1) * (v ** 2).sum(axis=1).max())
-        rows, columns = np.nonzero(rough >= (kth - slack)[:, None])
-    else:
-        rows, columns = np.nonzero(rough > -np.inf)
-    own = rough[rows, columns] > -np.inf
-    rows, columns = rows[own], columns[own]
-    score = inner_products(q[rows], v[columns])
-    order = np.lexsort((vec_ids[columns], -score, rows))
-    rows, columns, score = rows[order], columns[order], score[order]
-    first = np.searchsorted(rows, rows)
-    top = np.arange(len(rows)) - first < k
-    return rows[top], columns[top], score[top]
+def namable(vec_ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Rows that k best can name: of equal vectors those with the k + 1 smallest ids (one may be the query's own)."""
+    _, same = np.unique(np.ascontiguousarray(v).view(f"V{v.itemsize * v.shape[1]}").ravel(), return_inverse=True)
+    order = np.lexsort((vec_ids, same))
+    same = same[order]
+    return np.sort(order[np.arange(len(order)) - np.searchsorted(same, same) <= k])
+
+
+def best_pairs(query_ids: np.ndarray, q: np.ndarray, vec_ids: np.ndarray, v: np.ndarray, k: int,
+               bound: np.ndarray | None = None, bound_ids: np.ndarray | None = None,
+               step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best of these vectors, its own id excepted: (query row, vector row, score).
+
+    With ``bound`` (-inf: none) only those before a neighbour of that score and
+    of the id in ``bound_ids`` that the query already has.
+    """
+    kept = namable(vec_ids, v, k)
+    vec_ids, v = vec_ids[kept], v[kept]
+    bound = np.full(len(q), -np.inf) if bound is None else bound
+    bound_ids = query_ids if bound_ids is None else bound_ids
+    # far above the rounding of a sum of len products, so that no true neighbour is missed
+    slack = 1e-12 * q.shape[1] * np.sqrt((q ** 2).sum(axis=1) * (v ** 2).sum(axis=1).max())
+    least = bound - slack
+    found = []
+    for start in range(0, len(q), step):
+        rough = q[start:start + step] @ v.T
+        at = least[start:start + step].copy()
+        if len(v) > k + 1:
+            many = np.flatnonzero(np.isneginf(at) | ((rough >= at[:, None]).sum(axis=1) > 4 * k))
+            if len(many):
+                kth = np.partition(rough[many], len(v) - k - 1, axis=1)[:, len(v) - k - 1]  # own id included
+                at[many] = np.maximum(at[many], kth - slack[start + many])
+        rows, columns = np.nonzero(rough >= at[:, None])
+        rows += start
+        other = query_ids[rows] != vec_ids[columns]
+        rows, columns = rows[other], columns[other]
+        score = inner_products(q[rows], v[columns])
+        before = (score > bound[rows]) | (score == bound[rows]) & (vec_ids[columns] < bound_ids[rows])
+        rows, columns, score = rows[before], columns[before], score[before]
+        order = np.lexsort((vec_ids[columns], -score, rows))
+        rows, columns, score = rows[order], columns[order], score[order]
+        top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        found.append((rows[top], kept[columns[top]], score[top]))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 # --- index and search -------------------------------------------------------------------------
@@ -262,12 +294,11 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
             x = lengthened(matrix(batch.column("v")), longest)
             found = []
             for v in x:
-                ids, far = shared.value.within(v, how.boundary, 1)
+                ids, far = shared.value.within(v, how.boundary, 1, most=how.replicas)
                 found.append(ids[far <= how.boundary * far[0]][:how.replicas].tolist())
             yield _dealt(batch, found)
 
-    columns = f"list int, lists array<int>, vec_id {id_type}, v {v_type}"
-    postings = save(good.mapInArrow(replicate, columns), "postings")
+    postings = save(good.mapInArrow(replicate, f"list int, lists array<int>, vec_id {id_type}, v {v_type}"), "postings")
     sizes = np.zeros(len(index.points), np.int64)
     for r in postings.groupBy("list").count().collect():  # one row per list
         sizes[r["list"]] = r["count"]
@@ -276,51 +307,113 @@ def search(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embeddi
     def probe(batches):
         for batch in batches:
             x = as_query(matrix(batch.column("v")), longest)
-            yield _dealt(batch, [shared.value.within(v, how.reach, how.least_lists, shared_sizes.value,
-                                                     how.replicas * (how.k + 1))[0].tolist() for v in x])
-
-    probes = save(good.where(is_query).mapInArrow(probe, columns), "probes")
-    asked = {r["list"]: r["count"] for r in probes.groupBy("list").count().collect()}
+            lists = [shared.value.within(v, how.reach, how.least_lists, shared_sizes.value,
+                                         how.replicas * (how.k + 1))[0].tolist() for v in x]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"),
+                                              pa.array(lists, pa.list_(pa.int32()))], ["vec_id", "v", "lists"])
+
+    probes = save(good.where(is_query).mapInArrow(probe, f"vec_id {id_type}, v {v_type}, lists array<int>"), "probes")
+    most = probes.agg(F.max(F.size("lists"))).first()[0] or 0
+    best, start, stop = None, 0, how.first_lists
+    while True:
+        found = search_round(postings, probes, best, start, stop, sizes, how)
+        by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        best = (found if best is None else best.drop("rank").unionByName(found)) \
+            .withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= how.k)
+        if stop >= most:
+            return best.select("query_id", "rank", "vec_id", "score")
+        best, start, stop = save(best, "best"), stop, stop * how.widen
+
+
+def search_round(postings: DataFrame, probes: DataFrame, best: DataFrame | None, start: int, stop: int,
+                 sizes: np.ndarray, how: Ann) -> DataFrame:
+    """(query_id, vec_id, score) from each query's lists ``start`` to ``stop``, nearest first.
+
+    Every pair comes at most once, and none that meets in a list of an earlier
+    round or comes after the query's k-th in ``best``.
+    """
+    spark = probes.sparkSession
+    id_type, v_type = probes.schema["vec_id"].dataType.simpleString(), probes.schema["v"].dataType.simpleString()
+    now = F.slice("lists", start + 1, stop - start)
+    asked = {r["list"]: r["count"]
+             for r in probes.select(F.explode(now).alias("list")).groupBy("list").count().collect()}  # one row per list
     plan = [(i, -(-int(sizes[i]) // how.block_rows), -(-n // how.block_queries)) for i, n in asked.items() if sizes[i]]
     blocks = F.broadcast(spark.createDataFrame(plan, "list int, row_blocks int, query_blocks int"))
+    if best is None:
+        bounded = probes.withColumns({"bound": F.lit(None).cast("double"), "bound_id": F.lit(None).cast(id_type)})
+    else:
+        last = best.where(F.col("rank") == how.k).select("query_id", F.col("score").alias("bound"),
+                                                         F.col("vec_id").alias("bound_id"))
+        bounded = probes.where(F.size("lists") > start) \
+            .join(last, F.col("vec_id") == F.col("query_id"), "left").drop("query_id")
+    n_lists = len(sizes)
+
+    def ask(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 1024):
+                part = batch.slice(at, 1024)
+                lists = part.column("lists").to_pylist()
+                earlier, these = ([x[a:b] for x in lists] for a, b in ((0, start), (start, stop)))
+                dealt = pa.array(np.repeat(np.arange(len(part)), [len(x) for x in these]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i for x in these for i in x], pa.int32()), bit_rows(earlier, n_lists).take(dealt),
+                     bit_rows(these, n_lists).take(dealt),
+                     *(part.column(c).take(dealt) for c in ("vec_id", "v", "bound", "bound_id"))],
+                    ["list", "earlier", "these", "vec_id", "v", "bound", "bound_id"])
+
+    queries = bounded.mapInArrow(ask, f"list int, earlier binary, these binary, vec_id {id_type}, v {v_type}, "
+                                      f"bound double, bound_id {id_type}")
 
     def dealt(side: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
         return side.join(blocks, "list").select(
-            "list", F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other), "lists", "vec_id", "v")
+            *side.columns, F.pmod(F.xxhash64("vec_id"), F.col(mine)).cast("int").alias(own),
+            F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias(other))
 
     cell = ["list", "row_block", "query_block"]
     left = dealt(postings, "row_block", "query_block", "row_blocks", "query_blocks")
-    right = dealt(probes, "query_block", "row_block", "query_blocks", "row_blocks")
+    right = dealt(queries, "query_block", "row_block", "query_blocks", "row_blocks")
 
-    def compare(rows: pa.Table, queries: pa.Table) -> pa.Table:
+    def compare(rows: pa.Table, asking: pa.Table) -> pa.Table:
         names = ["query_id", "vec_id", "score"]
-        if not len(rows) or not len(queries):
+        if not len(rows) or not len(asking):
             q = i = np.zeros(0, np.int64)
             score = np.zeros(0)
         else:
-            q, i, score = best_pairs(queries["vec_id"].to_numpy(), matrix(queries["v"]),
-                                     rows["vec_id"].to_numpy(), matrix(rows["v"]), how.k)
-            new = ~found_before(rows["list"][0].as_py(), rows["lists"].to_pylist(), queries["lists"].to_pylist(), q, i)
+            bound = asking["bound"].fill_null(-np.inf).to_numpy()
+            bound_ids = asking["bound_id"].fill_null(rows["vec_id"][0]).to_numpy()
+            q, i, score = best_pairs(asking["vec_id"].to_numpy(), matrix(asking["v"]), rows["vec_id"].to_numpy(),
+                                     matrix(rows["v"]), how.k, bound, bound_ids)
+            new = ~met_before(rows["list"][0].as_py(), rows["lists"].to_pylist(), bits_of(asking["earlier"], n_lists),
+                              bits_of(asking["these"], n_lists), q, i)
             q, i, score = q[new], i[new], score[new]
-        return pa.table([queries["vec_id"].take(pa.array(q)), rows["vec_id"].take(pa.array(i)), pa.array(score)], names)
+        return pa.table([asking["vec_id"].take(pa.array(q)), rows["vec_id"].take(pa.array(i)), pa.array(score)], names)
 
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(
         compare, f"query_id {id_type}, vec_id {id_type}, score double")
-    # should a pair come from several cells, its copies share a rank
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.dense_rank().over(by)).where(F.col("rank") <= how.k) \
-        .dropDuplicates(["query_id", "rank"]).select("query_id", "rank", "vec_id", "score")
 
 
-def found_before(own: int, lists: list[list[int]], probed: list[list[int]], q: np.ndarray,
-                 i: np.ndarray) -> np.ndarray:
-    """Marks pairs (query row, vector row) that meet in a list numbered below ``own``, too.
+def bit_rows(lists: list[list[int]], n: int) -> pa.Array:
+    """Sets of numbers below ``n``, a bit each."""
+    marks = np.zeros((len(lists), n), bool)
+    marks[np.repeat(np.arange(len(lists)), [len(x) for x in lists]), [i for x in lists for i in x]] = True
+    return pa.array([r.tobytes() for r in np.packbits(marks, axis=1)], pa.binary())
+
+
+def bits_of(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    packed = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.unpackbits(packed, axis=1, count=n).view(bool)
+
+
+def met_before(own: int, lists: list[list[int]], earlier: np.ndarray, these: np.ndarray, q: np.ndarray,
+               i: np.ndarray) -> np.ndarray:
+    """Marks pairs (query row, vector row) that meet in a list of an earlier round, too, or in one numbered below ``own``.
 
     That list names the pair, or knows k better ones, so this one need not.
     """
-    searched = [set(p) for p in probed]
-    return np.array([any(x < own and x in searched[a] for x in lists[b]) for a, b in zip(q.tolist(), i.tolist())], bool)
+    width = max(len(x) for x in lists)
+    padded = np.array([x + [own] * (width - len(x)) for x in lists])[i]
+    at = q[:, None]
+    return (earlier[at, padded] | these[at, padded] & (padded < own)).any(axis=1)
 
 
 def _dealt(batch: pa.RecordBatch, found: list[list[int]]) -> pa.RecordBatch:

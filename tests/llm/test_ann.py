@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -109,3 +111,36 @@ def test_default_reach_loses_no_neighbours_of_vectors_without_structure():
         ids, _ = index.within(v, how.reach, how.least_lists, sizes, how.replicas * (how.k + 1))
         hits.append(np.isin(own[np.argsort(-score)[:20]], ids).mean())
     assert np.mean(hits) >= 0.99, np.mean(hits)
+
+
+def test_rounds_find_what_one_search_finds(spark):
+    """Vectors without structure in 60 lists or more, a third of them equal: neighbours, ties and recall of the whole search."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(4000, 24)).astype(np.float32)
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    how = A.Ann(k=10, list_rows=32, least_lists=2, first_lists=2, widen=3, block_rows=128, block_queries=16)
+    good = A.usable(df, "vec_id", "embedding")
+    assert len(A.build(good, how)[0].points) >= 60
+    asked = F.col("vec_id") % 50 == 0
+    got = found(A.search(df, asked, how=how))
+    assert got == found(A.search(df, asked, how=replace(how, first_lists=10_000)))
+    want = brute(list(range(4000)), x.astype(float).tolist(), range(0, 4000, 50), 10)
+    assert recall(got, want) >= 0.97
+    assert got[300] == want[300]  # a copy: the smallest ids of all copies
+
+
+def test_best_pairs_with_bounds():
+    rng = np.random.default_rng(9)
+    v = rng.integers(-2, 3, (400, 6)).astype(float)  # many ties
+    v = np.concatenate([v, np.repeat(v[:1], 300, axis=0)])
+    ids = rng.permutation(len(v)) + 100
+    for k in (1, 5, 2000):
+        bound, bound_ids = rng.choice([-np.inf, 0.0, 6.0, 12.0], 60), rng.integers(100, 800, 60)
+        rows, columns, score = A.best_pairs(ids[:60], v[:60], ids, v, k, bound, bound_ids, step=7)
+        for q in range(60):
+            all_pairs = sorted((-product(v[q], w), int(i)) for i, w in zip(ids, v) if i != ids[q])
+            want = [(i, -s) for s, i in all_pairs[:k] if (s, i) < (-bound[q], bound_ids[q])]
+            mine = rows == q
+            got = list(zip(ids[columns[mine]].tolist(), score[mine].tolist()))
+            assert got == want
