@@ -95,8 +95,14 @@ class _Words:
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
         self.tokenizer = Tokenizer.from_str(content)
         spec = json.loads(content)
+        to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
+        # for pieces already in lower case and split: the same model without the steps that leave them as they are
+        self.of_pieces = Tokenizer(self.tokenizer.model)
+        self.of_pieces.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(
+            add_prefix_space=to_bytes.get("add_prefix_space", True), use_regex=to_bytes.get("use_regex", True))])
         size = check_tokenizer(content)
         self.kind = id_type(size)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -108,8 +114,8 @@ class _Words:
         for token, i in spec["model"]["vocab"].items():
             self.ends_word[i] = token.endswith(suffix)
         self.hasher = units.Hasher()
-        self.memory = units.Memory(self._learn, 600_000)
-        self.pieces = BoundedCache(self._whole, limit=550_000)
+        self.memory = units.Memory(self._learn, 800_000)
+        self.pieces = BoundedCache(self._whole, limit=150_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -132,8 +138,7 @@ class _Words:
 
     def _of_plain(self, some: list[str]) -> list[bytes]:
         pieces = self.split.findall("\n".join(some).lower())
-        self._learn_pieces(set(pieces).difference("\n"))
-        look_up, out, ids = self.pieces.__getitem__, [], b""
+        look_up, out, ids = self._ids_of(set(pieces).difference("\n"), set(some)).__getitem__, [], b""
         for piece in pieces:
             if piece == "\n":
                 out.append(ids)
@@ -142,18 +147,22 @@ class _Words:
                 ids += look_up(piece)
         return [*out, ids]
 
-    def _learn_pieces(self, some: set[str]) -> None:
-        missing = self.pieces.unknown(some)
+    def _ids_of(self, wanted: set[str], words: set[str]) -> dict[str, bytes]:
+        """The ids of pieces. New ones are remembered unless they are whole words, which ``memory`` keeps."""
+        missing, found = self.pieces.unknown(wanted), {}
         for i in range(0, len(missing), self.CHUNK):
             chunk = missing[i:i + self.CHUNK]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            ids = np.array(self.of_pieces.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, self.kind)
+            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.kind.itemsize
             if len(ends) != len(chunk):     # a piece that the library cuts further: leave the chunk to single calls
                 continue
-            raw, start = ids.tobytes(), 0
-            for piece, end in zip(chunk, (ends * self.kind.itemsize).tolist()):
-                self.pieces.keep(piece, raw[start:end])
-                start = end
+            raw, ends = ids.tobytes(), ends.tolist()
+            found.update(zip(chunk, [raw[a:b] for a, b in zip([0, *ends], ends)]))
+        for piece in found.keys() - words:
+            self.pieces.keep(piece, found[piece])
+        for piece in wanted - found.keys():
+            found[piece] = self.pieces[piece]
+        return found
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Words are cut at ASCII white space; the library cuts them further where needed."""
