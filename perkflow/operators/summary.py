@@ -34,10 +34,10 @@ def net_expr(typ: Column, amount: Column) -> Column:
 
 
 def member_window_summary(tx: DataFrame, window: str = config.DEFAULT_WINDOW,
-                          time_col: str = "transaction_time") -> DataFrame:
-    """Transactions -> one row per (member_id, member_name, window)."""
+                          time_col: str = "transaction_time", also_by: tuple[str, ...] = ()) -> DataFrame:
+    """Transactions -> one row per (member_id, member_name, window), and per value of the ``also_by`` columns."""
     typ, amount = F.col("transaction_type"), F.col("amount")
-    agg = tx.groupBy("member_id", "member_name", F.window(time_col, window).alias("w")).agg(
+    agg = tx.groupBy("member_id", "member_name", F.window(time_col, window).alias("w"), *also_by).agg(
         F.sum(spend_expr(typ, amount)).alias("total_spend"),
         F.sum(winnings_expr(typ, amount)).alias("total_winnings"),
         F.sum(net_expr(typ, amount)).alias("net_amount"),
@@ -47,7 +47,7 @@ def member_window_summary(tx: DataFrame, window: str = config.DEFAULT_WINDOW,
     return agg.select(
         "member_id", "member_name",
         F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"),
-        "total_spend", "total_winnings", "net_amount", "transaction_count", "last_transaction",
+        "total_spend", "total_winnings", "net_amount", "transaction_count", "last_transaction", *also_by,
     )
 
 

@@ -1,10 +1,13 @@
 """Registered queries over tables that a stream keeps current by deltas (``streaming.kept``).
 
-The transactions arrive in six batches, those of a third of a month in two
-halves by their id, so that most windows change in two batches. Two jobs read
-the same batches. One allows them to be eleven days late, so every row is on
+The transactions arrive six times a month, those of a third of a month in two
+halves by their id, so that most windows change in two arrivals. Two jobs read
+the same arrivals. One allows them to be eleven days late, so every row is on
 time and windows are emitted again; the other allows ten seconds, so that the
 second half is mostly late, is captured, and is merged afterwards.
+
+A micro-batch takes one arrival where there are few, and several where there are
+many: the number of micro-batches grows with the rows, not with the months.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ _BUILT: dict[tuple, KeptTables] = {}
 
 
 def _arrival():
-    """Which batch a transaction comes in: by month, third of the month, and half."""
+    """With which arrival a transaction comes: by month, third of the month, and half."""
     t = F.col("transaction_time")
     third = F.least(F.floor((F.dayofmonth(t) - 1) / 11), F.lit(2))
     return ((F.year(t) * 12 + F.month(t)) * 6 + third * 2 + F.col("transaction_id") % 2).cast("long")
@@ -42,17 +45,42 @@ _ARRIVAL_SQL = """((year(transaction_time) * 12 + month(transaction_time)) * 6
   + least(floor((day(transaction_time) - 1) / 11), 2) * 2 + transaction_id % 2)"""
 
 
+#: Micro-batches of a run at least, if there are as many arrivals, and rows that one takes on average at most.
+BATCHES, BATCH_ROWS = 8, 2_000_000
+
+
+def micro_batches(rows: list[int]) -> list[int]:
+    """The micro-batch of every arrival, given their rows: consecutive ones together, of about equal size."""
+    total = sum(rows)
+    n = max(BATCHES, -(-total // BATCH_ROWS))
+    if len(rows) <= n:
+        return list(range(len(rows)))
+    out, before = [], 0
+    for r in rows:
+        out.append(min(n - 1, (2 * before + r) * n // (2 * total)))
+        before += r
+    return [sorted(set(out)).index(x) for x in out]
+
+
 def _kept(spark: SparkSession, data_dir: str, delay: str) -> KeptTables:
-    """Streams the batches one after the other, each as soon as its files are there."""
+    """Streams the micro-batches one after the other, each as soon as its files are there.
+
+    The transactions are dealt to them in one pass, whatever their number.
+    """
     key = (*table_state(spark, data_dir), delay)
     if key not in _BUILT:
         root = _run_dir(spark, "kept")
         tx = Inputs(spark, data_dir, P).tx().withColumn("arrival", _arrival())
         kept = KeptTables(spark, f"{root}/tables", delay=delay)
-        for i, r in enumerate(tx.select("arrival").distinct().orderBy("arrival").collect()):  # six a month
-            part = tx.where(F.col("arrival").eqNullSafe(F.lit(r["arrival"]))).drop("arrival")
-            part.write.parquet(f"{root}/in/part-{i:05d}")
-            stream = spark.readStream.schema(part.schema).parquet(f"{root}/in/*")
+        arrivals = tx.groupBy("arrival").count().orderBy(F.col("arrival").asc_nulls_first()).collect()   # six a month
+        dealt = micro_batches([r["count"] for r in arrivals])
+        firsts = [r["arrival"] for i, r in enumerate(arrivals) if i and dealt[i] != dealt[i - 1]]
+        part = sum((F.coalesce(F.col("arrival") >= first, F.lit(False)).cast("int") for first in firsts), F.lit(0))
+        if arrivals:
+            tx.withColumn("part", part).write.partitionBy("part").parquet(f"{root}/dealt")
+        for i in sorted(set(dealt)):
+            spark.read.schema(tx.schema).parquet(f"{root}/dealt/part={i}").write.parquet(f"{root}/in/part-{i:05d}")
+            stream = spark.readStream.schema(tx.schema).parquet(f"{root}/in/*")
             run_to_completion(kept.start(stream, f"{root}/checkpoint"))
         _BUILT[key] = kept
     return _BUILT[key]
@@ -98,7 +126,7 @@ for _prefix, _job, _how in (("mv", on_time, "whose windows changed in two batche
 
 def _added_up(kind: str) -> Callable[[KeptTables], DataFrame]:
     def ask(k: KeptTables) -> DataFrame:
-        log = k.offer_log().where(F.col("offer_type") == kind).drop("version", "offer_type", "metric_value")
+        log = k.offer_log().where(F.col("offer_type") == kind).drop("version", "arrival", "offer_type", "metric_value")
         columns = [c for c in log.columns if c != "sign"]
         left = log.groupBy(*columns).agg(F.sum("sign").alias("n")).where("n > 0")
         return offers(left, kind, 0)       # all of them qualify: only the offer's columns are added

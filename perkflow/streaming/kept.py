@@ -21,6 +21,12 @@ version everything else follows without reading the summary again:
   stateful aggregate: the window's end is not after the previous batches' newest
   event time less the allowed lateness. ``correct_late`` merges them.
 
+A micro-batch may hold several arrivals, numbered by an ``arrival`` column. They
+take effect one after the other, nulls first: each is late or not by what came
+before it, and each changes the windows it touches, which are emitted again, with
+their offers retracted and inserted again. So a backlog of many arrivals needs few
+micro-batches, and gives the rows that one micro-batch for each of them gives.
+
 Keyed tables are rewritten by touched part only, see ``versions``. A batch that
 is run again after its commit does nothing, before it replaces its own files.
 ``stats`` and ``latest`` use the offer thresholds that the job was started with.
@@ -53,10 +59,16 @@ SUMS = ["total_spend", "total_winnings", "net_amount", "transaction_count"]
 OFFER_COLUMNS = ["member_id", "member_name", "offer_type", "metric_value", "window_start", "window_end"]
 COUNTS = ["windows", "spend_rows", "transactions", "winning", "losing", "hotel", "drink"]
 
-WINDOWS_SCHEMA = T.StructType([*COMPACTED_SCHEMA.fields[:-1], T.StructField("changed", T.BooleanType()),
+ARRIVAL = "arrival"
+#: ``closed`` of a version that a later arrival of its own micro-batch replaced: a change, but not a row of the summary.
+REPLACED = 2
+
+WINDOWS_SCHEMA = T.StructType([*COMPACTED_SCHEMA.fields[:-1], T.StructField(ARRIVAL, T.LongType()),
+                               T.StructField("changed", T.BooleanType()),
                                T.StructField("old", T.StructType(COMPACTED_SCHEMA.fields[4:9])),
                                T.StructField("version", T.LongType()), T.StructField("closed", T.IntegerType()),
                                T.StructField("window_date", T.DateType())])
+FRESH_SCHEMA = T.StructType([*COMPACTED_SCHEMA.fields[:-1], T.StructField(ARRIVAL, T.LongType())])
 STATS_SCHEMA = T.StructType([
     T.StructField("size", T.IntegerType()), T.StructField("window_start", T.TimestampNTZType()),
     T.StructField("window_end", T.TimestampNTZType()), T.StructField("revenue", MONEY),
@@ -113,16 +125,23 @@ def cover(start: dt.datetime, end: dt.datetime, sizes: tuple[int, ...]) -> list[
 # --- pure steps of a version --------------------------------------------------------------------
 
 def merged_windows(previous: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Both summaries added up by key, with ``changed`` and the version before the change (``old``, null if new)."""
+    """Every version that windows had: as before (unless replaced), and after each arrival that changed them.
+
+    ``changed`` tells the latter, ``old`` is the version before the change (null if new),
+    ``replaced`` that a later arrival follows.
+    """
     def side(df: DataFrame, is_new: bool) -> DataFrame:
-        return df.select(*SUMMARY_COLUMNS, F.lit(is_new).alias("is_new"))
+        arrival = F.col(ARRIVAL) if is_new and ARRIVAL in df.columns else F.lit(None)
+        return df.select(*SUMMARY_COLUMNS, arrival.cast("long").alias(ARRIVAL), F.lit(is_new).alias("changed"))
 
     values = [f.name for f in COMPACTED_SCHEMA.fields[4:9]]
-    before = F.max(F.when(~F.col("is_new"), F.struct(*values)))
-    sums = [F.sum(c).cast(COMPACTED_SCHEMA[c].dataType).alias(c) for c in SUMS]
-    both = side(previous, False).unionByName(side(fresh, True))
-    return both.groupBy(*SUMMARY_KEY).agg(*sums, F.max("last_transaction").alias("last_transaction"),
-                                          F.max("is_new").alias("changed"), before.alias("old"))
+    in_order = Window.partitionBy(*SUMMARY_KEY).orderBy("changed", F.col(ARRIVAL).asc_nulls_first())
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = [F.sum(c).over(so_far).cast(COMPACTED_SCHEMA[c].dataType).alias(c) for c in SUMS]
+    versions = side(previous, False).unionByName(side(fresh, True)).select(
+        *SUMMARY_KEY, *sums, F.max("last_transaction").over(so_far).alias("last_transaction"), ARRIVAL, "changed")
+    return versions.select("*", F.lag(F.struct(*values)).over(in_order).alias("old"),
+                           F.lead(F.lit(True), 1, False).over(in_order).alias("replaced")).where("changed or not replaced")
 
 
 def signed_changes(rows: DataFrame) -> DataFrame:
@@ -131,7 +150,7 @@ def signed_changes(rows: DataFrame) -> DataFrame:
     new = F.struct(F.lit(1).alias("sign"), *[F.col(c).alias(c) for c in values])
     old = F.struct(F.lit(-1).alias("sign"), *[F.col("old")[c].alias(c) for c in values])
     return rows.where("changed").select(
-        *SUMMARY_KEY, F.col("old").isNull().alias("inserted"),
+        *SUMMARY_KEY, ARRIVAL, F.col("old").isNull().alias("inserted"),
         F.inline(F.filter(F.array(new, F.when(F.col("old").isNotNull(), old)), lambda x: x.isNotNull())))
 
 
@@ -140,7 +159,7 @@ def offer_changes(changes: DataFrame, hotel_threshold, drink_threshold) -> DataF
     hotel = F.struct(F.lit(config.HOTEL).alias("offer_type"), F.col("total_spend").alias("metric_value"))
     drink = F.struct(F.lit(config.DRINK).alias("offer_type"), F.abs("net_amount").cast(MONEY).alias("metric_value"))
     kinds = F.array(F.when(hotel_predicate(hotel_threshold), hotel), F.when(drink_predicate(drink_threshold), drink))
-    rows = changes.select("sign", *SUMMARY_COLUMNS, F.inline(F.filter(kinds, lambda k: k.isNotNull())))
+    rows = changes.select("sign", *SUMMARY_COLUMNS, ARRIVAL, F.inline(F.filter(kinds, lambda k: k.isNotNull())))
     columns = [c for c in rows.columns if c != "sign"]
     return rows.groupBy(*columns).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0").select("sign", *columns)
 
@@ -251,28 +270,39 @@ class KeptTables:
     def _closed_by(self, c: Commit) -> dt.datetime | None:
         """No window ending by then takes transactions any more."""
         seen = c.facts.get("seen")
-        return None if seen is None else dt.datetime.fromisoformat(seen) - dt.timedelta(seconds=duration_seconds(self.delay))
+        return None if seen is None else dt.datetime.fromisoformat(seen) - self._delay()
+
+    def _delay(self) -> dt.timedelta:
+        return dt.timedelta(seconds=duration_seconds(self.delay))
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch of transactions."""
         c = self.files.newest()
         if c.facts.get("batch", -1) >= batch_id:
             return
-        version, closed_by = c.version + 1, self._closed_by(c)
+        version = c.version + 1
         if isinstance(batch.schema[TIME_COL].dataType, T.TimestampType):
             batch = batch.withColumn(TIME_COL, instant_to_ntz(F.col(TIME_COL)))
-        on_time, n_late = batch, 0
-        if closed_by is not None:
-            placed = batch.withColumn("_w", F.window(TIME_COL, self.window))
-            is_late = F.col("_w")["end"] <= ts_lit(closed_by)
-            on_time = placed.where(~is_late).drop("_w")
+        if ARRIVAL not in batch.columns:
+            batch = batch.withColumn(ARRIVAL, F.lit(None).cast("long"))
+        seen, before = _time(c.facts.get("seen")), []
+        for arrival, newest in batch.groupBy(ARRIVAL).agg(F.max(TIME_COL)) \
+                .orderBy(F.col(ARRIVAL).asc_nulls_first()).collect():        # one row per arrival
+            before.append((arrival, None if seen is None else seen - self._delay()))
+            seen = max((t for t in (newest, seen) if t is not None), default=None)
+        on_time = batch
+        if "seen" in c.facts or len(before) > 1:
+            bounds = self.spark.createDataFrame(before, "_a long, _closed_by timestamp_ntz")
+            placed = batch.withColumn("_w", F.window(TIME_COL, self.window)) \
+                .join(F.broadcast(bounds), F.col(ARRIVAL).eqNullSafe(F.col("_a")))
+            is_late = F.coalesce(F.col("_w")["end"] <= F.col("_closed_by"), F.lit(False))
+            on_time = placed.where(~is_late).drop("_w", "_a", "_closed_by")
             placed.where(is_late).select(*TRANSACTIONS_COLUMNS).write.mode("overwrite") \
                 .parquet(self.files.folder("late", version))
         path = f"{self.root}/fresh/version={version}"
-        member_window_summary(on_time, self.window).select(*SUMMARY_COLUMNS).write.mode("overwrite").parquet(path)
-        fresh = self.spark.read.schema(T.StructType(COMPACTED_SCHEMA.fields[:-1])).parquet(path)
-        newest = fresh.agg(F.max("last_transaction")).first()[0]
-        seen = max((t for t in (newest, _time(c.facts.get("seen"))) if t is not None), default=None)
+        member_window_summary(on_time, self.window, also_by=(ARRIVAL,)).select(*SUMMARY_COLUMNS, ARRIVAL) \
+            .write.mode("overwrite").parquet(path)
+        fresh = self.spark.read.schema(FRESH_SCHEMA).parquet(path)
         facts = {"batch": batch_id, "open": version, "seen": seen.isoformat() if seen else None}
         closes = self._closed_by(c.next(facts, {}))
         is_closed = F.lit(0) if closes is None else (F.col("window_end") <= ts_lit(closes)).cast("int")
@@ -283,7 +313,7 @@ class KeptTables:
         """Write the next version of every table from merged windows, then commit it."""
         version = c.version + 1
         path = self.files.folder("windows", version)
-        windows.withColumn("closed", is_closed).withColumn("window_date", F.to_date("window_start")) \
+        windows.withColumn("closed", F.when(F.col("replaced"), REPLACED).otherwise(is_closed)).drop("replaced").withColumn("window_date", F.to_date("window_start")) \
             .hint("rebalance", "closed", "window_date").write.mode("overwrite") \
             .partitionBy("closed", "window_date").parquet(path)
         rows = self._windows_of(version)
@@ -382,9 +412,9 @@ class KeptTables:
         """Closed windows: for a corrected day its newest correction and what closed later."""
         rows = self._windows().where((F.col("closed") == 1) & (F.col("version") <= c.version))
         since = c.tables.get("closed_days")
-        if since:
-            pairs = [x for d, v in since.items() for x in (date_lit(d), F.lit(v).cast("long"))]
-            rows = rows.where(F.col("version") >= F.coalesce(F.create_map(*pairs)[F.col("window_date")], F.lit(0)))
+        for v in sorted(set((since or {}).values())):       # one set of days per correction, looked up by hash
+            days = [dt.date.fromisoformat(d) for d, of in since.items() if of == v]
+            rows = rows.where((F.col("version") >= v) | ~F.col("window_date").isin(days))
         return rows
 
     def summary(self, first_day=None, last_day=None) -> DataFrame:
@@ -398,11 +428,11 @@ class KeptTables:
         return rows.select(*SUMMARY_COLUMNS)
 
     def _log_schema(self) -> T.StructType:
-        return T.StructType([T.StructField("sign", T.IntegerType()), *COMPACTED_SCHEMA.fields[:-1],
+        return T.StructType([T.StructField("sign", T.IntegerType()), *FRESH_SCHEMA.fields,
                              T.StructField("offer_type", T.StringType()), T.StructField("metric_value", MONEY)])
 
     def offer_log(self) -> DataFrame:
-        """(version, sign, offer_type, metric_value, summary columns): offers inserted and withdrawn."""
+        """(version, sign, arrival, offer_type, metric_value, summary columns): offers inserted and withdrawn."""
         c = self.files.newest()
         path = f"{self.root}/offer_log"
         schema = T.StructType([*self._log_schema().fields, T.StructField("version", T.LongType())])
@@ -468,9 +498,10 @@ class KeptTables:
         """(value, spend_rank) of every total spend that a member has, highest first, nulls last."""
         c = self.files.newest()
         rows = self.files.read_parts(c, "histogram", "band", HISTOGRAM_SCHEMA)
-        before = Window.orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        above = rows.groupBy("band").agg(F.sum("n").alias("own")) \
-            .select("band", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("above"))    # one row per band
+        bands = rows.groupBy("band").agg(F.sum("n").alias("own"))      # a few hundred at most
+        higher = bands.select(F.col("band").alias("higher_band"), "own")
+        above = bands.select("band").join(F.broadcast(higher), F.col("higher_band") > F.col("band"), "left") \
+            .groupBy("band").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("above"))
         within = Window.partitionBy("band").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn("higher", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(above), "band") \
             .select("value", (F.col("above") + F.col("higher") + 1).cast("long").alias("spend_rank"))

@@ -206,3 +206,40 @@ def test_bands_keep_the_order():
         .select(F.col("v").cast("decimal(28,2)").alias("v")).select("v", band(F.col("v")).alias("b")).collect()
     got = [r["b"] for r in sorted(rows, key=lambda r: (r["v"] is not None, r["v"] or 0))]
     assert got == sorted(got)
+
+
+def test_a_micro_batch_of_many_arrivals_gives_what_one_for_each_gives(spark, tmp_dir):
+    """The same arrivals one by one and several at once: versions, retractions and late rows are the same."""
+    def arrival(i):
+        return None if i == 3 else (i * 7) % 5
+    # a few windows only, which several arrivals change
+    rows = [(*r[:6], f"2024-01-0{1 + i % 2} 10:{i * 13 % 20:02d}:{i % 60:02d}") for i, r in enumerate(random_tx(300, 21))]
+    for delay in ("30 minutes", "3 days"):
+        one, many = (KeptTables(spark, f"{tmp_dir}/{delay[0]}-{n}", delay=delay, buckets=2) for n in ("one", "many"))
+        arrivals = [[r for r in rows if arrival(r[0]) == a] for a in (None, 0, 1, 2, 3, 4)]
+        for n, part in enumerate(arrivals):
+            one.process(tx_rows(spark, part), n)
+        a = F.when(F.col("transaction_id") != 3, F.col("transaction_id") * 7 % 5).cast("long")
+        for n, parts in enumerate((arrivals[:4], arrivals[4:])):
+            many.process(tx_rows(spark, [r for p in parts for r in p]).withColumn("arrival", a), n)
+        for _ in range(2):
+            assert rows_of(many.summary()) == rows_of(one.summary())
+            assert rows_of(many.late_transactions().drop("version")) == rows_of(one.late_transactions().drop("version"))
+            assert rows_of(many.offer_log().drop("version", "arrival")) == rows_of(one.offer_log().drop("version", "arrival"))
+            assert many.offer_log().where("sign < 0").count() > 0 or delay != "3 days"
+            assert rows_of(many.latest_offers()) == rows_of(one.latest_offers())
+            assert rows_of(many.leaderboard()) == rows_of(one.leaderboard())
+            stats_equal(many, one.summary())
+            assert many.correct_late() == one.correct_late()
+        assert many.files.newest().version < one.files.newest().version
+        check(spark, many, tx_rows(spark, rows))
+
+
+def test_micro_batches_grow_with_rows_and_not_with_months():
+    from perkflow.plans import kept_registry as k
+    assert k.micro_batches([]) == [] and k.micro_batches([5] * 6) == list(range(6))
+    for months in (2, 60, 360):
+        dealt = k.micro_batches([16_700] * 6 * months)
+        assert dealt == sorted(dealt) and set(dealt) == set(range(max(dealt) + 1))
+        assert len(set(dealt)) == max(k.BATCHES, -(-16_700 * 6 * months // k.BATCH_ROWS))
+    assert k.micro_batches([10 ** 9, 1, 1, 1, 1, 1, 1, 1, 1, 1])[0] == 0
