@@ -98,7 +98,9 @@ def append_redemptions(spark: SparkSession, requests: DataFrame, path: str) -> i
         fresh = spark.read.schema(LEDGER_SCHEMA).parquet(f"{staging}/fresh")
     n = fresh.count()
     if n:
-        fresh.select(*LEDGER_COLUMNS).write.mode("append").partitionBy("redemption_date").parquet(path)
+        # few files a day: not one per task and day
+        fresh.select(*LEDGER_COLUMNS).hint("rebalance", "redemption_date") \
+            .write.mode("append").partitionBy("redemption_date").parquet(path)
     return n
 
 

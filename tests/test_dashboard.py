@@ -92,3 +92,21 @@ def test_bucketed_table_has_one_file_per_day_and_bucket(bucketed):
     days = glob.glob(f"{bucketed.summary_path}/window_date=*")
     files = glob.glob(f"{bucketed.summary_path}/window_date=*/*.parquet")
     assert days and len(files) <= 4 * len(days)
+
+
+def test_an_append_to_the_ledger_writes_few_files_a_day(spark, tmp_dir):
+    """Each day's rows come from one task, however many tasks read the batch."""
+    import datetime as dt
+    import glob
+    from perkflow.operators import ledger
+    rows = [(i, f"M{i}", "drink", dt.datetime(2024, 1, 1 + i % 10, 12)) for i in range(400)]
+    requests = spark.createDataFrame(rows, "member_id long, member_name string, offer_type string, requested_at timestamp_ntz")
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        assert ledger.append_redemptions(spark, requests, f"{tmp_dir}/ledger") == 400
+    finally:
+        spark.conf.set(key, old)
+    assert len(glob.glob(f"{tmp_dir}/ledger/redemption_date=*/*.parquet")) == 10
+    assert ledger.read_ledger(spark, f"{tmp_dir}/ledger").count() == 400
