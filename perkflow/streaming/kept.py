@@ -35,8 +35,11 @@ is run again after its commit does nothing, before it replaces its own files.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,44 +148,48 @@ def merged_windows(previous: DataFrame, fresh: DataFrame) -> DataFrame:
 
 
 def signed_changes(rows: DataFrame) -> DataFrame:
-    """(sign, summary columns): +1 for every changed window's new version, -1 for its old one."""
+    """(sign, summary columns): +1 for every changed window's new version, -1 for its old one; none if both are equal."""
     values = [f.name for f in COMPACTED_SCHEMA.fields[4:9]]
+    differs = F.lit(False)
+    for c in values:
+        differs = differs | ~F.col("old")[c].eqNullSafe(F.col(c))
     new = F.struct(F.lit(1).alias("sign"), *[F.col(c).alias(c) for c in values])
     old = F.struct(F.lit(-1).alias("sign"), *[F.col("old")[c].alias(c) for c in values])
-    return rows.where("changed").select(
+    return rows.where(F.col("changed") & (F.col("old").isNull() | differs)).select(
         *SUMMARY_KEY, ARRIVAL, F.col("old").isNull().alias("inserted"),
         F.inline(F.filter(F.array(new, F.when(F.col("old").isNotNull(), old)), lambda x: x.isNotNull())))
 
 
 def offer_changes(changes: DataFrame, hotel_threshold, drink_threshold) -> DataFrame:
-    """Signed rows of both offers; an offer that did not change is neither retracted nor inserted."""
+    """Signed rows of both offers, each from its own row: an equal one is neither retracted nor inserted before."""
     hotel = F.struct(F.lit(config.HOTEL).alias("offer_type"), F.col("total_spend").alias("metric_value"))
     drink = F.struct(F.lit(config.DRINK).alias("offer_type"), F.abs("net_amount").cast(MONEY).alias("metric_value"))
     kinds = F.array(F.when(hotel_predicate(hotel_threshold), hotel), F.when(drink_predicate(drink_threshold), drink))
-    rows = changes.select("sign", *SUMMARY_COLUMNS, ARRIVAL, F.inline(F.filter(kinds, lambda k: k.isNotNull())))
-    columns = [c for c in rows.columns if c != "sign"]
-    return rows.groupBy(*columns).agg(F.sum("sign").cast("int").alias("sign")).where("sign <> 0").select("sign", *columns)
+    return changes.select("sign", *SUMMARY_COLUMNS, ARRIVAL, F.inline(F.filter(kinds, lambda k: k.isNotNull())))
 
 
 def stats_changes(changes: DataFrame, window_seconds: int, hotel_threshold, drink_threshold) -> DataFrame:
-    """What the signed rows add to the totals of their window, hour and day."""
+    """What the signed rows add to the totals of their window, hour and day, a row for each of their windows.
+
+    Rows are added up by window only; ``added_stats`` adds up the windows of an hour and a day.
+    """
     net = F.col("net_amount")
     flags = {"windows": F.lit(1), "spend_rows": F.col("total_spend").isNotNull().cast("long"),
              "transactions": F.col("transaction_count"), "winning": (net >= 0).cast("long"), "losing": (net < 0).cast("long"),
              "hotel": hotel_predicate(hotel_threshold).cast("long"), "drink": drink_predicate(drink_threshold).cast("long")}
+    sign = F.col("sign")
+    windows = changes.groupBy("window_start", "window_end").agg(
+        F.sum(sign * F.col("total_spend")).cast(MONEY).alias("revenue"),
+        *[F.sum(sign * c).cast("long").alias(n) for n, c in flags.items()],
+        F.hll_sketch_agg(F.when(F.col("inserted") & (sign > 0), F.col("member_id")), 12).alias("members"))
     at = F.struct(F.lit(window_seconds).alias("size"), F.col("window_start"), F.col("window_end"))
     wider = []
     for unit, size in (("hour", HOUR), ("day", DAY)):
         start = F.date_trunc(unit, "window_start").cast("timestamp_ntz")
         wider.append(F.struct(F.lit(size).alias("size"), start.alias("window_start"),
                               (start + F.expr(f"INTERVAL {size} SECOND")).alias("window_end")))
-    rows = changes.select(
-        "sign", "member_id", "inserted", F.to_date("window_start").alias("day"), F.col("total_spend").alias("revenue"),
-        *[c.alias(n) for n, c in flags.items()], F.inline(F.array(at, *wider)))
-    return rows.groupBy("size", "window_start", "window_end", "day").agg(
-        F.sum(F.col("sign") * F.col("revenue")).cast(MONEY).alias("revenue"),
-        *[F.sum(F.col("sign") * F.col(c)).cast("long").alias(c) for c in COUNTS],
-        F.hll_sketch_agg(F.when(F.col("inserted") & (F.col("sign") > 0), F.col("member_id")), 12).alias("members"))
+    return windows.select(F.to_date("window_start").alias("day"), "revenue", *COUNTS, "members",
+                          F.inline(F.array(at, *wider)))
 
 
 def added_stats(rows: DataFrame) -> DataFrame:
@@ -243,6 +250,13 @@ def histogram_changes(totals: DataFrame) -> DataFrame:
         .groupBy("value").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("band", band(F.col("value")))
 
 
+def together(spark: SparkSession, steps: list[Callable[[], dict]]) -> dict:
+    """What independent steps return, merged. Their Spark jobs share the cluster; all have ended when this returns or raises."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    return {k: v for r in running for k, v in r.result().items()}
+
+
 # --- the job --------------------------------------------------------------------------------------
 
 @dataclass
@@ -299,10 +313,7 @@ class KeptTables:
             on_time = placed.where(~is_late).drop("_w", "_a", "_closed_by")
             placed.where(is_late).select(*TRANSACTIONS_COLUMNS).write.mode("overwrite") \
                 .parquet(self.files.folder("late", version))
-        path = f"{self.root}/fresh/version={version}"
-        member_window_summary(on_time, self.window, also_by=(ARRIVAL,)).select(*SUMMARY_COLUMNS, ARRIVAL) \
-            .write.mode("overwrite").parquet(path)
-        fresh = self.spark.read.schema(FRESH_SCHEMA).parquet(path)
+        fresh = member_window_summary(on_time, self.window, also_by=(ARRIVAL,)).select(*SUMMARY_COLUMNS, ARRIVAL)
         facts = {"batch": batch_id, "open": version, "seen": seen.isoformat() if seen else None}
         closes = self._closed_by(c.next(facts, {}))
         is_closed = F.lit(0) if closes is None else (F.col("window_end") <= ts_lit(closes)).cast("int")
@@ -326,41 +337,49 @@ class KeptTables:
             F.collect_set(F.when(F.coalesce(qualifies, F.lit(False)) | was, bucket))).first()  # at most `buckets` and the days of a batch
         changes = signed_changes(rows)
         log_path = self.files.folder("offer_log", version)
-        offer_changes(changes, self.hotel_threshold, self.drink_threshold).write.mode("overwrite").parquet(log_path)
-        tables = {}
-        if days:
+
+        def offered_now() -> dict:
+            offer_changes(changes, self.hotel_threshold, self.drink_threshold).write.mode("overwrite").parquet(log_path)
+            if not offered:
+                return {}
+            held = self.files.read_parts(c, "latest", "bucket", LATEST_SCHEMA, offered)
+            log = self.spark.read.schema(self._log_schema()).parquet(log_path)
+            if closed_days:
+                # a correction may retract a closed offer, behind which no older one is kept
+                hit = log.select("member_id").distinct()
+                held = held.join(hit, "member_id", "left_anti").select(*OFFER_COLUMNS).unionByName(
+                    self._offer_rows(c).join(hit, "member_id", "left_semi").select(*OFFER_COLUMNS))
+            return {"latest": self.files.write_parts(
+                c, "latest", "bucket", remaining_offers(held, log, closes).withColumn("bucket", bucket), offered)}
+
+        def stats_now() -> dict:
             held = self.files.read_parts(c, "stats", "day", STATS_SCHEMA, days)
             more = stats_changes(changes, duration_seconds(self.window), self.hotel_threshold, self.drink_threshold)
-            tables["stats"] = self.files.write_parts(
-                c, "stats", "day", added_stats(held.unionByName(more.select(*STATS_SCHEMA.fieldNames()))), days)
-        if joined:
+            return {"stats": self.files.write_parts(
+                c, "stats", "day", added_stats(held.unionByName(more.select(*STATS_SCHEMA.fieldNames()))), days)}
+
+        def members_now() -> dict:
             held = self.files.read_parts(c, "members", "bucket", MEMBERS_SCHEMA, joined)
             more = changes.where("inserted and sign > 0").select("member_id", F.lit(1).cast("long").alias("windows"),
                                                                   bucket.alias("bucket"))
-            tables["members"] = self.files.write_parts(
+            return {"members": self.files.write_parts(
                 c, "members", "bucket", held.unionByName(more).groupBy("member_id", "bucket")
-                .agg(F.sum("windows").alias("windows")), joined)
-        if active:
+                .agg(F.sum("windows").alias("windows")), joined)}
+
+        def totals_now() -> dict:
             held = self.files.read_parts(c, "totals", "bucket", TOTALS_SCHEMA, active)
-            tables["totals"] = self.files.write_parts(
+            written = self.files.write_parts(
                 c, "totals", "bucket", member_totals(held, changes).withColumn("bucket", bucket), active)
             totals = self.spark.read.schema(TOTALS_SCHEMA).parquet(self.files.folder("totals", version))
             moves = histogram_changes(totals)
             bands = [r["band"] for r in moves.select("band").distinct().collect()]     # a few hundred at most
             held = self.files.read_parts(c, "histogram", "band", HISTOGRAM_SCHEMA, bands)
-            tables["histogram"] = self.files.write_parts(
+            return {"totals": written, "histogram": self.files.write_parts(
                 c, "histogram", "band", held.unionByName(moves.select(*HISTOGRAM_SCHEMA.fieldNames()))
-                .groupBy("value", "band").agg(F.sum("n").alias("n")).where("n > 0"), bands)
-        if offered:
-            held = self.files.read_parts(c, "latest", "bucket", LATEST_SCHEMA, offered)
-            log = self.spark.read.schema(self._log_schema()).parquet(log_path)
-            if closed_days:
-                # a correction may retract a closed offer, behind which no older one is kept
-                hit = log.select("member_id").distinct()
-                held = held.join(hit, "member_id", "left_anti").select(*OFFER_COLUMNS).unionByName(
-                    self._offer_rows(c).join(hit, "member_id", "left_semi").select(*OFFER_COLUMNS))
-            tables["latest"] = self.files.write_parts(
-                c, "latest", "bucket", remaining_offers(held, log, closes).withColumn("bucket", bucket), offered)
+                .groupBy("value", "band").agg(F.sum("n").alias("n")).where("n > 0"), bands)}
+
+        tables = together(self.spark, [offered_now] + [step for step, parts in (
+            (stats_now, days), (members_now, joined), (totals_now, active)) if parts])
         if closed_days:
             tables["closed_days"] = {**c.tables.get("closed_days", {}), **{str(d): version for d in days}}
         done = c.next(facts, tables)
