@@ -10,7 +10,8 @@ version everything else follows without reading the summary again:
   window's old against its new version (I7). Added up it is the offers.
 * ``stats``: additive totals per window, hour and day (D2-D5, D8, D9, I10), with a
   mergeable sketch of the members (D13). A time range is answered from the
-  fewest stored rows.
+  fewest stored rows. Its parts are months: their rows are few, however many
+  transactions there are, and a version that touches years writes few files.
 * ``members``: windows per member, so that a distinct count is a row count.
 * ``totals`` and ``histogram``: all-time totals per member, and how many members
   have each total spend, in bands of growing width; a rank is the members in the
@@ -76,7 +77,7 @@ STATS_SCHEMA = T.StructType([
     T.StructField("size", T.IntegerType()), T.StructField("window_start", T.TimestampNTZType()),
     T.StructField("window_end", T.TimestampNTZType()), T.StructField("revenue", MONEY),
     *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("members", T.BinaryType()),
-    T.StructField("day", T.DateType())])
+    T.StructField("first_day", T.DateType())])     # of the month
 MEMBERS_SCHEMA = T.StructType([T.StructField("member_id", T.LongType()), T.StructField("windows", T.LongType()),
                                T.StructField("bucket", T.IntegerType())])
 LATEST_SCHEMA = T.StructType([
@@ -168,6 +169,14 @@ def offer_changes(changes: DataFrame, hotel_threshold, drink_threshold) -> DataF
     return changes.select("sign", *SUMMARY_COLUMNS, ARRIVAL, F.inline(F.filter(kinds, lambda k: k.isNotNull())))
 
 
+def month_of(day: dt.date) -> dt.date:
+    return day.replace(day=1)
+
+
+def next_month(first_day: dt.date) -> dt.date:
+    return month_of(first_day + dt.timedelta(days=31))
+
+
 def stats_changes(changes: DataFrame, window_seconds: int, hotel_threshold, drink_threshold) -> DataFrame:
     """What the signed rows add to the totals of their window, hour and day, a row for each of their windows.
 
@@ -188,12 +197,12 @@ def stats_changes(changes: DataFrame, window_seconds: int, hotel_threshold, drin
         start = F.date_trunc(unit, "window_start").cast("timestamp_ntz")
         wider.append(F.struct(F.lit(size).alias("size"), start.alias("window_start"),
                               (start + F.expr(f"INTERVAL {size} SECOND")).alias("window_end")))
-    return windows.select(F.to_date("window_start").alias("day"), "revenue", *COUNTS, "members",
+    return windows.select(F.trunc(F.to_date("window_start"), "month").alias("first_day"), "revenue", *COUNTS, "members",
                           F.inline(F.array(at, *wider)))
 
 
 def added_stats(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("size", "window_start", "window_end", "day").agg(
+    return rows.groupBy("size", "window_start", "window_end", "first_day").agg(
         F.sum("revenue").cast(MONEY).alias("revenue"), *[F.sum(c).alias(c) for c in COUNTS],
         F.hll_union_agg("members").alias("members")).select(*STATS_SCHEMA.fieldNames())
 
@@ -353,10 +362,11 @@ class KeptTables:
                 c, "latest", "bucket", remaining_offers(held, log, closes).withColumn("bucket", bucket), offered)}
 
         def stats_now() -> dict:
-            held = self.files.read_parts(c, "stats", "day", STATS_SCHEMA, days)
+            months = sorted({month_of(d) for d in days})
+            held = self.files.read_parts(c, "stats", "first_day", STATS_SCHEMA, months)
             more = stats_changes(changes, duration_seconds(self.window), self.hotel_threshold, self.drink_threshold)
             return {"stats": self.files.write_parts(
-                c, "stats", "day", added_stats(held.unionByName(more.select(*STATS_SCHEMA.fieldNames()))), days)}
+                c, "stats", "first_day", added_stats(held.unionByName(more.select(*STATS_SCHEMA.fieldNames()))), months)}
 
         def members_now() -> dict:
             held = self.files.read_parts(c, "members", "bucket", MEMBERS_SCHEMA, joined)
@@ -411,25 +421,26 @@ class KeptTables:
     def _bucket(self) -> Column:
         return F.pmod(F.hash("member_id"), F.lit(self.buckets))
 
-    def _windows(self) -> DataFrame:
-        path = f"{self.root}/windows"
-        if not self.files.names(path):
+    def _windows(self, *paths: str) -> DataFrame:
+        if not paths:
             return self.spark.createDataFrame([], WINDOWS_SCHEMA)
-        return self.spark.read.schema(WINDOWS_SCHEMA).option("basePath", path).parquet(path)
+        return self.spark.read.schema(WINDOWS_SCHEMA).option("basePath", f"{self.root}/windows").parquet(*paths)
 
     def _windows_of(self, version: int) -> DataFrame:
-        return self.spark.read.schema(WINDOWS_SCHEMA).option("basePath", f"{self.root}/windows") \
-            .parquet(self.files.folder("windows", version))
+        return self._windows(self.files.folder("windows", version))
+
+    def _state_folders(self, closed: int, versions) -> list[str]:
+        """The folders of windows in one state: those of other states are not listed, and there is one a day in each."""
+        folders = [self.files.folder("windows", v) for v in versions]
+        return [f"{f}/closed={closed}" for f in folders if f"closed={closed}" in self.files.names(f)]
 
     def _open(self, c: Commit) -> DataFrame:
         """Windows that may still change: in the newest batch's version, as corrections hold closed ones only."""
-        if "open" not in c.facts:
-            return self.spark.createDataFrame([], WINDOWS_SCHEMA)
-        return self._windows_of(c.facts["open"]).where(F.col("closed") == 0)
+        return self._windows(*self._state_folders(0, [c.facts["open"]] if "open" in c.facts else []))
 
     def _closed(self, c: Commit) -> DataFrame:
         """Closed windows: for a corrected day its newest correction and what closed later."""
-        rows = self._windows().where((F.col("closed") == 1) & (F.col("version") <= c.version))
+        rows = self._windows(*self._state_folders(1, range(c.version + 1)))
         since = c.tables.get("closed_days")
         for v in sorted(set((since or {}).values())):       # one set of days per correction, looked up by hash
             days = [dt.date.fromisoformat(d) for d, of in since.items() if of == v]
@@ -483,14 +494,13 @@ class KeptTables:
     def stats_rows(self, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """The fewest stored totals that cover all windows, or those inside [start, end)."""
         c = self.files.newest()
-        days = sorted(c.tables.get("stats", {}))
-        if not days:
+        months = [dt.datetime.fromisoformat(m) for m in sorted(c.tables.get("stats", {}))]
+        if not months:
             return self.spark.createDataFrame([], STATS_SCHEMA)
-        lo = start or dt.datetime.fromisoformat(days[0])
-        hi = end or dt.datetime.fromisoformat(days[-1]) + dt.timedelta(days=1)
+        lo, hi = start or months[0], end or next_month(months[-1])
         parts = cover(lo, hi, tuple(sorted({duration_seconds(self.window), HOUR, DAY})))
-        wanted = [d for d in days if any(a.date() <= dt.date.fromisoformat(d) <= b.date() for _, a, b in parts)]
-        rows = self.files.read_parts(c, "stats", "day", STATS_SCHEMA, wanted)
+        wanted = [m.date() for m in months if any(m < b and next_month(m) > a for _, a, b in parts)]
+        rows = self.files.read_parts(c, "stats", "first_day", STATS_SCHEMA, wanted)
         inside = F.lit(False)
         for size, a, b in parts:
             inside = inside | ((F.col("size") == size) & (F.col("window_start") >= ts_lit(a))
@@ -554,14 +564,14 @@ class KeptTables:
     def newest_qualifying(self, kind: str, before: dt.datetime, k: int = 3) -> DataFrame:
         """(window_start, window_end, qualifying_members) of the newest windows with an offer.
 
-        Read from the stored totals, a few days back at a time until k are found.
+        Read from the stored totals, a few months back at a time until k are found.
         """
         c = self.files.newest()
-        days = [d for d in sorted(c.tables.get("stats", {}), reverse=True) if d <= before.date().isoformat()]
-        found, step = [], 2
-        while days and len(found) < k:
-            some, days, step = days[:step], days[step:], step * 2
-            rows = self.files.read_parts(c, "stats", "day", STATS_SCHEMA, some) \
+        months = [m for m in sorted(c.tables.get("stats", {}), reverse=True) if m <= before.date().isoformat()]
+        found, step = [], 1
+        while months and len(found) < k:
+            some, months, step = months[:step], months[step:], step * 2
+            rows = self.files.read_parts(c, "stats", "first_day", STATS_SCHEMA, some) \
                 .where((F.col("size") == duration_seconds(self.window)) & (F.col(kind) > 0)
                        & (F.col("window_end") < ts_lit(before)))
             found += rows.orderBy(F.col("window_start").desc()).limit(k).select("window_start", "window_end", kind).collect()

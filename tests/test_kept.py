@@ -195,6 +195,26 @@ def test_reads(spark, tmp_dir):
     assert [r["size"] for r in day.collect()] == [86400] and len({f.split("day=")[1][:10] for f in day.inputFiles()}) <= 2
 
 
+def test_a_version_of_many_days_writes_statistics_by_month(spark, tmp_dir):
+    """The files that a version writes for its statistics grow with the months that it touches, not with the days."""
+    rows = [(i, i % 5, "A", "bet", 6000, "slot", str(dt.datetime(2023, 12, 30, 23, 58) + dt.timedelta(days=2 * i, hours=i)))
+            for i in range(40)]
+    kept = KeptTables(spark, tmp_dir, buckets=2)
+    kept.process(tx_rows(spark, rows[::2]), 0)
+    kept.process(tx_rows(spark, rows[1::2]), 1)
+    months = {r[6][:7] for r in rows}
+    assert len(kept.files.newest().tables["stats"]) == len(months) == 4
+    assert kept.correct_late() > 10
+    folders = [n for n in kept.files.names(kept.files.folder("stats", 2)) if "=" in n]
+    assert 0 < len(folders) <= len(months)
+    want = check(spark, kept, tx_rows(spark, rows))
+    for before in (dt.datetime(2024, 3, 1), dt.datetime(2024, 1, 2)):
+        got = [tuple(r) for r in kept.newest_qualifying("hotel", before, 3).collect()]
+        per = offer_rows(want).where((F.col("offer_type") == "hotel") & (F.col("window_end") < F.lit(str(before)))) \
+            .groupBy("window_start", "window_end").count().orderBy(F.desc("window_start")).limit(3)
+        assert got == [tuple(r) for r in per.collect()]
+
+
 def test_bands_keep_the_order():
     from pyspark.sql import SparkSession
 
