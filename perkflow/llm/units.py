@@ -78,10 +78,10 @@ def split_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     if not len(starts):
         return starts, ends
     other = np.flatnonzero(~_MARK[raw])
-    last = other[np.maximum(np.searchsorted(other, ends) - 1, 0)] if len(other) else np.full(len(ends), -1)
-    cut = (last >= starts) & (last < ends - 1)
-    cut &= _LETTER_OR_DIGIT[raw[np.maximum(last, 0)]]
-    at = last[cut] + 1
+    cut = np.flatnonzero(_MARK[raw[ends - 1]])      # few words end with a mark
+    last = other[np.maximum(np.searchsorted(other, ends[cut]) - 1, 0)] if len(other) else np.full(len(cut), -1)
+    some = (last >= starts[cut]) & (last < ends[cut] - 1) & _LETTER_OR_DIGIT[raw[np.maximum(last, 0)]]
+    cut, at = cut[some], last[some] + 1
     first_ends = ends.copy()
     first_ends[cut] = at
     all_starts, all_ends = np.concatenate([starts, at]), np.concatenate([first_ends, ends[cut]])
@@ -91,7 +91,7 @@ def split_marks(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
 
 def lowered(raw: np.ndarray) -> np.ndarray:
     """A-Z as a-z."""
-    return np.where((raw >= 65) & (raw <= 90), raw | 0x20, raw)
+    return np.frombuffer(raw.tobytes().lower(), np.uint8)
 
 
 def segments_at(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def encoded(texts: Sequence[bytes], units_at: Callable, hasher: Hasher, memory:
     one, number = distinct(raw, starts, ends, hasher)
     values = memory.values(raw, starts[one], ends[one])
     pool = np.frombuffer(b"".join(values), kind)
-    size = np.array([len(v) for v in values], np.int64) // kind.itemsize
+    size = np.fromiter(map(len, values), np.int64, len(values)) // kind.itemsize
     first = np.cumsum(size) - size
     # every unit's numbers, gathered from those of the distinct units
     lengths = size[number]

@@ -136,3 +136,39 @@ def test_related_documents_meet_in_a_shard(spark, library):
     assert len(shard) == 2000 and max(tokens.values()) < 1.3 * how.shard_tokens
     purity = sum(max(k.count(x) for x in range(4)) for k in kinds.values()) / 2000
     assert purity > 0.8, purity     # dealt by chance: about a third
+
+
+def test_wide_numbers_are_sorted_by_the_unstable_sort(monkeypatch):
+    """A stable sort of 64-bit numbers takes several times as long, and equal numbers cannot be told apart."""
+    from perkflow.llm import packing
+    sort, kinds = np.sort, []
+
+    def noted(x, kind=None):
+        kinds.append((x.dtype.itemsize, kind))
+        return sort(x, kind=kind)
+
+    monkeypatch.setattr(packing.np, "sort", noted)
+    for kind in ("<u2", "<u4", "<i8"):
+        x = np.random.default_rng(3).integers(0, 500, 2000).astype(kind)
+        values, counts = packing.distinct(x)
+        want = np.unique(x, return_counts=True)
+        assert np.array_equal(values, want[0]) and np.array_equal(counts, want[1])
+    assert kinds[0] == (2, "stable") and all(k != "stable" for size, k in kinds if size > 2)
+
+
+def test_marks_are_cut_as_by_a_plain_loop_and_only_ascii_letters_are_lowered():
+    from perkflow.llm import units
+    text = "A. b!? c .. 7) é. x.y. (z) \"q\" ... .a end.".encode() + b"\xff" + b"Z, \xff?"
+    raw = np.frombuffer(text, np.uint8)
+    starts, ends = units.words_at(raw)
+    want = []
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        e = b
+        while e > a and text[e - 1:e] in [bytes([x]) for x in b'.,;:!?)"']:
+            e -= 1
+        cut = a < e < b and text[e - 1:e].isalnum()
+        want += [(a, e), (e, b)] if cut else [(a, b)]
+    got = units.split_marks(raw, starts, ends)
+    assert list(zip(got[0].tolist(), got[1].tolist())) == want
+    every = np.arange(256, dtype=np.uint8)
+    assert units.lowered(every).tolist() == [x + 32 if 65 <= x <= 90 else x for x in range(256)]
