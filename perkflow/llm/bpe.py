@@ -6,7 +6,8 @@ two-level bitmap over the ranks marks the buckets in use; find-first-set on its
 two words gives the lowest rank, the bucket's heap the leftmost position.
 Merging changes at most two pairs, whose earlier entries stay queued and are
 skipped when they surface (stale). n bytes cost O(n log n), however long the
-pre-token.
+pre-token. Short pre-tokens share a list and a queue, so that a bucket is taken
+once for all of them.
 
 Defined cases: a null or empty text encodes to an empty list; bytes that are
 not UTF-8 count as U+FFFD; decoding ids outside the vocabulary raises; repeated
@@ -41,6 +42,9 @@ class Merger:
     buckets in use in words of 256 ranks.
     """
 
+    #: Up to so many bytes a pre-token shares a queue with others, of so many bytes together.
+    SHORT, TOGETHER = 1024, 1 << 15
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         n = max(ranks.values()) + 1
@@ -52,6 +56,12 @@ class Merger:
         self.single = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.words = [0] * (n // 256 + 1)
         self.bit = [1 << i for i in range(max(256, len(self.words)))]
+        # what can occur inside UTF-8, for pre-tokens with a gap between them
+        self.inner = {token: rank for token, rank in ranks.items() if units.GAP not in token}
+        self.inner_pairs = np.array(self.first_pairs, np.int32)
+        self.inner_pairs[units.GAP << 8:] = self.inner_pairs[units.GAP::256] = -1
+        self.inner_single = np.array(self.single, np.int32)
+        self.inner_single[units.GAP] = -2
 
     def __call__(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: the lowest-ranked, then leftmost pair is merged next, again and again."""
@@ -124,6 +134,103 @@ class Merger:
             i = end[i]
         return out
 
+    def many(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each pre-token (UTF-8) as little-endian 32-bit integers; short ones share a queue."""
+        whole = list(map(self.ranks.get, pieces))
+        out = [b"" if rank is None else pack("<i", rank) for rank in whole]
+        some, size = [], 0
+        for i, piece in enumerate(pieces):
+            if whole[i] is not None:
+                continue
+            if len(piece) > self.SHORT:
+                ids = self(piece)
+                out[i] = pack(f"<{len(ids)}i", *ids)
+                continue
+            some.append(i)
+            size += len(piece)
+            if size > self.TOGETHER:
+                self._fill(pieces, some, out)
+                some, size = [], 0
+        self._fill(pieces, some, out)
+        return out
+
+    def _fill(self, pieces: list[bytes], some: list[int], out: list[bytes]) -> None:
+        if some:
+            ids, edges = self._together([pieces[i] for i in some])
+            raw, edges = ids.tobytes(), (edges * 4).tolist()
+            for i, a, b in zip(some, edges, edges[1:]):
+                out[i] = raw[a:b]
+
+    def _together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pre-tokens end to end, and where each one's begin.
+
+        The pre-tokens lie in one list with a byte between them that no pair
+        crosses. A bucket is taken as a whole and its positions are merged from
+        left to right, unless a merge makes a pair of a lower rank: that is next.
+        """
+        text = b"\xff".join([b"", *pieces, b""])
+        raw = np.frombuffer(text, np.uint8)
+        rank_of, buckets, words, bit = self.inner.get, self.buckets, self.words, self.bit
+        ranks = np.append(self.inner_pairs[raw[:-1].astype(np.int32) << 8 | raw[1:]], -1)
+        end, before = list(range(1, len(text) + 1)), list(range(-1, len(text) - 1))
+        symbol, pair = self.inner_single[raw].tolist(), ranks.tolist()
+        summary = 0
+        order = np.flatnonzero(ranks >= 0)
+        order = order[np.argsort(ranks[order], kind="stable")]
+        starts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        queued = order.tolist()
+        for rank, a, b in zip(ranks[order[starts]].tolist(), starts.tolist(), [*starts[1:].tolist(), len(queued)]):
+            buckets[rank] = queued[a:b]
+            words[rank >> 8] |= bit[rank & 255]
+            summary |= bit[rank >> 8]
+        while summary:
+            w = (summary & -summary).bit_length() - 1
+            bits = words[w]
+            rank = (w << 8) + (bits & -bits).bit_length() - 1
+            words[w] = bits = bits & bits - 1
+            if not bits:
+                summary &= summary - 1
+            bucket = buckets[rank]
+            buckets[rank] = None
+            bucket.sort()
+            n = 0
+            for i in bucket:
+                n += 1
+                if pair[i] != rank:
+                    continue                # stale: this pair was merged or changed since
+                j = end[i]
+                end[i] = k = end[j]
+                symbol[i] = rank
+                symbol[j] = -2
+                pair[j] = -1
+                before[k] = i
+                h = before[i]
+                pair[i] = right = rank_of(text[i:end[k]], -1)
+                pair[h] = left = rank_of(text[h:k], -1)
+                if right >= 0:
+                    if buckets[right] is None:
+                        buckets[right] = [i]
+                        words[right >> 8] |= bit[right & 255]
+                        summary |= bit[right >> 8]
+                    else:
+                        buckets[right].append(i)
+                if left >= 0:
+                    if buckets[left] is None:
+                        buckets[left] = [h]
+                        words[left >> 8] |= bit[left & 255]
+                        summary |= bit[left >> 8]
+                    else:
+                        buckets[left].append(h)
+                if 0 <= right < rank or 0 <= left < rank:
+                    if n < len(bucket):
+                        buckets[rank] = bucket[n:]
+                        words[w] |= bit[rank & 255]
+                        summary |= bit[w]
+                    break
+        found = np.array(symbol, np.int32)
+        live = found != -2
+        return found[live].astype("<i4"), np.cumsum(live)[raw == units.GAP]
+
 
 class Vocabulary:
     """Ranks of a vocabulary file with the pattern that splits texts into pre-tokens."""
@@ -132,11 +239,10 @@ class Vocabulary:
         self.ranks, self.n_ranks = ranks, max(ranks.values()) + 1
         self.pattern = regex.compile(pattern)
         self.merged = Merger(ranks)
-        self.hasher = units.Hasher()
-        self.memory = units.Memory(self._learn, 2_000_000)    # segments, most of them one pre-token
+        self.memory = units.IdMemory(self._learn, 2_000_000, np.dtype("<i4"), units.Hasher())  # segments, most of them one pre-token
         self.pieces = BoundedCache(self._ids, limit=100_000)  # pre-tokens of the other segments
-        self.decimal = list(map(str, range(self.n_ranks)))
-        self.bytes_of = [b""] * self.n_ranks
+        self.decimal = np.array(list(map(str, range(self.n_ranks))), object)
+        self.bytes_of = np.full(self.n_ranks, b"", object)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
 
@@ -145,15 +251,15 @@ class Vocabulary:
         return pack(f"<{len(ids)}i", *ids)
 
     def _learn(self, new: list[bytes]) -> list[bytes]:
-        out = []
-        for segment in new:
-            pieces = self.pattern.findall(segment.decode())
-            if len(pieces) == 1:
-                ids = self.merged(segment)
-                out.append(pack(f"<{len(ids)}i", *ids))
-            else:
-                out.append(b"".join(map(self.pieces.__getitem__, pieces)))
-        return out
+        cut = [self.pattern.findall(segment.decode()) for segment in new]
+        missing = self.pieces.unknown({p for pieces in cut if len(pieces) > 1 for p in pieces})
+        merged = self.merged.many([s for s, pieces in zip(new, cut) if len(pieces) == 1] + [p.encode() for p in missing])
+        known = dict(zip(missing, merged[len(merged) - len(missing):]))
+        for piece, ids in known.items():
+            self.pieces.keep(piece, ids)
+        single = iter(merged)
+        return [next(single) if len(pieces) == 1 else
+                b"".join([known[p] if p in known else self.pieces[p] for p in pieces]) for pieces in cut]
 
     def encode(self, text: str) -> bytes:
         """The text's ids as little-endian 32-bit integers."""
@@ -167,7 +273,7 @@ class Vocabulary:
         for i in set(range(len(texts))).difference(plain):
             out[i] = self.encode(texts[i].decode("utf-8", "replace"))
         for numbers, group in units.grouped([texts[i] for i in plain]):
-            found = units.encoded(group, units.segments_at, self.hasher, self.memory, np.dtype("<i4"))
+            found = units.encoded(group, units.segments_at, self.memory)
             for i, ids in zip(numbers, found):
                 out[plain[i]] = ids
         return out
@@ -178,16 +284,15 @@ class Vocabulary:
         step = 1 << 18
         for i in range(0, len(ids), step):
             some = ids[i:i + step]
-            as_text.update(((" " if i else "") + " ".join(map(self.decimal.__getitem__, some.tolist()))).encode())
+            as_text.update(((" " if i else "") + " ".join(self.decimal[some].tolist())).encode())
             as_bytes.update(self.decode(some))
         return as_text.hexdigest(), as_bytes.hexdigest()
 
     def decode(self, ids: np.ndarray) -> bytes:
         if len(ids) and (ids.min() < 0 or ids.max() >= self.n_ranks):
             raise ValueError("an id is not in the vocabulary")
-        token = self.bytes_of.__getitem__
         step = 1 << 18
-        return b"".join(b"".join(map(token, ids[i:i + step].tolist())) for i in range(0, len(ids), step))
+        return b"".join(b"".join(self.bytes_of[ids[i:i + step]].tolist()) for i in range(0, len(ids), step))
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:

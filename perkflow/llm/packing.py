@@ -113,8 +113,7 @@ class _Words:
         self.ends_word = np.zeros(size, bool)
         for token, i in spec["model"]["vocab"].items():
             self.ends_word[i] = token.endswith(suffix)
-        self.hasher = units.Hasher()
-        self.memory = units.Memory(self._learn, 800_000)
+        self.memory = units.IdMemory(self._learn, 800_000, self.kind, units.Hasher())
         self.pieces = BoundedCache(self._whole, limit=150_000)
 
     def _whole(self, text: str) -> bytes:
@@ -180,7 +179,7 @@ class _Words:
         return self._encode_group([raw])[0] if len(raw) < units.GROUP_BYTES else self._whole(part)
 
     def _encode_group(self, texts: list[bytes]) -> list[bytes]:
-        return units.encoded(texts, self._units_at, self.hasher, self.memory, self.kind, self._lowered)
+        return units.encoded(texts, self._units_at, self.memory, self._lowered)
 
     def _lowered(self, raw: np.ndarray) -> np.ndarray:
         """Lower case, which the tokenizer makes anyway, unless that would make a special string."""

@@ -89,3 +89,33 @@ def test_digests_in_one_place_equal_those_of_encode_and_decode(spark):
     at_once = docs.select("done", bpe.round_trip("text").alias("r")).select("done", "r.*")
     assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, plain.collect()))
     assert docs.limit(0).select(bpe.round_trip("text")).collect() == []
+
+
+def test_pre_tokens_share_a_queue(ranks, library):
+    rng = random.Random(3)
+    syllables = ["th", "in", "er", "é", "ß", "o", "日", " ", "aaa", "\x00", "X9"]
+    pieces = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 12))).encode() for _ in range(3_000)]
+    pieces += [b"the", b"a" * 1_000, ("ab" * 3_000).encode(), "ñ".encode(), b"\x00"]
+    merger = Merger(ranks)
+    got = [np.frombuffer(x, "<i4").tolist() for x in merger.many(pieces)]
+    assert got == [library._core_bpe.encode_single_piece(p) for p in pieces]
+    assert merger.many([]) == []
+    assert not any(merger.words) and not any(b is not None for b in merger.buckets)
+
+
+def test_a_merge_that_makes_a_lower_rank_comes_first():
+    tokens = [bytes([b]) for b in range(256)] + [b"abc", b"xab", b"ab", b"bc", b"cab"]
+    made = {t: i for i, t in enumerate(tokens)}
+    merger, rng = Merger(made), random.Random(4)
+    pieces = ["".join(rng.choice("abcx") for _ in range(rng.randrange(2, 40))).encode() for _ in range(500)]
+    assert [np.frombuffer(x, "<i4").tolist() for x in merger.many(pieces)] == [merger(p) for p in pieces]
+
+
+def test_units_of_one_hash_keep_their_own_ids():
+    from perkflow.llm import units
+    memory = units.IdMemory(lambda new: [np.frombuffer(u, np.uint8).astype("<u2").tobytes() for u in new], 6,
+                            np.dtype("<u2"), lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    texts = [b"ab ba ab cd", b"ba", b"", b"abc cba cd ab " * 3, b"a" * 3_000 + b" " + b"b" * 3_000]
+    for _ in range(3):
+        got = units.encoded(texts, units.words_at, memory)
+        assert [np.frombuffer(x, "<u2").astype(np.uint8).tobytes() for x in got] == [t.replace(b" ", b"") for t in texts]
