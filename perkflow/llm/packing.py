@@ -30,6 +30,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -81,63 +83,88 @@ def check_tokenizer(content: str) -> int:
     return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in added)])
 
 
+def _letters() -> dict[int, str]:
+    """The printable letter that byte-level vocabularies write for each byte."""
+    kept = [*range(0x21, 0x7f), *range(0xa1, 0xad), *range(0xae, 0x100)]
+    others = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+LETTERS = _letters()
+
+
 class _Words:
     """A worker's tokenizer with bounded memories of words and of the pieces that words share.
 
-    New pieces are encoded many at a time as one text of words; the tokens that
-    end a word tell them apart again.
+    New pieces, in lower case and split already, go straight to the library's
+    model, in the letters that stand for their bytes.
     """
 
     #: Up to here no letter composes with another one, and lower case is the same in every library.
-    LATIN = "\u024f"
-    CHUNK = 256
+    BEYOND_LATIN = re.compile("[\u0250-\U0010ffff]")
+    #: With this pattern a word of letters is one piece.
+    LETTERS_TOGETHER = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
         self.tokenizer = Tokenizer.from_str(content)
+        self.model = self.tokenizer.model
         spec = json.loads(content)
         to_bytes = spec["pre_tokenizer"]["pretokenizers"][1]
-        # for pieces already in lower case and split: the same model without the steps that leave them as they are
-        self.of_pieces = Tokenizer(self.tokenizer.model)
-        self.of_pieces.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(
-            add_prefix_space=to_bytes.get("add_prefix_space", True), use_regex=to_bytes.get("use_regex", True))])
+        # else the library changes or cuts a piece once more
+        self.direct = not to_bytes.get("add_prefix_space", True) and not to_bytes.get("use_regex", True)
         size = check_tokenizer(content)
         self.kind = id_type(size)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         self.special_lower = [s.lower().encode() for s in self.special]
         self.special_marks = any(s[-1] in '.,;:!?)"' for s in self.special)
-        self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] + "|\n")
-        suffix = spec["model"]["end_of_word_suffix"]
-        self.ends_word = np.zeros(size, bool)
-        for token, i in spec["model"]["vocab"].items():
-            self.ends_word[i] = token.endswith(suffix)
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split, self.letters_together = regex.compile(pattern + "|\n"), pattern == self.LETTERS_TOGETHER
         self.memory = units.IdMemory(self._learn, 800_000, self.kind, units.Hasher())
-        self.pieces = BoundedCache(self._whole, limit=150_000)
+        self.pieces = BoundedCache(self._ids, limit=150_000)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _plain(self, text: str) -> bool:
         """Whether words may be cut here, not by the library."""
-        return (text.isascii() or max(text) <= self.LATIN) and not any(s in text for s in self.special)
+        return (text.isascii() or not self.BEYOND_LATIN.search(text)) and not any(s in text for s in self.special)
 
     def _learn(self, new: list[bytes]) -> list[bytes]:
         """The ids of words, their unknown pieces encoded first."""
         found: list[bytes] = []
         for i in range(0, len(new), 4096):
-            some = [w.decode("utf-8", "replace") for w in new[i:i + 4096]]
-            text = "\n".join(some)
-            if not self._plain(text):
-                found += [self._of_plain([w])[0] if self._plain(w) else self._whole(w) for w in some]
+            text = b"\n".join(new[i:i + 4096]).decode("utf-8", "replace")
+            words = text.split("\n")
+            if self._plain(text):
+                found += self._of_plain(words, text)
             else:
-                found += self._of_plain(some)
+                found += [self._of_plain([w], w)[0] if self._plain(w) else self._whole(w) for w in words]
         return found
 
-    def _of_plain(self, some: list[str]) -> list[bytes]:
-        pieces = self.split.findall("\n".join(some).lower())
-        look_up, out, ids = self._ids_of(set(pieces).difference("\n"), set(some)).__getitem__, [], b""
+    def _of_plain(self, words: list[str], text: str) -> list[bytes]:
+        """``text``: the words, joined by line ends."""
+        low = text.lower().split("\n")
+        if not self.letters_together:
+            return self._of_pieces(low, set(words))
+        out, others = [b""] * len(low), []
+        ids_of, tokens_of, letter = self._ids, self.model.tokenize, self.kind.char
+        for i, w in enumerate(low):
+            if not w.isalpha():
+                others.append(i)
+            elif self.direct and w.isascii():
+                out[i] = array(letter, [t.id for t in tokens_of(w)]).tobytes()
+            else:
+                out[i] = ids_of(w)
+        if others:
+            for i, ids in zip(others, self._of_pieces([low[i] for i in others], {words[i] for i in others})):
+                out[i] = ids
+        return out
+
+    def _of_pieces(self, low: list[str], words: set[str]) -> list[bytes]:
+        pieces = self.split.findall("\n".join(low))
+        look_up, out, ids = self._ids_of(set(pieces).difference("\n"), words).__getitem__, [], b""
         for piece in pieces:
             if piece == "\n":
                 out.append(ids)
@@ -147,22 +174,19 @@ class _Words:
         return [*out, ids]
 
     def _ids_of(self, wanted: set[str], words: set[str]) -> dict[str, bytes]:
-        """The ids of pieces. New ones are remembered unless they are whole words, which ``memory`` keeps."""
-        missing, found = self.pieces.unknown(wanted), {}
-        for i in range(0, len(missing), self.CHUNK):
-            chunk = missing[i:i + self.CHUNK]
-            ids = np.array(self.of_pieces.encode_batch_fast([" ".join(chunk)], add_special_tokens=False)[0].ids, self.kind)
-            ends = (np.flatnonzero(self.ends_word[ids]) + 1) * self.kind.itemsize
-            if len(ends) != len(chunk):     # a piece that the library cuts further: leave the chunk to single calls
-                continue
-            raw, ends = ids.tobytes(), ends.tolist()
-            found.update(zip(chunk, [raw[a:b] for a, b in zip([0, *ends], ends)]))
-        for piece in found.keys() - words:
-            self.pieces.keep(piece, found[piece])
-        for piece in wanted - found.keys():
-            found[piece] = self.pieces[piece]
+        """The ids of pieces. They are remembered unless they are whole words, which ``memory`` keeps."""
+        shared = wanted - words
+        found = {piece: self.pieces[piece] for piece in shared}
+        found.update((piece, self._ids(piece)) for piece in wanted & words)
         return found
 
+    def _ids(self, piece: str) -> bytes:
+        if not self.direct:
+            return self._whole(piece)
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(LETTERS)
+        return array(self.kind.char, [t.id for t in self.model.tokenize(piece)]).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text. Words are cut at ASCII white space; the library cuts them further where needed."""
         out: list[bytes] = []
@@ -272,6 +296,13 @@ def distinct(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ranked[first], np.diff(first, append=len(ranked))
 
 
+def distinct_of_each(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct tokens in order: the document's number, the token, its count there."""
+    lengths = np.array([len(d) for d in docs])
+    pairs, counts = distinct(np.repeat(np.arange(len(docs)) * vocabulary, lengths) + np.concatenate(docs))
+    return *np.divmod(pairs, vocabulary), counts
+
+
 # --- shards by content ----------------------------------------------------------------------
 
 class Projection:
@@ -286,16 +317,13 @@ class Projection:
 
     def _some(self, docs: list[np.ndarray]) -> np.ndarray:
         how, lengths = self.how, np.array([len(d) for d in docs])
-        size = len(self.idf)
-        pairs, counts = distinct(np.repeat(np.arange(len(docs)) * size, lengths) + np.concatenate(docs))
-        owner, terms = np.divmod(pairs, size)
+        owner, terms, counts = distinct_of_each(docs, len(self.idf))
         norm = how.k1 * (1 - how.b + how.b * lengths / self.mean)
         weight = (self.idf[terms] * counts * (how.k1 + 1) / (counts + norm[owner])).astype(np.float32)
-        first = np.searchsorted(owner, np.arange(len(docs)))
+        first = np.searchsorted(owner, np.arange(len(docs) + 1)).tolist()
         out = np.empty((len(docs), how.dimensions), np.float32)
-        for i in range(0, len(docs), 64):   # bounds the products in memory
-            a, b = first[i], first[i + 64] if i + 64 < len(docs) else len(owner)
-            out[i:i + 64] = np.add.reduceat(self.axes[terms[a:b]] * weight[a:b, None], first[i:i + 64] - a)
+        for i, (a, b) in enumerate(zip(first, first[1:])):     # the products of one document at a time
+            np.einsum("i,ij->j", weight[a:b], self.axes[terms[a:b]], out=out[i])
         return out / np.maximum(np.sqrt((out ** 2).sum(axis=1, keepdims=True)), 1e-9)
 
 
@@ -414,12 +442,11 @@ class ShardIndex:
     """Inverted index over a shard's items with BM25 weights."""
 
     def __init__(self, items: list[Item], idf: np.ndarray, mean_length: float, how: Packing):
-        found = [distinct(x.tokens) for x in items]
-        sizes = np.array([len(t) for t, _ in found])
-        self.terms_of = [t for t, _ in found]
-        terms = np.concatenate(self.terms_of)
-        counts = np.concatenate([c for _, c in found]).astype(np.float32)
-        owner = np.repeat(np.arange(len(items)), sizes)
+        found = [distinct_of_each([x.tokens for x in items[i:i + 512]], len(idf)) for i in range(0, len(items), 512)]
+        owner = np.concatenate([x[0] + 512 * i for i, x in enumerate(found)])
+        terms = np.concatenate([x[1] for x in found])
+        counts = np.concatenate([x[2] for x in found]).astype(np.float32)
+        self.terms_of = np.split(terms, np.searchsorted(owner, np.arange(1, len(items))))
         lengths = np.array([len(x.tokens) for x in items], np.float32)
         norm = how.k1 * (1 - how.b + how.b * lengths / mean_length)
         weight = idf[terms] * counts * (how.k1 + 1) / (counts + norm[owner])

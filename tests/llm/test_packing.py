@@ -172,3 +172,30 @@ def test_marks_are_cut_as_by_a_plain_loop_and_only_ascii_letters_are_lowered():
     assert list(zip(got[0].tolist(), got[1].tolist())) == want
     every = np.arange(256, dtype=np.uint8)
     assert units.lowered(every).tolist() == [x + 32 if 65 <= x <= 90 else x for x in range(256)]
+
+
+def test_pieces_go_to_the_model_in_the_letters_of_their_bytes(library):
+    import json
+    from tokenizers.pre_tokenizers import ByteLevel
+    assert sorted(K.LETTERS.values()) == sorted(ByteLevel.alphabet()) and sorted(K.LETTERS) == list(range(256))
+    with open(FILE, encoding="utf-8") as f:
+        content = f.read()
+    texts = ["ÀÉß ŉ naïve \x00x a­b x\x7f İI ªº 7é", "Plain words, plain."]
+    worker = K._Words(content)
+    worker.tokenizer = None     # plain words need the model only
+    got = [np.frombuffer(b, "<u2").tolist() for b in worker.encode([t.encode() for t in texts])]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    spec = json.loads(content)
+    spec["pre_tokenizer"]["pretokenizers"][1]["use_regex"] = True
+    other = json.dumps(spec)
+    got = [np.frombuffer(b, "<u2").tolist() for b in K._Words(other).encode([t.encode() for t in texts])]
+    assert got == [Tokenizer.from_str(other).encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_distinct_tokens_of_many_documents_at_once():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 30, rng.integers(1, 50)).astype("<u2") for _ in range(40)]
+    owner, terms, counts = K.distinct_of_each(docs, 30)
+    for i, d in enumerate(docs):
+        want, n = np.unique(d, return_counts=True)
+        assert terms[owner == i].tolist() == want.tolist() and counts[owner == i].tolist() == n.tolist()
