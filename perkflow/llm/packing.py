@@ -221,6 +221,8 @@ def id_type(vocabulary: int) -> np.dtype:
 
 
 _LOADED: dict[int, _Words] = {}
+#: Rows whose texts and ids a worker holds at a time.
+_BATCH_ROWS = 1024
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str, text: str) -> DataFrame:
@@ -244,7 +246,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int, doc_id: str, te
             _LOADED[key] = _Words(shared.value)
         held, n, size, key_kind = np.zeros(vocabulary, np.int64), 0, 0, None
         longs = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (b.slice(i, _BATCH_ROWS) for b in batches for i in range(0, b.num_rows, _BATCH_ROWS)):
             key_kind = batch.schema.field("key").type
             found = [ids + end for ids in _LOADED[key].encode(batch.column("text").to_pylist())]
             for ids in found:

@@ -157,7 +157,7 @@ def stats_column(text: str | Column, limits: Limits = Limits()) -> Column:
 
     @F.arrow_udf(f"struct<{kind}>")
     def stats(texts: pa.Array) -> pa.Array:
-        rows = [text_stats(t, lengths) for t in texts.to_pylist()]
+        rows = [text_stats(t.as_py(), lengths) for t in texts]
         columns = zip(*rows) if rows else [()] * len(names)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 

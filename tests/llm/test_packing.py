@@ -199,3 +199,27 @@ def test_distinct_tokens_of_many_documents_at_once():
     for i, d in enumerate(docs):
         want, n = np.unique(d, return_counts=True)
         assert terms[owner == i].tolist() == want.tolist() and counts[owner == i].tolist() == n.tolist()
+
+
+def test_a_worker_remembers_words_in_few_bytes():
+    """What a worker holds outlives its task, and adds up over an executor's workers and a pipeline's stages."""
+    import tracemalloc
+    with open(FILE, encoding="utf-8") as f:
+        worker = K._Words(f.read())
+    letters = np.array(list("abcdefghijklmnop"))
+    words = np.unique(["".join(w) for w in letters[np.random.default_rng(6).integers(0, 16, (60_000, 9))]]).tolist()
+    worker.encode([b"a"])
+    tracemalloc.start()
+    worker.encode([" ".join(words[i:i + 2_000]).encode() for i in range(0, len(words), 2_000)])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 100 * len(words), held / len(words)
+
+
+def test_tokenizing_holds_few_rows_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(K, "_BATCH_ROWS", 3)
+    docs = spark.createDataFrame([(i, f"word{i} and more") for i in range(20)], "doc_id long, text string").coalesce(1)
+    rows = K.tokenized(docs, FILE, 2, "doc_id", "text").collect()
+    assert sorted(r["key"] for r in rows if r["ids"] is not None) == list(range(20))
+    totals = [dict(zip(r["terms"], r["n"])) for r in rows if r["terms"] is not None]
+    assert len(totals) == 1 and totals[0][K.N_DOCS] == 20
