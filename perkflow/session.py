@@ -7,6 +7,21 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Streaming state lives in RocksDB: on local disk, with one bounded amount of native memory
+# per executor for all state partitions, however many keys there are. Spark's default
+# store holds every key on the executor's heap. Streams start with these also in a
+# session that was built elsewhere (``streaming.summary_stream``).
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # checkpoint only the state changes of each batch, not full snapshots
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "500",
+    # numRowsTotal of a stream's progress would cost a second look-up for every row
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+}
+
 # Settings every job wants: adaptive execution (runtime partition coalescing,
 # skew-join splitting, broadcast conversion once real sizes are known), a
 # size-checked broadcast threshold, and a single UTC session zone so
@@ -23,10 +38,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.parquet.filterPushdown": "true",
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    # checkpoint only the state changes of each batch, not full snapshots
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    **STATE_CONF,
     # delete reliable-checkpoint files once nothing references them
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",

@@ -29,6 +29,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from perkflow import config
 from perkflow.functions.time import instant_to_ntz, ntz_to_instant
 from perkflow.operators.summary import member_window_summary, net_expr, spend_expr, winnings_expr
+from perkflow.session import STATE_CONF
 from perkflow.sources.events_adapter import transactions_from_events
 from perkflow.sources.files import stream_parquet_table
 
@@ -131,20 +132,37 @@ def state_partitions(spark: SparkSession, n: int | None):
     the caller's value is restored afterwards. A restarted query keeps the
     count stored in its checkpoint.
     """
-    if not n:
+    with _set_for_now(spark, {"spark.sql.shuffle.partitions": str(n)} if n else {}):
         yield
-        return
-    key = "spark.sql.shuffle.partitions"
-    old = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """The state store of a stream started inside the block: RocksDB with bounded memory.
+
+    Without it a session that ``build_session`` did not make keeps all open windows
+    on the executors' heaps. What the session itself sets about the store holds, and
+    a restarted query keeps the store of its checkpoint.
+    """
+    with _set_for_now(spark, {k: v for k, v in STATE_CONF.items() if spark.conf.get(k, None) is None}):
+        yield
+
+
+@contextmanager
+def _set_for_now(spark: SparkSession, conf: dict[str, str]):
+    """Session settings inside the block; afterwards each is as it was, set or not."""
+    old = {k: spark.conf.get(k, None) for k in conf}
     try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(key, old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _start(writer, spark: SparkSession, n_state: int | None) -> StreamingQuery:
-    with state_partitions(spark, n_state):
+    with state_partitions(spark, n_state), state_store(spark):
         return writer.start()
 
 
