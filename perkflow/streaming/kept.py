@@ -528,9 +528,8 @@ class KeptTables:
         c = self.files.newest()
         rows = self.files.read_parts(c, "histogram", "band", HISTOGRAM_SCHEMA)
         bands = rows.groupBy("band").agg(F.sum("n").alias("own"))      # a few hundred at most
-        higher = bands.select(F.col("band").alias("higher_band"), "own")
-        above = bands.select("band").join(F.broadcast(higher), F.col("higher_band") > F.col("band"), "left") \
-            .groupBy("band").agg(F.coalesce(F.sum("own"), F.lit(0)).alias("above"))
+        higher = Window.orderBy(F.col("band").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        above = bands.select("band", F.coalesce(F.sum("own").over(higher), F.lit(0)).alias("above"))
         within = Window.partitionBy("band").orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn("higher", F.coalesce(F.sum("n").over(within), F.lit(0))).join(F.broadcast(above), "band") \
             .select("value", (F.col("above") + F.col("higher") + 1).cast("long").alias("spend_rank"))
